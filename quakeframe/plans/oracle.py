@@ -219,3 +219,178 @@ ORACLE["test_year_sample_summary"] = with_views(f"""
     SELECT eq_id, chunk_no, max(n_chunks) AS n_samples, count(*) AS n_targets,
            max({intensity8_sql('pga')}) AS max_class, round(avg(pga), 6) AS mean_label
     FROM ({samples_sql('rk')}) WHERE side = 'target' GROUP BY eq_id, chunk_no""", "fx_catalog", "fx_traces")
+
+
+# --- hydration, masking, replay, features ------------------------------------
+
+Z3 = "[CAST(0 AS FLOAT), CAST(0 AS FLOAT), CAST(0 AS FLOAT)]"
+
+
+def zeros_sql(n: str) -> str:
+    return f"list_transform(range({n}), lambda _i: {Z3})"
+
+
+def fit_sql(w: str, length: int, cutoff: str | None = None) -> str:
+    m = f"least(len({w}), {length})" if cutoff is None else f"least(len({w}), {length}, {cutoff})"
+    m = f"greatest({m}, 0)"
+    return f"list_concat(list_slice({w}, 1, {m}), {zeros_sql(f'{length} - {m}')})"
+
+
+def peak_sql(w: str) -> str:
+    return f"CAST(greatest(list_max(flatten({w})), -list_min(flatten({w}))) AS DOUBLE)"
+
+
+def nonzero_sql(w: str) -> str:
+    return f"CAST(len(list_filter({w}, lambda s: s[1] <> 0 OR s[2] <> 0 OR s[3] <> 0)) AS INTEGER)"
+
+
+def wsum_sql(w: str) -> str:
+    return f"list_sum(list_transform(flatten({w}), lambda x: CAST(x AS DOUBLE)))"
+
+
+def mask_sql(src: str, sec: str, length: int, rate: int = fx.WAVE_RATE, wave: bool = True) -> str:
+    """C6/C7 over rows with p_pick, pick0 (and waveform)."""
+    cut = f"CAST(pick0 + ({sec}) * {rate} AS INTEGER)"
+    blank = f"(p_pick > {cut})"
+    cols = [f"{cut} AS cutoff", f"{blank} AS blanked"]
+    repl = []
+    for c in ("lat", "lon", "elev", "vs30"):
+        repl.append(f"CASE WHEN {blank} THEN CAST(0.0 AS DOUBLE) ELSE {c} END AS {c}")
+    if wave:
+        repl.append(f"CASE WHEN {blank} THEN {zeros_sql(str(length))} ELSE {fit_sql('waveform', length, cut)} END AS waveform")
+    excl = "lat, lon, elev, vs30" + (", waveform" if wave else "")
+    return f"SELECT * REPLACE ({', '.join(repl)}), {', '.join(cols)} FROM ({src})" if False else \
+        f"SELECT * EXCLUDE ({excl}), {', '.join(repl)}, {', '.join(cols)} FROM ({src})"
+
+
+W_VIEWS = ("fx_catalog", "fx_traces", "fx_traces_w", "fx_waveforms")
+_RKW = f"rkw AS ({ranked_sql(traces_sql('test', view='fx_traces_w'), M)})"
+_MASKED = f"""{_RKW},
+    inp AS (SELECT *, first_value(p_pick) OVER (PARTITION BY eq_id ORDER BY slot) AS pick0 FROM rkw WHERE chunk_no = 0),
+    hyd AS (SELECT i.*, w.samples AS waveform FROM inp i JOIN fx_waveforms w USING (eq_id, trace_idx)),
+    msk AS ({mask_sql('SELECT * FROM hyd', str(q.MASK_SEC), q.T_PAD)})"""
+
+
+def wave_stats_sql(w: str) -> str:
+    return (f"CAST(len({w}) AS INTEGER) AS n_samples, {nonzero_sql(w)} AS n_nonzero, "
+            f"round({peak_sql(w)}, 6) AS peak, round({wsum_sql(w)}, 6) AS wsum")
+
+
+ORACLE["hydrate_inputs"] = with_views(f"""
+    , {_TEST_RANKED}
+    SELECT s.sample_id, s.slot, s.trace_idx, s.lat, s.lon, s.elev, s.vs30, s.p_pick,
+           CAST(len(w.samples) AS INTEGER) AS n_samples, round({peak_sql('w.samples')}, 6) AS peak
+    FROM ({samples_sql('rk')}) s JOIN fx_waveforms w USING (eq_id, trace_idx) WHERE s.side = 'input'""",
+    *W_VIEWS)
+
+ORACLE["hydrate_targets"] = with_views(f"""
+    , {_TEST_RANKED}
+    SELECT sample_id, slot, trace_idx, lat, lon, elev, vs30, round(pga, 6) AS label, p_pick, pga_time AS label_time
+    FROM ({samples_sql('rk')}) WHERE side = 'target'""", "fx_catalog", "fx_traces")
+
+ORACLE["event_traces_cropped"] = with_views(f"""
+    SELECT t.eq_id, t.trace_idx, CAST(len(list_slice(w.samples, 1, {q.T_CROP})) AS INTEGER) AS n_samples,
+           round({peak_sql(f'list_slice(w.samples, 1, {q.T_CROP})')}, 6) AS peak, t.lat, t.lon, t.elev, t.p_pick
+    FROM fx_traces_w t JOIN fx_waveforms w USING (eq_id, trace_idx)
+    WHERE t.eq_id IN (SELECT eq_id FROM fx_catalog WHERE year = {TY})""", *W_VIEWS)
+
+ORACLE["snapshot_slots"] = with_views(f"""
+    , {_TEST_RANKED},
+    s AS (SELECT sample_id, side, slot, lat, lon, elev, vs30, pga FROM ({samples_sql('rk')})),
+    pads AS (SELECT sample_id, side, CAST(unnest(range(n, {M})) AS INTEGER) AS slot
+             FROM (SELECT sample_id, side, count(*) AS n FROM s GROUP BY ALL) WHERE n < {M})
+    SELECT sample_id, side, slot, false AS is_padding, lat, lon, elev, vs30,
+           CASE WHEN side = 'target' THEN round(pga, 6) END AS label FROM s
+    UNION ALL
+    SELECT sample_id, side, slot, true, CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE),
+           CAST(0.0 AS DOUBLE), CASE WHEN side = 'target' THEN CAST(0.0 AS DOUBLE) END FROM pads""",
+    "fx_catalog", "fx_traces")
+
+ORACLE["crop_pad_mask"] = with_views(f"""
+    , {_MASKED}
+    SELECT eq_id, slot, trace_idx, {wave_stats_sql('waveform')} FROM msk""", *W_VIEWS)
+
+ORACLE["blank_late_stations"] = with_views(f"""
+    , {_MASKED}
+    SELECT eq_id, slot, trace_idx, p_pick, pick0, cutoff, blanked, lat, lon FROM msk""", *W_VIEWS)
+
+_LADDER = f"""
+    et AS (SELECT t.*, list_slice(w.samples, 1, {q.T_CROP}) AS waveform FROM fx_traces_w t
+           JOIN fx_waveforms w USING (eq_id, trace_idx)
+           WHERE t.eq_id IN (SELECT eq_id FROM fx_catalog WHERE year = {TY})),
+    top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY eq_id ORDER BY trace_idx) - 1 AS INTEGER) AS slot
+                           FROM et) WHERE slot < {M}),
+    p0 AS (SELECT *, first_value(p_pick) OVER (PARTITION BY eq_id ORDER BY slot) AS pick0 FROM top),
+    lad AS (SELECT *, unnest([3, 5, 7, 10]) AS mask_sec FROM p0),
+    lmsk AS ({mask_sql('SELECT * FROM lad', 'mask_sec', q.T_CROP)})"""
+
+ORACLE["cutoff_ladder"] = with_views(f"""
+    , {_LADDER}
+    SELECT eq_id, mask_sec, slot, trace_idx, blanked, {nonzero_sql('waveform')} AS n_nonzero,
+           round({peak_sql('waveform')}, 6) AS peak FROM lmsk""", *W_VIEWS)
+
+_SAMPLE_INPUTS = f"""{_RKW},
+    sinp AS (SELECT *, first_value(p_pick) OVER (PARTITION BY sample_id ORDER BY slot) AS pick0
+             FROM ({samples_sql('rkw')}) WHERE side = 'input')"""
+
+ORACLE["random_cutoff"] = with_views(f"""
+    , {_SAMPLE_INPUTS},
+    r AS (SELECT *, CAST({q.MASK_SEC} + floor({u_sql('sample_id', salt='horizon|0|0')} * {10 - q.MASK_SEC}) AS INTEGER) AS mask_sec
+          FROM sinp)
+    SELECT sample_id, mask_sec, count(*) AS n_inputs,
+           count(*) FILTER (WHERE p_pick > CAST(pick0 + mask_sec * {fx.WAVE_RATE} AS INTEGER)) AS n_blanked
+    FROM r GROUP BY sample_id, mask_sec""", *W_VIEWS)
+
+ORACLE["station_blinding"] = with_views(f"""
+    , {_SAMPLE_INPUTS},
+    m AS ({mask_sql('SELECT * FROM sinp', str(q.MASK_SEC), q.T_PAD, wave=False)}),
+    b AS (SELECT *, (lat <> 0 OR lon <> 0 OR elev <> 0 OR vs30 <> 0) AS nz FROM m),
+    c AS (SELECT *, sum(CAST(nz AS INTEGER)) OVER (PARTITION BY sample_id) AS n,
+                 {u_sql('sample_id', 'slot', salt='blind-pick|0|0')} AS u2 FROM b),
+    d AS (SELECT *, CAST(floor({u_sql('sample_id', salt='blind-k|0|0')} * n) AS INTEGER) AS k,
+                 row_number() OVER (PARTITION BY sample_id ORDER BY nz DESC, u2, slot) - 1 AS r FROM c)
+    SELECT sample_id, slot, blanked, (nz AND r < k) AS blinded FROM d""", *W_VIEWS)
+
+ORACLE["peak_abs_log_scale"] = with_views(f"""
+    SELECT eq_id, trace_idx, round(peak, 6) AS peak, round(ln(peak + {lit(1e-8)}) / 100 + {lit(2e-4)}, 6) AS log_scale
+    FROM (SELECT eq_id, trace_idx, {peak_sql('samples')} AS peak FROM fx_waveforms)""", "fx_waveforms")
+
+ORACLE["normalised_waveform"] = with_views(f"""
+    SELECT eq_id, trace_idx, round(list_max(f), 6) AS nmax, round(list_min(f), 6) AS nmin, round(list_sum(f), 6) AS nsum
+    FROM (SELECT eq_id, trace_idx,
+                 list_transform(flatten(samples), lambda x: CAST(x AS DOUBLE) / (peak + {lit(1e-8)}) + {lit(2e-4)}) AS f
+          FROM (SELECT *, {peak_sql('samples')} AS peak FROM fx_waveforms))""", "fx_waveforms")
+
+
+def _emb_sql() -> str:
+    import math
+
+    from quakeframe.schema import EMB_DIM, EMB_WAVELENGTHS
+    (la0, la1), (lo0, lo1), (de0, de1) = EMB_WAVELENGTHS
+    d5, d10 = EMB_DIM // 5, EMB_DIM // 10
+
+    def coef(idx, lo, hi, dim):
+        return f"({lit(2 * math.pi / lo)} * pow({lit(lo / hi)}, CAST({idx} AS DOUBLE) / {lit(float(dim))}))"
+
+    i5, i10 = "floor(j / 5)", "floor(j / 10)"
+    a_lat = f"(lat * {coef(i5, la0, la1, d5)})"
+    a_lon = f"(lon * {coef(i5, lo0, lo1, d5)})"
+    a_dep = f"(elev * {coef(i10, de0, de1, d10)})"
+    return (f"CASE WHEN j % 5 = 0 THEN sin({a_lat}) WHEN j % 5 = 1 THEN cos({a_lat}) "
+            f"WHEN j % 5 = 2 THEN sin({a_lon}) WHEN j % 5 = 3 THEN cos({a_lon}) "
+            f"WHEN j % 10 = 4 THEN sin({a_dep}) ELSE cos({a_dep}) END")
+
+
+ORACLE["position_embedding"] = with_views(f"""
+    SELECT station_id, CAST(j AS INTEGER) AS j, round({_emb_sql()}, 6) AS value
+    FROM (SELECT station_id, lat, lon, elev, unnest(range(150)) AS j FROM fx_stations)""", "fx_stations")
+
+ORACLE["padding_flags"] = with_views(f"""
+    , {_LADDER},
+    f AS (SELECT eq_id, mask_sec, (CAST(lat AS FLOAT) = 0 AND CAST(lon AS FLOAT) = 0 AND CAST(elev AS FLOAT) = 0) AS allz,
+                 (CAST(lat AS FLOAT) <> 0 AND CAST(lon AS FLOAT) <> 0 AND CAST(elev AS FLOAT) <> 0) AS alln FROM lmsk)
+    SELECT eq_id, mask_sec, CAST({M} AS INTEGER) AS n_slots,
+           CAST(count(*) FILTER (WHERE NOT allz) AS INTEGER) AS n_real,
+           CAST({M} - count(*) + count(*) FILTER (WHERE allz) AS INTEGER) AS n_padding,
+           CAST(count(*) FILTER (WHERE alln) AS INTEGER) AS n_all_nonzero
+    FROM f GROUP BY eq_id, mask_sec""", *W_VIEWS)

@@ -12,7 +12,12 @@ from quakeframe.functions.portable import is_number
 from quakeframe.operators import catalog as cat
 from quakeframe.operators import traces as tr
 from quakeframe.operators.balance import class_histogram, label_weights
-from quakeframe.operators.samples import build_samples, rank_traces, sample_weights
+from quakeframe.functions.embedding import position_embedding
+from quakeframe.functions.waveform import log_peak_scale, nonzero_samples, normalise, peak_abs
+from quakeframe.operators.masking import apply_cutoff, blind_stations, pad_slots, random_cutoff_sec, with_pick0
+from quakeframe.operators.samples import (build_samples, hydrate_inputs, hydrate_targets, input_traces,
+                                          rank_traces, sample_weights)
+from quakeframe.operators.snapshots import assemble_snapshots, event_traces, snapshot_ladder
 from quakeframe.sources import fixtures as fx
 
 # Query parameters (shared with the oracle SQL).
@@ -192,6 +197,130 @@ def q_test_year_sample_summary(spark, sf_dir):
                  F.max(intensity8("pga")).alias("max_class"), _r(F.avg("pga")).alias("mean_label")))
 
 
+# --- hydration, masking, replay, features ------------------------------------
+
+MASK_SEC = 3
+T_PAD = 24    # 12 s at 2 Hz: longer than the 21 stored samples, so traces are padded
+T_CROP = 20   # 10 s at 2 Hz: shorter, so traces are cropped
+
+
+def _wsum(w):
+    return F.aggregate(F.flatten(w), F.lit(0.0), lambda a, x: a + x)
+
+
+def _wave_stats(w):
+    return [F.size(w).alias("n_samples"), nonzero_samples(w).alias("n_nonzero"),
+            _r(peak_abs(w)).alias("peak"), _r(_wsum(w)).alias("wsum")]
+
+
+def q_hydrate_inputs(spark, sf_dir):
+    s = _test_samples(spark, sf_dir).filter(F.col("side") == "input")
+    h = hydrate_inputs(s, fx.fx_waveforms(spark, sf_dir))
+    return h.select("sample_id", "slot", "trace_idx", "lat", "lon", "elev", "vs30", "p_pick",
+                    F.size("waveform").alias("n_samples"), _r(peak_abs("waveform")).alias("peak"))
+
+
+def q_hydrate_targets(spark, sf_dir):
+    h = hydrate_targets(_test_samples(spark, sf_dir))
+    return h.select("sample_id", "slot", "trace_idx",
+                    *[F.col("target_pos")[i].alias(c) for i, c in enumerate(["lat", "lon", "elev", "vs30"])],
+                    _r(F.col("label")).alias("label"), "p_pick", "label_time")
+
+
+def q_event_traces_cropped(spark, sf_dir):
+    ids = cat.replay_event_ids(fx.fx_catalog(spark, sf_dir), fx.TEST_YEAR)
+    et = event_traces(ids, fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR), fx.fx_waveforms(spark, sf_dir), T_CROP)
+    return et.select("eq_id", "trace_idx", F.size("waveform").alias("n_samples"), _r(peak_abs("waveform")).alias("peak"),
+                     "lat", "lon", "elev", "p_pick")
+
+
+def q_snapshot_slots(spark, sf_dir):
+    s = _test_samples(spark, sf_dir)
+    fill = {"lat": 0.0, "lon": 0.0, "elev": 0.0, "vs30": 0.0, "pga": 0.0}
+    p = pad_slots(s.select("sample_id", "side", "slot", "lat", "lon", "elev", "vs30", "pga"),
+                  ["sample_id", "side"], fx.MAX_STATIONS_FX, fill=fill)
+    return p.select("sample_id", "side", "slot", "is_padding", "lat", "lon", "elev", "vs30",
+                    F.when(F.col("side") == "target", _r(F.col("pga"))).alias("label"))
+
+
+def _masked_inputs(spark, sf_dir, sec=MASK_SEC, length=T_PAD):
+    t = selected_traces(spark, sf_dir, mode="test", traces=fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR))
+    r = rank_traces(t, max_station_num=fx.MAX_STATIONS_FX)
+    inputs = hydrate_inputs(input_traces(r), fx.fx_waveforms(spark, sf_dir))
+    return apply_cutoff(inputs, sec, fx.WAVE_RATE, length)
+
+
+def q_crop_pad_mask(spark, sf_dir):
+    m = _masked_inputs(spark, sf_dir)
+    return m.select("eq_id", "slot", "trace_idx", *_wave_stats(F.col("waveform")))
+
+
+def q_blank_late_stations(spark, sf_dir):
+    m = _masked_inputs(spark, sf_dir)
+    return m.select("eq_id", "slot", "trace_idx", "p_pick", "pick0", "cutoff", "blanked", "lat", "lon")
+
+
+def _ladder(spark, sf_dir):
+    ids = cat.replay_event_ids(fx.fx_catalog(spark, sf_dir), fx.TEST_YEAR)
+    return snapshot_ladder(fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR), fx.fx_waveforms(spark, sf_dir), ids,
+                           secs=[3, 5, 7, 10], rate=fx.WAVE_RATE, length=T_CROP,
+                           max_station_num=fx.MAX_STATIONS_FX, order="stored")
+
+
+def q_cutoff_ladder(spark, sf_dir):
+    lad = _ladder(spark, sf_dir)
+    return lad.select("eq_id", "mask_sec", "slot", "trace_idx", "blanked",
+                      nonzero_samples("waveform").alias("n_nonzero"), _r(peak_abs("waveform")).alias("peak"))
+
+
+def _sample_inputs(spark, sf_dir):
+    t = selected_traces(spark, sf_dir, mode="test", traces=fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR))
+    s = build_samples(rank_traces(t, max_station_num=fx.MAX_STATIONS_FX))
+    return with_pick0(s.filter(F.col("side") == "input"), ["sample_id"])
+
+
+def q_random_cutoff(spark, sf_dir):
+    rows = _sample_inputs(spark, sf_dir).withColumn("mask_sec", random_cutoff_sec(["sample_id"], MASK_SEC))
+    m = apply_cutoff(rows, F.col("mask_sec"), fx.WAVE_RATE, T_PAD)
+    return (m.groupBy("sample_id", "mask_sec")
+            .agg(F.count(F.lit(1)).alias("n_inputs"), F.count(F.when(F.col("blanked"), 1)).alias("n_blanked")))
+
+
+def q_station_blinding(spark, sf_dir):
+    m = apply_cutoff(_sample_inputs(spark, sf_dir), MASK_SEC, fx.WAVE_RATE, T_PAD)
+    b = blind_stations(m, ["sample_id"])
+    return b.select("sample_id", "slot", "blanked", "blinded")
+
+
+def q_peak_abs_log_scale(spark, sf_dir):
+    w = fx.fx_waveforms(spark, sf_dir).withColumn("peak", peak_abs("samples"))
+    return w.select("eq_id", "trace_idx", _r(F.col("peak")).alias("peak"),
+                    _r(log_peak_scale(F.col("peak"))).alias("log_scale"))
+
+
+def q_normalised_waveform(spark, sf_dir):
+    w = fx.fx_waveforms(spark, sf_dir).withColumn("peak", peak_abs("samples"))
+    flat = F.flatten(normalise("samples", F.col("peak")))
+    return w.select("eq_id", "trace_idx", _r(F.array_max(flat)).alias("nmax"), _r(F.array_min(flat)).alias("nmin"),
+                    _r(F.aggregate(flat, F.lit(0.0), lambda a, x: a + x)).alias("nsum"))
+
+
+def q_position_embedding(spark, sf_dir):
+    st = fx.fx_stations(spark, sf_dir)
+    e = st.select("station_id", F.posexplode(position_embedding("lat", "lon", "elev")).alias("j", "v"))
+    return e.select("station_id", F.col("j").cast("int").alias("j"), _r(F.col("v")).alias("value"))
+
+
+def q_padding_flags(spark, sf_dir):
+    snaps = assemble_snapshots(_ladder(spark, sf_dir), max_station_num=fx.MAX_STATIONS_FX, length=T_CROP)
+    st = F.col("station")
+    return snaps.select(
+        "eq_id", "mask_sec", F.size(st).alias("n_slots"),
+        F.size(F.filter(st, lambda s: F.exists(s, lambda x: x != 0))).alias("n_real"),
+        F.size(F.filter(st, lambda s: F.forall(s, lambda x: x == 0))).alias("n_padding"),
+        F.size(F.filter(st, lambda s: F.forall(s, lambda x: x != 0))).alias("n_all_nonzero"))
+
+
 QUERIES = {
     "events_by_magnitude": q_events_by_magnitude,
     "events_small_sampled": q_events_small_sampled,
@@ -214,6 +343,19 @@ QUERIES = {
     "build_samples_bias": q_build_samples_bias,
     "sample_weights": q_sample_weights,
     "test_year_sample_summary": q_test_year_sample_summary,
+    "hydrate_inputs": q_hydrate_inputs,
+    "hydrate_targets": q_hydrate_targets,
+    "event_traces_cropped": q_event_traces_cropped,
+    "snapshot_slots": q_snapshot_slots,
+    "crop_pad_mask": q_crop_pad_mask,
+    "blank_late_stations": q_blank_late_stations,
+    "cutoff_ladder": q_cutoff_ladder,
+    "random_cutoff": q_random_cutoff,
+    "station_blinding": q_station_blinding,
+    "peak_abs_log_scale": q_peak_abs_log_scale,
+    "normalised_waveform": q_normalised_waveform,
+    "position_embedding": q_position_embedding,
+    "padding_flags": q_padding_flags,
 }
 
 __all__ = ["QUERIES", "is_number"]

@@ -170,7 +170,7 @@ SQL_VIEWS = {
         FROM events""",
     "fx_vectors": f"""
         SELECT vec_id, list_transform(range({WAVE_SAMPLES}),
-               t -> [embedding[3 * t + 1], embedding[3 * t + 2], embedding[3 * t + 3]]) AS samples
+               lambda t: [embedding[3 * t + 1], embedding[3 * t + 2], embedding[3 * t + 3]]) AS samples
         FROM embeddings WHERE vec_id < {VEC_MOD}""",
     "fx_waveforms": f"""
         SELECT k.eq_id, k.trace_idx, v.samples
