@@ -394,3 +394,150 @@ ORACLE["padding_flags"] = with_views(f"""
            CAST({M} - count(*) + count(*) FILTER (WHERE allz) AS INTEGER) AS n_padding,
            CAST(count(*) FILTER (WHERE alln) AS INTEGER) AS n_all_nonzero
     FROM f GROUP BY eq_id, mask_sec""", *W_VIEWS)
+
+
+# --- scoring, ensemble, evaluation, IO, streaming -----------------------------
+
+def _phi_sql(z: str) -> str:
+    import math
+
+    from quakeframe.functions.mixture import ERF_A, ERF_P
+    x = f"(({z}) / {lit(math.sqrt(2.0))})"
+    t = f"(1.0 / (1.0 + {lit(ERF_P)} * abs({x})))"
+    a1, a2, a3, a4, a5 = (lit(a) for a in ERF_A)
+    poly = f"({t} * ({a1} + {t} * ({a2} + {t} * ({a3} + {t} * ({a4} + {t} * {a5})))))"
+    y = f"(1.0 - {poly} * exp(-abs({x}) * abs({x})))"
+    return f"(0.5 * (1.0 + CASE WHEN {x} < 0 THEN -{y} ELSE {y} END))"
+
+
+def _model_terms(alpha: float, beta: float):
+    from quakeframe.operators.scoring import AttenuationScorer
+
+    sc = AttenuationScorer(alpha, beta, "x")
+    sc.load()
+    return [(float(w), float(s), float(g)) for w, s, g in zip(sc._w, sc._shift, sc._sigma)]
+
+
+def _predict_sql(alpha: float, beta: float) -> str:
+    terms = [f"{lit(w)} * ((L - {lit(beta)} * d) + {lit(s)})" for w, s, _ in _model_terms(alpha, beta)]
+    return " + ".join(terms)
+
+
+def _exceed_sql(alpha: float, beta: float) -> str:
+    terms = [f"{lit(w)} * (1.0 - {_phi_sql(f'(answer - ((L - {lit(beta)} * d) + {lit(s)})) / {lit(g)}')})"
+             for w, s, g in _model_terms(alpha, beta)]
+    return " + ".join(terms)
+
+
+_REAL4 = "(lat <> 0 OR lon <> 0 OR elev <> 0 OR vs30 <> 0)"
+_PRED = f"""{_MASKED},
+    pev AS (SELECT eq_id, max(CASE WHEN {_REAL4} THEN {peak_sql('waveform')} END) AS peak,
+                   max(CASE WHEN slot = 0 THEN lat END) AS lat0, max(CASE WHEN slot = 0 THEN lon END) AS lon0
+            FROM msk GROUP BY eq_id),
+    ptg AS (SELECT r.eq_id, concat_ws('/', r.eq_id, 0, r.chunk_no, 0) AS sample_id, r.slot, r.p_pick,
+                   r.pga_time AS label_time, r.pga AS answer, r.lat AS latitude, r.lon AS longitude,
+                   r.elev AS elevation, log10(e.peak + {lit(1e-8)}) AS L,
+                   sqrt((r.lat - e.lat0) * (r.lat - e.lat0) + (r.lon - e.lon0) * (r.lon - e.lon0)) AS d
+            FROM rkw r JOIN pev e USING (eq_id) WHERE e.peak IS NOT NULL),
+    pr AS ({" UNION ALL ".join(
+        f"SELECT '{n}' AS model, *, {_predict_sql(a, b)} AS predict, {_exceed_sql(a, b)} AS exceedance FROM ptg"
+        for a, b, n in q.MODEL_PARAMS)})"""
+
+_PRED_OUT = ("SELECT model, sample_id, slot, eq_id, p_pick, label_time, round(predict, 6) AS predict, "
+             "round(answer, 6) AS answer, latitude, longitude, elevation FROM pr")
+
+ORACLE["score_two_models"] = with_views(f", {_PRED}\n{_PRED_OUT}", *W_VIEWS)
+ORACLE["predictions_csv_roundtrip"] = ORACLE["score_two_models"]
+
+ORACLE["predictions_real_only"] = with_views(f"""
+    , {_PRED},
+    pads AS (SELECT model, sum({M} - n) AS n_pad FROM (SELECT model, sample_id, count(*) AS n FROM pr GROUP BY ALL)
+             WHERE n < {M} GROUP BY model)
+    SELECT p.model, count(*) + coalesce(max(pads.n_pad), 0) AS n_rows, count(*) AS n_real,
+           count(*) FILTER (WHERE answer <> 0) AS n_answer_nonzero
+    FROM pr p LEFT JOIN pads USING (model) GROUP BY p.model""", *W_VIEWS)
+
+ORACLE["mixture_mean"] = with_views(
+    f", {_PRED}\nSELECT model, sample_id, slot, round(predict, 6) AS mix_mean FROM pr", *W_VIEWS)
+
+ORACLE["exceedance"] = with_views(
+    f", {_PRED}\nSELECT model, sample_id, slot, round(exceedance, 6) AS exceedance FROM pr", *W_VIEWS)
+
+_ENS = """ens AS (SELECT sample_id, slot, any_value(eq_id) AS eq_id, avg(predict) AS predict, any_value(answer) AS answer,
+                  count(DISTINCT model) AS n_models FROM pr GROUP BY sample_id, slot)"""
+
+ORACLE["ensemble_mean"] = with_views(f"""
+    , {_PRED}, {_ENS}
+    SELECT sample_id, slot, eq_id, round(predict, 6) AS predict, round(answer, 6) AS answer, n_models FROM ens""",
+    *W_VIEWS)
+
+
+def _r2_sql(src: str, model: str) -> str:
+    return f"""
+    SELECT {model} AS model, count(*) AS n,
+           round(CASE WHEN count(*) < 2 THEN NULL
+                      WHEN sum((answer - ybar) * (answer - ybar)) = 0
+                           THEN CASE WHEN sum((answer - predict) * (answer - predict)) = 0 THEN 1.0 ELSE 0.0 END
+                      ELSE 1.0 - sum((answer - predict) * (answer - predict)) / sum((answer - ybar) * (answer - ybar)) END, 6) AS r2,
+           round(min(answer) - 0.5, 6) AS lim_lo, round(max(answer) + 0.5, 6) AS lim_hi
+    FROM (SELECT *, avg(answer) OVER (PARTITION BY {model}) AS ybar FROM ({src})
+          WHERE {num('answer')} AND {num('predict')})
+    GROUP BY {model}"""
+
+
+ORACLE["evaluate_r2"] = with_views(f", {_PRED}\n{_r2_sql('SELECT * FROM pr', 'model')}", *W_VIEWS)
+ORACLE["ensemble_report"] = with_views(
+    f", {_PRED}, {_ENS}\n{_r2_sql(chr(39) + 'ensemble' + chr(39) + ' AS model, * FROM ens', 'model')}".replace(
+        "FROM ('ensemble' AS model, * FROM ens)", "FROM (SELECT 'ensemble' AS model, * FROM ens)"), *W_VIEWS)
+
+ORACLE["mixture_from_logits"] = with_views(f"""
+    , mx AS (
+      SELECT vec_id, w, mu, sg FROM (
+        SELECT vec_id, list_transform(e, lambda x: x / (e[1] + e[2] + e[3] + e[4] + e[5])) AS w, mu, sg FROM (
+          SELECT vec_id, list_transform(l, lambda x: exp(x - list_max(l))) AS e,
+                 list_transform(embedding[11:15], lambda x: CAST(x AS DOUBLE)) AS mu,
+                 list_transform(embedding[6:10], lambda x: exp(CAST(x AS DOUBLE))) AS sg
+          FROM (SELECT vec_id, embedding, list_transform(embedding[1:5], lambda x: CAST(x AS DOUBLE)) AS l
+                FROM embeddings WHERE vec_id < {fx.VEC_MOD}))))
+    SELECT k.eq_id, k.trace_idx,
+           round(w[1] * mu[1] + w[2] * mu[2] + w[3] * mu[3] + w[4] * mu[4] + w[5] * mu[5], 6) AS mix_mean,
+           round(list_max(w), 6) AS w_max, round(list_max(sg), 6) AS sigma_max,
+           round(w[1] + w[2] + w[3] + w[4] + w[5], 6) AS w_sum
+    FROM fx_traces k JOIN mx ON (k.eq_id * 7 + k.trace_idx) % {fx.VEC_MOD} = mx.vec_id""", "fx_traces")
+
+ORACLE["local_time"] = """
+    SELECT event_id, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS local_ts FROM events"""
+
+ORACLE["validate_snapshots"] = with_views(f"""
+    , {_LADDER}
+    SELECT DISTINCT eq_id, mask_sec, true AS valid, CAST(NULL AS VARCHAR) AS reason, CAST({M} AS INTEGER) AS n_stations
+    FROM lmsk""", *W_VIEWS)
+
+_F = "CAST(CAST({} AS FLOAT) AS DOUBLE)"
+_STREAM = f"""{_LADDER},
+    sst AS (SELECT eq_id, mask_sec, slot, waveform, {_F.format('lat')} AS flat, {_F.format('lon')} AS flon,
+                   {_F.format('elev')} AS felev FROM lmsk),
+    sev AS (SELECT eq_id, mask_sec,
+                   max(CASE WHEN NOT (flat = 0 AND flon = 0 AND felev = 0) THEN {peak_sql('waveform')} END) AS peak,
+                   max(CASE WHEN slot = 0 THEN flat END) AS lat0, max(CASE WHEN slot = 0 THEN flon END) AS lon0
+            FROM sst GROUP BY eq_id, mask_sec),
+    stg AS (SELECT s.eq_id, s.mask_sec, s.slot, s.flat AS latitude, log10(e.peak + {lit(1e-8)}) AS L,
+                   sqrt((s.flat - e.lat0) * (s.flat - e.lat0) + (s.flon - e.lon0) * (s.flon - e.lon0)) AS d
+            FROM sst s JOIN sev e USING (eq_id, mask_sec)
+            WHERE NOT (s.flat = 0 AND s.flon = 0 AND s.felev = 0) AND e.peak IS NOT NULL),
+    spr AS ({" UNION ALL ".join(f"SELECT '{n}' AS model, *, {_predict_sql(a, b)} AS predict FROM stg"
+                                for a, b, n in q.MODEL_PARAMS)})"""
+
+ORACLE["stream_scored"] = with_views(f"""
+    , {_STREAM}
+    SELECT eq_id, mask_sec, model, slot, round(predict, 6) AS predict FROM spr""", *W_VIEWS)
+
+
+def _route_sql() -> str:
+    whens = " ".join(f"WHEN latitude >= {lit(lo)} AND latitude < {lit(hi)} THEN '{n}'" for n, lo, hi in q.ROUTES)
+    return f"CASE {whens} ELSE 'other' END"
+
+
+ORACLE["stream_routed"] = with_views(f"""
+    , {_STREAM}
+    SELECT eq_id, mask_sec, model, slot, {_route_sql()} AS route, round(predict, 6) AS predict FROM spr""", *W_VIEWS)

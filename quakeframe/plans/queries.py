@@ -18,7 +18,15 @@ from quakeframe.operators.masking import apply_cutoff, blind_stations, pad_slots
 from quakeframe.operators.samples import (build_samples, hydrate_inputs, hydrate_targets, input_traces,
                                           rank_traces, sample_weights)
 from quakeframe.operators.snapshots import assemble_snapshots, event_traces, snapshot_ladder
+from quakeframe.functions.mixture import mixture_from_logits, mixture_mean
+from quakeframe.operators.evaluate import ensemble, evaluate, with_exceedance
+from quakeframe.operators.scoring import (AttenuationScorer, input_sets, pad_predictions, score,
+                                          target_groups)
+from quakeframe.session import shared_dir
 from quakeframe.sources import fixtures as fx
+from quakeframe.sources.snapshots_io import (read_predictions, read_snapshots, validate_snapshots,
+                                             write_predictions, write_snapshots)
+from quakeframe.streaming.stream import local_time, run_stream
 
 # Query parameters (shared with the oracle SQL).
 MAG_T = 3.0
@@ -321,6 +329,144 @@ def q_padding_flags(spark, sf_dir):
         F.size(F.filter(st, lambda s: F.forall(s, lambda x: x != 0))).alias("n_all_nonzero"))
 
 
+# --- scoring, ensemble, evaluation, IO, streaming -----------------------------
+
+# Fixed test models (FIXTURES.md B8): (alpha, beta, name).
+MODEL_PARAMS = [(0.5, 0.3, "a"), (1.0, 0.5, "b")]
+ROUTES = [("south", 0.0, 23.5), ("north", 23.5, 90.0)]
+
+
+def models():
+    return [AttenuationScorer(a, b, n) for a, b, n in MODEL_PARAMS]
+
+
+def _predictions(spark, sf_dir):
+    """P2 + E7: the test-year samples scored by both models in one pass."""
+    t = selected_traces(spark, sf_dir, mode="test", traces=fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR))
+    r = rank_traces(t, max_station_num=fx.MAX_STATIONS_FX)
+    inputs = apply_cutoff(hydrate_inputs(input_traces(r), fx.fx_waveforms(spark, sf_dir)), MASK_SEC, fx.WAVE_RATE, T_PAD)
+    sets = input_sets(inputs, ["eq_id"], fx.MAX_STATIONS_FX, T_PAD)
+    fields = ["chunk_no", "slot", "trace_idx", "p_pick", "label_time", "answer", "lat", "lon", "elev", "vs30"]
+    tg = r.select("eq_id", *fields[:4], F.col("pga_time").alias("label_time"), F.col("pga").alias("answer"),
+                  "lat", "lon", "elev", "vs30")
+    rows = sets.join(target_groups(tg, ["eq_id"], fields), "eq_id")
+    scored = score(rows, models(), ["eq_id"])
+    return scored.select(
+        "model", F.concat_ws("/", F.col("eq_id"), F.lit(0), F.col("target.chunk_no"), F.lit(0)).alias("sample_id"),
+        F.col("target.slot").alias("slot"), "eq_id", F.col("target.p_pick").alias("p_pick"),
+        F.col("target.label_time").alias("label_time"), "predict", F.col("target.answer").alias("answer"),
+        F.col("target.lat").alias("latitude"), F.col("target.lon").alias("longitude"),
+        F.col("target.elev").alias("elevation"), "mixture")
+
+
+_PRED_COLS = ["model", "sample_id", "slot", "eq_id", "p_pick", "label_time"]
+
+
+def _pred_out(p):
+    return p.select(*_PRED_COLS, _r(F.col("predict")).alias("predict"), _r(F.col("answer")).alias("answer"),
+                    "latitude", "longitude", "elevation")
+
+
+def q_score_two_models(spark, sf_dir):
+    return _pred_out(_predictions(spark, sf_dir))
+
+
+def q_predictions_real_only(spark, sf_dir):
+    p = pad_predictions(_predictions(spark, sf_dir).drop("mixture"), ["model", "sample_id"], fx.MAX_STATIONS_FX)
+    return p.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"),
+                                  F.count(F.when(F.col("is_real"), 1)).alias("n_real"),
+                                  F.count(F.when(F.col("answer") != 0, 1)).alias("n_answer_nonzero"))
+
+
+def q_mixture_mean(spark, sf_dir):
+    p = _predictions(spark, sf_dir)
+    return p.select("model", "sample_id", "slot", _r(mixture_mean("mixture")).alias("mix_mean"))
+
+
+def q_exceedance(spark, sf_dir):
+    p = with_exceedance(_predictions(spark, sf_dir))
+    return p.select("model", "sample_id", "slot", _r(F.col("exceedance")).alias("exceedance"))
+
+
+def q_ensemble_mean(spark, sf_dir):
+    e = ensemble(_predictions(spark, sf_dir), ["sample_id", "slot"], n_models=len(MODEL_PARAMS))
+    return e.select("sample_id", "slot", "eq_id", _r(F.col("predict")).alias("predict"),
+                    _r(F.col("answer")).alias("answer"), "n_models")
+
+
+def _eval_out(e):
+    return e.select(*[c for c in e.columns if c in ("model",)], "n", _r(F.col("r2")).alias("r2"),
+                    _r(F.col("lim_lo")).alias("lim_lo"), _r(F.col("lim_hi")).alias("lim_hi"))
+
+
+def q_evaluate_r2(spark, sf_dir):
+    return _eval_out(evaluate(_predictions(spark, sf_dir), ["model"]))
+
+
+def q_ensemble_report(spark, sf_dir):
+    e = ensemble(_predictions(spark, sf_dir), ["sample_id", "slot"], n_models=len(MODEL_PARAMS))
+    return _eval_out(evaluate(e.withColumn("model", F.lit("ensemble")), ["model"]))
+
+
+def q_predictions_csv_roundtrip(spark, sf_dir):
+    path = shared_dir(spark, "predictions")
+    write_predictions(_predictions(spark, sf_dir), path)
+    return _pred_out(read_predictions(spark, path))
+
+
+def q_mixture_from_logits(spark, sf_dir):
+    emb = fx.read_table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < fx.VEC_MOD)
+    mix = emb.select("vec_id", mixture_from_logits(F.slice("embedding", 1, 5), F.slice("embedding", 6, 5),
+                                                   F.slice("embedding", 11, 5)).alias("mixture"))
+    keys = fx.fx_traces(spark, sf_dir).select("eq_id", "trace_idx").withColumn(
+        "vec_id", (F.col("eq_id") * 7 + F.col("trace_idx")) % fx.VEC_MOD)
+    j = keys.join(F.broadcast(mix), "vec_id")
+    return j.select("eq_id", "trace_idx", _r(mixture_mean("mixture")).alias("mix_mean"),
+                    _r(F.array_max(F.transform("mixture", lambda c: c["weight"]))).alias("w_max"),
+                    _r(F.array_max(F.transform("mixture", lambda c: c["sigma"]))).alias("sigma_max"),
+                    _r(F.aggregate("mixture", F.lit(0.0), lambda a, c: a + c["weight"])).alias("w_sum"))
+
+
+def q_local_time(spark, sf_dir):
+    e = fx.read_table(spark, sf_dir, "events")
+    return e.select("event_id", local_time("ts").alias("local_ts"))
+
+
+def _snapshots(spark, sf_dir):
+    ev = fx.fx_catalog(spark, sf_dir).select("eq_id")
+    times = fx.read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("eq_id"),
+                                                          F.col("o_orderdate").alias("event_time"))
+    del ev
+    return assemble_snapshots(_ladder(spark, sf_dir), times, max_station_num=fx.MAX_STATIONS_FX, length=T_CROP)
+
+
+def q_validate_snapshots(spark, sf_dir):
+    path = shared_dir(spark, "snapshots")
+    write_snapshots(_snapshots(spark, sf_dir), path, partition_by=None)
+    v = validate_snapshots(read_snapshots(spark, path), n_stations=fx.MAX_STATIONS_FX, length=T_CROP)
+    return v.select("eq_id", "mask_sec", "valid", "reason", F.size("waveform").alias("n_stations"))
+
+
+def _run_stream(spark, sf_dir, rules=None):
+    src, sink, ckpt = (shared_dir(spark, n) for n in ("stream-src", "stream-sink", "stream-ckpt"))
+    write_snapshots(_snapshots(spark, sf_dir), src, partition_by=None, files_per_partition=4)
+    q = run_stream(spark, src, sink, ckpt, models(), rules=rules, max_files=1)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.read.parquet(sink)
+
+
+def q_stream_scored(spark, sf_dir):
+    out = _run_stream(spark, sf_dir)
+    return out.select("eq_id", "mask_sec", "model", "slot", _r(F.col("predict")).alias("predict"))
+
+
+def q_stream_routed(spark, sf_dir):
+    out = _run_stream(spark, sf_dir, rules=ROUTES)
+    return out.select("eq_id", "mask_sec", "model", "slot", "route", _r(F.col("predict")).alias("predict"))
+
+
 QUERIES = {
     "events_by_magnitude": q_events_by_magnitude,
     "events_small_sampled": q_events_small_sampled,
@@ -356,6 +502,19 @@ QUERIES = {
     "normalised_waveform": q_normalised_waveform,
     "position_embedding": q_position_embedding,
     "padding_flags": q_padding_flags,
+    "score_two_models": q_score_two_models,
+    "predictions_real_only": q_predictions_real_only,
+    "mixture_mean": q_mixture_mean,
+    "exceedance": q_exceedance,
+    "ensemble_mean": q_ensemble_mean,
+    "evaluate_r2": q_evaluate_r2,
+    "ensemble_report": q_ensemble_report,
+    "predictions_csv_roundtrip": q_predictions_csv_roundtrip,
+    "mixture_from_logits": q_mixture_from_logits,
+    "local_time": q_local_time,
+    "validate_snapshots": q_validate_snapshots,
+    "stream_scored": q_stream_scored,
+    "stream_routed": q_stream_routed,
 }
 
 __all__ = ["QUERIES", "is_number"]

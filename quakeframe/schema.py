@@ -84,6 +84,7 @@ SNAPSHOT = T.StructType([
 # Same, with the identifying columns our writer adds and the corrupt-record column.
 SNAPSHOT_READ = T.StructType(SNAPSHOT.fields + [
     T.StructField("eq_id", T.LongType(), True),
+    T.StructField("mask_sec", T.IntegerType(), True),
     T.StructField("_corrupt_record", T.StringType(), True),
 ])
 
