@@ -11,8 +11,12 @@ task; if one event holds a third of all traces that task holds a third of the da
 3. join the pieces back on (group, partition) -- the partition id salts the hot group, so
    the hash exchange spreads it -- and position = offset + rank inside the piece.
 
-The order columns must make the order total (they end with the trace key), so row ids
-are the same on recomputation after an executor loss.
+The order columns must make the order total (they end with the trace key). The range
+bounds come from sampling, and the sample depends on the order in which shuffle blocks
+arrive, so two computations of the range exchange can cut the data differently. The tagged
+rows are therefore pinned with a reliable ``checkpoint()`` into the cluster's shared
+checkpoint folder: both consumers read the same files, and a lost executor cannot make
+them disagree (it also cuts the lineage of the upstream plan).
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quakeframe.session import ensure_checkpoint_dir
+
 
 def group_positions(df: DataFrame, keys: list[str], order: list[Column | str],
                     pos_col: str = "pos", size_col: str | None = "group_size",
@@ -28,16 +34,12 @@ def group_positions(df: DataFrame, keys: list[str], order: list[Column | str],
     ``size_col`` (rows in the group)."""
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     sort_key = [F.col(k) for k in keys] + order_cols
-    if num_partitions:
-        ranged = df.repartitionByRange(num_partitions, *sort_key)
-    else:
-        ranged = df.repartitionByRange(*sort_key)
-    # Row ids are fixed once, then hash-exchanged on (group, piece): both uses below read
-    # the same (reused) exchange, so counts and ids always agree.
-    tagged = (ranged.sortWithinPartitions(*sort_key)
+    n = int(num_partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(df.sparkSession)
+    tagged = (df.repartitionByRange(n, *sort_key).sortWithinPartitions(*sort_key)
               .withColumn("_part", F.spark_partition_id())
               .withColumn("_rid", F.monotonically_increasing_id())
-              .repartition(*[F.col(k) for k in keys], F.col("_part")))
+              .checkpoint(eager=True))
     pieces = tagged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_rid").alias("_first"))
     w = Window.partitionBy(*keys).orderBy("_part")
     pieces = pieces.withColumn(

@@ -51,7 +51,8 @@ def rank_traces(traces: DataFrame, max_station_num: int = 25, sort_by_picks: boo
 
 
 def build_samples(ranked: DataFrame, bias_to_closer_station: bool = False,
-                  chunks_per_bucket: int = 256, copies_col: str | None = "n_copies") -> DataFrame:
+                  chunks_per_bucket: int = 256, copies_col: str | None = "n_copies",
+                  inputs: DataFrame | None = None) -> DataFrame:
     """E3 (+E4): the long-form sample table.
 
     * one sample per chunk i: inputs = chunk 0, targets = chunk i (a single (all, all)
@@ -60,6 +61,10 @@ def build_samples(ranked: DataFrame, bias_to_closer_station: bool = False,
       (chunk 0, chunk 0) marked ``is_bias``;
     * with a ``copies_col`` (extra event copies from E1), every sample is repeated with
       ``event_copy`` 0..n.
+
+    ``inputs`` optionally replaces the chunk-0 rows that are copied into every sample (for
+    instance chunk 0 already joined with its waveforms: the wide column is then fetched once
+    per event, not once per sample).
     """
     cols = [c for c in ranked.columns]
     payload = [c for c in cols if c not in ("chunk_no", "slot")]
@@ -74,8 +79,9 @@ def build_samples(ranked: DataFrame, bias_to_closer_station: bool = False,
     spine = (ranked.filter(F.col("slot") == 0)
              .select("eq_id", F.col("chunk_no").alias("_sample_chunk"),
                      (F.col("chunk_no") / b).cast("int").alias("_bucket")))
-    chunk0 = (ranked.filter(F.col("chunk_no") == 0)
-              .withColumn("_bucket", F.explode(F.sequence(F.lit(0), ((F.col("n_chunks") - 1) / b).cast("int")))))
+    chunk0 = inputs if inputs is not None else ranked.filter(F.col("chunk_no") == 0)
+    chunk0 = chunk0.withColumn("_bucket", F.explode(F.sequence(F.lit(0), ((F.col("n_chunks") - 1) / b).cast("int"))))
+    extra = [c for c in chunk0.columns if c not in cols and c != "_bucket"]
     copied = chunk0.join(spine, ["eq_id", "_bucket"]).drop("_bucket")
 
     roles = F.array(F.struct(F.lit("input").alias("side"), F.lit(False).alias("is_bias")))
@@ -86,9 +92,9 @@ def build_samples(ranked: DataFrame, bias_to_closer_station: bool = False,
             F.struct(F.lit("target").alias("side"), F.lit(True).alias("is_bias")),
         )).otherwise(roles)
     copied = (copied.withColumn("_role", F.explode(roles))
-              .select(*payload, F.col("_sample_chunk").alias("chunk_no"), "slot",
+              .select(*payload, *extra, F.col("_sample_chunk").alias("chunk_no"), "slot",
                       F.col("_role.is_bias").alias("is_bias"), F.col("_role.side").alias("side")))
-    samples = targets.unionByName(copied)
+    samples = targets.unionByName(copied, allowMissingColumns=bool(extra))
     if copies_col and copies_col in cols:
         samples = samples.withColumn("event_copy", F.explode(F.sequence(F.lit(0), F.col(copies_col))))
     else:

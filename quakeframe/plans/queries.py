@@ -467,6 +467,29 @@ def q_stream_routed(spark, sf_dir):
     return out.select("eq_id", "mask_sec", "model", "slot", "route", _r(F.col("predict")).alias("predict"))
 
 
+# --- the full data-set builder -------------------------------------------------
+
+def dataset_options():
+    from quakeframe.plans.dataset import DatasetOptions
+
+    return DatasetOptions(sampling_rate=fx.WAVE_RATE, data_length_sec=12, test_year=fx.TEST_YEAR, mode="train",
+                          label_key="pgv", mask_waveform_sec=MASK_SEC, mask_waveform_random=True,
+                          downsampling=True, oversample=OVERSAMPLE, oversample_mag=OVERSAMPLE_MAG,
+                          max_station_num=fx.MAX_STATIONS_FX, label_target=fx.MAX_STATIONS_FX,
+                          oversample_by_labels=True, mag_threshold=MAG_T, part_small_event=True,
+                          weight_label=True, station_blind=True, bias_to_closer_station=True)
+
+
+def q_dataset_samples(spark, sf_dir):
+    """The whole builder: selection, small-event sample, balancing, copies, weights, ranking,
+    chunking with bias samples, hydration, random horizons, blanking, blinding, padding."""
+    from quakeframe.plans.dataset import build_dataset, dataset_summary
+
+    ds = build_dataset(fx.fx_catalog(spark, sf_dir), fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR),
+                       fx.fx_waveforms(spark, sf_dir), dataset_options())
+    return dataset_summary(ds)
+
+
 QUERIES = {
     "events_by_magnitude": q_events_by_magnitude,
     "events_small_sampled": q_events_small_sampled,
@@ -515,6 +538,7 @@ QUERIES = {
     "validate_snapshots": q_validate_snapshots,
     "stream_scored": q_stream_scored,
     "stream_routed": q_stream_routed,
+    "dataset_samples": q_dataset_samples,
 }
 
 __all__ = ["QUERIES", "is_number"]
