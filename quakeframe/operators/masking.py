@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakeframe.functions.portable import hash_uniform
-from quakeframe.functions.waveform import blank_if, fit_waveform
+from quakeframe.functions.waveform import blank_if, fit_waveform  # noqa: F401
 
 POSITION_COLS = ("lat", "lon", "elev", "vs30")
 
@@ -98,3 +98,55 @@ def pad_slots(rows: DataFrame, group: list[str], n_slots: int, slot_col: str = "
     real = rows.withColumn("is_padding", F.lit(False))
     pads = pads.withColumn("is_padding", F.lit(True))
     return real.unionByName(pads, allowMissingColumns=True)
+
+
+# --------------------------------------------------------------------------
+# The same masks on a collected member array (one row per sample, members =
+# struct(slot, p_pick, waveform, pos, ...)); no shuffle, at most max_station_num members.
+# --------------------------------------------------------------------------
+
+def mask_members(members, cutoff, length: int, pos_width: int = 4) -> Column:
+    """C6 + C7 per member: blank members whose pick is later than ``cutoff``; zero every
+    member's waveform from ``cutoff`` on (``cutoff`` NULL: crop/pad only)."""
+    from quakeframe.functions.waveform import zero_samples
+
+    arr = F.col(members) if isinstance(members, str) else members
+    zero_pos = F.array_repeat(F.lit(0.0), pos_width)
+
+    def one(e):
+        late = F.coalesce(e["p_pick"] > cutoff, F.lit(False))
+        w = F.when(cutoff.isNull(), fit_waveform(e["waveform"], length)) \
+            .otherwise(fit_waveform(e["waveform"], length, cutoff))
+        return (e.withField("blanked", late)
+                .withField("waveform", F.when(late, zero_samples(length)).otherwise(w))
+                .withField("pos", F.when(late, zero_pos).otherwise(e["pos"])))
+
+    return F.transform(arr, one)
+
+
+def blind_members(members: str, sample_id: Column, length: int, epoch: int = 0, seed: str = "0",
+                  pos_width: int = 4) -> list[tuple[str, Column]]:
+    """E6 on a member array, equal to ``blind_stations`` on member rows.
+
+    Members are sorted by (non-zero first, per-member hash, slot); the first k are blinded;
+    the array is sorted back by slot (the first struct field). Returns the column steps
+    ``[(name, expr), ...]`` to apply in order."""
+    from quakeframe.functions.waveform import zero_samples
+
+    tmp = f"_{members}_b"
+    zero_pos = F.array_repeat(F.lit(0.0), pos_width)
+    keyed = F.sort_array(F.transform(F.col(members), lambda e: F.struct(
+        (~F.exists(e["pos"], lambda x: x != 0)).alias("z"),
+        hash_uniform(sample_id, e["slot"], salt=f"blind-pick|{epoch}|{seed}").alias("u"),
+        e["slot"].alias("s"), e.alias("m"))))
+    n = F.size(F.filter(F.col(tmp), lambda e: ~e["z"]))
+    k = F.floor(hash_uniform(sample_id, salt=f"blind-k|{epoch}|{seed}") * n)
+
+    def one(e, i):
+        hit = ~e["z"] & (i < k)
+        m = e["m"]
+        return (m.withField("blinded", hit)
+                .withField("waveform", F.when(hit, zero_samples(length)).otherwise(m["waveform"]))
+                .withField("pos", F.when(hit, zero_pos).otherwise(m["pos"])))
+
+    return [(tmp, keyed), (members, F.sort_array(F.transform(F.col(tmp), one)))]

@@ -8,8 +8,8 @@ E6 -> output.
 Shuffle boundaries: (1) traces joined to the selected events (broadcast when the
 catalogue is small, otherwise a skew-split sort-merge join), (2) the range partition of
 ``group_positions`` (a hot event is spread), (3) chunk 0 joined to its waveforms (unique
-trace keys), (4) the salted copy of chunk 0 into every sample, (5) grouping each sample's
-rows (at most ``max(max_station_num, label_target)`` per group) into arrays.
+trace keys) and collected per event, (4) traces collected per chunk, (5) the salted join of
+target groups with input sets. All groups are bounded by ``max_station_num``.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from quakeframe.functions.waveform import fit_waveform, zero_samples
 from quakeframe.operators import catalog as cat
 from quakeframe.operators import traces as tr
 from quakeframe.operators.balance import label_weights
-from quakeframe.operators.masking import apply_cutoff, blind_stations, random_cutoff_sec
-from quakeframe.operators.samples import build_samples, hydrate_inputs, input_traces, rank_traces
+from quakeframe.operators.masking import blind_members, mask_members, random_cutoff_sec
+from quakeframe.operators.samples import hydrate_inputs, rank_traces, sample_id_col
 
 
 @dataclass
@@ -87,65 +87,85 @@ def sample_plan(catalog: DataFrame, traces: DataFrame, o: DatasetOptions) -> Dat
     return rank_traces(t, o.max_station_num, o.sort_by_picks)
 
 
-def build_dataset(catalog: DataFrame, traces: DataFrame, waveforms: DataFrame, o: DatasetOptions) -> DataFrame:
+def build_dataset(catalog: DataFrame, traces: DataFrame, waveforms: DataFrame, o: DatasetOptions,
+                  chunks_per_bucket: int = 256) -> DataFrame:
     """One row per sample with the model inputs:
 
     ``waveform[max_station_num][T][3]``, ``sta[max_station_num][4]``, ``target[>=label_target][4]``,
     ``label[>=label_target]`` (+ ``weight`` when weighted, + ``eq_id``, ``p_picks``,
     ``label_time`` outside train mode), plus the sample key and the horizon used.
+
+    Layout: chunk 0 of an event is collected once into an *input-set* row (at most
+    ``max_station_num`` members; its waveforms fetched and cropped once per event); each chunk
+    is collected into a *target-group* row. Every sample is one target group joined with its
+    event's input set -- a join salted by chunk bucket, so a hot event's thousands of chunks
+    spread over many tasks -- and the per-sample masks (random horizon, blanking, blinding)
+    are array expressions inside that row: no per-sample shuffle.
     """
     ranked = sample_plan(catalog, traces, o)
     length = o.length
-    # Chunk 0 fetches its waveforms once per event (cropped right after the join).
-    inputs = hydrate_inputs(input_traces(ranked), waveforms)
-    inputs = inputs.withColumn("waveform", fit_waveform("waveform", length))
-    s = build_samples(ranked, o.bias_to_closer_station, inputs=inputs)
-    key = ["sample_id", "eq_id", "event_copy", "chunk_no", "is_bias"]
+    lab = o.label_key
+    zero_pos = F.array_repeat(F.lit(0.0), 4)
+    pos = F.array(*[F.col(c).cast("double") for c in ("lat", "lon", "elev", "vs30")]).alias("pos")
+    member = [F.col("slot"), F.col("p_pick"), pos, F.col(lab).alias("label"),
+              F.col(f"{lab}_time").alias("label_time"), F.col("trace_idx")]
+    weight_aggs = [F.avg("weight").alias("weight")] if o.weight_label else []
+
+    # Input sets: chunk 0 with its waveforms (unique trace keys: no hot key in this join).
+    c0 = hydrate_inputs(ranked.filter(F.col("chunk_no") == 0), waveforms)
+    b = int(chunks_per_bucket)
+    sets = (c0.groupBy("eq_id")
+            .agg(F.sort_array(F.collect_list(F.struct(*member, fit_waveform("waveform", length).alias("waveform"))))
+                 .alias("_in"), F.max("n_chunks").alias("_k"), *[a.alias("_w0") for a in weight_aggs])
+            .withColumn("_bucket", F.explode(F.sequence(F.lit(0), ((F.col("_k") - 1) / b).cast("int")))))
+
+    # Target groups, one per chunk (at most max_station_num members each).
+    groups = ranked.groupBy("eq_id", "chunk_no").agg(
+        F.sort_array(F.collect_list(F.struct(*member))).alias("_t"), F.max("n_chunks").alias("n_chunks"),
+        F.max("n_copies").alias("n_copies"), *weight_aggs)
+    normal = groups.withColumn("is_bias", F.lit(False))
+    samples = normal
+    if o.bias_to_closer_station:
+        samples = samples.unionByName(groups.filter(F.col("n_chunks") > 1).withColumn("is_bias", F.lit(True)))
+    samples = samples.withColumn("_bucket", (F.col("chunk_no") / b).cast("int"))
+    s = samples.join(sets, ["eq_id", "_bucket"]).drop("_bucket", "_k")
+    # A bias sample's targets are chunk 0 itself (and its weight chunk 0's mean; D8).
+    s = s.withColumn("_t", F.when(F.col("is_bias"), F.transform("_in", lambda e: e.dropFields("waveform")))
+                     .otherwise(F.col("_t")))
+    if o.weight_label:
+        s = s.withColumn("weight", F.when(F.col("is_bias"), F.col("_w0")).otherwise(F.col("weight"))).drop("_w0")
+    s = s.withColumn("event_copy", F.explode(F.sequence(F.lit(0), F.col("n_copies"))))
+    s = s.withColumn("sample_id", sample_id_col())
 
-    inp = s.filter(F.col("side") == "input")
+    # Horizon and cut-off masks (C6/C7, E5) on the members.
     if o.mask_waveform_random:
-        inp = inp.withColumn("mask_sec", random_cutoff_sec(["sample_id"], o.mask_waveform_sec or 0,
-                                                           o.max_random_sec, o.epoch, o.seed))
-        inp = apply_cutoff(inp, F.col("mask_sec"), o.sampling_rate, length)
+        s = s.withColumn("mask_sec", random_cutoff_sec(["sample_id"], o.mask_waveform_sec or 0,
+                                                       o.max_random_sec, o.epoch, o.seed))
     else:
-        inp = inp.withColumn("mask_sec", F.lit(o.mask_waveform_sec).cast("int"))
-        inp = apply_cutoff(inp, o.mask_waveform_sec, o.sampling_rate, length)
+        s = s.withColumn("mask_sec", F.lit(o.mask_waveform_sec).cast("int"))
+    pick0 = F.col("_in")[0]["p_pick"]
+    masked = bool(o.mask_waveform_random or o.mask_waveform_sec)
+    cutoff = (pick0 + F.col("mask_sec") * int(o.sampling_rate)).cast("int") if masked else F.lit(None).cast("int")
+    s = s.withColumn("_in", mask_members("_in", cutoff, length))
     if o.station_blind:
-        inp = blind_stations(inp, ["sample_id"], epoch=o.epoch, seed=o.seed, length=length)
-    else:
-        inp = inp.withColumn("blinded", F.lit(False))
+        for name, expr in blind_members("_in", F.col("sample_id"), length, o.epoch, o.seed):
+            s = s.withColumn(name, expr)
 
     n_in = int(o.max_station_num)
-    zero_pos = F.array_repeat(F.lit(0.0), 4)
-    ig = inp.groupBy(*key).agg(
-        F.first("mask_sec").alias("mask_sec"),
-        F.sort_array(F.collect_list(F.struct("slot", "waveform",
-                                             F.array("lat", "lon", "elev", "vs30").alias("pos")))).alias("_in"))
-    pad_in = F.lit(n_in) - F.size("_in")
-    ig = ig.select(*key, "mask_sec",
-                   F.concat(F.transform("_in", lambda r: r["waveform"]),
-                            F.array_repeat(zero_samples(length), pad_in)).alias("waveform"),
-                   F.concat(F.transform("_in", lambda r: r["pos"]), F.array_repeat(zero_pos, pad_in)).alias("sta"))
-
-    lab = o.label_key
-    tg = s.filter(F.col("side") == "target")
-    aggs = [F.sort_array(F.collect_list(F.struct(
-        "slot", F.array("lat", "lon", "elev", "vs30").alias("pos"), F.col(lab).alias("label"),
-        F.col("p_pick"), F.col(f"{lab}_time").alias("label_time")))).alias("_t")]
-    if o.weight_label:
-        aggs.append(F.avg("weight").alias("weight"))
-    tgg = tg.groupBy(*key).agg(*aggs)
+    pad_in = F.greatest(F.lit(n_in) - F.size("_in"), F.lit(0))
     pad_t = F.greatest(F.lit(int(o.label_target)) - F.size("_t"), F.lit(0))
-    cols = [*key,
-            F.concat(F.transform("_t", lambda r: r["pos"]), F.array_repeat(zero_pos, pad_t)).alias("target"),
-            F.concat(F.transform("_t", lambda r: r["label"]), F.array_repeat(F.lit(0.0), pad_t)).alias("label")]
+    cols = ["sample_id", "eq_id", "event_copy", "chunk_no", "is_bias", "mask_sec",
+            F.concat(F.transform("_in", lambda e: e["waveform"]),
+                     F.array_repeat(zero_samples(length), pad_in)).alias("waveform"),
+            F.concat(F.transform("_in", lambda e: e["pos"]), F.array_repeat(zero_pos, pad_in)).alias("sta"),
+            F.concat(F.transform("_t", lambda e: e["pos"]), F.array_repeat(zero_pos, pad_t)).alias("target"),
+            F.concat(F.transform("_t", lambda e: e["label"]), F.array_repeat(F.lit(0.0), pad_t)).alias("label")]
     if o.weight_label:
         cols.append("weight")
     if o.mode != "train":
-        cols += [F.transform("_t", lambda r: r["p_pick"]).alias("p_picks"),
-                 F.transform("_t", lambda r: r["label_time"]).alias("label_time")]
-    tgg = tgg.select(*cols)
-    return ig.join(tgg, key)
+        cols += [F.transform("_t", lambda e: e["p_pick"]).alias("p_picks"),
+                 F.transform("_t", lambda e: e["label_time"]).alias("label_time")]
+    return s.select(*cols)
 
 
 def dataset_summary(ds: DataFrame, weighted: bool = True) -> DataFrame:
