@@ -65,3 +65,16 @@ def evaluate(preds: DataFrame, group_cols: list[str] | None = None, y: str = "an
     out = second.select(*group_cols, "n", r2.alias("r2"), (F.col("_ymin") - 0.5).alias("lim_lo"),
                         (F.col("_ymax") + 0.5).alias("lim_hi"), "ss_res", "ss_tot")
     return out.drop("_all") if dummy else out
+
+
+def point_prediction(preds: DataFrame, agg: str = "mean", mixture_col: str = "mixture",
+                     point_col: str = "predict") -> DataFrame:
+    """M6: the point used for evaluation: ``mean`` = mixture mean (A6), ``point`` = the given
+    prediction column; anything else is an error."""
+    from quakeframe.functions.mixture import mixture_mean
+
+    if agg == "mean":
+        return preds.withColumn("point", mixture_mean(mixture_col))
+    if agg == "point":
+        return preds.withColumn("point", F.col(point_col))
+    raise ValueError(f'Aggregation type "{agg}" unknown')

@@ -97,3 +97,17 @@ def run_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_d
         w = w.partitionBy(*part)
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
+
+
+def await_all(spark: SparkSession, timeout: float | None = None) -> None:
+    """ST4: wait on every active query at once, so a failure in any of them surfaces
+    (instead of blocking on the first query while the second one has died)."""
+    while spark.streams.active:
+        if timeout is None:
+            spark.streams.awaitAnyTermination()
+        elif not spark.streams.awaitAnyTermination(timeout):
+            return
+        for q in spark.streams.active:
+            if q.exception() is not None:
+                raise RuntimeError(str(q.exception()))
+        spark.streams.resetTerminated()

@@ -182,3 +182,24 @@ def test_runner_handles_sliced_batches():
     run = make_runner([AttenuationScorer(0.5, 0.3, "a")], ["k"], ["lat", "lon", "elev", "vs30"], schema)
     out = list(run(iter(t.slice(1).to_batches())))
     assert out[0].num_rows == 2 and out[0].column("k").to_pylist() == [2, 3]
+
+
+def test_point_prediction_choice(spark):
+    from quakeframe.operators.evaluate import point_prediction
+
+    df = spark.createDataFrame([([(0.25, 1.0, 1.0), (0.75, 2.0, 1.0)], 9.0)], f"mixture {MIXTURE_TYPE.simpleString()}, predict double")
+    assert point_prediction(df, "mean").first().point == pytest.approx(1.75)
+    assert point_prediction(df, "point").first().point == 9.0
+    with pytest.raises(ValueError):
+        point_prediction(df, "median")
+
+
+def test_stream_archives_consumed_files(spark):
+    from quakeframe.streaming.stream import await_all
+
+    src, sink, ckpt, arch = (shared_dir(spark, n) for n in ("a-src", "a-sink", "a-ckpt", "a-arch"))
+    write_snapshots(_snapshots(spark, 3), src, partition_by=None, files_per_partition=1)
+    q = run_stream(spark, src, sink, ckpt, [AttenuationScorer(0.5, 0.3, "a")], max_files=1, archive_dir=arch)
+    await_all(spark)
+    assert spark.read.parquet(sink).count() == 6
+    assert not q.isActive
