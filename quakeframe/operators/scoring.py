@@ -117,15 +117,50 @@ def input_sets(inputs: DataFrame, key_cols: list[str], n_slots: int, length: int
         F.concat(F.transform("_rows", lambda r: r["_p"]), F.array_repeat(zero_pos, n_pad)).alias("station"))
 
 
+def masked_input_sets(chunk0: DataFrame, key_cols: list[str], n_slots: int, length: int, sec, rate: int,
+                      wave_col: str = "waveform", position_cols=("lat", "lon", "elev", "vs30"),
+                      carry: tuple[str, ...] = ("n_chunks",)) -> DataFrame:
+    """C3 + C6 + C7 on collected input sets: chunk-0 rows (at most ``n_slots`` per key) are
+    collected in slot order, cut at ``pick of slot 0 + sec * rate`` (late stations blanked)
+    as array expressions, and padded. No window, no extra shuffle."""
+    from quakeframe.operators.masking import mask_members
+
+    width = len(position_cols)
+    member = F.struct("slot", "p_pick", F.array(*[F.col(c).cast("double") for c in position_cols]).alias("pos"),
+                      fit_waveform(wave_col, length).alias("waveform"))
+    keep = [c for c in carry if c in chunk0.columns]
+    g = chunk0.groupBy(*key_cols).agg(F.sort_array(F.collect_list(member)).alias("_in"),
+                                      *[F.max(c).alias(c) for c in keep])
+    if sec:
+        cutoff = (F.col("_in")[0]["p_pick"] + F.lit(int(sec)) * int(rate)).cast("int")
+    else:
+        cutoff = F.lit(None).cast("int")
+    g = g.withColumn("_in", mask_members("_in", cutoff, length, width))
+    n_pad = F.greatest(F.lit(int(n_slots)) - F.size("_in"), F.lit(0))
+    zero_pos = F.array_repeat(F.lit(0.0), width)
+    return g.select(
+        *key_cols, *keep,
+        F.concat(F.transform("_in", lambda e: e["waveform"]), F.array_repeat(zero_samples(length), n_pad)).alias("waveform"),
+        F.concat(F.transform("_in", lambda e: e["pos"]), F.array_repeat(zero_pos, n_pad)).alias("station"))
+
+
 def target_groups(targets: DataFrame, key_cols: list[str], fields: list[str],
-                  bucket_col: str | None = "chunk_no", per_row: int = 64) -> DataFrame:
+                  bucket_col: str | None = "chunk_no", per_row: int = 1024) -> DataFrame:
     """Group target rows under their input-set key in buckets of at most ``per_row`` chunks
-    (``bucket_col // per_row``), so no row grows with the size of an event."""
+    (``_tb = bucket_col // per_row``), so no row grows with the size of an event."""
     bucket = (F.col(bucket_col) / per_row).cast("int") if bucket_col else F.lit(0)
     return (targets.withColumn("_tb", bucket)
             .groupBy(*key_cols, "_tb")
-            .agg(F.collect_list(F.struct(*[F.col(f) for f in fields])).alias("targets"))
-            .drop("_tb"))
+            .agg(F.collect_list(F.struct(*[F.col(f) for f in fields])).alias("targets")))
+
+
+def scoring_rows(sets: DataFrame, groups: DataFrame, key_cols: list[str], n_chunks_col: str = "n_chunks",
+                 per_row: int = 1024) -> DataFrame:
+    """Pair every target bucket with its input set. The set row is exploded over the
+    buckets its event has (``ceil(n_chunks / per_row)``; one copy for a normal event) and the
+    join key includes the bucket, so the buckets of a hot event land in different tasks."""
+    s = sets.withColumn("_tb", F.explode(F.sequence(F.lit(0), ((F.col(n_chunks_col) - 1) / per_row).cast("int"))))
+    return s.drop(n_chunks_col).join(groups, [*key_cols, "_tb"]).drop("_tb")
 
 
 def _np_nested(scalar, depth: int):

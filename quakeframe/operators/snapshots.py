@@ -33,8 +33,9 @@ def top_stations(traces: DataFrame, n: int = MAX_STATIONS, order: str = "stored"
     else:
         keys = [F.col("p_pick").asc_nulls_last(), F.col("trace_idx")]
     w = Window.partitionBy("eq_id").orderBy(*keys)
-    return (traces.withColumn("slot", (F.row_number().over(w) - 1).cast("int"))
-            .filter(F.col("slot") < n))
+    # Filter on the raw row_number so the optimizer inserts the partial group limit.
+    return (traces.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= int(n))
+            .withColumn("slot", (F.col("_rn") - 1).cast("int")).drop("_rn"))
 
 
 def cutoff_ladder(rows: DataFrame, secs=None) -> DataFrame:
@@ -46,9 +47,13 @@ def cutoff_ladder(rows: DataFrame, secs=None) -> DataFrame:
 def snapshot_ladder(traces: DataFrame, waveforms: DataFrame, event_ids: DataFrame, secs=None,
                     rate: int = 200, length: int = 3000, max_station_num: int = MAX_STATIONS,
                     order: str = "stored") -> DataFrame:
-    """ST5: long-form snapshots, one row per (event, horizon, station slot)."""
-    et = event_traces(event_ids, traces, waveforms, length)
-    top = with_pick0(top_stations(et, max_station_num, order), ["eq_id"])
+    """ST5: long-form snapshots, one row per (event, horizon, station slot).
+
+    The top-k runs on the narrow trace rows; only the kept stations fetch their waveforms."""
+    t = traces.join(event_ids.select("eq_id"), "eq_id", "left_semi")
+    top = top_stations(t, max_station_num, order)
+    w = waveforms.select("eq_id", "trace_idx", crop("samples", length).alias("waveform"))
+    top = with_pick0(top.join(w, ["eq_id", "trace_idx"]), ["eq_id"])
     ladder = cutoff_ladder(top, secs)
     return apply_cutoff(ladder, F.col("mask_sec"), rate, length)
 

@@ -20,8 +20,8 @@ from quakeframe.operators.samples import (build_samples, hydrate_inputs, hydrate
 from quakeframe.operators.snapshots import assemble_snapshots, event_traces, snapshot_ladder
 from quakeframe.functions.mixture import mixture_from_logits, mixture_mean
 from quakeframe.operators.evaluate import ensemble, evaluate, with_exceedance
-from quakeframe.operators.scoring import (AttenuationScorer, input_sets, pad_predictions, score,
-                                          target_groups)
+from quakeframe.operators.scoring import (AttenuationScorer, masked_input_sets, pad_predictions, score,
+                                          scoring_rows, target_groups)
 from quakeframe.session import shared_dir
 from quakeframe.sources import fixtures as fx
 from quakeframe.sources.snapshots_io import (read_predictions, read_snapshots, validate_snapshots,
@@ -344,12 +344,12 @@ def _predictions(spark, sf_dir):
     """P2 + E7: the test-year samples scored by both models in one pass."""
     t = selected_traces(spark, sf_dir, mode="test", traces=fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR))
     r = rank_traces(t, max_station_num=fx.MAX_STATIONS_FX)
-    inputs = apply_cutoff(hydrate_inputs(input_traces(r), fx.fx_waveforms(spark, sf_dir)), MASK_SEC, fx.WAVE_RATE, T_PAD)
-    sets = input_sets(inputs, ["eq_id"], fx.MAX_STATIONS_FX, T_PAD)
+    c0 = hydrate_inputs(r.filter(F.col("chunk_no") == 0), fx.fx_waveforms(spark, sf_dir))
+    sets = masked_input_sets(c0, ["eq_id"], fx.MAX_STATIONS_FX, T_PAD, MASK_SEC, fx.WAVE_RATE)
     fields = ["chunk_no", "slot", "trace_idx", "p_pick", "label_time", "answer", "lat", "lon", "elev", "vs30"]
     tg = r.select("eq_id", *fields[:4], F.col("pga_time").alias("label_time"), F.col("pga").alias("answer"),
                   "lat", "lon", "elev", "vs30")
-    rows = sets.join(target_groups(tg, ["eq_id"], fields), "eq_id")
+    rows = scoring_rows(sets, target_groups(tg, ["eq_id"], fields), ["eq_id"])
     scored = score(rows, models(), ["eq_id"])
     return scored.select(
         "model", F.concat_ws("/", F.col("eq_id"), F.lit(0), F.col("target.chunk_no"), F.lit(0)).alias("sample_id"),
