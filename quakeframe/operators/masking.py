@@ -128,9 +128,10 @@ def blind_members(members: str, sample_id: Column, length: int, epoch: int = 0,
                   pos_width: int = 4) -> list[tuple[str, Column]]:
     """E6 on a member array, equal to ``blind_stations`` on member rows.
 
-    Members are sorted by (non-zero first, per-member hash, slot); the first k are blinded;
-    the array is sorted back by slot (the first struct field). Returns the column steps
-    ``[(name, expr), ...]`` to apply in order."""
+    A narrow array of (all-zero flag, per-member hash, slot) is sorted -- non-zero members
+    first, then by hash and slot -- and the slots of its first k entries are blinded (k < n,
+    so they are all non-zero). Returns the column steps ``[(name, expr), ...]`` to apply in
+    order."""
     from quakeframe.functions.waveform import zero_samples
 
     tmp = f"_{members}_b"
@@ -138,15 +139,17 @@ def blind_members(members: str, sample_id: Column, length: int, epoch: int = 0,
     keyed = F.sort_array(F.transform(F.col(members), lambda e: F.struct(
         (~F.exists(e["pos"], lambda x: x != 0)).alias("z"),
         hash_uniform(sample_id, e["slot"], salt=f"blind-pick|{epoch}|{seed}").alias("u"),
-        e["slot"].alias("s"), e.alias("m"))))
+        e["slot"].alias("s"))))
     n = F.size(F.filter(F.col(tmp), lambda e: ~e["z"]))
-    k = F.floor(hash_uniform(sample_id, salt=f"blind-k|{epoch}|{seed}") * n)
+    k = F.floor(hash_uniform(sample_id, salt=f"blind-k|{epoch}|{seed}") * n).cast("int")
+    chosen = f"_{members}_k"
 
-    def one(e, i):
-        hit = ~e["z"] & (i < k)
-        m = e["m"]
-        return (m.withField("blinded", hit)
-                .withField("waveform", F.when(hit, zero_samples(length)).otherwise(m["waveform"]))
-                .withField("pos", F.when(hit, zero_pos).otherwise(m["pos"])))
-
-    return [(tmp, keyed), (members, F.sort_array(F.transform(F.col(tmp), one)))]
+    def one(e):
+        hit = F.array_contains(F.col(chosen), e["slot"])
+        return (e.withField("blinded", hit)
+                .withField("waveform", F.when(hit, zero_samples(length)).otherwise(e["waveform"]))
+                .withField("pos", F.when(hit, zero_pos).otherwise(e["pos"])))
+
+    # Each step is its own column: an expression inside a lambda is re-evaluated per member.
+    return [(tmp, keyed), (chosen, F.transform(F.slice(F.col(tmp), 1, k), lambda e: e["s"])),
+            (members, F.transform(F.col(members), one))]

@@ -135,7 +135,7 @@ def masked_input_sets(chunk0: DataFrame, key_cols: list[str], n_slots: int, leng
         cutoff = (F.col("_in")[0]["p_pick"] + F.lit(int(sec)) * int(rate)).cast("int")
     else:
         cutoff = F.lit(None).cast("int")
-    g = g.withColumn("_in", mask_members("_in", cutoff, length, width))
+    g = g.withColumn("_cutoff", cutoff).withColumn("_in", mask_members("_in", F.col("_cutoff"), length, width))
     n_pad = F.greatest(F.lit(int(n_slots)) - F.size("_in"), F.lit(0))
     zero_pos = F.array_repeat(F.lit(0.0), width)
     return g.select(

@@ -146,7 +146,7 @@ def build_dataset(catalog: DataFrame, traces: DataFrame, waveforms: DataFrame, o
     pick0 = F.col("_in")[0]["p_pick"]
     masked = bool(o.mask_waveform_random or o.mask_waveform_sec)
     cutoff = (pick0 + F.col("mask_sec") * int(o.sampling_rate)).cast("int") if masked else F.lit(None).cast("int")
-    s = s.withColumn("_in", mask_members("_in", cutoff, length))
+    s = s.withColumn("_cutoff", cutoff).withColumn("_in", mask_members("_in", F.col("_cutoff"), length))
     if o.station_blind:
         for name, expr in blind_members("_in", F.col("sample_id"), length, o.epoch, o.seed):
             s = s.withColumn(name, expr)
@@ -168,7 +168,7 @@ def build_dataset(catalog: DataFrame, traces: DataFrame, waveforms: DataFrame, o
     return s.select(*cols)
 
 
-def dataset_summary(ds: DataFrame, weighted: bool = True) -> DataFrame:
+def dataset_summary(ds: DataFrame, weighted: bool | None = None) -> DataFrame:
     """Scalar summary of a built data set (what the oracle compares)."""
     real = lambda a: F.size(F.filter(F.col(a), lambda p: F.exists(p, lambda x: x != 0)))
     flat = F.flatten(F.flatten(F.col("waveform")))
@@ -177,6 +177,9 @@ def dataset_summary(ds: DataFrame, weighted: bool = True) -> DataFrame:
             F.size("target").alias("n_targets"), real("target").alias("n_real_targets"),
             F.round(F.greatest(F.array_max(flat), -F.array_min(flat)).cast("double"), 6).alias("peak"),
             F.round(F.aggregate("label", F.lit(0.0), lambda a, x: a + x), 6).alias("label_sum")]
-    if weighted:
+    if weighted or (weighted is None and "weight" in ds.columns):
         cols.append(F.round(F.col("weight"), 9).alias("weight"))
+    if "p_picks" in ds.columns:
+        cols += [F.aggregate("p_picks", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("p_pick_sum"),
+                 F.aggregate("label_time", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("label_time_sum")]
     return ds.select(*cols)

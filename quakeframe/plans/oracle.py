@@ -545,74 +545,112 @@ ORACLE["stream_routed"] = with_views(f"""
 
 # --- the full data-set builder -------------------------------------------------
 
-def _dataset_sql() -> str:
-    from quakeframe.functions.intensity import LOG_PGV8
+def _dataset_sql(o) -> str:
+    """SQL twin of ``build_dataset`` + ``dataset_summary`` for the options ``o``."""
+    from quakeframe.functions.intensity import LOG_PGA8, LOG_PGV8
 
-    o = q.dataset_options()
     T_ = o.length
     m = o.max_station_num
+    lab = o.label_key
+    bounds8 = LOG_PGV8 if lab == "pgv" else LOG_PGA8
     mag = lit(o.mag_threshold)
-    ev = f"""
+    small = ""
+    if o.part_small_event:
+        small = f"""UNION ALL
+              SELECT * FROM fx_catalog WHERE {num('magnitude')} AND magnitude < {mag} AND year <> {o.test_year}
+                AND {u_sql('eq_id', salt='small-event|' + o.seed)} < 0.25"""
+    year = {"train": f"WHERE year <> {o.test_year}", "test": f"WHERE year = {o.test_year}"}.get(o.mode, "")
+    limit = f"ORDER BY eq_id LIMIT {o.limit}" if o.limit else ""
+    copies = (f"CASE WHEN e.magnitude >= {lit(o.oversample_mag)} THEN greatest(CAST(trunc(pow({lit(o.oversample)}, "
+              f"e.magnitude - 1) - 1) AS INTEGER), 0) ELSE 0 END") if o.oversample > 1 else "0"
+    down = (f"AND NOT ({lab} < {lit(LOG10_DOWNSAMPLE_BELOW)} AND "
+            f"{u_sql('eq_id', 'trace_idx', salt='downsample|' + o.seed)} < 0.5)") if o.downsampling else ""
+    if o.weight_label:
+        weights = f"""SELECT w.*, 1.0 / h.n AS weight FROM (SELECT *, {intensity8_sql(lab, bounds8)} AS class FROM dt0) w
+            JOIN (SELECT {intensity8_sql(lab, bounds8)} AS class, count(*) AS n FROM dt0 GROUP BY 1) h
+              ON w.class IS NOT DISTINCT FROM h.class"""
+    else:
+        weights = "SELECT *, CAST(NULL AS DOUBLE) AS weight FROM dt0"
+    if o.oversample_by_labels:
+        tcopies = f"""SELECT * EXCLUDE (nc), CAST(unnest(range(0, nc + 1)) AS INTEGER) AS trace_copy FROM (
+              SELECT *, CASE WHEN {lab} > {lit(LOG10_OVERSAMPLE_ABOVE)}
+                             THEN CAST(round_even(pow(4.5, pow(1.5, {lab})) + 1, 0) AS INTEGER) ELSE 0 END AS nc
+              FROM dtw)"""
+    else:
+        tcopies = "SELECT *, 0 AS trace_copy FROM dtw"
+    order = "p_pick NULLS LAST, trace_idx, trace_copy" if o.sort_by_picks else \
+        "CASE WHEN trace_copy > 0 THEN 1 ELSE 0 END, trace_idx, trace_copy"
+    bias_arr = "CASE WHEN c.n_chunks > 1 THEN [false, true] ELSE [false] END" if o.bias_to_closer_station else "[false]"
+    bias_tg = f"""UNION ALL
+             SELECT c.eq_id, s._sc AS chunk_no, true AS is_bias, c.{lab} AS label, c.p_pick, c.{lab}_time AS label_time,
+                    c.weight, c.n_copies
+             FROM dc0 c JOIN dsp s USING (eq_id) WHERE c.n_chunks > 1""" if o.bias_to_closer_station else ""
+    if o.mask_waveform_random:
+        span = o.max_random_sec - (o.mask_waveform_sec or 0)
+        sec = f"CAST({o.mask_waveform_sec or 0} + floor({u_sql('sample_id', salt=f'horizon|{o.epoch}|{o.seed}')} * {span}) AS INTEGER)"
+    elif o.mask_waveform_sec:
+        sec = f"CAST({o.mask_waveform_sec} AS INTEGER)"
+    else:
+        sec = "CAST(NULL AS INTEGER)"
+    if o.mask_waveform_random or o.mask_waveform_sec:
+        masked = f"dmk AS ({mask_sql('SELECT * FROM dmk0', 'mask_sec', T_, rate=o.sampling_rate)}),"
+    else:
+        masked = "dmk AS (SELECT *, false AS blanked FROM dmk0),"
+    if o.station_blind:
+        blind = f"""dbl1 AS (SELECT *, sum(CAST(nz AS INTEGER)) OVER (PARTITION BY sample_id) AS n,
+                    {u_sql('sample_id', 'slot', salt=f'blind-pick|{o.epoch}|{o.seed}')} AS u2 FROM dbl0),
+    dbl AS (SELECT *, nz AND (row_number() OVER (PARTITION BY sample_id ORDER BY nz DESC, u2, slot) - 1)
+                       < CAST(floor({u_sql('sample_id', salt=f'blind-k|{o.epoch}|{o.seed}')} * n) AS INTEGER) AS blinded
+            FROM dbl1),"""
+    else:
+        blind = "dbl AS (SELECT *, false AS blinded FROM dbl0),"
+    sql = f"""
     dev AS (SELECT eq_id, magnitude FROM (
               SELECT * FROM fx_catalog WHERE {num('magnitude')} AND magnitude >= {mag}
-              UNION ALL
-              SELECT * FROM fx_catalog WHERE {num('magnitude')} AND magnitude < {mag} AND year <> {TY}
-                AND {u_sql('eq_id', salt='small-event|0')} < 0.25)
-            WHERE year <> {TY}),
-    dt0 AS (SELECT t.*, e.magnitude,
-                   CASE WHEN e.magnitude >= {lit(o.oversample_mag)}
-                        THEN greatest(CAST(trunc(pow({lit(o.oversample)}, e.magnitude - 1) - 1) AS INTEGER), 0)
-                        ELSE 0 END AS n_copies
-            FROM fx_traces_w t JOIN dev e USING (eq_id)
-            WHERE {num('pgv')} AND NOT (pgv < {lit(LOG10_DOWNSAMPLE_BELOW)}
-                                        AND {u_sql('eq_id', 'trace_idx', salt='downsample|0')} < 0.5)),
-    dtw AS (SELECT w.*, 1.0 / h.n AS weight FROM (SELECT *, {intensity8_sql('pgv', LOG_PGV8)} AS class FROM dt0) w
-            JOIN (SELECT {intensity8_sql('pgv', LOG_PGV8)} AS class, count(*) AS n FROM dt0 GROUP BY 1) h
-              ON w.class IS NOT DISTINCT FROM h.class),
-    dtc AS (SELECT * EXCLUDE (nc), CAST(unnest(range(0, nc + 1)) AS INTEGER) AS trace_copy FROM (
-              SELECT *, CASE WHEN pgv > {lit(LOG10_OVERSAMPLE_ABOVE)}
-                             THEN CAST(round_even(pow(4.5, pow(1.5, pgv)) + 1, 0) AS INTEGER) ELSE 0 END AS nc
-              FROM dtw)),
+              {small}) {year} {limit}),
+    dt0 AS (SELECT t.*, e.magnitude, {copies} AS n_copies
+            FROM fx_traces_w t JOIN dev e USING (eq_id) WHERE {num(lab)} {down}),
+    dtw AS ({weights}),
+    dtc AS ({tcopies}),
     drk AS (SELECT *, CAST(pos // {m} AS INTEGER) AS chunk_no, CAST(pos % {m} AS INTEGER) AS slot,
                    CAST((n_traces + {m - 1}) // {m} AS INTEGER) AS n_chunks
-            FROM (SELECT *, CAST(row_number() OVER (PARTITION BY eq_id ORDER BY p_pick NULLS LAST, trace_idx, trace_copy) - 1 AS INTEGER) AS pos,
+            FROM (SELECT *, CAST(row_number() OVER (PARTITION BY eq_id ORDER BY {order}) - 1 AS INTEGER) AS pos,
                          CAST(count(*) OVER (PARTITION BY eq_id) AS INTEGER) AS n_traces FROM dtc)),
     dc0 AS (SELECT d.*, first_value(d.p_pick) OVER (PARTITION BY d.eq_id ORDER BY d.slot) AS pick0,
                    {fit_sql('w.samples', T_)} AS waveform
             FROM drk d JOIN fx_waveforms w USING (eq_id, trace_idx) WHERE d.chunk_no = 0),
     dsp AS (SELECT eq_id, chunk_no AS _sc FROM drk WHERE slot = 0),
-    dinp0 AS (SELECT c.* EXCLUDE (chunk_no), s._sc AS chunk_no, unnest(CASE WHEN c.n_chunks > 1 THEN [false, true] ELSE [false] END) AS is_bias
+    dinp0 AS (SELECT c.* EXCLUDE (chunk_no), s._sc AS chunk_no, unnest({bias_arr}) AS is_bias
               FROM dc0 c JOIN dsp s USING (eq_id)),
     dinp AS (SELECT *, concat_ws('/', eq_id, event_copy, chunk_no, CAST(is_bias AS INTEGER)) AS sample_id FROM (
                SELECT *, CAST(unnest(range(0, n_copies + 1)) AS INTEGER) AS event_copy FROM dinp0)),
-    dmk0 AS (SELECT *, CAST({o.mask_waveform_sec} + floor({u_sql('sample_id', salt='horizon|0|0')} * {o.max_random_sec - o.mask_waveform_sec}) AS INTEGER) AS mask_sec
-             FROM dinp),
-    dmk AS ({mask_sql('SELECT * FROM dmk0', 'mask_sec', T_)}),
+    dmk0 AS (SELECT *, {sec} AS mask_sec FROM dinp),
+    {masked}
     dbl0 AS (SELECT *, {_REAL4} AS nz FROM dmk),
-    dbl1 AS (SELECT *, sum(CAST(nz AS INTEGER)) OVER (PARTITION BY sample_id) AS n,
-                    {u_sql('sample_id', 'slot', salt='blind-pick|0|0')} AS u2 FROM dbl0),
-    dbl AS (SELECT *, nz AND (row_number() OVER (PARTITION BY sample_id ORDER BY nz DESC, u2, slot) - 1)
-                       < CAST(floor({u_sql('sample_id', salt='blind-k|0|0')} * n) AS INTEGER) AS blinded FROM dbl1),
+    {blind}
     dig AS (SELECT sample_id, any_value(mask_sec) AS mask_sec,
                    count(*) FILTER (WHERE nz AND NOT blinded) AS n_real_inputs,
                    max(CASE WHEN blinded THEN 0.0 ELSE {peak_sql('waveform')} END) AS peak
             FROM dbl GROUP BY sample_id),
-    dtg0 AS (SELECT eq_id, chunk_no, false AS is_bias, pgv, weight, n_copies FROM drk
-             UNION ALL
-             SELECT c.eq_id, s._sc AS chunk_no, true AS is_bias, c.pgv, c.weight, c.n_copies
-             FROM dc0 c JOIN dsp s USING (eq_id) WHERE c.n_chunks > 1),
+    dtg0 AS (SELECT eq_id, chunk_no, false AS is_bias, {lab} AS label, p_pick, {lab}_time AS label_time, weight, n_copies
+             FROM drk {bias_tg}),
     dtg AS (SELECT concat_ws('/', eq_id, event_copy, chunk_no, CAST(is_bias AS INTEGER)) AS sample_id,
-                   event_copy, chunk_no, is_bias, pgv, weight FROM (
+                   event_copy, chunk_no, is_bias, label, p_pick, label_time, weight FROM (
               SELECT *, CAST(unnest(range(0, n_copies + 1)) AS INTEGER) AS event_copy FROM dtg0)),
     dtgg AS (SELECT sample_id, any_value(event_copy) AS event_copy, any_value(chunk_no) AS chunk_no,
-                    any_value(is_bias) AS is_bias, count(*) AS n, sum(pgv) AS label_sum, avg(weight) AS weight
-             FROM dtg GROUP BY sample_id)"""
-    return ev + f"""
+                    any_value(is_bias) AS is_bias, count(*) AS n, sum(label) AS label_sum, avg(weight) AS weight,
+                    sum(p_pick) AS p_pick_sum, sum(label_time) AS label_time_sum
+             FROM dtg GROUP BY sample_id)
     SELECT t.sample_id, t.event_copy, t.chunk_no, t.is_bias, i.mask_sec, CAST({m} AS INTEGER) AS n_inputs,
            CAST(i.n_real_inputs AS INTEGER) AS n_real_inputs,
            CAST(greatest(t.n, {o.label_target}) AS INTEGER) AS n_targets, CAST(t.n AS INTEGER) AS n_real_targets,
-           round(i.peak, 6) AS peak, round(t.label_sum, 6) AS label_sum, round(t.weight, 9) AS weight
-    FROM dtgg t JOIN dig i USING (sample_id)"""
+           round(i.peak, 6) AS peak, round(t.label_sum, 6) AS label_sum"""
+    if o.weight_label:
+        sql += ", round(t.weight, 9) AS weight"
+    if o.mode != "train":
+        sql += ", CAST(t.p_pick_sum AS BIGINT) AS p_pick_sum, CAST(t.label_time_sum AS BIGINT) AS label_time_sum"
+    return sql + "\n    FROM dtgg t JOIN dig i USING (sample_id)"
 
 
-ORACLE["dataset_samples"] = with_views(", " + _dataset_sql(), *W_VIEWS)
+ORACLE["dataset_samples"] = with_views(", " + _dataset_sql(q.dataset_options()), *W_VIEWS)
+ORACLE["dataset_test_samples"] = with_views(", " + _dataset_sql(q.dataset_test_options()), *W_VIEWS)

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeframe.functions.intensity import intensity8, intensity10, intensity_label, scale_table
-from quakeframe.functions.portable import is_number
 from quakeframe.operators import catalog as cat
 from quakeframe.operators import traces as tr
 from quakeframe.operators.balance import class_histogram, label_weights
@@ -433,10 +432,8 @@ def q_local_time(spark, sf_dir):
 
 
 def _snapshots(spark, sf_dir):
-    ev = fx.fx_catalog(spark, sf_dir).select("eq_id")
     times = fx.read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("eq_id"),
                                                           F.col("o_orderdate").alias("event_time"))
-    del ev
     return assemble_snapshots(_ladder(spark, sf_dir), times, max_station_num=fx.MAX_STATIONS_FX, length=T_CROP)
 
 
@@ -480,6 +477,23 @@ def dataset_options():
                           weight_label=True, station_blind=True, bias_to_closer_station=True)
 
 
+def dataset_test_options():
+    """The prediction flow's configuration: test year only, fixed 3 s cut-off, PGA labels."""
+    from quakeframe.plans.dataset import DatasetOptions
+
+    return DatasetOptions(sampling_rate=fx.WAVE_RATE, data_length_sec=12, test_year=fx.TEST_YEAR, mode="test",
+                          label_key="pga", mask_waveform_sec=MASK_SEC, max_station_num=fx.MAX_STATIONS_FX,
+                          label_target=fx.MAX_STATIONS_FX)
+
+
+def q_dataset_test_samples(spark, sf_dir):
+    from quakeframe.plans.dataset import build_dataset, dataset_summary
+
+    ds = build_dataset(fx.fx_catalog(spark, sf_dir), fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR),
+                       fx.fx_waveforms(spark, sf_dir), dataset_test_options())
+    return dataset_summary(ds)
+
+
 def q_dataset_samples(spark, sf_dir):
     """The whole builder: selection, small-event sample, balancing, copies, weights, ranking,
     chunking with bias samples, hydration, random horizons, blanking, blinding, padding."""
@@ -539,6 +553,7 @@ QUERIES = {
     "stream_scored": q_stream_scored,
     "stream_routed": q_stream_routed,
     "dataset_samples": q_dataset_samples,
+    "dataset_test_samples": q_dataset_test_samples,
 }
 
-__all__ = ["QUERIES", "is_number"]
+__all__ = ["QUERIES"]

@@ -131,3 +131,46 @@ def test_pad_slots_no_truncation(spark):
     got = {r.g: r.n for r in p.groupBy("g").agg(F.count("*").alias("n")).collect()}
     assert got == {1: 4, 2: 6}
     assert p.filter("is_padding").select("slot").first().slot == 3
+
+
+def test_member_masks_equal_row_masks(spark):
+    """mask_members/blind_members on collected arrays == apply_cutoff/blind_stations on rows."""
+    from quakeframe.operators.masking import blind_members, mask_members
+
+    rows = []
+    for s in range(60):
+        for slot in range(4):
+            w = [[float(slot + 1), -0.5, float(t)] for t in range(6)]
+            rows.append((f"s{s}", slot, 10 + slot * (s % 5), [21.0 + slot, 120.0, 0.0, 300.0], w))
+    df = spark.createDataFrame(rows, "sid string, slot int, p_pick int, pos array<double>, waveform array<array<float>>")
+    # row version
+    r = df.select("sid", "slot", "p_pick", "waveform", *[F.col("pos")[i].alias(c) for i, c in
+                                                         enumerate(["lat", "lon", "elev", "vs30"])])
+    r = blind_stations(apply_cutoff(with_pick0(r, ["sid"]), 1, 3, 8), ["sid"], length=8)
+    want = {(x.sid, x.slot): (x.blanked, x.blinded, [list(v) for v in x.waveform], x.lat) for x in r.collect()}
+    # array version
+    g = df.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("slot", "p_pick", "pos", "waveform"))).alias("m"))
+    cutoff = (F.col("m")[0]["p_pick"] + 3).cast("int")
+    g = g.withColumn("m", mask_members("m", cutoff, 8))
+    for name, expr in blind_members("m", F.col("sid"), 8):
+        g = g.withColumn(name, expr)
+    got = {}
+    for x in g.collect():
+        for e in x.m:
+            got[(x.sid, e.slot)] = (e.blanked, e.blinded, [list(v) for v in e.waveform], e.pos[0])
+    assert got == want
+    assert any(v[0] for v in got.values()) and any(v[1] for v in got.values())
+
+
+def test_scoring_rows_salt_hot_event(spark):
+    from quakeframe.operators.scoring import scoring_rows, target_groups
+
+    sets = spark.createDataFrame([(1, 5000, 1.0), (2, 3, 2.0)], "eq_id long, n_chunks int, x double")
+    tg = spark.createDataFrame([(1, c, s) for c in range(5000) for s in range(2)] + [(2, c, 0) for c in range(3)],
+                               "eq_id long, chunk_no int, slot int")
+    groups = target_groups(tg, ["eq_id"], ["chunk_no", "slot"], per_row=1024)
+    rows = scoring_rows(sets, groups, ["eq_id"], per_row=1024)
+    per = {r.eq_id: r.n for r in rows.groupBy("eq_id").agg(F.count("*").alias("n")).collect()}
+    assert per == {1: 5, 2: 1}
+    total = rows.select(F.explode("targets")).count()
+    assert total == 10003
