@@ -64,10 +64,17 @@ def match_events(events: DataFrame, traces: DataFrame) -> tuple[DataFrame, DataF
     Only the distinct ``eq_id`` projection of the traces is shuffled (after map-side
     de-duplication), never the trace rows themselves.
     """
-    keys = traces.select("eq_id")
+    keys = traces.select("eq_id").distinct()
     return events.join(keys, "eq_id", "left_semi"), events.join(keys, "eq_id", "left_anti")
 
 
 def check_unique_events(catalog: DataFrame) -> DataFrame:
     """Ids that occur more than once (empty when the catalogue is valid)."""
     return catalog.groupBy("eq_id").count().filter(F.col("count") > 1)
+
+
+def assert_unique_events(catalog: DataFrame) -> None:
+    """Fail fast on a catalogue with duplicate ``eq_id`` (one small aggregation job)."""
+    dup = check_unique_events(catalog).limit(1).collect()
+    if dup:
+        raise ValueError(f"event catalogue has duplicate eq_id {dup[0]['eq_id']}")

@@ -51,8 +51,11 @@ def downsample_small(traces: DataFrame, label: str = "pga", threshold: float = L
 
 
 def events_with_traces(events: DataFrame, traces: DataFrame) -> DataFrame:
-    """Events that still have at least one (valid) trace; a semi join on ``eq_id`` only."""
-    return events.join(traces.select("eq_id"), "eq_id", "left_semi")
+    """Events that still have at least one (valid) trace; a semi join on ``eq_id`` only.
+
+    The trace side is reduced to distinct ids first (map-side de-duplication), so a hot event
+    ships one key per map task, not its traces."""
+    return events.join(traces.select("eq_id").distinct(), "eq_id", "left_semi")
 
 
 def event_copy_count(magnitude, oversample: float) -> "F.Column":

@@ -53,6 +53,7 @@ class DatasetOptions:
     seed: str = "0"
     epoch: int = 0
     max_random_sec: int = 10
+    check_catalog: bool = True
 
     @property
     def length(self) -> int:
@@ -67,7 +68,9 @@ def select_catalog(catalog: DataFrame, o: DatasetOptions) -> DataFrame:
 
 
 def sample_plan(catalog: DataFrame, traces: DataFrame, o: DatasetOptions) -> DataFrame:
-    """Everything up to the long-form sample table (no waveforms yet)."""
+    """Everything up to the ranked, chunked trace table (no waveforms yet)."""
+    if o.check_catalog:
+        cat.assert_unique_events(catalog)
     ev = select_catalog(catalog, o).select("eq_id", "magnitude")
     t = tr.decimate_picks(traces, o.decimate)
     t = tr.valid_traces(t, o.label_key)

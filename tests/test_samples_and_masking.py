@@ -174,3 +174,12 @@ def test_scoring_rows_salt_hot_event(spark):
     assert per == {1: 5, 2: 1}
     total = rows.select(F.explode("targets")).count()
     assert total == 10003
+
+
+def test_duplicate_catalogue_rejected(spark):
+    from quakeframe.plans.dataset import DatasetOptions, sample_plan
+
+    cat = spark.createDataFrame([(1, 2000, 5.0), (1, 2000, 5.0)], "eq_id long, year int, magnitude double")
+    tr = _traces(spark, 3)
+    with pytest.raises(ValueError):
+        sample_plan(cat, tr, DatasetOptions(mode="all"))
