@@ -1,7 +1,8 @@
 """Position of a row inside its group, without sending a whole group to one task.
 
 A plain ``row_number() OVER (PARTITION BY eq_id ...)`` puts every row of an event into one
-task; if one event holds a third of all traces that task holds a third of the data. Here:
+task; if one event holds a third of all traces that task holds a third of the data. Groups
+above a size bound are therefore found first and handled by:
 
 1. range-partition on the full sort key (group key + order columns) and sort within
    partitions: a hot group is spread over many partitions, each sorted;
@@ -27,12 +28,41 @@ from pyspark.sql import functions as F
 from quakeframe.session import ensure_checkpoint_dir
 
 
+DEFAULT_MAX_GROUP_ROWS = 1_000_000
+
+
 def group_positions(df: DataFrame, keys: list[str], order: list[Column | str],
                     pos_col: str = "pos", size_col: str | None = "group_size",
-                    num_partitions: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None, max_group_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
     """Add ``pos_col`` (0-based position in the group under ``order``) and optionally
-    ``size_col`` (rows in the group)."""
+    ``size_col`` (rows in the group).
+
+    Hot groups are split explicitly: one map-side-combined count finds the keys with more
+    than ``max_group_rows`` rows -- at most ``rows / max_group_rows`` of them, so the list has
+    a proven bound and is broadcast. Those keys go through the range-partitioned path below;
+    all other keys use a plain window, whose groups are now known to be bounded."""
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gn"))
+    hot = counts.filter(F.col("_gn") > int(max_group_rows)).select(*keys).collect()
+    if not hot:
+        return _window_positions(df, keys, order_cols, pos_col, size_col)
+    spark = df.sparkSession
+    hot_df = F.broadcast(spark.createDataFrame(hot, df.select(*keys).schema))
+    cold = _window_positions(df.join(hot_df, keys, "left_anti"), keys, order_cols, pos_col, size_col)
+    warm = _range_positions(df.join(hot_df, keys, "left_semi"), keys, order_cols, pos_col, size_col,
+                            num_partitions)
+    return cold.unionByName(warm)
+
+
+def _window_positions(df, keys, order_cols, pos_col, size_col):
+    w = Window.partitionBy(*keys).orderBy(*order_cols)
+    out = df.withColumn(pos_col, (F.row_number().over(w) - 1).cast("int"))
+    if size_col:
+        out = out.withColumn(size_col, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    return out
+
+
+def _range_positions(df, keys, order_cols, pos_col, size_col, num_partitions):
     sort_key = [F.col(k) for k in keys] + order_cols
     n = int(num_partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ensure_checkpoint_dir(df.sparkSession)

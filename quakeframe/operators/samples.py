@@ -28,7 +28,7 @@ def sample_id_col() -> "F.Column":
 
 
 def rank_traces(traces: DataFrame, max_station_num: int = 25, sort_by_picks: bool = True,
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, max_group_rows: int | None = None) -> DataFrame:
     """W1 + W2: ``pos`` of each trace in its event, ``chunk_no``/``slot`` and ``n_chunks``.
 
     Order by pick (ties: trace index, then copy; D10) or, when ``sort_by_picks`` is off, in
@@ -40,8 +40,9 @@ def rank_traces(traces: DataFrame, max_station_num: int = 25, sort_by_picks: boo
         order = [F.col("p_pick").asc_nulls_last(), F.col("trace_idx"), F.col("trace_copy")]
     else:
         order = [(F.col("trace_copy") > 0), F.col("trace_idx"), F.col("trace_copy")]
+    extra = {"max_group_rows": max_group_rows} if max_group_rows else {}
     ranked = group_positions(traces, ["eq_id"], order, pos_col="pos", size_col="n_traces",
-                             num_partitions=num_partitions)
+                             num_partitions=num_partitions, **extra)
     m = int(max_station_num)
     return (ranked
             .withColumn("n_traces", F.col("n_traces").cast("int"))

@@ -158,8 +158,15 @@ def q_intensity_ticks(spark, sf_dir):
 
 # --- ranking and samples ----------------------------------------------------
 
+HOT_EVENT_ROWS = 4  # events above this size take the skew path in ``rank_by_pick``
+
+
 def q_rank_by_pick(spark, sf_dir):
-    r = rank_traces(selected_traces(spark, sf_dir), max_station_num=fx.MAX_STATIONS_FX)
+    """W1/W2. The hot-group bound is set low so that, on the test tables, every event with
+    more than 4 traces goes through the range-partitioned (skew) path and the rest through
+    the window path; both must agree with ``row_number``."""
+    r = rank_traces(selected_traces(spark, sf_dir), max_station_num=fx.MAX_STATIONS_FX,
+                    max_group_rows=HOT_EVENT_ROWS)
     return r.select("eq_id", "trace_idx", "pos", "chunk_no", "slot", "n_chunks")
 
 

@@ -63,12 +63,16 @@ def test_group_positions_hot_key_matches_row_number(spark):
     rows = [(1, i, (i * 7919) % 1000) for i in range(20000)] + \
            [(k, i, (k * i) % 13) for k in range(2, 300) for i in range(k % 9 + 1)]
     df = spark.createDataFrame(rows, "eq_id long, trace_idx int, p_pick int").repartition(6)
-    got = group_positions(df, ["eq_id"], ["p_pick", "trace_idx"], num_partitions=16)
+    got = group_positions(df, ["eq_id"], ["p_pick", "trace_idx"], num_partitions=16, max_group_rows=1000)
     w = Window.partitionBy("eq_id").orderBy("p_pick", "trace_idx")
     want = df.withColumn("want", F.row_number().over(w) - 1).withColumn("want_n", F.count("*").over(Window.partitionBy("eq_id")))
     j = got.join(want, ["eq_id", "trace_idx"])
     assert j.count() == len(rows)
     assert j.filter((F.col("pos") != F.col("want")) | (F.col("group_size") != F.col("want_n"))).count() == 0
+    # with a high bound every key takes the window path and the result is the same
+    same = group_positions(df, ["eq_id"], ["p_pick", "trace_idx"]).select("eq_id", "trace_idx", "pos")
+    assert same.join(got.select("eq_id", "trace_idx", F.col("pos").alias("p2")), ["eq_id", "trace_idx"]) \
+        .filter("pos != p2").count() == 0
     # the hot event really was split over several range partitions
     parts = (df.repartitionByRange(16, "eq_id", "p_pick", "trace_idx")
              .filter(F.col("eq_id") == 1).select(F.spark_partition_id().alias("p")).distinct().count())
