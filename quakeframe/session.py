@@ -18,6 +18,8 @@ SCALE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Checkpoint files of pinned hot-event rankings are removed once unreferenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # A full-shape snapshot is ~900 kB; keep Arrow batches small on the scoring path.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
