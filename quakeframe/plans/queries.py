@@ -435,7 +435,8 @@ def q_mixture_from_logits(spark, sf_dir):
 
 def q_local_time(spark, sf_dir):
     e = fx.read_table(spark, sf_dir, "events")
-    return e.select("event_id", local_time("ts").alias("local_ts"))
+    naive = dict(e.dtypes)["ts"] == "timestamp_ntz"
+    return e.select("event_id", local_time("ts", naive=naive).alias("local_ts"))
 
 
 def _snapshots(spark, sf_dir):

@@ -17,9 +17,15 @@ from quakeframe.schema import LOCAL_TZ, SNAPSHOT_READ
 from quakeframe.sources.snapshots_io import validate_snapshots
 
 
-def local_time(ts="event_time") -> Column:
-    """M8: a UTC timestamp shown as local (Asia/Taipei) text with second precision."""
+def local_time(ts="event_time", naive: bool = False) -> Column:
+    """M8: a UTC time shown as local (Asia/Taipei) text with second precision.
+
+    ``naive=True`` for a ``TIMESTAMP_NTZ`` column holding UTC wall-clock time: converted
+    with ``convert_timezone``, independent of the session time zone. Instants
+    (``TIMESTAMP``) are rendered through ``from_utc_timestamp`` (session zone UTC)."""
     c = F.col(ts) if isinstance(ts, str) else ts
+    if naive:
+        return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(LOCAL_TZ), c), "yyyy-MM-dd HH:mm:ss")
     return F.date_format(F.from_utc_timestamp(c, LOCAL_TZ), "yyyy-MM-dd HH:mm:ss")
 
 
