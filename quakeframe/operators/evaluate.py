@@ -46,25 +46,21 @@ def evaluate(preds: DataFrame, group_cols: list[str] | None = None, y: str = "an
              p: str = "predict") -> DataFrame:
     """Per group ``n``, ``r2`` (1 - SSres/SStot; SStot = 0 gives 1.0 when
     SSres = 0 else 0.0; n < 2 gives NULL; not ``regr_r2``, D9), and the plot limits
-    ``min(y) - 0.5``, ``max(y) + 0.5``. Rows with a non-numeric y or prediction are left out."""
+    ``min(y) - 0.5``, ``max(y) + 0.5``. Rows with a non-numeric y or prediction are left out.
+
+    One map-side-combined pass: SStot = n * var_pop(y) (Welford-style, numerically stable),
+    so the predictions -- and the model behind them -- are computed once."""
     group_cols = list(group_cols or [])
     d = preds.filter(is_number(y) & is_number(p))
-    dummy = not group_cols
-    if dummy:  # a constant key keeps this an (broadcast) equi-join
-        d = d.withColumn("_all", F.lit(0))
-        group_cols = ["_all"]
-    first = d.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("_ybar"),
-                                       F.min(y).alias("_ymin"), F.max(y).alias("_ymax"))
-    joined = d.join(F.broadcast(first), group_cols)
-    second = joined.groupBy(*group_cols, "n", "_ymin", "_ymax").agg(
+    agg = d.groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("n"), F.min(y).alias("_ymin"), F.max(y).alias("_ymax"),
         F.sum((F.col(y) - F.col(p)) ** 2).alias("ss_res"),
-        F.sum((F.col(y) - F.col("_ybar")) ** 2).alias("ss_tot"))
+        (F.var_pop(y) * F.count(F.lit(1))).alias("ss_tot"))
     r2 = (F.when(F.col("n") < 2, F.lit(None).cast("double"))
           .when(F.col("ss_tot") == 0, F.when(F.col("ss_res") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
           .otherwise(F.lit(1.0) - F.col("ss_res") / F.col("ss_tot")))
-    out = second.select(*group_cols, "n", r2.alias("r2"), (F.col("_ymin") - 0.5).alias("lim_lo"),
-                        (F.col("_ymax") + 0.5).alias("lim_hi"), "ss_res", "ss_tot")
-    return out.drop("_all") if dummy else out
+    return agg.select(*group_cols, "n", r2.alias("r2"), (F.col("_ymin") - 0.5).alias("lim_lo"),
+                      (F.col("_ymax") + 0.5).alias("lim_hi"), "ss_res", "ss_tot")
 
 
 def point_prediction(preds: DataFrame, agg: str = "mean", mixture_col: str = "mixture",

@@ -85,11 +85,33 @@ def blind_stations(rows: DataFrame, sample_key: list[str], slot_col: str = "slot
 
 
 def pad_slots(rows: DataFrame, group: list[str], n_slots: int, slot_col: str = "slot",
-              fill: dict | None = None) -> DataFrame:
+              fill: dict | None = None, size_col: str | None = None) -> DataFrame:
     """Add padding rows for slots ``n_real .. n_slots-1`` of every group (none when
     the group is already full or longer: no truncation). Padding rows carry
-    ``is_padding = true`` and the ``fill`` values (zeros by default)."""
+    ``is_padding = true`` and the ``fill`` values (zeros by default); other columns are
+    NULL except the group keys.
+
+    With ``size_col`` (the group's real size, carried on every row), the padding rows are
+    generated from the group's slot-0 row by one ``explode``: a single pass over ``rows``.
+    Without it, group sizes are counted first and the input is read twice."""
     fill = fill or {}
+    if size_col:
+        pad_slots_ = F.when((F.col(slot_col) == 0) & (F.col(size_col) < n_slots),
+                            F.sequence(F.col(size_col).cast("int"), F.lit(n_slots - 1))) \
+            .otherwise(F.array().cast("array<int>"))
+        marks = F.concat(F.array(F.lit(-1)), pad_slots_)
+        x = rows.withColumn("_pad", F.explode(marks))
+        is_pad = F.col("_pad") >= 0
+        keep = set(group) | {slot_col, "_pad"}
+        out = x
+        for c in rows.columns:
+            if c in keep:
+                continue
+            val = fill.get(c)
+            val = (val if isinstance(val, Column) else F.lit(val)) if c in fill else F.lit(None)
+            out = out.withColumn(c, F.when(is_pad, val.cast(rows.schema[c].dataType)).otherwise(F.col(c)))
+        return (out.withColumn(slot_col, F.when(is_pad, F.col("_pad")).otherwise(F.col(slot_col)))
+                .withColumn("is_padding", is_pad).drop("_pad"))
     counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n_real"))
     pads = (counts.filter(F.col("_n_real") < n_slots)
             .select(*group, F.explode(F.sequence(F.col("_n_real").cast("int"), F.lit(n_slots - 1))).alias(slot_col)))

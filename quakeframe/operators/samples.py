@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakeframe.operators.ranking import group_positions
+from quakeframe.session import ensure_checkpoint_dir
 
 SAMPLE_KEY = ["eq_id", "event_copy", "chunk_no", "is_bias"]
 
@@ -28,11 +29,17 @@ def sample_id_col() -> "F.Column":
 
 
 def rank_traces(traces: DataFrame, max_station_num: int = 25, sort_by_picks: bool = True,
-                num_partitions: int | None = None, max_group_rows: int | None = None) -> DataFrame:
-    """W1 + W2: ``pos`` of each trace in its event, ``chunk_no``/``slot`` and ``n_chunks``.
+                num_partitions: int | None = None, max_group_rows: int | None = None,
+                pin: bool = True) -> DataFrame:
+    """W1 + W2: ``pos`` of each trace in its event, ``chunk_no``/``slot``, ``n_chunks`` and
+    ``chunk_size`` (traces in this trace's chunk).
 
     Order by pick (ties: trace index, then copy; D10) or, when ``sort_by_picks`` is off, in
     stored order: original traces by index, then the over-sampled copies.
+
+    The ranked table feeds several consumers (targets, chunk 0, the chunk spine); with
+    ``pin`` it is written once with a reliable ``checkpoint()`` (shared checkpoint folder),
+    so the ranking is computed once and later stages restart from it after a failure.
     """
     if "trace_copy" not in traces.columns:
         traces = traces.withColumn("trace_copy", F.lit(0))
@@ -44,11 +51,16 @@ def rank_traces(traces: DataFrame, max_station_num: int = 25, sort_by_picks: boo
     ranked = group_positions(traces, ["eq_id"], order, pos_col="pos", size_col="n_traces",
                              num_partitions=num_partitions, **extra)
     m = int(max_station_num)
-    return (ranked
-            .withColumn("n_traces", F.col("n_traces").cast("int"))
-            .withColumn("chunk_no", (F.col("pos") / m).cast("int"))
-            .withColumn("slot", (F.col("pos") % m).cast("int"))
-            .withColumn("n_chunks", ((F.col("n_traces") + (m - 1)) / m).cast("int")))
+    ranked = (ranked
+              .withColumn("n_traces", F.col("n_traces").cast("int"))
+              .withColumn("chunk_no", (F.col("pos") / m).cast("int"))
+              .withColumn("slot", (F.col("pos") % m).cast("int"))
+              .withColumn("n_chunks", ((F.col("n_traces") + (m - 1)) / m).cast("int"))
+              .withColumn("chunk_size", F.least(F.lit(m), F.col("n_traces") - F.col("chunk_no") * m).cast("int")))
+    if pin:
+        ensure_checkpoint_dir(ranked.sparkSession)
+        ranked = ranked.checkpoint(eager=True)
+    return ranked
 
 
 def build_samples(ranked: DataFrame, bias_to_closer_station: bool = False,

@@ -270,11 +270,15 @@ def flatten_predictions(scored: DataFrame, key_cols: list[str], target_fields: l
                          "mixture", "predict")
 
 
-def pad_predictions(preds: DataFrame, group: list[str], n_slots: int, slot_col: str = "slot") -> DataFrame:
+def pad_predictions(preds: DataFrame, group: list[str], n_slots: int, slot_col: str = "slot",
+                    size_col: str | None = "chunk_size") -> DataFrame:
     """E7 padding: like the reference's fixed 25-target output, add rows for missing slots
-    with NULL picks/times/ids and zero answers, flagged ``is_real = false`` (F8 filters on
-    the flag, not on ``answer != 0``; D4)."""
+    with NULL picks/times/ids and zero answers and positions, flagged ``is_real = false``
+    (F8 filters on the flag, not on ``answer != 0``; D4). With ``size_col`` (targets in the
+    sample) this is a single pass over the predictions: the model is never re-run."""
     from quakeframe.operators.masking import pad_slots
 
-    p = pad_slots(preds, group, n_slots, slot_col=slot_col, fill={"answer": 0.0})
+    fill = {c: 0.0 for c in ("answer", "latitude", "longitude", "elevation") if c in preds.columns}
+    p = pad_slots(preds, group, n_slots, slot_col=slot_col, fill=fill,
+                  size_col=size_col if size_col in preds.columns else None)
     return p.withColumn("is_real", ~F.col("is_padding")).drop("is_padding")

@@ -251,8 +251,8 @@ def q_event_traces_cropped(spark, sf_dir):
 def q_snapshot_slots(spark, sf_dir):
     s = _test_samples(spark, sf_dir)
     fill = {"lat": 0.0, "lon": 0.0, "elev": 0.0, "vs30": 0.0, "pga": 0.0}
-    p = pad_slots(s.select("sample_id", "side", "slot", "lat", "lon", "elev", "vs30", "pga"),
-                  ["sample_id", "side"], fx.MAX_STATIONS_FX, fill=fill)
+    p = pad_slots(s.select("sample_id", "side", "slot", "lat", "lon", "elev", "vs30", "pga", "chunk_size"),
+                  ["sample_id", "side"], fx.MAX_STATIONS_FX, fill=fill, size_col="chunk_size")
     return p.select("sample_id", "side", "slot", "is_padding", "lat", "lon", "elev", "vs30",
                     F.when(F.col("side") == "target", _r(F.col("pga"))).alias("label"))
 
@@ -352,9 +352,10 @@ def _predictions(spark, sf_dir):
     r = rank_traces(t, max_station_num=fx.MAX_STATIONS_FX)
     c0 = hydrate_inputs(r.filter(F.col("chunk_no") == 0), fx.fx_waveforms(spark, sf_dir))
     sets = masked_input_sets(c0, ["eq_id"], fx.MAX_STATIONS_FX, T_PAD, MASK_SEC, fx.WAVE_RATE)
-    fields = ["chunk_no", "slot", "trace_idx", "p_pick", "label_time", "answer", "lat", "lon", "elev", "vs30"]
+    fields = ["chunk_no", "slot", "trace_idx", "p_pick", "label_time", "answer", "lat", "lon", "elev", "vs30",
+              "chunk_size"]
     tg = r.select("eq_id", *fields[:4], F.col("pga_time").alias("label_time"), F.col("pga").alias("answer"),
-                  "lat", "lon", "elev", "vs30")
+                  "lat", "lon", "elev", "vs30", "chunk_size")
     rows = scoring_rows(sets, target_groups(tg, ["eq_id"], fields), ["eq_id"])
     scored = score(rows, models(), ["eq_id"])
     return scored.select(
@@ -362,7 +363,7 @@ def _predictions(spark, sf_dir):
         F.col("target.slot").alias("slot"), "eq_id", F.col("target.p_pick").alias("p_pick"),
         F.col("target.label_time").alias("label_time"), "predict", F.col("target.answer").alias("answer"),
         F.col("target.lat").alias("latitude"), F.col("target.lon").alias("longitude"),
-        F.col("target.elev").alias("elevation"), "mixture")
+        F.col("target.elev").alias("elevation"), F.col("target.chunk_size").alias("chunk_size"), "mixture")
 
 
 _PRED_COLS = ["model", "sample_id", "slot", "eq_id", "p_pick", "label_time"]
