@@ -74,7 +74,7 @@ class OnnxScorer:
     """A real model exported to ONNX with inputs ``waveform [1,S,T,C]``, ``sta [1,S,F]``,
     ``target [1,N,F]`` and outputs ``weight, sigma, mu`` of shape ``[1,N,K]``.
 
-    The session is created once per Python worker. Untested without a model file."""
+    The session is created once per Python worker (tests use a small hand-built mixture head)."""
 
     def __init__(self, path: str, name: str):
         self.path, self.name = path, name
