@@ -203,3 +203,21 @@ def test_stream_archives_consumed_files(spark):
     await_all(spark)
     assert spark.read.parquet(sink).count() == 6
     assert not q.isActive
+
+
+def test_read_tables_conform(spark, tmp_path):
+    from quakeframe.sources.tables import read_catalog, read_traces
+
+    p = str(tmp_path / "cat.parquet")
+    spark.createDataFrame([(5, 2016, 4.5, "x")], "EQ_ID int, year long, magnitude float, other string") \
+        .write.parquet(p)
+    c = read_catalog(spark, p, {"eq_id": "EQ_ID"})
+    assert c.dtypes == [("eq_id", "bigint"), ("year", "int"), ("magnitude", "double")]
+    t = str(tmp_path / "tr.parquet")
+    spark.createDataFrame([(5, 0, 21.0, 120.0, 0.0, 100, -1.0, 300)],
+                          "eq_id long, trace_idx int, lat double, lon double, elev double, p_pick int, "
+                          "pga double, pga_time int").write.parquet(t)
+    tr = read_traces(spark, t).first()
+    assert tr.pgv is None and tr.pga == -1.0
+    with pytest.raises(ValueError):
+        read_catalog(spark, t)
