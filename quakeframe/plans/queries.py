@@ -166,7 +166,7 @@ def q_rank_by_pick(spark, sf_dir):
     more than 4 traces goes through the range-partitioned (skew) path and the rest through
     the window path; both must agree with ``row_number``."""
     r = rank_traces(selected_traces(spark, sf_dir), max_station_num=fx.MAX_STATIONS_FX,
-                    max_group_rows=HOT_EVENT_ROWS)
+                    max_group_rows=HOT_EVENT_ROWS, pin=False)  # one consumer: nothing to pin
     return r.select("eq_id", "trace_idx", "pos", "chunk_no", "slot", "n_chunks")
 
 
@@ -259,7 +259,7 @@ def q_snapshot_slots(spark, sf_dir):
 
 def _masked_inputs(spark, sf_dir, sec=MASK_SEC, length=T_PAD):
     t = selected_traces(spark, sf_dir, mode="test", traces=fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR))
-    r = rank_traces(t, max_station_num=fx.MAX_STATIONS_FX)
+    r = rank_traces(t, max_station_num=fx.MAX_STATIONS_FX, pin=False)  # one consumer
     inputs = hydrate_inputs(input_traces(r), fx.fx_waveforms(spark, sf_dir))
     return apply_cutoff(inputs, sec, fx.WAVE_RATE, length)
 
