@@ -117,3 +117,32 @@ def await_all(spark: SparkSession, timeout: float | None = None) -> None:
             if q.exception() is not None:
                 raise RuntimeError(str(q.exception()))
         spark.streams.resetTerminated()
+
+
+def run_stream_reported(spark: SparkSession, source_dir: str, sink_dir: str, report_dir: str,
+                        checkpoint_dir: str, scorers: list, max_files: int = 1, trigger: dict | None = None):
+    """S10 + ST1: like ``run_stream`` but every micro-batch also appends a report row
+    (batch id, snapshots, predictions, local output time) -- two sinks fed by one batch, the
+    one case where ``foreachBatch`` is the right tool.
+
+    Each batch is written to ``.../batch_id=<id>`` in overwrite mode, so a batch replayed
+    after a failure replaces its own output instead of duplicating it. The scored batch is
+    persisted for the two writes and released afterwards."""
+    snaps = stream_snapshots(spark, source_dir, max_files)
+    preds = score_snapshots(snaps, scorers)
+
+    def write_batch(batch, batch_id):
+        batch = batch.persist()
+        try:
+            batch.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
+            report = batch.agg(
+                F.countDistinct("eq_id", "mask_sec").alias("n_snapshots"),
+                F.count(F.lit(1)).alias("n_predictions"))
+            (report.withColumn("batch_id", F.lit(batch_id).cast("long"))
+             .withColumn("output_time", local_time(F.current_timestamp()))
+             .write.mode("overwrite").parquet(f"{report_dir}/batch_id={batch_id}"))
+        finally:
+            batch.unpersist()
+
+    w = preds.writeStream.option("checkpointLocation", checkpoint_dir).foreachBatch(write_batch)
+    return w.trigger(**(trigger or {"availableNow": True})).start()

@@ -221,3 +221,16 @@ def test_read_tables_conform(spark, tmp_path):
     assert tr.pgv is None and tr.pga == -1.0
     with pytest.raises(ValueError):
         read_catalog(spark, t)
+
+
+def test_stream_batch_report(spark):
+    from quakeframe.streaming.stream import run_stream_reported
+
+    src, sink, rep, ckpt = (shared_dir(spark, n) for n in ("r-src", "r-sink", "r-rep", "r-ckpt"))
+    write_snapshots(_snapshots(spark, 5), src, partition_by=None, files_per_partition=2)
+    q = run_stream_reported(spark, src, sink, rep, ckpt, [AttenuationScorer(0.5, 0.3, "a")], max_files=1)
+    q.awaitTermination()
+    report = spark.read.parquet(rep).collect()
+    assert len(report) == 2 and sum(r.n_predictions for r in report) == 10
+    assert sum(r.n_snapshots for r in report) == 5
+    assert spark.read.parquet(sink).count() == 10
