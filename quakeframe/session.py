@@ -18,7 +18,11 @@ SCALE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # Checkpoint files of pinned hot-event rankings are removed once unreferenced.
+    # Runtime Bloom filters: the wide waveform scan is filtered by the (much smaller) set of
+    # chunk-0 trace keys before it is shuffled for the hydration join.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "256MB",
+    # Checkpoint files of pinned rankings are removed once unreferenced.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # A full-shape input set is ~900 kB; 64 rows keep an Arrow batch near 60 MB.
