@@ -21,10 +21,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import quakeframe
 from quakeframe.functions.waveform import fit_waveform, zero_samples
 from quakeframe.schema import MIXTURE_TYPE, N_COMPONENTS, PEAK_EPS
 
 
+def _ship_by_value() -> None:
+    """Pickle this package's functions and classes by value, so executor Python workers
+    need no installed copy of it (the scorer and the Arrow batch function travel with the
+    task). Deployments that install the package on every node lose nothing."""
+    from pyspark import cloudpickle
+
+    try:
+        cloudpickle.register_pickle_by_value(quakeframe)
+    except ValueError:  # already registered
+        pass
+
+
+_ship_by_value()
+
+
 class Scorer(Protocol):
     name: str
 
