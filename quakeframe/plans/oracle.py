@@ -533,6 +533,9 @@ ORACLE["stream_scored"] = with_views(f"""
     SELECT eq_id, mask_sec, model, slot, round(predict, 6) AS predict FROM spr""", *W_VIEWS)
 
 
+ORACLE["snapshots_batch_scored"] = ORACLE["stream_scored"]
+
+
 def _route_sql() -> str:
     whens = " ".join(f"WHEN latitude >= {lit(lo)} AND latitude < {lit(hi)} THEN '{n}'" for n, lo, hi in q.ROUTES)
     return f"CASE {whens} ELSE 'other' END"

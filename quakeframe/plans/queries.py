@@ -463,6 +463,17 @@ def _run_stream(spark, sf_dir, rules=None):
     return spark.read.parquet(sink)
 
 
+def q_snapshots_batch_scored(spark, sf_dir):
+    """The replay snapshots written as JSON, read back in batch and scored (self-targets).
+    Same result as the streamed version."""
+    from quakeframe.streaming.stream import score_snapshots
+
+    path = shared_dir(spark, "batch-snapshots")
+    write_snapshots(_snapshots(spark, sf_dir), path, partition_by=None)
+    out = score_snapshots(read_snapshots(spark, path), models())
+    return out.select("eq_id", "mask_sec", "model", "slot", _r(F.col("predict")).alias("predict"))
+
+
 def q_stream_scored(spark, sf_dir):
     out = _run_stream(spark, sf_dir)
     return out.select("eq_id", "mask_sec", "model", "slot", _r(F.col("predict")).alias("predict"))
@@ -559,6 +570,7 @@ QUERIES = {
     "mixture_from_logits": q_mixture_from_logits,
     "local_time": q_local_time,
     "validate_snapshots": q_validate_snapshots,
+    "snapshots_batch_scored": q_snapshots_batch_scored,
     "stream_scored": q_stream_scored,
     "stream_routed": q_stream_routed,
     "dataset_samples": q_dataset_samples,
