@@ -17,6 +17,8 @@ SCALE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Broadcast decided on the runtime-measured size of a finished stage (a checked bound).
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
     # Runtime Bloom filters: the wide waveform scan is filtered by the (much smaller) set of
     # chunk-0 trace keys before it is shuffled for the hydration join.
