@@ -29,6 +29,7 @@ from quakeframe.session import ensure_checkpoint_dir
 
 
 DEFAULT_MAX_GROUP_ROWS = 1_000_000
+MAX_HOT_KEYS = 100_000  # cap on the hot-key list brought to the driver and broadcast
 
 
 def group_positions(df: DataFrame, keys: list[str], order: list[Column | str],
@@ -39,13 +40,17 @@ def group_positions(df: DataFrame, keys: list[str], order: list[Column | str],
 
     Hot groups are split explicitly: one map-side-combined count finds the keys with more
     than ``max_group_rows`` rows -- at most ``rows / max_group_rows`` of them, so the list has
-    a proven bound and is broadcast. Those keys go through the range-partitioned path below;
-    all other keys use a plain window, whose groups are now known to be bounded."""
+    a proven bound and is broadcast (never more than ``MAX_HOT_KEYS``: beyond that every key
+    takes the range path and nothing is collected). Those keys go through the
+    range-partitioned path below; all other keys use a plain window, whose groups are now
+    known to be bounded."""
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gn"))
-    hot = counts.filter(F.col("_gn") > int(max_group_rows)).select(*keys).collect()
+    hot = counts.filter(F.col("_gn") > int(max_group_rows)).select(*keys).limit(MAX_HOT_KEYS + 1).collect()
     if not hot:
         return _window_positions(df, keys, order_cols, pos_col, size_col)
+    if len(hot) > MAX_HOT_KEYS:
+        return _range_positions(df, keys, order_cols, pos_col, size_col, num_partitions)
     spark = df.sparkSession
     hot_df = F.broadcast(spark.createDataFrame(hot, df.select(*keys).schema))
     cold = _window_positions(df.join(hot_df, keys, "left_anti"), keys, order_cols, pos_col, size_col)

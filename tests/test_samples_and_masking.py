@@ -187,3 +187,16 @@ def test_duplicate_catalogue_rejected(spark):
     tr = _traces(spark, 3)
     with pytest.raises(ValueError):
         sample_plan(cat, tr, DatasetOptions(mode="all"))
+
+
+def test_group_positions_all_range_path_when_many_hot_keys(spark, monkeypatch):
+    from quakeframe.operators import ranking
+
+    monkeypatch.setattr(ranking, "MAX_HOT_KEYS", 3)
+    rows = [(k, i, (k * i) % 5) for k in range(10) for i in range(6)]
+    df = spark.createDataFrame(rows, "eq_id long, trace_idx int, p_pick int")
+    got = ranking.group_positions(df, ["eq_id"], ["p_pick", "trace_idx"], max_group_rows=2)
+    w = Window.partitionBy("eq_id").orderBy("p_pick", "trace_idx")
+    want = df.withColumn("want", F.row_number().over(w) - 1)
+    j = got.join(want, ["eq_id", "trace_idx"])
+    assert j.count() == 60 and j.filter("pos != want").count() == 0
