@@ -453,7 +453,7 @@ ORACLE["predictions_real_only"] = with_views(f"""
     , {_PRED},
     pads AS (SELECT model, sum({M} - n) AS n_pad FROM (SELECT model, sample_id, count(*) AS n FROM pr GROUP BY ALL)
              WHERE n < {M} GROUP BY model)
-    SELECT p.model, count(*) + coalesce(max(pads.n_pad), 0) AS n_rows, count(*) AS n_real,
+    SELECT p.model, CAST(count(*) + coalesce(max(pads.n_pad), 0) AS BIGINT) AS n_rows, count(*) AS n_real,
            count(*) FILTER (WHERE answer <> 0) AS n_answer_nonzero
     FROM pr p LEFT JOIN pads USING (model) GROUP BY p.model""", *W_VIEWS)
 
