@@ -32,6 +32,27 @@ SCALE_CONF = {
 }
 
 
+def _driver_memory() -> str:
+    """QF_DRIVER_MEMORY, else 60% of the machine's memory capped at 16g (local mode: the
+    driver heap is the whole engine, and a heap larger than the container gets it killed)."""
+    if os.environ.get("QF_DRIVER_MEMORY"):
+        return os.environ["QF_DRIVER_MEMORY"]
+    try:
+        with open("/proc/meminfo") as f:
+            kb = int(next(line for line in f if line.startswith("MemTotal")).split()[1])
+        limit = None
+        for cg in ("/sys/fs/cgroup/memory.max", "/sys/fs/cgroup/memory/memory.limit_in_bytes"):
+            if os.path.exists(cg):
+                raw = open(cg).read().strip()
+                if raw.isdigit():
+                    limit = int(raw) // 1024
+        if limit:
+            kb = min(kb, limit)
+        return f"{max(1, min(16, int(kb * 0.6 / 1024 / 1024)))}g"
+    except (OSError, StopIteration, ValueError):
+        return "4g"
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "quakeframe") -> SparkSession:
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -39,7 +60,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = builder.master(master or f"local[{cpus}]")
     builder = builder.config("spark.ui.enabled", "false")
     builder = builder.config("spark.ui.showConsoleProgress", "false")
-    builder = builder.config("spark.driver.memory", os.environ.get("QF_DRIVER_MEMORY", "16g"))
+    builder = builder.config("spark.driver.memory", _driver_memory())
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
     for k, v in SCALE_CONF.items():
         builder = builder.config(k, v)
