@@ -115,6 +115,15 @@ ORACLE["events_small_sampled"] = with_views(f"""
     WHERE {num('magnitude')} AND magnitude < {lit(q.MAG_T)} AND year <> {TY}
       AND {u_sql('eq_id', salt='small-event|0')} < 0.25""", "fx_catalog")
 
+ORACLE["events_small_sampled_exact"] = with_views(f"""
+    SELECT eq_id, year, magnitude, false AS is_small FROM ({events_sql(mag=q.MAG_T)})
+    UNION ALL
+    SELECT eq_id, year, magnitude, true AS is_small FROM (
+      SELECT *, row_number() OVER (ORDER BY u, eq_id) - 1 AS r, count(*) OVER () AS n FROM (
+        SELECT *, {u_sql('eq_id', salt='small-event|0')} AS u FROM fx_catalog
+        WHERE {num('magnitude')} AND magnitude < {lit(q.MAG_T)} AND year <> {TY}))
+    WHERE r < round_even(n * 0.25, 0)""", "fx_catalog")
+
 ORACLE["events_year_split"] = with_views(f"""
     SELECT 'train' AS mode, eq_id, year FROM ({events_sql('train', q.MAG_T)})
     UNION ALL SELECT 'test' AS mode, eq_id, year FROM ({events_sql('test', q.MAG_T)})""", "fx_catalog")

@@ -67,6 +67,12 @@ def q_events_small_sampled(spark, sf_dir):
     return ev.select("eq_id", "year", "magnitude", "is_small")
 
 
+def q_events_small_sampled_exact(spark, sf_dir):
+    ev = cat.select_events(fx.fx_catalog(spark, sf_dir), mag_threshold=MAG_T, part_small_event=True,
+                           test_year=fx.TEST_YEAR, exact=True)
+    return ev.select("eq_id", "year", "magnitude", "is_small")
+
+
 def q_events_year_split(spark, sf_dir):
     ev = cat.select_events(fx.fx_catalog(spark, sf_dir), mag_threshold=MAG_T)
     parts = [cat.split_by_year(ev, m, fx.TEST_YEAR).select(F.lit(m).alias("mode"), "eq_id", "year")
@@ -527,6 +533,7 @@ def q_dataset_samples(spark, sf_dir):
 QUERIES = {
     "events_by_magnitude": q_events_by_magnitude,
     "events_small_sampled": q_events_small_sampled,
+    "events_small_sampled_exact": q_events_small_sampled_exact,
     "events_year_split": q_events_year_split,
     "events_first_n": q_events_first_n,
     "replay_year_ids": q_replay_year_ids,
