@@ -120,29 +120,37 @@ def await_all(spark: SparkSession, timeout: float | None = None) -> None:
 
 
 def run_stream_reported(spark: SparkSession, source_dir: str, sink_dir: str, report_dir: str,
-                        checkpoint_dir: str, scorers: list, max_files: int = 1, trigger: dict | None = None):
-    """S10 + ST1: like ``run_stream`` but every micro-batch also appends a report row
-    (batch id, snapshots, predictions, local output time) -- two sinks fed by one batch, the
-    one case where ``foreachBatch`` is the right tool.
+                        checkpoint_dir: str, scorers: list, max_files: int = 1, trigger: dict | None = None,
+                        quarantine_dir: str | None = None):
+    """S10 + ST1 + D13: like ``run_stream`` but each micro-batch is validated once and feeds
+    up to three sinks: predictions of the valid snapshots, the invalid ones with their reason
+    (quarantine), and a report row (batch id, snapshots, rejected, predictions, local output
+    time) -- several sinks fed by one batch, the one case where ``foreachBatch`` is the tool.
 
     Each batch is written to ``.../batch_id=<id>`` in overwrite mode, so a batch replayed
-    after a failure replaces its own output instead of duplicating it. The scored batch is
-    persisted for the two writes and released afterwards."""
+    after a failure replaces its own output instead of duplicating it. The validated batch
+    is persisted for the writes and released afterwards."""
     snaps = stream_snapshots(spark, source_dir, max_files)
-    preds = score_snapshots(snaps, scorers)
 
     def write_batch(batch, batch_id):
-        batch = batch.persist()
+        checked = validate_snapshots(batch, n_stations=None).persist()
         try:
-            batch.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
-            report = batch.agg(
-                F.countDistinct("eq_id", "mask_sec").alias("n_snapshots"),
-                F.count(F.lit(1)).alias("n_predictions"))
-            (report.withColumn("batch_id", F.lit(batch_id).cast("long"))
+            preds = score_snapshots(checked.filter(F.col("valid")).drop("valid", "reason"), scorers).persist()
+            preds.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
+            bad = checked.filter(~F.col("valid"))
+            if quarantine_dir:
+                (bad.select("eq_id", "mask_sec", "event_time", "reason", "_corrupt_record")
+                 .write.mode("overwrite").parquet(f"{quarantine_dir}/batch_id={batch_id}"))
+            kinds = (checked.select(F.when(F.col("valid"), "snapshot").otherwise("rejected").alias("k"))
+                     .unionByName(preds.select(F.lit("prediction").alias("k"))))
+            counts = kinds.agg(*[F.count(F.when(F.col("k") == k, 1)).alias(f"n_{k}s" if k != "rejected" else "n_rejected")
+                                 for k in ("snapshot", "rejected", "prediction")])
+            (counts.withColumn("batch_id", F.lit(batch_id).cast("long"))
              .withColumn("output_time", local_time(F.current_timestamp()))
              .write.mode("overwrite").parquet(f"{report_dir}/batch_id={batch_id}"))
+            preds.unpersist()
         finally:
-            batch.unpersist()
+            checked.unpersist()
 
-    w = preds.writeStream.option("checkpointLocation", checkpoint_dir).foreachBatch(write_batch)
+    w = snaps.writeStream.option("checkpointLocation", checkpoint_dir).foreachBatch(write_batch)
     return w.trigger(**(trigger or {"availableNow": True})).start()

@@ -226,11 +226,15 @@ def test_read_tables_conform(spark, tmp_path):
 def test_stream_batch_report(spark):
     from quakeframe.streaming.stream import run_stream_reported
 
-    src, sink, rep, ckpt = (shared_dir(spark, n) for n in ("r-src", "r-sink", "r-rep", "r-ckpt"))
+    src, sink, rep, ckpt, qdir = (shared_dir(spark, n) for n in ("r-src", "r-sink", "r-rep", "r-ckpt", "r-q"))
     write_snapshots(_snapshots(spark, 5), src, partition_by=None, files_per_partition=2)
-    q = run_stream_reported(spark, src, sink, rep, ckpt, [AttenuationScorer(0.5, 0.3, "a")], max_files=1)
+    _write_lines(src.replace("file:", ""), ['{"event_time": "2024-01-01 00:00:00", "waveform": [[[0.1, 0.2'])
+    q = run_stream_reported(spark, src, sink, rep, ckpt, [AttenuationScorer(0.5, 0.3, "a")], max_files=1,
+                            quarantine_dir=qdir)
     q.awaitTermination()
     report = spark.read.parquet(rep).collect()
-    assert len(report) == 2 and sum(r.n_predictions for r in report) == 10
-    assert sum(r.n_snapshots for r in report) == 5
+    assert len(report) == 3 and sum(r.n_predictions for r in report) == 10
+    assert sum(r.n_snapshots for r in report) == 5 and sum(r.n_rejected for r in report) == 1
     assert spark.read.parquet(sink).count() == 10
+    bad = spark.read.parquet(qdir).collect()
+    assert len(bad) == 1 and bad[0].reason == "corrupt"
