@@ -234,8 +234,12 @@ def _wave_stats(w):
 
 
 def q_hydrate_inputs(spark, sf_dir):
-    s = _test_samples(spark, sf_dir).filter(F.col("side") == "input")
-    h = hydrate_inputs(s, fx.fx_waveforms(spark, sf_dir))
+    """Chunk 0 fetches its waveforms once per event (unique trace keys), then the
+    hydrated rows are copied into every sample by the salted chunk-bucket join."""
+    t = selected_traces(spark, sf_dir, mode="test")
+    r = rank_traces(t, max_station_num=fx.MAX_STATIONS_FX)
+    c0 = hydrate_inputs(r.filter(F.col("chunk_no") == 0), fx.fx_waveforms(spark, sf_dir))
+    h = build_samples(r, inputs=c0).filter(F.col("side") == "input")
     return h.select("sample_id", "slot", "trace_idx", "lat", "lon", "elev", "vs30", "p_pick",
                     F.size("waveform").alias("n_samples"), _r(peak_abs("waveform")).alias("peak"))
 
