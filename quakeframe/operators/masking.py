@@ -37,7 +37,8 @@ def apply_cutoff(rows: DataFrame, sec, rate: int, length: int, wave_col: str = "
         return out
     sec_c = sec if isinstance(sec, Column) else F.lit(int(sec))
     cutoff = (F.col("pick0") + sec_c * int(rate)).cast("int")
-    out = rows.withColumn("cutoff", cutoff).withColumn("blanked", F.col("p_pick") > F.col("cutoff"))
+    late = F.coalesce(F.col("p_pick") > F.col("cutoff"), F.lit(False))  # NULL pick: not blanked
+    out = rows.withColumn("cutoff", cutoff).withColumn("blanked", late)
     if wave_col in rows.columns:
         out = out.withColumn(wave_col, blank_if(fit_waveform(wave_col, length, F.col("cutoff")),
                                                 F.col("blanked"), length))

@@ -200,3 +200,10 @@ def test_group_positions_all_range_path_when_many_hot_keys(spark, monkeypatch):
     want = df.withColumn("want", F.row_number().over(w) - 1)
     j = got.join(want, ["eq_id", "trace_idx"])
     assert j.count() == 60 and j.filter("pos != want").count() == 0
+
+
+def test_null_pick_is_not_blanked(spark):
+    rows = [(1, 0, 10, 21.0), (1, 1, None, 22.0)]
+    df = with_pick0(spark.createDataFrame(rows, "eq_id long, slot int, p_pick int, lat double"), ["eq_id"])
+    out = apply_cutoff(df, 1, 1, 5).orderBy("slot").collect()
+    assert [r.blanked for r in out] == [False, False] and out[1].lat == 22.0
