@@ -176,3 +176,44 @@ def blind_members(members: str, sample_id: Column, length: int, epoch: int = 0,
     # Each step is its own column: an expression inside a lambda is re-evaluated per member.
     return [(tmp, keyed), (chosen, F.transform(F.slice(F.col(tmp), 1, k), lambda e: e["s"])),
             (members, F.transform(F.col(members), one))]
+
+
+def masked_blinded_arrays(members: str, cutoff: Column, sample_id: Column | None, length: int,
+                          n_slots: int, epoch: int = 0, seed: str = "0",
+                          pos_width: int = 4) -> list[tuple[str, Column]]:
+    """C6 + C7 (+ E6 when ``sample_id`` is given) + C3 fused: the final ``waveform`` and
+    ``sta`` arrays of a sample in one pass over the member waveforms.
+
+    Equal to ``mask_members`` then ``blind_members`` then padding to ``n_slots``, but the
+    blinding choice is made from picks, the cut-off and positions only (a member is non-zero
+    after masking iff it is not blanked and its position is non-zero), so the waveform arrays
+    are copied once instead of once per step. Returns column steps ``[(name, expr), ...]``."""
+    from quakeframe.functions.waveform import zero_samples
+
+    zero_pos = F.array_repeat(F.lit(0.0), pos_width)
+
+    def late(e):
+        return F.coalesce(e["p_pick"] > cutoff, F.lit(False))
+
+    steps: list[tuple[str, Column]] = []
+    chosen = f"_{members}_k"
+    if sample_id is not None:
+        keyed = f"_{members}_b"
+        steps.append((keyed, F.sort_array(F.transform(F.col(members), lambda e: F.struct(
+            (late(e) | ~F.exists(e["pos"], lambda x: x != 0)).alias("z"),
+            hash_uniform(sample_id, e["slot"], salt=f"blind-pick|{epoch}|{seed}").alias("u"),
+            e["slot"].alias("s"))))))
+        n = F.size(F.filter(F.col(keyed), lambda e: ~e["z"]))
+        k = F.floor(hash_uniform(sample_id, salt=f"blind-k|{epoch}|{seed}") * n).cast("int")
+        steps.append((chosen, F.transform(F.slice(F.col(keyed), 1, k), lambda e: e["s"])))
+        gone = lambda e: late(e) | F.array_contains(F.col(chosen), e["slot"])
+    else:
+        gone = late
+    pad = F.greatest(F.lit(int(n_slots)) - F.size(members), F.lit(0))
+    wave = F.transform(F.col(members), lambda e: F.when(gone(e), zero_samples(length))
+                       .otherwise(F.when(cutoff.isNull(), fit_waveform(e["waveform"], length))
+                                  .otherwise(fit_waveform(e["waveform"], length, cutoff))))
+    sta = F.transform(F.col(members), lambda e: F.when(gone(e), zero_pos).otherwise(e["pos"]))
+    steps.append(("waveform", F.concat(wave, F.array_repeat(zero_samples(length), pad))))
+    steps.append(("sta", F.concat(sta, F.array_repeat(zero_pos, pad))))
+    return steps

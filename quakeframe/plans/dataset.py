@@ -23,7 +23,7 @@ from quakeframe.functions.waveform import fit_waveform, zero_samples
 from quakeframe.operators import catalog as cat
 from quakeframe.operators import traces as tr
 from quakeframe.operators.balance import label_weights
-from quakeframe.operators.masking import blind_members, mask_members, random_cutoff_sec
+from quakeframe.operators.masking import masked_blinded_arrays, random_cutoff_sec
 from quakeframe.operators.samples import hydrate_inputs, rank_traces, sample_id_col
 
 
@@ -149,18 +149,15 @@ def build_dataset(catalog: DataFrame, traces: DataFrame, waveforms: DataFrame, o
     pick0 = F.col("_in")[0]["p_pick"]
     masked = bool(o.mask_waveform_random or o.mask_waveform_sec)
     cutoff = (pick0 + F.col("mask_sec") * int(o.sampling_rate)).cast("int") if masked else F.lit(None).cast("int")
-    s = s.withColumn("_cutoff", cutoff).withColumn("_in", mask_members("_in", F.col("_cutoff"), length))
-    if o.station_blind:
-        for name, expr in blind_members("_in", F.col("sample_id"), length, o.epoch, o.seed):
-            s = s.withColumn(name, expr)
+    # Masks, blinding and padding in one pass over the member waveforms.
+    s = s.withColumn("_cutoff", cutoff)
+    blind_id = F.col("sample_id") if o.station_blind else None
+    for name, expr in masked_blinded_arrays("_in", F.col("_cutoff"), blind_id, length, o.max_station_num,
+                                            o.epoch, o.seed):
+        s = s.withColumn(name, expr)
 
-    n_in = int(o.max_station_num)
-    pad_in = F.greatest(F.lit(n_in) - F.size("_in"), F.lit(0))
     pad_t = F.greatest(F.lit(int(o.label_target)) - F.size("_t"), F.lit(0))
-    cols = ["sample_id", "eq_id", "event_copy", "chunk_no", "is_bias", "mask_sec",
-            F.concat(F.transform("_in", lambda e: e["waveform"]),
-                     F.array_repeat(zero_samples(length), pad_in)).alias("waveform"),
-            F.concat(F.transform("_in", lambda e: e["pos"]), F.array_repeat(zero_pos, pad_in)).alias("sta"),
+    cols = ["sample_id", "eq_id", "event_copy", "chunk_no", "is_bias", "mask_sec", "waveform", "sta",
             F.concat(F.transform("_t", lambda e: e["pos"]), F.array_repeat(zero_pos, pad_t)).alias("target"),
             F.concat(F.transform("_t", lambda e: e["label"]), F.array_repeat(F.lit(0.0), pad_t)).alias("label")]
     if o.weight_label:

@@ -207,3 +207,32 @@ def test_null_pick_is_not_blanked(spark):
     df = with_pick0(spark.createDataFrame(rows, "eq_id long, slot int, p_pick int, lat double"), ["eq_id"])
     out = apply_cutoff(df, 1, 1, 5).orderBy("slot").collect()
     assert [r.blanked for r in out] == [False, False] and out[1].lat == 22.0
+
+
+def test_fused_arrays_equal_stepwise(spark):
+    from quakeframe.functions.waveform import zero_samples
+    from quakeframe.operators.masking import blind_members, mask_members, masked_blinded_arrays
+
+    rows = []
+    for s in range(80):
+        for slot in range(3):
+            w = [[float(slot + 1), -0.5, float(t)] for t in range(6)]
+            pos = [21.0 + slot, 120.0, 0.0, 300.0] if (s + slot) % 7 else [0.0, 0.0, 0.0, 0.0]
+            rows.append((f"s{s}", slot, 10 + slot * (s % 5), pos, w))
+    df = spark.createDataFrame(rows, "sid string, slot int, p_pick int, pos array<double>, waveform array<array<float>>")
+    g = df.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("slot", "p_pick", "pos", "waveform"))).alias("m"))
+    g = g.withColumn("_c", (F.col("m")[0]["p_pick"] + 3).cast("int"))
+    step = g.withColumn("m", mask_members("m", F.col("_c"), 8))
+    for name, expr in blind_members("m", F.col("sid"), 8):
+        step = step.withColumn(name, expr)
+    pad = F.greatest(F.lit(4) - F.size("m"), F.lit(0))
+    step = step.select("sid", F.concat(F.transform("m", lambda e: e["waveform"]),
+                                       F.array_repeat(zero_samples(8), pad)).alias("waveform"),
+                       F.concat(F.transform("m", lambda e: e["pos"]),
+                                F.array_repeat(F.array_repeat(F.lit(0.0), 4), pad)).alias("sta"))
+    fused = g
+    for name, expr in masked_blinded_arrays("m", F.col("_c"), F.col("sid"), 8, 4):
+        fused = fused.withColumn(name, expr)
+    a = {r.sid: (r.waveform, r.sta) for r in step.collect()}
+    b = {r.sid: (r.waveform, r.sta) for r in fused.select("sid", "waveform", "sta").collect()}
+    assert a == b
