@@ -59,6 +59,14 @@ def group_positions(df: DataFrame, keys: list[str], order: list[Column | str],
     return cold.unionByName(warm)
 
 
+def _shuffle_partitions(df: DataFrame) -> int:
+    raw = df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
+    try:
+        return max(1, int(raw))
+    except ValueError:  # e.g. "auto" on some platforms
+        return max(1, df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _window_positions(df, keys, order_cols, pos_col, size_col):
     w = Window.partitionBy(*keys).orderBy(*order_cols)
     out = df.withColumn(pos_col, (F.row_number().over(w) - 1).cast("int"))
@@ -69,7 +77,7 @@ def _window_positions(df, keys, order_cols, pos_col, size_col):
 
 def _range_positions(df, keys, order_cols, pos_col, size_col, num_partitions):
     sort_key = [F.col(k) for k in keys] + order_cols
-    n = int(num_partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or _shuffle_partitions(df)
     ensure_checkpoint_dir(df.sparkSession)
     tagged = (df.repartitionByRange(n, *sort_key).sortWithinPartitions(*sort_key)
               .withColumn("_part", F.spark_partition_id())
