@@ -238,3 +238,46 @@ def test_stream_batch_report(spark):
     assert spark.read.parquet(sink).count() == 10
     bad = spark.read.parquet(qdir).collect()
     assert len(bad) == 1 and bad[0].reason == "corrupt"
+
+
+def test_label_on_each_threshold(spark):
+    from quakeframe.functions.intensity import LOG_PGA10, intensity10
+
+    df = spark.createDataFrame([(float(b),) for b in LOG_PGA10], "pga double")
+    got = [r.c for r in df.select(intensity10("pga").alias("c")).collect()]
+    assert got == list(range(10))          # a label on a bound belongs to the upper class
+
+
+def test_real_target_with_zero_answer_is_kept(spark):
+    from quakeframe.operators.scoring import pad_predictions
+
+    rows = [("a", "s1", 0, 1, 0.0, 0.3, 2), ("a", "s1", 1, 1, 0.5, 0.1, 2)]
+    df = spark.createDataFrame(rows, "model string, sample_id string, slot int, eq_id long, answer double, "
+                                     "predict double, chunk_size int")
+    p = pad_predictions(df, ["model", "sample_id"], 4).collect()
+    assert len(p) == 4 and sum(r.is_real for r in p) == 2
+    zero = [r for r in p if r.slot == 0][0]
+    assert zero.is_real and zero.answer == 0.0      # the reference's answer != 0 would drop it (D4)
+
+
+def test_two_snapshots_in_one_batch_keep_their_own_targets(spark):
+    from quakeframe.streaming.stream import score_snapshots
+
+    w = [[[0.0, 1.0, 0.0]] * 4] * 4
+    one = [[24.0, 121.0, 0.0], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]]
+    three = [[24.0, 121.0, 0.0], [0.0, 0.0, 0.0], [24.5, 121.5, 0.0], [25.0, 120.0, 0.3]]
+    df = spark.createDataFrame([(1, 3, w, one), (2, 3, w, three)],
+                               "eq_id long, mask_sec int, waveform array<array<array<float>>>, "
+                               "station array<array<float>>")
+    out = score_snapshots(df, [AttenuationScorer(0.5, 0.3, "a")]).collect()
+    per = sorted((r.eq_id, r.slot) for r in out)
+    assert per == [(1, 0), (2, 0), (2, 2), (2, 3)]   # by row per snapshot, blanked slot skipped (D5)
+
+
+def test_24_station_snapshot_is_quarantined(spark):
+    good = {"event_time": "2024-01-01 00:00:00", "waveform": [[[0.1, 0.2, 0.3]] * 2] * 24,
+            "station": [[24.0, 121.0, 0.0]] * 24}
+    path = tempfile.mkdtemp(prefix="qf-json24-")
+    _write_lines(path, [json.dumps(good)])
+    v = validate_snapshots(read_snapshots(spark, path), n_stations=25).first()
+    assert v.valid is False and v.reason == "station_count"
