@@ -62,3 +62,13 @@ def test_mixture_weights_sum_to_one(spark, logits):
     df = spark.createDataFrame([(logits, [0.0] * 5, [0.0] * 5)], "l array<double>, s array<double>, m array<double>")
     mix = df.select(mixture_from_logits("l", "s", "m").alias("x")).first().x
     assert math.isclose(sum(c.weight for c in mix), 1.0, rel_tol=1e-12)
+
+
+@SETTINGS
+@given(st.lists(st.floats(-1.24, 1.3, allow_nan=False), min_size=1, max_size=20))
+def test_trace_copies_round_half_even(spark, labels):
+    from quakeframe.operators.traces import trace_copy_count
+
+    df = spark.createDataFrame([(x,) for x in labels], "l double")
+    got = [r.n for r in df.select(trace_copy_count(F.col("l")).alias("n")).collect()]
+    assert got == [round(4.5 ** (1.5 ** x) + 1) for x in labels]
