@@ -281,3 +281,12 @@ def test_24_station_snapshot_is_quarantined(spark):
     _write_lines(path, [json.dumps(good)])
     v = validate_snapshots(read_snapshots(spark, path), n_stations=25).first()
     assert v.valid is False and v.reason == "station_count"
+
+
+def test_partitioned_snapshot_roundtrip(spark):
+    path = shared_dir(spark, "part-snaps")
+    write_snapshots(_snapshots(spark, 4), path)               # default: one folder per mask_sec
+    back = read_snapshots(spark, path)
+    rows = back.select("eq_id", "mask_sec", F.size("waveform").alias("s")).collect()
+    assert sorted((r.eq_id, r.mask_sec, r.s) for r in rows) == [(i, 3, 3) for i in range(4)]
+    assert validate_snapshots(back, n_stations=3, length=5).filter("valid").count() == 4
