@@ -290,3 +290,29 @@ def test_partitioned_snapshot_roundtrip(spark):
     rows = back.select("eq_id", "mask_sec", F.size("waveform").alias("s")).collect()
     assert sorted((r.eq_id, r.mask_sec, r.s) for r in rows) == [(i, 3, 3) for i in range(4)]
     assert validate_snapshots(back, n_stations=3, length=5).filter("valid").count() == 4
+
+
+def test_input_sets_flatten_and_ensemble_check(spark):
+    from quakeframe.operators.evaluate import check_ensemble
+    from quakeframe.operators.scoring import flatten_predictions, input_sets
+
+    rows = [(1, 1, [[1.0, 2.0, 3.0]] * 2, 24.0, 121.0, 0.1, 300.0), (1, 0, [[4.0, 5.0, 6.0]] * 3, 23.0, 120.0, 0.0, 250.0)]
+    df = spark.createDataFrame(rows, "eq_id long, slot int, waveform array<array<float>>, lat double, lon double, "
+                                     "elev double, vs30 double")
+    s = input_sets(df, ["eq_id"], 3, 4).first()
+    assert [len(w) for w in s.waveform] == [4, 4, 4] and s.waveform[0][0] == [4.0, 5.0, 6.0]
+    assert s.station[0] == [23.0, 120.0, 0.0, 250.0] and s.station[2] == [0.0] * 4
+
+    w = [[[0.0, 1.5, 0.0]] * 4]
+    sc = spark.createDataFrame([(1, w, [[24.0, 121.0, 0.1, 300.0]], [(7, 24.0, 121.0, 0.1, 300.0)])],
+                               "k long, waveform array<array<array<float>>>, station array<array<double>>, "
+                               "targets array<struct<slot:int, lat:double, lon:double, elev:double, vs30:double>>")
+    flat = flatten_predictions(score(sc, [AttenuationScorer(0.5, 0.3, "a")], ["k"]), ["k"], ["slot", "lat"]).first()
+    assert (flat.k, flat.slot, flat.lat, flat.model) == (1, 7, 24.0, "a")
+
+    good = spark.createDataFrame([("a", "s", 0, 0.1, 1.0), ("b", "s", 0, 0.2, 1.0)],
+                                 "model string, sample_id string, slot int, predict double, answer double")
+    check_ensemble(ensemble(good, ["sample_id", "slot"], 2), 2)
+    bad = good.union(spark.createDataFrame([("a", "t", 0, 0.1, 1.0)], good.schema))
+    with pytest.raises(ValueError):
+        check_ensemble(ensemble(bad, ["sample_id", "slot"], 2), 2)
