@@ -236,3 +236,15 @@ def test_fused_arrays_equal_stepwise(spark):
     a = {r.sid: (r.waveform, r.sta) for r in step.collect()}
     b = {r.sid: (r.waveform, r.sta) for r in fused.select("sid", "waveform", "sta").collect()}
     assert a == b
+
+
+def test_sample_weight_worked_value(spark):
+    import math
+
+    from quakeframe.operators.balance import label_weights
+
+    rows = [(1, 0, 1, math.log10(0.9)), (1, 1, 2, math.log10(0.9)), (1, 2, 3, math.log10(3.0))]
+    df = spark.createDataFrame(rows, "eq_id long, trace_idx int, p_pick int, pga double")
+    s = build_samples(rank_traces(label_weights(df, "pga"), 25))
+    w = sample_weights(s).first()
+    assert math.isclose(w.weight, 2 / 3) and w.n_targets == 3
