@@ -248,3 +248,16 @@ def test_sample_weight_worked_value(spark):
     s = build_samples(rank_traces(label_weights(df, "pga"), 25))
     w = sample_weights(s).first()
     assert math.isclose(w.weight, 2 / 3) and w.n_targets == 3
+
+
+def test_exact_small_sample_same_on_both_paths(spark):
+    from quakeframe.operators.catalog import select_events
+
+    rows = [(i, 2001 if i % 3 else 2002, 1.0 + (i % 20) / 10) for i in range(400)]
+    cat = spark.createDataFrame(rows, "eq_id long, year int, magnitude double")
+    a = select_events(cat, 2.5, True, 2002, exact=True)
+    b = select_events(cat, 2.5, True, 2002, exact=True, max_group_rows=10)   # forces the range path
+    ka = sorted(r.eq_id for r in a.filter("is_small").collect())
+    kb = sorted(r.eq_id for r in b.filter("is_small").collect())
+    n_cand = sum(1 for i, y, m in rows if m < 2.5 and y != 2002)
+    assert ka == kb and len(ka) == round(n_cand * 0.25)
