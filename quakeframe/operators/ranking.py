@@ -80,15 +80,15 @@ def _range_positions(df, keys, order_cols, pos_col, size_col, num_partitions):
     n = num_partitions or _shuffle_partitions(df)
     ensure_checkpoint_dir(df.sparkSession)
     tagged = (df.repartitionByRange(n, *sort_key).sortWithinPartitions(*sort_key)
-              .withColumn("_part", F.spark_partition_id())
-              .withColumn("_rid", F.monotonically_increasing_id())
+              .withColumn("__qf_part", F.spark_partition_id())
+              .withColumn("__qf_rid", F.monotonically_increasing_id())
               .checkpoint(eager=True))
-    pieces = tagged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_rid").alias("_first"))
-    w = Window.partitionBy(*keys).orderBy("_part")
+    pieces = tagged.groupBy(*keys, "__qf_part").agg(F.count(F.lit(1)).alias("__qf_n"), F.min("__qf_rid").alias("__qf_first"))
+    w = Window.partitionBy(*keys).orderBy("__qf_part")
     pieces = pieces.withColumn(
-        "_before", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        "__qf_before", F.coalesce(F.sum("__qf_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     if size_col:
-        pieces = pieces.withColumn(size_col, F.sum("_n").over(Window.partitionBy(*keys)))
-    out = tagged.join(pieces, [*keys, "_part"])
-    out = out.withColumn(pos_col, (F.col("_rid") - F.col("_first") + F.col("_before")).cast("int"))
-    return out.drop("_part", "_rid", "_n", "_first", "_before")
+        pieces = pieces.withColumn(size_col, F.sum("__qf_n").over(Window.partitionBy(*keys)))
+    out = tagged.join(pieces, [*keys, "__qf_part"])
+    out = out.withColumn(pos_col, (F.col("__qf_rid") - F.col("__qf_first") + F.col("__qf_before")).cast("int"))
+    return out.drop("__qf_part", "__qf_rid", "__qf_n", "__qf_first", "__qf_before")
