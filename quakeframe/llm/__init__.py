@@ -1,8 +1,8 @@
 """Operators for a large training-text corpus: one module per operator, each with its general
 interface, its registered query and, where SQL can express it, the DuckDB SQL."""
 
-from quakeframe.llm import decontaminate
+from quakeframe.llm import decontaminate, url_filter
 
-_MODULES = (decontaminate,)
+_MODULES = (decontaminate, url_filter)
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in getattr(m, "ORACLE", {}).items()}
