@@ -1,8 +1,9 @@
 """Operators for a large training-text corpus: one module per operator, each with its general
 interface, its registered query and, where SQL can express it, the DuckDB SQL."""
 
-from quakeframe.llm import decontaminate, minhash_dedup, sharding, substring_dedup, url_filter
+from quakeframe.llm import (decontaminate, minhash_dedup, quality, sharding, substring_dedup, token_counts, url_filter,
+                            word_bpe)
 
-_MODULES = (decontaminate, url_filter, minhash_dedup, substring_dedup, sharding)
+_MODULES = (decontaminate, token_counts, url_filter, minhash_dedup, word_bpe, substring_dedup, quality, sharding)
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in getattr(m, "ORACLE", {}).items()}
