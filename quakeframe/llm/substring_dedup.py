@@ -41,7 +41,7 @@ from quakeframe.llm.textwords import Words, chunks
 WINDOW = 35
 PERIOD = 21
 COVER = (3, 6, 7, 12, 14)  # every difference modulo 21 occurs among these
-BUCKETS_PER_PARTITION = 8
+BUCKETS_PER_PARTITION = 2
 FLUSH = 1_500_000  # keys that a task gathers before it posts them
 _PLAIN = 512  # bytes up to which a blob is not compressed
 
