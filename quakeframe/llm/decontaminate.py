@@ -129,7 +129,7 @@ def _hits_k(toks: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
                   min_share: float = 0.05) -> DataFrame:
-    """Per document row: doc_id, n_words, n_hit, item_ids (sorted as strings), n_items,
+    """Per document row: doc_id, th (hash of the text), n_words, n_hit, item_ids (sorted as strings), n_items,
     contaminated (some hit, and at least ``min_share`` of the words hit)."""
     d = pick(docs, doc_id=id_col, text=text_col)
     b = pick(benchmark, item_id=item_col, text=item_text_col)
@@ -147,7 +147,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     n_hit = F.coalesce(F.col("hit"), F.lit(0)).cast("long")
     items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     per = round(1 / min_share)
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), items.alias("item_ids"),
+    return out.select("doc_id", F.col("dh").alias("th"), "n_words", n_hit.alias("n_hit"), items.alias("item_ids"),
                       F.size(items).cast("long").alias("n_items"),
                       ((n_hit > 0) & (per * n_hit >= F.col("n_words"))).alias("contaminated"))
 

@@ -12,7 +12,8 @@
    on the full shingle sets, and take connected components.
 4. What is left: pairs of one list in different components that were not compared yet. They
    are compared likewise, so no link between two components is lost, while members of a large
-   group that already hangs together are not paired with one another.
+   group that already hangs together are not paired with one another, nor are copies whose own
+   shingles (those that no other candidate has) rule a link out.
 
 Signatures carry a recall bound of 1 - 1e-6 per link; a confirmed link is exact (on 64-bit
 shingle hashes). No list is capped; nothing is broadcast or collected.
@@ -130,6 +131,44 @@ def _linked(similarity: float, a: Column, b: Column) -> Column:
     return 100 * same >= round(100 * similarity) * (F.size(a) + F.size(b) - same)
 
 
+def _mixed(posts: DataFrame) -> DataFrame:
+    """The postings of tokens that more than one component has."""
+    roots = posts.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    return posts.join(roots.filter("lo <> hi").select("token"), "token", "left_semi")
+
+
+def _open_pairs(posts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of different components under one token that may still be linked.
+
+    A shingle that no other class of these has cannot be in an intersection. With u such
+    shingles of n, a class has at most n - u in common with any other; where that is below
+    similarity * n it can have no link at all, and a pair needs min(n - u) >= similarity *
+    (n + n' - min). So copies that differ by edits of their own are not paired with one
+    another, however many there are. Dropping classes makes more shingles single, so the bound
+    is applied twice."""
+    percent = round(100 * similarity)
+    posts = pinned(_mixed(posts), "mixed")
+    for _ in range(2):
+        held = sets.join(posts.select("key").distinct(), "key", "left_semi")
+        single = held.select("key", F.explode("set").alias("s")).groupBy("s").agg(
+            F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).filter("n = 1")
+        single = single.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("u"))
+        facts = held.select("key", F.size("set").alias("n")).join(single, "key", "left").select(
+            "key", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("most")).filter(100 * F.col("most") >= percent * F.col("n"))
+        posts = pinned(_mixed(posts.select("token", "key", "root").join(facts, "key")), "mixed")
+    # Under each token all but its largest component meet the whole token: members of a large
+    # component are not even compared among themselves.
+    main = posts.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(
+        F.max(F.struct("c", "root")).alias("m")).select("token", F.col("m.root").alias("main"))
+    posts = posts.join(main, "token")
+    x, y = posts.filter("root <> main").alias("x"), posts.alias("y")
+    both = F.least("x.most", "y.most")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root"))
+                   & ((F.col("y.root") == F.col("y.main")) | (F.col("x.key") < F.col("y.key")))
+                   & (100 * both >= percent * (F.col("x.n") + F.col("y.n") - both)))
+    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
 def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, matches: int, similarity: float) -> DataFrame:
     """Of (a, b): those with enough equal coordinates and, on full sets, enough similarity."""
     for x in ("a", "b"):
@@ -142,8 +181,9 @@ def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, matches: int
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.85,
                     k: int = SHINGLE, coords: int = COORDS, matches: int = MATCHES) -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id (smallest doc_id reachable over links
-    of at least ``similarity``, its own included), kept."""
+    """Per document row: doc_id, th (hash of the text), n_shingles, component_id (smallest doc_id
+    reachable over links of at least ``similarity``, its own included), kept (is that doc_id), and
+    first: whether the row, by id and text, is the first of its component."""
     signed = pinned(signatures(docs, id_col, text_col, k, coords), "signatures")
     classes = signed.filter("key is not null").groupBy("key").agg(
         F.first("sig").alias("sig"), F.min(F.struct("doc_id", "th")).alias("rep"))
@@ -164,30 +204,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     left = posts.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
         "token", "key", F.coalesce("root", "key").alias("root"))
-    mixed = left.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    left = left.join(mixed.select("token"), "token", "left_semi")
-    x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.key") < F.col("y.key"))
-                  & (F.col("x.root") != F.col("y.root")))
-    rest = rest.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    rest = _open_pairs(left, sets, similarity).join(star, ["a", "b"], "left_anti")
     more = pinned(_confirm(rest, few, sets, matches, similarity), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
-    labelled = signed.select("doc_id", "n_shingles", "key").join(
-        roots.withColumnRenamed("node", "key"), "key", "left")
+    roots = roots.withColumnRenamed("node", "key")
+    labelled = signed.select("doc_id", "th", "n_shingles", "key").join(roots, "key", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "key"))
-    least = signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    least = least.join(roots.withColumnRenamed("node", "key"), "key", "left")
-    least = least.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("least").alias("component_id"))
+    # The smallest row of a component by id, then text; rows without id come last.
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    least = signed.filter("key is not null").groupBy("key").agg(F.min(row).alias("least")).join(roots, "key", "left")
+    least = least.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("least").alias("least"))
     out = labelled.join(least, "root", "left")
-    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    return out.select("doc_id", "th", "n_shingles", component.alias("component_id"),
+                      F.col("doc_id").eqNullSafe(component).alias("kept"),
+                      (F.col("root").isNull() | (row.eqNullSafe(F.col("least")))).alias("first"))
 
 
 def q_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("th", "first")
 
 
 QUERIES = {"op5_minhash_dedup": q_minhash_dedup}
