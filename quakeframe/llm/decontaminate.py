@@ -60,14 +60,12 @@ def _item_shingles(items: DataFrame, window: int, k: int) -> DataFrame:
             .withColumn("h", _shingle("iw", "ipos", k)))
 
 
-def _run(ws: Column, pos: Column, iw: Column, ipos: Column, step: int, most: int) -> Column:
-    """How many words next to the anchor agree, going ``step`` (-1 or 1), at most ``most``. A
-    plain CASE and no lambda: it stays in generated code, so no word array is copied per row."""
-    out = F.lit(most)
-    for d in range(most, 0, -1):
-        same = F.coalesce(F.get(ws, pos + d * step) == F.get(iw, ipos + d * step), F.lit(False))
-        out = F.when(~same, F.lit(d - 1)).otherwise(out)
-    return out
+def _run(ws: Column, pos: Column, iw: Column, ipos: Column, room: Column, step: int) -> Column:
+    """How many words next to the anchor agree, going ``step`` (-1 or 1), at most ``room``."""
+    grow = F.aggregate(
+        F.sequence(F.lit(1), room), F.lit(0),
+        lambda acc, d: F.when((acc == d - 1) & (F.get(ws, pos + d * step) == F.get(iw, ipos + d * step)), d).otherwise(acc))
+    return F.when(room > 0, grow).otherwise(F.lit(0))
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -113,17 +111,21 @@ def _hits_k(toks: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame
         found = where.alias("c").join(
             toks.alias("t"), F.col("c.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("c.th") == F.col("t.th"))
         ).select("c.*", "t.ws")
-    last = F.size("ws") - 1
-    left = F.least(F.col("pos"), F.col("ip"), F.lit(window - 1))
-    right = F.least(last - F.col("pos"), F.size("near") - 1 - F.col("ip"), F.lit(window - 1))
+    left = F.least(F.col("pos"), F.col("ip"))
+    right = F.least(F.size("ws") - 1 - F.col("pos"), F.size("near") - 1 - F.col("ip"))
     found = found.filter(left + right + 1 >= F.col("size"))  # length and position bounds
-    found = found.filter(F.get("ws", F.col("pos")) == F.get("near", F.col("ip")))
-    found = found.select("doc_id", "th", "item_id", "pos", "size",
-                         _run(F.col("ws"), F.col("pos"), F.col("near"), F.col("ip"), -1, window - 1).alias("l"),
-                         _run(F.col("ws"), F.col("pos"), F.col("near"), F.col("ip"), 1, window - 1).alias("r"))
-    found = found.filter(F.col("l") + F.col("r") + 1 >= F.col("size"))
-    return found.select("doc_id", "th", "item_id", (F.col("pos") - F.col("l")).alias("a"),
-                        (F.col("pos") + F.col("r")).alias("b"))
+    # Only the words around the anchor leave the generated code of the probe: the explode of one
+    # element keeps the optimizer from evaluating the comparison on the whole text's words.
+    lo = F.greatest(F.col("pos") - (window - 1), F.lit(0))
+    found = found.select("doc_id", "th", "item_id", "size", "ip", "near", "pos", (F.col("pos") - lo).alias("cp"),
+                         F.explode(F.array(F.slice("ws", lo + 1, 2 * window - 1))).alias("text"))
+    args = F.col("text"), F.col("cp"), F.col("near"), F.col("ip")
+    l = F.least(F.col("cp"), F.col("ip"))
+    r = F.least(F.size("text") - 1 - F.col("cp"), F.size("near") - 1 - F.col("ip"))
+    found = found.filter(F.get("text", F.col("cp")) == F.get("near", F.col("ip")))
+    found = found.withColumn("l", _run(*args, l, -1)).withColumn("r", _run(*args, r, 1))
+    return found.filter(F.col("l") + F.col("r") + 1 >= F.col("size")).select(
+        "doc_id", "th", "item_id", (F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.col("r")).alias("b"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
