@@ -43,6 +43,17 @@ def fit_waveform(w, length, cutoff=None) -> Column:
     return F.concat(F.slice(w, 1, m), zero_samples(length - m))
 
 
+def stored_waveform(w, length) -> Column:
+    """The fitted waveform, all zero where none is stored."""
+    return F.coalesce(fit_waveform(w, length), zero_samples(length))
+
+
+def stored_position(w, columns) -> Column:
+    """The position as an array, all zero (a blanked station) where no waveform is stored."""
+    pos = F.array(*[F.col(c).cast("double") for c in columns])
+    return F.when(_col(w).isNull(), F.array_repeat(F.lit(0.0), len(columns))).otherwise(pos)
+
+
 def crop(w, length) -> Column:
     """The first ``length`` samples."""
     return F.slice(_col(w), 1, _lit_int(length))

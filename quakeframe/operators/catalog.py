@@ -14,15 +14,14 @@ from quakeframe.functions.portable import ge, hash_uniform, lt
 
 def select_events(catalog: DataFrame, mag_threshold: float = 0.0, part_small_event: bool = False,
                   test_year: int = 2018, small_fraction: float = 0.25, seed: str = "0",
-                  exact: bool = False, max_group_rows: int | None = None) -> DataFrame:
+                  exact: bool = False) -> DataFrame:
     """F1 (+F2): events with ``magnitude >= mag_threshold``; NaN/NULL magnitudes never pass.
 
     With ``part_small_event``, add a deterministic ``small_fraction`` sample of the smaller
     events outside ``test_year`` (so they can never reach the test split): a Bernoulli
     draw per event, or with ``exact`` the ``round_half_even(fraction * n)`` events with the
     smallest draws (like ``sample(frac=...)``). The exact form ranks all candidates as one
-    group through ``group_positions`` -- a bounded window when the candidates are few, the
-    range-partitioned path otherwise -- so it never sorts them in a single task. The
+    group through ``group_positions``, which spreads one group over all partitions. The
     ``is_small`` column marks the sampled rows.
     """
     big = catalog.filter(ge("magnitude", mag_threshold)).withColumn("is_small", F.lit(False))
@@ -33,9 +32,8 @@ def select_events(catalog: DataFrame, mag_threshold: float = 0.0, part_small_eve
     if exact:
         from quakeframe.operators.ranking import group_positions
 
-        bound = {"max_group_rows": max_group_rows} if max_group_rows else {}
         ranked = group_positions(cand.withColumn("_u", u).withColumn("_all", F.lit(0)), ["_all"],
-                                 ["_u", "eq_id"], pos_col="_r", size_col="_n", **bound)
+                                 ["_u", "eq_id"], pos_col="_r", size_col="_n")
         small = ranked.filter(F.col("_r") < F.bround(F.col("_n") * float(small_fraction), 0)) \
             .drop("_u", "_all", "_r", "_n")
     else:

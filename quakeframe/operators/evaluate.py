@@ -24,13 +24,20 @@ def ensemble(preds: DataFrame, key_cols: list[str], n_models: int | None = None,
     out = preds.groupBy(*key_cols).agg(
         F.avg("predict").alias("predict"), F.first("answer").alias("answer"),
         (F.max("answer") != F.min("answer")).alias("answer_mismatch"),
-        F.countDistinct("model").alias("n_models"),
+        F.size(F.collect_set("model")).cast("long").alias("n_models"),  # a handful of names; no second aggregation
         *[F.first(c).alias(c) for c in present])
     if n_models is not None:
         out = out.withColumn("complete", F.col("n_models") == int(n_models))
     return out
 
 
+def split_ensemble(ens: DataFrame, n_models: int) -> tuple[DataFrame, DataFrame]:
+    """(complete keys, the others): evaluate the first, report the second (D7). A key is
+    complete when all models predicted it and agree on the answer."""
+    bad = (F.col("n_models") != int(n_models)) | F.coalesce(F.col("answer_mismatch"), F.lit(False))
+    return ens.filter(~bad), ens.filter(bad)
+
+
 def check_ensemble(ens: DataFrame, n_models: int) -> None:
     bad = ens.filter((F.col("n_models") != n_models) | F.col("answer_mismatch")).limit(1).count()
     if bad:

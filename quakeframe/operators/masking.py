@@ -24,24 +24,25 @@ def with_pick0(rows: DataFrame, group: list[str], slot_col: str = "slot") -> Dat
 
 def apply_cutoff(rows: DataFrame, sec, rate: int, length: int, wave_col: str = "waveform",
                  position_cols=POSITION_COLS) -> DataFrame:
-    """C1 + C2 + C6 + C7 on input rows carrying ``p_pick``, ``pick0`` and a waveform.
+    """C1 + C2 + C6 + C7 on input rows carrying ``p_pick``, ``pick0`` and a waveform. A NULL
+    waveform (none stored) blanks the station like a late pick.
 
     ``cutoff = pick0 + sec * rate`` (in samples). Every trace is cropped/padded to
     ``length`` and zeroed from ``cutoff`` on; a station whose pick is strictly later than the
     cut-off is blanked (waveform and position set to zero). ``sec`` None or 0 means no mask.
     """
+    none = F.col(wave_col).isNull() if wave_col in rows.columns else F.lit(False)
     if sec is None or (not isinstance(sec, Column) and sec == 0):
-        out = rows.withColumn("cutoff", F.lit(None).cast("int")).withColumn("blanked", F.lit(False))
-        if wave_col in rows.columns:
-            out = out.withColumn(wave_col, fit_waveform(wave_col, length))
-        return out
-    sec_c = sec if isinstance(sec, Column) else F.lit(int(sec))
-    cutoff = (F.col("pick0") + sec_c * int(rate)).cast("int")
-    late = F.coalesce(F.col("p_pick") > F.col("cutoff"), F.lit(False))  # NULL pick: not blanked
+        cutoff, late = F.lit(None).cast("int"), none
+    else:
+        sec_c = sec if isinstance(sec, Column) else F.lit(int(sec))
+        cutoff = (F.col("pick0") + sec_c * int(rate)).cast("int")
+        late = F.coalesce(F.col("p_pick") > F.col("cutoff"), F.lit(False)) | none  # NULL pick: not blanked
     out = rows.withColumn("cutoff", cutoff).withColumn("blanked", late)
     if wave_col in rows.columns:
-        out = out.withColumn(wave_col, blank_if(fit_waveform(wave_col, length, F.col("cutoff")),
-                                                F.col("blanked"), length))
+        fit = fit_waveform(wave_col, length) if sec is None or (not isinstance(sec, Column) and sec == 0) \
+            else fit_waveform(wave_col, length, F.col("cutoff"))
+        out = out.withColumn(wave_col, blank_if(fit, F.col("blanked"), length))
     for c in position_cols:
         if c in rows.columns:
             out = out.withColumn(c, F.when(F.col("blanked"), F.lit(0.0)).otherwise(F.col(c)))

@@ -1,23 +1,23 @@
 """Position of a row inside its group, without sending a whole group to one task.
 
 A plain ``row_number() OVER (PARTITION BY eq_id ...)`` puts every row of an event into one
-task; if one event holds a third of all traces that task holds a third of the data. Groups
-above a size bound are therefore found first and handled by:
+task; if one event holds a third of all traces that task holds a third of the data. One path
+serves groups of every size:
 
 1. range-partition on the full sort key (group key + order columns) and sort within
-   partitions: a hot group is spread over many partitions, each sorted;
-2. per (group, partition) count rows and take the first row id: at most
-   ``#groups + #partitions`` small rows; a running sum over partitions (a window whose
-   groups hold at most one row per partition) gives the offset of each piece;
-3. join the pieces back on (group, partition) -- the partition id salts the hot group, so
+   partitions: a large group is spread over many partitions, small ones share them;
+2. per (group, partition) count rows and take the first row id; a running sum over a group's
+   partitions gives the offset of each piece (a window that holds at most one row per
+   partition);
+3. join the pieces back on (group, partition) -- the partition id salts a large group, so
    the hash exchange spreads it -- and position = offset + rank inside the piece.
 
 The order columns must make the order total (they end with the trace key). The range
 bounds come from sampling, and the sample depends on the order in which shuffle blocks
 arrive, so two computations of the range exchange can cut the data differently. The tagged
-rows are therefore pinned with a reliable ``checkpoint()`` into the cluster's shared
-checkpoint folder: both consumers read the same files, and a lost executor cannot make
-them disagree (it also cuts the lineage of the upstream plan).
+rows are therefore written once as Parquet into the cluster's shared checkpoint folder: both
+consumers read the same files (each only the columns it needs), and a lost executor cannot
+make them disagree (it also cuts the lineage of the upstream plan).
 """
 
 from __future__ import annotations
@@ -25,70 +25,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakeframe.session import ensure_checkpoint_dir
-
-
-DEFAULT_MAX_GROUP_ROWS = 1_000_000
-MAX_HOT_KEYS = 100_000  # cap on the hot-key list brought to the driver and broadcast
+from quakeframe.session import pinned
 
 
 def group_positions(df: DataFrame, keys: list[str], order: list[Column | str],
                     pos_col: str = "pos", size_col: str | None = "group_size",
-                    num_partitions: int | None = None, max_group_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
+                    num_partitions: int | None = None) -> DataFrame:
     """Add ``pos_col`` (0-based position in the group under ``order``) and optionally
-    ``size_col`` (rows in the group).
-
-    Hot groups are split explicitly: one map-side-combined count finds the keys with more
-    than ``max_group_rows`` rows -- at most ``rows / max_group_rows`` of them, so the list has
-    a proven bound and is broadcast (never more than ``MAX_HOT_KEYS``: beyond that every key
-    takes the range path and nothing is collected). Those keys go through the
-    range-partitioned path below; all other keys use a plain window, whose groups are now
-    known to be bounded."""
-    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gn"))
-    hot = counts.filter(F.col("_gn") > int(max_group_rows)).select(*keys).limit(MAX_HOT_KEYS + 1).collect()
-    if not hot:
-        return _window_positions(df, keys, order_cols, pos_col, size_col)
-    if len(hot) > MAX_HOT_KEYS:
-        return _range_positions(df, keys, order_cols, pos_col, size_col, num_partitions)
-    spark = df.sparkSession
-    hot_df = F.broadcast(spark.createDataFrame(hot, df.select(*keys).schema))
-    cold = _window_positions(df.join(hot_df, keys, "left_anti"), keys, order_cols, pos_col, size_col)
-    warm = _range_positions(df.join(hot_df, keys, "left_semi"), keys, order_cols, pos_col, size_col,
-                            num_partitions)
-    return cold.unionByName(warm)
-
-
-def _shuffle_partitions(df: DataFrame) -> int:
-    raw = df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
-    try:
-        return max(1, int(raw))
-    except ValueError:  # e.g. "auto" on some platforms
-        return max(1, df.sparkSession.sparkContext.defaultParallelism)
-
-
-def _window_positions(df, keys, order_cols, pos_col, size_col):
-    w = Window.partitionBy(*keys).orderBy(*order_cols)
-    out = df.withColumn(pos_col, (F.row_number().over(w) - 1).cast("int"))
-    if size_col:
-        out = out.withColumn(size_col, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    return out
-
-
-def _range_positions(df, keys, order_cols, pos_col, size_col, num_partitions):
-    sort_key = [F.col(k) for k in keys] + order_cols
+    ``size_col`` (rows in the group)."""
+    sort_key = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
     n = num_partitions or _shuffle_partitions(df)
-    ensure_checkpoint_dir(df.sparkSession)
-    tagged = (df.repartitionByRange(n, *sort_key).sortWithinPartitions(*sort_key)
-              .withColumn("__qf_part", F.spark_partition_id())
-              .withColumn("__qf_rid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    tagged = pinned(df.repartitionByRange(n, *sort_key).sortWithinPartitions(*sort_key)
+                    .withColumn("__qf_part", F.spark_partition_id())
+                    .withColumn("__qf_rid", F.monotonically_increasing_id()), "ranked")
     pieces = tagged.groupBy(*keys, "__qf_part").agg(F.count(F.lit(1)).alias("__qf_n"), F.min("__qf_rid").alias("__qf_first"))
     w = Window.partitionBy(*keys).orderBy("__qf_part")
     pieces = pieces.withColumn(
         "__qf_before", F.coalesce(F.sum("__qf_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     if size_col:
         pieces = pieces.withColumn(size_col, F.sum("__qf_n").over(Window.partitionBy(*keys)))
-    out = tagged.join(pieces, [*keys, "__qf_part"])
+    pieces = pieces.withColumnsRenamed({k: f"__qf_{k}" for k in [*keys, "__qf_part"]})
+    same = F.col("__qf_part") == F.col("__qf___qf_part")
+    for k in keys:  # rows without a key are a group of their own
+        same = same & F.col(k).eqNullSafe(F.col(f"__qf_{k}"))
+    out = tagged.join(pieces, same)
     out = out.withColumn(pos_col, (F.col("__qf_rid") - F.col("__qf_first") + F.col("__qf_before")).cast("int"))
-    return out.drop("__qf_part", "__qf_rid", "__qf_n", "__qf_first", "__qf_before")
+    return out.drop(*[f"__qf_{k}" for k in [*keys, "__qf_part"]], "__qf_part", "__qf_rid", "__qf_n", "__qf_first", "__qf_before")
+
+
+def _shuffle_partitions(df: DataFrame) -> int:
+    raw = df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
+    try:
+        return max(1, int(raw))
+    except ValueError:  # e.g. "auto" on some platforms
+        return max(1, df.sparkSession.sparkContext.defaultParallelism)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakeframe.operators.ranking import group_positions
-from quakeframe.session import ensure_checkpoint_dir
+from quakeframe.session import pinned
 
 SAMPLE_KEY = ["eq_id", "event_copy", "chunk_no", "is_bias"]
 
@@ -29,8 +29,7 @@ def sample_id_col() -> "F.Column":
 
 
 def rank_traces(traces: DataFrame, max_station_num: int = 25, sort_by_picks: bool = True,
-                num_partitions: int | None = None, max_group_rows: int | None = None,
-                pin: bool = True) -> DataFrame:
+                num_partitions: int | None = None, pin: bool = True) -> DataFrame:
     """W1 + W2: ``pos`` of each trace in its event, ``chunk_no``/``slot``, ``n_chunks`` and
     ``chunk_size`` (traces in this trace's chunk).
 
@@ -38,8 +37,8 @@ def rank_traces(traces: DataFrame, max_station_num: int = 25, sort_by_picks: boo
     stored order: original traces by index, then the over-sampled copies.
 
     The ranked table feeds several consumers (targets, chunk 0, the chunk spine); with
-    ``pin`` it is written once with a reliable ``checkpoint()`` (shared checkpoint folder),
-    so the ranking is computed once and later stages restart from it after a failure.
+    ``pin`` it is written once as Parquet (shared checkpoint folder), so the ranking is
+    computed once, consumers read only their columns, and later stages restart from it.
     """
     if "trace_copy" not in traces.columns:
         traces = traces.withColumn("trace_copy", F.lit(0))
@@ -47,9 +46,8 @@ def rank_traces(traces: DataFrame, max_station_num: int = 25, sort_by_picks: boo
         order = [F.col("p_pick").asc_nulls_last(), F.col("trace_idx"), F.col("trace_copy")]
     else:
         order = [(F.col("trace_copy") > 0), F.col("trace_idx"), F.col("trace_copy")]
-    extra = {"max_group_rows": max_group_rows} if max_group_rows else {}
     ranked = group_positions(traces, ["eq_id"], order, pos_col="pos", size_col="n_traces",
-                             num_partitions=num_partitions, **extra)
+                             num_partitions=num_partitions)
     m = int(max_station_num)
     ranked = (ranked
               .withColumn("n_traces", F.col("n_traces").cast("int"))
@@ -57,10 +55,7 @@ def rank_traces(traces: DataFrame, max_station_num: int = 25, sort_by_picks: boo
               .withColumn("slot", (F.col("pos") % m).cast("int"))
               .withColumn("n_chunks", ((F.col("n_traces") + (m - 1)) / m).cast("int"))
               .withColumn("chunk_size", F.least(F.lit(m), F.col("n_traces") - F.col("chunk_no") * m).cast("int")))
-    if pin:
-        ensure_checkpoint_dir(ranked.sparkSession)
-        ranked = ranked.checkpoint(eager=True)
-    return ranked
+    return pinned(ranked, "chunks") if pin else ranked
 
 
 def build_samples(ranked: DataFrame, bias_to_closer_station: bool = False,
@@ -134,9 +129,16 @@ def input_traces(ranked: DataFrame) -> DataFrame:
 
 def hydrate_inputs(inputs: DataFrame, waveforms: DataFrame, wave_col: str = "samples") -> DataFrame:
     """Attach the waveform to input traces. The key (eq_id, trace_idx) is unique per
-    trace, so this join has no hot key; only the needed waveform rows survive it."""
+    trace, so this join has no hot key. A trace without a stored waveform keeps its slot with
+    a NULL waveform, which every later step treats as a blanked station; ``missing_waveforms``
+    lists these traces."""
     w = waveforms.select("eq_id", "trace_idx", F.col(wave_col).alias("waveform"))
-    return inputs.join(w, ["eq_id", "trace_idx"])
+    return inputs.join(w, ["eq_id", "trace_idx"], "left")
+
+
+def missing_waveforms(inputs: DataFrame, waveforms: DataFrame) -> DataFrame:
+    """The input traces for which no waveform is stored (only keys are shuffled)."""
+    return inputs.join(waveforms.select("eq_id", "trace_idx"), ["eq_id", "trace_idx"], "left_anti")
 
 
 def hydrate_targets(samples: DataFrame, label: str = "pga") -> DataFrame:

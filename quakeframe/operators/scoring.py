@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import quakeframe
-from quakeframe.functions.waveform import fit_waveform, zero_samples
+from quakeframe.functions.waveform import stored_position, stored_waveform, zero_samples
 from quakeframe.schema import MIXTURE_TYPE, N_COMPONENTS, PEAK_EPS
 
 
@@ -121,8 +121,8 @@ def input_sets(inputs: DataFrame, key_cols: list[str], n_slots: int, length: int
                position_cols=("lat", "lon", "elev", "vs30"), wave_col: str = "waveform") -> DataFrame:
     """Collect an input set's station rows (bounded: at most ``n_slots`` per key) into
     ``waveform[S][T][3]`` and ``station[S][F]`` (double), zero-padded to ``n_slots``."""
-    rows = inputs.select(*key_cols, "slot", fit_waveform(wave_col, length).alias("_w"),
-                         F.array(*[F.col(c).cast("double") for c in position_cols]).alias("_p"))
+    rows = inputs.select(*key_cols, "slot", stored_waveform(wave_col, length).alias("_w"),
+                         stored_position(wave_col, position_cols).alias("_p"))
     g = rows.groupBy(*key_cols).agg(
         F.sort_array(F.collect_list(F.struct("slot", "_w", "_p"))).alias("_rows"))
     n_pad = F.lit(int(n_slots)) - F.size("_rows")
@@ -142,8 +142,8 @@ def masked_input_sets(chunk0: DataFrame, key_cols: list[str], n_slots: int, leng
     from quakeframe.operators.masking import mask_members
 
     width = len(position_cols)
-    member = F.struct("slot", "p_pick", F.array(*[F.col(c).cast("double") for c in position_cols]).alias("pos"),
-                      fit_waveform(wave_col, length).alias("waveform"))
+    member = F.struct("slot", "p_pick", stored_position(wave_col, position_cols).alias("pos"),
+                      stored_waveform(wave_col, length).alias("waveform"))
     keep = [c for c in carry if c in chunk0.columns]
     g = chunk0.groupBy(*key_cols).agg(F.sort_array(F.collect_list(member)).alias("_in"),
                                       *[F.max(c).alias(c) for c in keep])
@@ -205,14 +205,17 @@ def score(rows: DataFrame, scorers: list, key_cols: list[str], target_pos=("lat"
           mixture: bool = True) -> DataFrame:
     """One output row per (input set, target, model) with the mixture and its mean.
 
-    ``rows``: key columns, ``waveform``, ``station``, ``targets`` (array of structs)."""
+    ``rows``: key columns, ``waveform``, ``station``, ``targets`` (array of structs). An input
+    set that cannot be scored keeps its rows, with NULL mixture and prediction and a
+    ``reason``: ``ragged`` (NULL or not rectangular) or ``no_station`` (none left to use)."""
     target_type = rows.schema["targets"].dataType.elementType
     key_fields = [rows.schema[k] for k in key_cols]
     out_schema = T.StructType(key_fields + [
         T.StructField("target", target_type, True),
         T.StructField("model", T.StringType(), False),
         T.StructField("mixture", MIXTURE_TYPE, True),
-        T.StructField("predict", T.DoubleType(), True)])
+        T.StructField("predict", T.DoubleType(), True),
+        T.StructField("reason", T.StringType(), True)])
     run = make_runner(list(scorers), key_cols, list(target_pos), out_schema)
     out = rows.mapInArrow(run, out_schema)
     return out if mixture else out.drop("mixture")
@@ -224,6 +227,7 @@ def make_runner(scorer_list: list, key_cols: list[str], pos_names: list[str], ou
     def run(batches):
         import pyarrow as pa
 
+        out_arrow = _arrow_schema(out_schema)
         for s in scorer_list:
             s.load()
         mix_type = pa.list_(pa.struct([("weight", pa.float64()), ("mu", pa.float64()), ("sigma", pa.float64())]))
@@ -237,6 +241,7 @@ def make_runner(scorer_list: list, key_cols: list[str], pos_names: list[str], ou
             pos_all = np.stack([tg_flat.field(p).to_numpy(zero_copy_only=False).astype(np.float64)
                                 for p in pos_names], axis=1) if len(tg_flat) else np.zeros((0, len(pos_names)))
             row_idx, tgt_idx, models, ws, mus, sgs = [], [], [], [], [], []
+            failed = []  # (row, first target, end, model, reason)
             for i in range(batch.num_rows):
                 a, b = int(offs[i]), int(offs[i + 1])
                 if b <= a:
@@ -244,11 +249,13 @@ def make_runner(scorer_list: list, key_cols: list[str], pos_names: list[str], ou
                 wave = _np_nested(wave_c[i], 3)
                 sta = _np_nested(sta_c[i], 2)
                 if wave is None or sta is None:
+                    failed.extend((i, a, b, s.name, "ragged") for s in scorer_list)
                     continue
                 tpos = pos_all[a:b]
                 for s in scorer_list:
                     res = s.predict(wave, sta, tpos)
                     if res is None:
+                        failed.append((i, a, b, s.name, "no_station"))
                         continue
                     w, mu, sg = (np.asarray(x, dtype=np.float64) for x in res)
                     n = b - a
@@ -258,6 +265,14 @@ def make_runner(scorer_list: list, key_cols: list[str], pos_names: list[str], ou
                     ws.append(w.reshape(n, -1))
                     mus.append(mu.reshape(n, -1))
                     sgs.append(sg.reshape(n, -1))
+            if failed:
+                size = np.array([f[2] - f[1] for f in failed])
+                n = int(size.sum())
+                ti = pa.array(np.concatenate([np.arange(f[1], f[2]) for f in failed]))
+                cols = [batch.column(kc).take(pa.array(np.repeat([f[0] for f in failed], size))) for kc in key_cols]
+                cols += [tg_flat.take(ti), pa.array(np.repeat([f[3] for f in failed], size).tolist(), pa.string()), pa.nulls(n, mix_type),
+                         pa.nulls(n, pa.float64()), pa.array(np.repeat([f[4] for f in failed], size).tolist(), pa.string())]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, out_arrow)], schema=out_arrow)
             if not models:
                 continue
             ri = pa.array(np.concatenate(row_idx))
@@ -268,8 +283,9 @@ def make_runner(scorer_list: list, key_cols: list[str], pos_names: list[str], ou
                 [pa.array(W.ravel()), pa.array(MU.ravel()), pa.array(SG.ravel())], ["weight", "mu", "sigma"])
             mix = pa.ListArray.from_arrays(pa.array(np.arange(0, W.size + 1, kk, dtype=np.int32)), comp, type=mix_type)
             cols = [batch.column(kc).take(ri) for kc in key_cols]
-            cols += [tg_flat.take(ti), pa.array(models, pa.string()), mix, pa.array((W * MU).sum(axis=1))]
-            yield pa.RecordBatch.from_arrays(cols, schema=_arrow_schema(out_schema))
+            cols += [tg_flat.take(ti), pa.array(models, pa.string()), mix, pa.array((W * MU).sum(axis=1)),
+                     pa.nulls(len(models), pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, schema=out_arrow)
 
     return run
 

@@ -20,7 +20,7 @@ def event_traces(event_ids: DataFrame, traces: DataFrame, waveforms: DataFrame,
     The crop runs right after the waveform scan, before the join shuffle."""
     t = traces.join(event_ids.select("eq_id"), "eq_id", "left_semi")
     w = waveforms.select("eq_id", "trace_idx", crop("samples", length).alias("waveform"))
-    return t.join(w, ["eq_id", "trace_idx"])
+    return t.join(w, ["eq_id", "trace_idx"], "left")  # without a stored waveform: NULL
 
 
 def top_stations(traces: DataFrame, n: int = MAX_STATIONS, order: str = "stored") -> DataFrame:
@@ -51,9 +51,9 @@ def snapshot_ladder(traces: DataFrame, waveforms: DataFrame, event_ids: DataFram
 
     The top-k runs on the narrow trace rows; only the kept stations fetch their waveforms."""
     t = traces.join(event_ids.select("eq_id"), "eq_id", "left_semi")
-    top = top_stations(t, max_station_num, order)
+    top = with_pick0(top_stations(t, max_station_num, order), ["eq_id"])  # on narrow rows
     w = waveforms.select("eq_id", "trace_idx", crop("samples", length).alias("waveform"))
-    top = with_pick0(top.join(w, ["eq_id", "trace_idx"]), ["eq_id"])
+    top = top.join(w, ["eq_id", "trace_idx"], "left")  # none stored: the slot stays, blanked
     ladder = cutoff_ladder(top, secs)
     return apply_cutoff(ladder, F.col("mask_sec"), rate, length)
 

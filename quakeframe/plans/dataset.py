@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quakeframe.functions.waveform import fit_waveform
+from quakeframe.functions.waveform import stored_position, stored_waveform
 from quakeframe.operators import catalog as cat
 from quakeframe.operators import traces as tr
 from quakeframe.operators.balance import label_weights
@@ -46,6 +46,7 @@ class DatasetOptions:
     oversample_by_labels: bool = False
     mag_threshold: float = 0.0
     part_small_event: bool = False
+    exact_small_sample: bool = False  # the exact fraction instead of a draw per event
     weight_label: bool = False
     station_blind: bool = False
     bias_to_closer_station: bool = False
@@ -54,6 +55,7 @@ class DatasetOptions:
     epoch: int = 0
     max_random_sec: int = 10
     check_catalog: bool = True
+    waveform_col: str = "samples"     # which stored series feeds the model (input type)
 
     @property
     def length(self) -> int:
@@ -62,7 +64,8 @@ class DatasetOptions:
 
 def select_catalog(catalog: DataFrame, o: DatasetOptions) -> DataFrame:
     """F1-F4."""
-    ev = cat.select_events(catalog, o.mag_threshold, o.part_small_event, o.test_year, seed=o.seed)
+    ev = cat.select_events(catalog, o.mag_threshold, o.part_small_event, o.test_year, seed=o.seed,
+                           exact=o.exact_small_sample)
     ev = cat.split_by_year(ev, o.mode, o.test_year)
     return cat.first_events(ev, o.limit, "eq_id")
 
@@ -115,10 +118,14 @@ def build_dataset(catalog: DataFrame, traces: DataFrame, waveforms: DataFrame, o
     weight_aggs = [F.avg("weight").alias("weight")] if o.weight_label else []
 
     # Input sets: chunk 0 with its waveforms (unique trace keys: no hot key in this join).
-    c0 = hydrate_inputs(ranked.filter(F.col("chunk_no") == 0), waveforms)
+    # A trace without a stored waveform keeps its slot (and the reference pick) and is blanked.
+    c0 = hydrate_inputs(ranked.filter(F.col("chunk_no") == 0), waveforms, o.waveform_col)
+    c0_pos = stored_position("waveform", ("lat", "lon", "elev", "vs30")).alias("pos")
+    # As a target (of a bias sample) the station keeps its position.
+    c0_member = [c0_pos if c is pos else c for c in member] + [pos.alias("target_pos")]
     b = int(chunks_per_bucket)
     sets = (c0.groupBy("eq_id")
-            .agg(F.sort_array(F.collect_list(F.struct(*member, fit_waveform("waveform", length).alias("waveform"))))
+            .agg(F.sort_array(F.collect_list(F.struct(*c0_member, stored_waveform("waveform", length).alias("waveform"))))
                  .alias("_in"), F.max("n_chunks").alias("_k"), *[a.alias("_w0") for a in weight_aggs])
             .withColumn("_bucket", F.explode(F.sequence(F.lit(0), ((F.col("_k") - 1) / b).cast("int")))))
 
@@ -133,7 +140,8 @@ def build_dataset(catalog: DataFrame, traces: DataFrame, waveforms: DataFrame, o
     samples = samples.withColumn("_bucket", (F.col("chunk_no") / b).cast("int"))
     s = samples.join(sets, ["eq_id", "_bucket"]).drop("_bucket", "_k")
     # A bias sample's targets are chunk 0 itself (and its weight chunk 0's mean; D8).
-    s = s.withColumn("_t", F.when(F.col("is_bias"), F.transform("_in", lambda e: e.dropFields("waveform")))
+    s = s.withColumn("_t", F.when(F.col("is_bias"), F.transform(
+        "_in", lambda e: e.withField("pos", e["target_pos"]).dropFields("waveform", "target_pos")))
                      .otherwise(F.col("_t")))
     if o.weight_label:
         s = s.withColumn("weight", F.when(F.col("is_bias"), F.col("_w0")).otherwise(F.col("weight"))).drop("_w0")

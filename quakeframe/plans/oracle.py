@@ -180,7 +180,7 @@ ORACLE["intensity8_classes"] = with_views(
     "fx_catalog", "fx_traces")
 
 ORACLE["label_weights"] = with_views(
-    f"SELECT eq_id, trace_idx, class, weight FROM ({weights_sql(traces_sql())})", "fx_catalog", "fx_traces")
+    f"SELECT eq_id, trace_idx, class, weight FROM ({weights_sql(f'SELECT t.* FROM fx_traces t JOIN ({events_sql()}) e ON t.eq_id = e.eq_id')})", "fx_catalog", "fx_traces")
 
 _scale_rows = ", ".join(f"('{t}', {i}, '{INTENSITY10_LABELS[i]}', {lit(b)})"
                         for t, bounds in (("pga", LOG_PGA10), ("pgv", LOG_PGV10)) for i, b in enumerate(bounds))
@@ -203,9 +203,10 @@ ORACLE["rank_by_pick"] = with_views(
     f"SELECT eq_id, trace_idx, pos, chunk_no, slot, n_chunks FROM ({ranked_sql(traces_sql(), M)})",
     "fx_catalog", "fx_traces")
 
+_RANKED = f"rk AS ({ranked_sql(traces_sql(), M)})"
 _TEST_RANKED = f"rk AS ({ranked_sql(traces_sql('test'), M)})"
 ORACLE["build_samples"] = with_views(f"""
-    , {_TEST_RANKED}
+    , {_RANKED}
     SELECT sample_id, eq_id, event_copy, chunk_no, is_bias, side, slot, trace_idx FROM ({samples_sql('rk')})""",
     "fx_catalog", "fx_traces")
 
@@ -219,7 +220,7 @@ ORACLE["build_samples_bias"] = with_views(f"""
     FROM ({samples_sql('rk', bias=True)}) GROUP BY ALL""", "fx_wide_traces")
 
 ORACLE["sample_weights"] = with_views(f"""
-    , rk AS ({ranked_sql(weights_sql(traces_sql('test')), M)})
+    , rk AS ({ranked_sql(weights_sql(traces_sql()), M)})
     SELECT sample_id, eq_id, chunk_no, is_bias, round(avg(weight), 9) AS weight, count(*) AS n_targets
     FROM ({samples_sql('rk', bias=True)}) WHERE side = 'target' GROUP BY ALL""", "fx_catalog", "fx_traces")
 
@@ -260,7 +261,7 @@ def wsum_sql(w: str) -> str:
 def mask_sql(src: str, sec: str, length: int, rate: int = fx.WAVE_RATE, wave: bool = True) -> str:
     """C6/C7 over rows with p_pick, pick0 (and waveform)."""
     cut = f"CAST(pick0 + ({sec}) * {rate} AS INTEGER)"
-    blank = f"(p_pick > {cut})"
+    blank = f"(coalesce(p_pick > {cut}, false) OR waveform IS NULL)" if wave else f"coalesce(p_pick > {cut}, false)"
     cols = [f"{cut} AS cutoff", f"{blank} AS blanked"]
     repl = []
     for c in ("lat", "lon", "elev", "vs30"):
@@ -268,16 +269,17 @@ def mask_sql(src: str, sec: str, length: int, rate: int = fx.WAVE_RATE, wave: bo
     if wave:
         repl.append(f"CASE WHEN {blank} THEN {zeros_sql(str(length))} ELSE {fit_sql('waveform', length, cut)} END AS waveform")
     excl = "lat, lon, elev, vs30" + (", waveform" if wave else "")
-    return f"SELECT * REPLACE ({', '.join(repl)}), {', '.join(cols)} FROM ({src})" if False else \
-        f"SELECT * EXCLUDE ({excl}), {', '.join(repl)}, {', '.join(cols)} FROM ({src})"
+    return f"SELECT * EXCLUDE ({excl}), {', '.join(repl)}, {', '.join(cols)} FROM ({src})"
 
 
 W_VIEWS = ("fx_catalog", "fx_traces", "fx_traces_w", "fx_waveforms")
-_RKW = f"rkw AS ({ranked_sql(traces_sql('test', view='fx_traces_w'), M)})"
-_MASKED = f"""{_RKW},
+_RKW = f"rkw AS ({ranked_sql(traces_sql(view='fx_traces_w'), M)})"
+_TEST_RKW = f"rkw AS ({ranked_sql(traces_sql('test', view='fx_traces_w'), M)})"
+_MASK_STEPS = f"""
     inp AS (SELECT *, first_value(p_pick) OVER (PARTITION BY eq_id ORDER BY slot) AS pick0 FROM rkw WHERE chunk_no = 0),
-    hyd AS (SELECT i.*, w.samples AS waveform FROM inp i JOIN fx_waveforms w USING (eq_id, trace_idx)),
+    hyd AS (SELECT i.*, w.samples AS waveform FROM inp i LEFT JOIN fx_waveforms w USING (eq_id, trace_idx)),
     msk AS ({mask_sql('SELECT * FROM hyd', str(q.MASK_SEC), q.T_PAD)})"""
+_MASKED = f"{_RKW},{_MASK_STEPS}"
 
 
 def wave_stats_sql(w: str) -> str:
@@ -286,25 +288,27 @@ def wave_stats_sql(w: str) -> str:
 
 
 ORACLE["hydrate_inputs"] = with_views(f"""
-    , {_TEST_RANKED}
+    , {_RANKED}
     SELECT s.sample_id, s.slot, s.trace_idx, s.lat, s.lon, s.elev, s.vs30, s.p_pick,
-           CAST(len(w.samples) AS INTEGER) AS n_samples, round({peak_sql('w.samples')}, 6) AS peak
-    FROM ({samples_sql('rk')}) s JOIN fx_waveforms w USING (eq_id, trace_idx) WHERE s.side = 'input'""",
+           CAST(coalesce(len(w.samples), 0) AS INTEGER) AS n_samples,
+           CASE WHEN w.samples IS NOT NULL THEN round({peak_sql('w.samples')}, 6) END AS peak
+    FROM ({samples_sql('rk')}) s LEFT JOIN fx_waveforms w USING (eq_id, trace_idx) WHERE s.side = 'input'""",
     *W_VIEWS)
 
 ORACLE["hydrate_targets"] = with_views(f"""
-    , {_TEST_RANKED}
+    , {_RANKED}
     SELECT sample_id, slot, trace_idx, lat, lon, elev, vs30, round(pga, 6) AS label, p_pick, pga_time AS label_time
     FROM ({samples_sql('rk')}) WHERE side = 'target'""", "fx_catalog", "fx_traces")
 
 ORACLE["event_traces_cropped"] = with_views(f"""
-    SELECT t.eq_id, t.trace_idx, CAST(len(list_slice(w.samples, 1, {q.T_CROP})) AS INTEGER) AS n_samples,
-           round({peak_sql(f'list_slice(w.samples, 1, {q.T_CROP})')}, 6) AS peak, t.lat, t.lon, t.elev, t.p_pick
-    FROM fx_traces_w t JOIN fx_waveforms w USING (eq_id, trace_idx)
+    SELECT t.eq_id, t.trace_idx, CAST(coalesce(len(list_slice(w.samples, 1, {q.T_CROP})), 0) AS INTEGER) AS n_samples,
+           CASE WHEN w.samples IS NOT NULL THEN round({peak_sql(f'list_slice(w.samples, 1, {q.T_CROP})')}, 6) END AS peak,
+           t.lat, t.lon, t.elev, t.p_pick
+    FROM fx_traces_w t LEFT JOIN fx_waveforms w USING (eq_id, trace_idx)
     WHERE t.eq_id IN (SELECT eq_id FROM fx_catalog WHERE year = {TY})""", *W_VIEWS)
 
 ORACLE["snapshot_slots"] = with_views(f"""
-    , {_TEST_RANKED},
+    , {_RANKED},
     s AS (SELECT sample_id, side, slot, lat, lon, elev, vs30, pga FROM ({samples_sql('rk')})),
     pads AS (SELECT sample_id, side, CAST(unnest(range(n, {M})) AS INTEGER) AS slot
              FROM (SELECT sample_id, side, count(*) AS n FROM s GROUP BY ALL) WHERE n < {M})
@@ -325,7 +329,7 @@ ORACLE["blank_late_stations"] = with_views(f"""
 
 _LADDER = f"""
     et AS (SELECT t.*, list_slice(w.samples, 1, {q.T_CROP}) AS waveform FROM fx_traces_w t
-           JOIN fx_waveforms w USING (eq_id, trace_idx)
+           LEFT JOIN fx_waveforms w USING (eq_id, trace_idx)
            WHERE t.eq_id IN (SELECT eq_id FROM fx_catalog WHERE year = {TY})),
     top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY eq_id ORDER BY trace_idx) - 1 AS INTEGER) AS slot
                            FROM et) WHERE slot < {M}),
@@ -439,7 +443,7 @@ def _exceed_sql(alpha: float, beta: float) -> str:
 
 
 _REAL4 = "(lat <> 0 OR lon <> 0 OR elev <> 0 OR vs30 <> 0)"
-_PRED = f"""{_MASKED},
+_PRED = f"""{_TEST_RKW},{_MASK_STEPS},
     pev AS (SELECT eq_id, max(CASE WHEN {_REAL4} THEN {peak_sql('waveform')} END) AS peak,
                    max(CASE WHEN slot = 0 THEN lat END) AS lat0, max(CASE WHEN slot = 0 THEN lon END) AS lon0
             FROM msk GROUP BY eq_id),
@@ -447,7 +451,7 @@ _PRED = f"""{_MASKED},
                    r.pga_time AS label_time, r.pga AS answer, r.lat AS latitude, r.lon AS longitude,
                    r.elev AS elevation, log10(e.peak + {lit(1e-8)}) AS L,
                    sqrt((r.lat - e.lat0) * (r.lat - e.lat0) + (r.lon - e.lon0) * (r.lon - e.lon0)) AS d
-            FROM rkw r JOIN pev e USING (eq_id) WHERE e.peak IS NOT NULL),
+            FROM rkw r JOIN pev e USING (eq_id)),
     pr AS ({" UNION ALL ".join(
         f"SELECT '{n}' AS model, *, {_predict_sql(a, b)} AS predict, {_exceed_sql(a, b)} AS exceedance FROM ptg"
         for a, b, n in q.MODEL_PARAMS)})"""
@@ -499,6 +503,30 @@ ORACLE["ensemble_report"] = with_views(
     f", {_PRED}, {_ENS}\n{_r2_sql(chr(39) + 'ensemble' + chr(39) + ' AS model, * FROM ens', 'model')}".replace(
         "FROM ('ensemble' AS model, * FROM ens)", "FROM (SELECT 'ensemble' AS model, * FROM ens)"), *W_VIEWS)
 
+# Every cut-off at once: the rows of an input set once per cut-off.
+_SECS = "[" + ", ".join(map(str, q.CUTOFFS)) + "]"
+_PRED_ALL = f"""{_TEST_RKW},
+    inp AS (SELECT *, first_value(p_pick) OVER (PARTITION BY eq_id ORDER BY slot) AS pick0 FROM rkw WHERE chunk_no = 0),
+    hyd AS (SELECT i.*, w.samples AS waveform, unnest({_SECS}) AS mask_sec
+            FROM inp i LEFT JOIN fx_waveforms w USING (eq_id, trace_idx)),
+    msk AS ({mask_sql('SELECT * FROM hyd', 'mask_sec', q.T_PAD)}),
+    pev AS (SELECT eq_id, mask_sec, max(CASE WHEN {_REAL4} THEN {peak_sql('waveform')} END) AS peak,
+                   max(CASE WHEN slot = 0 THEN lat END) AS lat0, max(CASE WHEN slot = 0 THEN lon END) AS lon0
+            FROM msk GROUP BY eq_id, mask_sec),
+    ptg AS (SELECT r.eq_id, e.mask_sec, concat_ws('/', r.eq_id, 0, r.chunk_no, 0) AS sample_id, r.slot, r.pga AS answer,
+                   log10(e.peak + {lit(1e-8)}) AS L,
+                   sqrt((r.lat - e.lat0) * (r.lat - e.lat0) + (r.lon - e.lon0) * (r.lon - e.lon0)) AS d
+            FROM rkw r JOIN pev e USING (eq_id)),
+    pr AS ({" UNION ALL ".join(f"SELECT *, {_predict_sql(a, b)} AS predict FROM ptg" for a, b, _ in q.MODEL_PARAMS)}),
+    ens AS (SELECT mask_sec, sample_id, slot, avg(predict) AS predict, any_value(answer) AS answer
+            FROM pr GROUP BY mask_sec, sample_id, slot)"""
+ORACLE["ensemble_by_cutoff"] = with_views(
+    f", {_PRED_ALL}\n{_r2_sql('SELECT * FROM ens', 'mask_sec').replace('mask_sec AS model', 'CAST(mask_sec AS INTEGER) AS mask_sec')}", *W_VIEWS)
+
+ORACLE["point_prediction"] = with_views(f"""
+    , {_PRED}
+    SELECT agg, model, sample_id, slot, round(predict, 6) AS point FROM pr, (VALUES ('mean'), ('point')) v(agg)""", *W_VIEWS)
+
 ORACLE["mixture_from_logits"] = with_views(f"""
     , mx AS (
       SELECT vec_id, w, mu, sg FROM (
@@ -507,20 +535,25 @@ ORACLE["mixture_from_logits"] = with_views(f"""
                  list_transform(embedding[11:15], lambda x: CAST(x AS DOUBLE)) AS mu,
                  list_transform(embedding[6:10], lambda x: exp(CAST(x AS DOUBLE))) AS sg
           FROM (SELECT vec_id, embedding, list_transform(embedding[1:5], lambda x: CAST(x AS DOUBLE)) AS l
-                FROM embeddings WHERE vec_id < {fx.VEC_MOD}))))
+                FROM embeddings))))
     SELECT k.eq_id, k.trace_idx,
            round(w[1] * mu[1] + w[2] * mu[2] + w[3] * mu[3] + w[4] * mu[4] + w[5] * mu[5], 6) AS mix_mean,
            round(list_max(w), 6) AS w_max, round(list_max(sg), 6) AS sigma_max,
            round(w[1] + w[2] + w[3] + w[4] + w[5], 6) AS w_sum
-    FROM fx_traces k JOIN mx ON (k.eq_id * 7 + k.trace_idx) % {fx.VEC_MOD} = mx.vec_id""", "fx_traces")
+    FROM fx_traces k JOIN mx
+      ON (k.eq_id * 7 + k.trace_idx) % (SELECT max(vec_id) + 1 + {fx.NO_WAVE} FROM embeddings) = mx.vec_id""", "fx_traces")
 
 ORACLE["local_time"] = """
     SELECT event_id, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS local_ts FROM events"""
 
+_KINDS = f"""lk AS (SELECT DISTINCT eq_id, mask_sec, CAST(eq_id % {q.BAD_KINDS} AS INTEGER) AS kind FROM lmsk)"""
+
 ORACLE["validate_snapshots"] = with_views(f"""
-    , {_LADDER}
-    SELECT DISTINCT eq_id, mask_sec, true AS valid, CAST(NULL AS VARCHAR) AS reason, CAST({M} AS INTEGER) AS n_stations
-    FROM lmsk""", *W_VIEWS)
+    , {_LADDER}, {_KINDS},
+    lr AS (SELECT *, CASE kind WHEN 1 THEN 'corrupt' WHEN 2 THEN 'ragged_time' WHEN 3 THEN 'station_count'
+                     WHEN 4 THEN 'station_count_mismatch' WHEN 5 THEN 'missing' WHEN 6 THEN 'bad_position' END AS reason FROM lk)
+    SELECT reason IS NULL AS valid, reason, count(*) AS n_lines,
+           count(DISTINCT CASE WHEN kind <> 1 THEN eq_id END) AS n_events FROM lr GROUP BY ALL""", *W_VIEWS)
 
 _F = "CAST(CAST({} AS FLOAT) AS DOUBLE)"
 _STREAM = f"""{_LADDER},
@@ -555,6 +588,20 @@ ORACLE["stream_routed"] = with_views(f"""
     SELECT eq_id, mask_sec, model, slot, {_route_sql()} AS route, round(predict, 6) AS predict FROM spr""", *W_VIEWS)
 
 
+# Lines of kind 3 lost their last station; the stream accepts any number of stations.
+_STREAM_LINES = f"""{_LADDER}, {_KINDS},
+    lcut AS (SELECT l.* FROM lmsk l JOIN lk USING (eq_id, mask_sec)
+             WHERE kind IN (0, 7) OR (kind = 3 AND slot < {M} - 1)),"""
+ORACLE["stream_quarantined"] = with_views(f"""
+    , {_STREAM_LINES}
+    {_STREAM.split("sst AS", 1)[0].replace(_LADDER, '').lstrip(', ')} sst AS{_STREAM.split("sst AS", 1)[1].replace('FROM lmsk', 'FROM lcut')}
+    SELECT 'scored' AS kind, {_route_sql()} AS name, count(*) AS n FROM spr GROUP BY 2
+    UNION ALL
+    SELECT 'rejected' AS kind, CASE kind WHEN 1 THEN 'corrupt' WHEN 2 THEN 'ragged_time' WHEN 4 THEN 'station_count_mismatch'
+           WHEN 5 THEN 'missing' ELSE 'bad_position' END AS name, count(*) AS n
+    FROM lk WHERE kind IN (1, 2, 4, 5, 6) GROUP BY 2""", *W_VIEWS)
+
+
 # --- the full data-set builder -------------------------------------------------
 
 def _dataset_sql(o) -> str:
@@ -628,9 +675,10 @@ def _dataset_sql(o) -> str:
                    CAST((n_traces + {m - 1}) // {m} AS INTEGER) AS n_chunks
             FROM (SELECT *, CAST(row_number() OVER (PARTITION BY eq_id ORDER BY {order}) - 1 AS INTEGER) AS pos,
                          CAST(count(*) OVER (PARTITION BY eq_id) AS INTEGER) AS n_traces FROM dtc)),
-    dc0 AS (SELECT d.*, first_value(d.p_pick) OVER (PARTITION BY d.eq_id ORDER BY d.slot) AS pick0,
-                   {fit_sql('w.samples', T_)} AS waveform
-            FROM drk d JOIN fx_waveforms w USING (eq_id, trace_idx) WHERE d.chunk_no = 0),
+    dc0 AS (SELECT d.* EXCLUDE (lat, lon, elev, vs30), first_value(d.p_pick) OVER (PARTITION BY d.eq_id ORDER BY d.slot) AS pick0,
+                   {', '.join(f"CASE WHEN w.samples IS NULL THEN CAST(0.0 AS DOUBLE) ELSE d.{c} END AS {c}" for c in ('lat', 'lon', 'elev', 'vs30'))},
+                   CASE WHEN w.samples IS NULL THEN {zeros_sql(str(T_))} ELSE {fit_sql('w.samples', T_)} END AS waveform
+            FROM drk d LEFT JOIN fx_waveforms w USING (eq_id, trace_idx) WHERE d.chunk_no = 0),
     dsp AS (SELECT eq_id, chunk_no AS _sc FROM drk WHERE slot = 0),
     dinp0 AS (SELECT c.* EXCLUDE (chunk_no), s._sc AS chunk_no, unnest({bias_arr}) AS is_bias
               FROM dc0 c JOIN dsp s USING (eq_id)),

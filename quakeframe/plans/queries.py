@@ -18,10 +18,10 @@ from quakeframe.operators.samples import (build_samples, hydrate_inputs, hydrate
                                           rank_traces, sample_weights)
 from quakeframe.operators.snapshots import assemble_snapshots, event_traces, snapshot_ladder
 from quakeframe.functions.mixture import mixture_from_logits, mixture_mean
-from quakeframe.operators.evaluate import ensemble, evaluate, with_exceedance
+from quakeframe.operators.evaluate import ensemble, evaluate, point_prediction, split_ensemble, with_exceedance
 from quakeframe.operators.scoring import (AttenuationScorer, masked_input_sets, pad_predictions, score,
                                           scoring_rows, target_groups)
-from quakeframe.session import shared_dir
+from quakeframe.session import pinned, shared_dir
 from quakeframe.sources import fixtures as fx
 from quakeframe.sources.snapshots_io import (read_predictions, read_snapshots, validate_snapshots,
                                              write_predictions, write_snapshots)
@@ -144,7 +144,8 @@ def q_intensity8_classes(spark, sf_dir):
 
 
 def q_label_weights(spark, sf_dir):
-    w = label_weights(selected_traces(spark, sf_dir), "pga")
+    ev = selected_events(spark, sf_dir).select("eq_id")
+    w = label_weights(fx.fx_traces(spark, sf_dir).join(ev, "eq_id"), "pga")  # unlabelled traces too
     return w.select("eq_id", "trace_idx", "class", "weight")
 
 
@@ -156,7 +157,7 @@ def q_intensity_ticks(spark, sf_dir):
                   F.struct(F.lit("pgv").alias("target"), F.col("c_pgv").alias("class")))).alias("x"))
               .groupBy("x.target", "x.class").agg(F.count(F.lit(1)).alias("n_traces")))
     scale = scale_table(spark)
-    out = F.broadcast(scale).join(counts, ["target", "class"], "left")
+    out = scale.join(F.broadcast(counts), ["target", "class"], "left")  # at most 20 counts
     return out.select("target", "class", "label", _r(F.col("threshold")).alias("threshold"),
                       _r(F.col("tick")).alias("tick"), "display_line",
                       F.coalesce(F.col("n_traces"), F.lit(0)).alias("n_traces"))
@@ -164,20 +165,15 @@ def q_intensity_ticks(spark, sf_dir):
 
 # --- ranking and samples ----------------------------------------------------
 
-HOT_EVENT_ROWS = 4  # events above this size take the skew path in ``rank_by_pick``
-
-
 def q_rank_by_pick(spark, sf_dir):
-    """W1/W2. The hot-group bound is set low so that, on the test tables, every event with
-    more than 4 traces goes through the range-partitioned (skew) path and the rest through
-    the window path; both must agree with ``row_number``."""
+    """W1/W2."""
     r = rank_traces(selected_traces(spark, sf_dir), max_station_num=fx.MAX_STATIONS_FX,
-                    max_group_rows=HOT_EVENT_ROWS, pin=False)  # one consumer: nothing to pin
+                    pin=False)  # one consumer: nothing to pin
     return r.select("eq_id", "trace_idx", "pos", "chunk_no", "slot", "n_chunks")
 
 
-def _test_samples(spark, sf_dir, bias=False, weights=False):
-    t = selected_traces(spark, sf_dir, mode="test")
+def _samples(spark, sf_dir, bias=False, weights=False, mode="all"):
+    t = selected_traces(spark, sf_dir, mode=mode)
     if weights:
         t = label_weights(t, "pga")
     r = rank_traces(t, max_station_num=fx.MAX_STATIONS_FX)
@@ -185,7 +181,7 @@ def _test_samples(spark, sf_dir, bias=False, weights=False):
 
 
 def q_build_samples(spark, sf_dir):
-    s = _test_samples(spark, sf_dir)
+    s = _samples(spark, sf_dir)
     return s.select("sample_id", "eq_id", "event_copy", "chunk_no", "is_bias", "side", "slot", "trace_idx")
 
 
@@ -201,7 +197,7 @@ def q_build_samples_bias(spark, sf_dir):
 
 
 def q_sample_weights(spark, sf_dir):
-    s = _test_samples(spark, sf_dir, bias=True, weights=True)
+    s = _samples(spark, sf_dir, bias=True, weights=True)
     w = sample_weights(s)
     return w.select("sample_id", "eq_id", "chunk_no", "is_bias", _r(F.col("weight"), 9).alias("weight"),
                     "n_targets")
@@ -210,7 +206,7 @@ def q_sample_weights(spark, sf_dir):
 def q_test_year_sample_summary(spark, sf_dir):
     """Flagship: for each test-year event and chunk, the number of samples of the event,
     targets in the chunk, strongest 8-class intensity and mean label."""
-    s = _test_samples(spark, sf_dir)
+    s = _samples(spark, sf_dir, mode="test")
     tg = s.filter(F.col("side") == "target")
     return (tg.groupBy("eq_id", "chunk_no")
             .agg(F.max("n_chunks").alias("n_samples"), F.count(F.lit(1)).alias("n_targets"),
@@ -220,7 +216,7 @@ def q_test_year_sample_summary(spark, sf_dir):
 # --- hydration, masking, replay, features ------------------------------------
 
 MASK_SEC = 3
-T_PAD = 24    # 12 s at 2 Hz: longer than the 21 stored samples, so traces are padded
+T_PAD = 24    # 12 s at 2 Hz: longer than the 22 stored samples, so traces are padded
 T_CROP = 20   # 10 s at 2 Hz: shorter, so traces are cropped
 
 
@@ -236,16 +232,16 @@ def _wave_stats(w):
 def q_hydrate_inputs(spark, sf_dir):
     """Chunk 0 fetches its waveforms once per event (unique trace keys), then the
     hydrated rows are copied into every sample by the salted chunk-bucket join."""
-    t = selected_traces(spark, sf_dir, mode="test")
+    t = selected_traces(spark, sf_dir)
     r = rank_traces(t, max_station_num=fx.MAX_STATIONS_FX)
     c0 = hydrate_inputs(r.filter(F.col("chunk_no") == 0), fx.fx_waveforms(spark, sf_dir))
     h = build_samples(r, inputs=c0).filter(F.col("side") == "input")
     return h.select("sample_id", "slot", "trace_idx", "lat", "lon", "elev", "vs30", "p_pick",
-                    F.size("waveform").alias("n_samples"), _r(peak_abs("waveform")).alias("peak"))
+                    F.coalesce(F.size("waveform"), F.lit(0)).alias("n_samples"), _r(peak_abs("waveform")).alias("peak"))
 
 
 def q_hydrate_targets(spark, sf_dir):
-    h = hydrate_targets(_test_samples(spark, sf_dir))
+    h = hydrate_targets(_samples(spark, sf_dir))
     return h.select("sample_id", "slot", "trace_idx",
                     *[F.col("target_pos")[i].alias(c) for i, c in enumerate(["lat", "lon", "elev", "vs30"])],
                     _r(F.col("label")).alias("label"), "p_pick", "label_time")
@@ -254,12 +250,12 @@ def q_hydrate_targets(spark, sf_dir):
 def q_event_traces_cropped(spark, sf_dir):
     ids = cat.replay_event_ids(fx.fx_catalog(spark, sf_dir), fx.TEST_YEAR)
     et = event_traces(ids, fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR), fx.fx_waveforms(spark, sf_dir), T_CROP)
-    return et.select("eq_id", "trace_idx", F.size("waveform").alias("n_samples"), _r(peak_abs("waveform")).alias("peak"),
-                     "lat", "lon", "elev", "p_pick")
+    return et.select("eq_id", "trace_idx", F.coalesce(F.size("waveform"), F.lit(0)).alias("n_samples"),
+                     _r(peak_abs("waveform")).alias("peak"), "lat", "lon", "elev", "p_pick")
 
 
 def q_snapshot_slots(spark, sf_dir):
-    s = _test_samples(spark, sf_dir)
+    s = _samples(spark, sf_dir)
     fill = {"lat": 0.0, "lon": 0.0, "elev": 0.0, "vs30": 0.0, "pga": 0.0}
     p = pad_slots(s.select("sample_id", "side", "slot", "lat", "lon", "elev", "vs30", "pga", "chunk_size"),
                   ["sample_id", "side"], fx.MAX_STATIONS_FX, fill=fill, size_col="chunk_size")
@@ -268,7 +264,7 @@ def q_snapshot_slots(spark, sf_dir):
 
 
 def _masked_inputs(spark, sf_dir, sec=MASK_SEC, length=T_PAD):
-    t = selected_traces(spark, sf_dir, mode="test", traces=fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR))
+    t = selected_traces(spark, sf_dir, traces=fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR))
     r = rank_traces(t, max_station_num=fx.MAX_STATIONS_FX, pin=False)  # one consumer
     inputs = hydrate_inputs(input_traces(r), fx.fx_waveforms(spark, sf_dir))
     return apply_cutoff(inputs, sec, fx.WAVE_RATE, length)
@@ -298,7 +294,7 @@ def q_cutoff_ladder(spark, sf_dir):
 
 
 def _sample_inputs(spark, sf_dir):
-    t = selected_traces(spark, sf_dir, mode="test", traces=fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR))
+    t = selected_traces(spark, sf_dir, traces=fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR))
     s = build_samples(rank_traces(t, max_station_num=fx.MAX_STATIONS_FX))
     return with_pick0(s.filter(F.col("side") == "input"), ["sample_id"])
 
@@ -356,20 +352,25 @@ def models():
     return [AttenuationScorer(a, b, n) for a, b, n in MODEL_PARAMS]
 
 
-def _predictions(spark, sf_dir):
-    """P2 + E7: the test-year samples scored by both models in one pass."""
+def _predictions(spark, sf_dir, secs=(MASK_SEC,)):
+    """P2 + E7: the test-year samples scored by both models in one pass, at every cut-off."""
     t = selected_traces(spark, sf_dir, mode="test", traces=fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR))
     r = rank_traces(t, max_station_num=fx.MAX_STATIONS_FX)
     c0 = hydrate_inputs(r.filter(F.col("chunk_no") == 0), fx.fx_waveforms(spark, sf_dir))
-    sets = masked_input_sets(c0, ["eq_id"], fx.MAX_STATIONS_FX, T_PAD, MASK_SEC, fx.WAVE_RATE)
+    if len(secs) > 1:
+        c0 = pinned(c0, "inputs")
+    sets = None
+    for sec in secs:
+        one = masked_input_sets(c0, ["eq_id"], fx.MAX_STATIONS_FX, T_PAD, sec, fx.WAVE_RATE).withColumn("mask_sec", F.lit(sec))
+        sets = one if sets is None else sets.unionByName(one)
     fields = ["chunk_no", "slot", "trace_idx", "p_pick", "label_time", "answer", "lat", "lon", "elev", "vs30",
               "chunk_size"]
     tg = r.select("eq_id", *fields[:4], F.col("pga_time").alias("label_time"), F.col("pga").alias("answer"),
                   "lat", "lon", "elev", "vs30", "chunk_size")
     rows = scoring_rows(sets, target_groups(tg, ["eq_id"], fields), ["eq_id"])
-    scored = score(rows, models(), ["eq_id"])
+    scored = score(rows, models(), ["eq_id", "mask_sec"])
     return scored.select(
-        "model", F.concat_ws("/", F.col("eq_id"), F.lit(0), F.col("target.chunk_no"), F.lit(0)).alias("sample_id"),
+        "model", "mask_sec", F.concat_ws("/", F.col("eq_id"), F.lit(0), F.col("target.chunk_no"), F.lit(0)).alias("sample_id"),
         F.col("target.slot").alias("slot"), "eq_id", F.col("target.p_pick").alias("p_pick"),
         F.col("target.label_time").alias("label_time"), "predict", F.col("target.answer").alias("answer"),
         F.col("target.lat").alias("latitude"), F.col("target.lon").alias("longitude"),
@@ -389,7 +390,7 @@ def q_score_two_models(spark, sf_dir):
 
 
 def q_predictions_real_only(spark, sf_dir):
-    p = pad_predictions(_predictions(spark, sf_dir).drop("mixture"), ["model", "sample_id"], fx.MAX_STATIONS_FX)
+    p = pad_predictions(_predictions(spark, sf_dir).drop("mixture", "mask_sec"), ["model", "sample_id"], fx.MAX_STATIONS_FX)
     return p.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"),
                                   F.count(F.when(F.col("is_real"), 1)).alias("n_real"),
                                   F.count(F.when(F.col("answer") != 0, 1)).alias("n_answer_nonzero"))
@@ -406,7 +407,7 @@ def q_exceedance(spark, sf_dir):
 
 
 def q_ensemble_mean(spark, sf_dir):
-    e = ensemble(_predictions(spark, sf_dir), ["sample_id", "slot"], n_models=len(MODEL_PARAMS))
+    e, _ = split_ensemble(ensemble(_predictions(spark, sf_dir), ["sample_id", "slot"]), len(MODEL_PARAMS))
     return e.select("sample_id", "slot", "eq_id", _r(F.col("predict")).alias("predict"),
                     _r(F.col("answer")).alias("answer"), "n_models")
 
@@ -421,10 +422,34 @@ def q_evaluate_r2(spark, sf_dir):
 
 
 def q_ensemble_report(spark, sf_dir):
-    e = ensemble(_predictions(spark, sf_dir), ["sample_id", "slot"], n_models=len(MODEL_PARAMS))
+    e, _ = split_ensemble(ensemble(_predictions(spark, sf_dir), ["sample_id", "slot"]), len(MODEL_PARAMS))
     return _eval_out(evaluate(e.withColumn("model", F.lit("ensemble")), ["model"]))
 
 
+CUTOFFS = (3, 5, 7, 10)
+
+
+def q_ensemble_by_cutoff(spark, sf_dir):
+    """P5: predictions of every cut-off written and read back, averaged per (cut-off, sample,
+    slot); the ensemble is written and read back too, then evaluated per cut-off."""
+    path = shared_dir(spark, "predictions")
+    write_predictions(_predictions(spark, sf_dir, CUTOFFS), path)
+    e = ensemble(read_predictions(spark, path, with_cutoff=True), ["mask_sec", "sample_id", "slot"])
+    good, _ = split_ensemble(e, len(MODEL_PARAMS))
+    path = shared_dir(spark, "ensemble")
+    write_predictions(good.withColumn("model", F.lit("ensemble")), path)
+    r = evaluate(read_predictions(spark, path, with_cutoff=True), ["mask_sec"])
+    return r.select("mask_sec", "n", _r(F.col("r2")).alias("r2"), _r(F.col("lim_lo")).alias("lim_lo"), _r(F.col("lim_hi")).alias("lim_hi"))
+
+
+def q_point_prediction(spark, sf_dir):
+    """M6 from both sources: the mixture mean and the given prediction."""
+    p = _predictions(spark, sf_dir)
+    both = [point_prediction(p, a).select(F.lit(a).alias("agg"), "model", "sample_id", "slot", _r(F.col("point")).alias("point"))
+            for a in ("mean", "point")]
+    return both[0].unionByName(both[1])
+
+
 def q_predictions_csv_roundtrip(spark, sf_dir):
     path = shared_dir(spark, "predictions")
     write_predictions(_predictions(spark, sf_dir), path)
@@ -432,12 +457,10 @@ def q_predictions_csv_roundtrip(spark, sf_dir):
 
 
 def q_mixture_from_logits(spark, sf_dir):
-    emb = fx.read_table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < fx.VEC_MOD)
+    emb = fx.read_table(spark, sf_dir, "embeddings")
     mix = emb.select("vec_id", mixture_from_logits(F.slice("embedding", 1, 5), F.slice("embedding", 6, 5),
                                                    F.slice("embedding", 11, 5)).alias("mixture"))
-    keys = fx.fx_traces(spark, sf_dir).select("eq_id", "trace_idx").withColumn(
-        "vec_id", (F.col("eq_id") * 7 + F.col("trace_idx")) % fx.VEC_MOD)
-    j = keys.join(F.broadcast(mix), "vec_id")
+    j = fx.fx_trace_vectors(spark, sf_dir).join(mix, "vec_id")
     return j.select("eq_id", "trace_idx", _r(mixture_mean("mixture")).alias("mix_mean"),
                     _r(F.array_max(F.transform("mixture", lambda c: c["weight"]))).alias("w_max"),
                     _r(F.array_max(F.transform("mixture", lambda c: c["sigma"]))).alias("sigma_max"),
@@ -456,17 +479,50 @@ def _snapshots(spark, sf_dir):
     return assemble_snapshots(_ladder(spark, sf_dir), times, max_station_num=fx.MAX_STATIONS_FX, length=T_CROP)
 
 
+BAD_KINDS = 8  # eq_id % 8 picks what is wrong with an event's snapshot lines; 0 and 7: nothing
+
+
+def _lines(spark, sf_dir):
+    """Snapshot lines as text, most of them broken in a way that depends on the event."""
+    w, st, kind = F.col("waveform"), F.col("station"), F.col("eq_id") % BAD_KINDS
+    cut = lambda c: F.slice(c, 1, F.size(c) - 1)
+    first = lambda c, x: F.concat(F.array(x), F.slice(c, 2, fx.MAX_STATIONS_FX))
+    none = F.lit(None)
+    waveform = (F.when(kind == 2, first(w, cut(w[0]))).when(kind.isin(3, 4), cut(w))
+                .when(kind == 5, none.cast("array<array<array<float>>>")).otherwise(w))
+    station = F.when(kind == 3, cut(st)).when(kind == 6, first(st, cut(st[0]))).otherwise(st)
+    s = _snapshots(spark, sf_dir).select(F.col("event_time").cast("timestamp").alias("event_time"), waveform.alias("waveform"), station.alias("station"), "eq_id", "mask_sec")
+    line = F.to_json(F.struct("event_time", "waveform", "station", "eq_id", "mask_sec"),
+                     {"timestampFormat": "yyyy-MM-dd HH:mm:ss", "ignoreNullFields": "false"})
+    return s.select(F.when(kind == 1, F.substring(line, 1, 60)).otherwise(line).alias("value"))
+
+
 def q_validate_snapshots(spark, sf_dir):
     path = shared_dir(spark, "snapshots")
-    write_snapshots(_snapshots(spark, sf_dir), path, partition_by=None)
+    _lines(spark, sf_dir).write.text(path)
     v = validate_snapshots(read_snapshots(spark, path), n_stations=fx.MAX_STATIONS_FX, length=T_CROP)
-    return v.select("eq_id", "mask_sec", "valid", "reason", F.size("waveform").alias("n_stations"))
+    return v.groupBy("valid", "reason").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct("eq_id").alias("n_events"))
+
+
+def q_stream_quarantined(spark, sf_dir):
+    """ST1/ST2 + D13: broken lines in the stream land in the quarantine, the others are scored and routed."""
+    src, sink, ckpt, bad = (shared_dir(spark, n) for n in ("stream-src", "stream-sink", "stream-ckpt", "stream-bad"))
+    _lines(spark, sf_dir).write.text(src)
+    q = run_stream(spark, src, sink, ckpt, models(), rules=ROUTES, max_files=4, quarantine_dir=bad)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    # The stream accepts any number of stations and samples: only broken lines are rejected.
+    good = spark.read.parquet(sink).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+    rejected = spark.read.parquet(bad).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return good.select(F.lit("scored").alias("kind"), F.col("route").alias("name"), "n").unionByName(
+        rejected.select(F.lit("rejected").alias("kind"), F.col("reason").alias("name"), "n"))
 
 
 def _run_stream(spark, sf_dir, rules=None):
     src, sink, ckpt = (shared_dir(spark, n) for n in ("stream-src", "stream-sink", "stream-ckpt"))
-    write_snapshots(_snapshots(spark, sf_dir), src, partition_by=None, files_per_partition=4)
-    q = run_stream(spark, src, sink, ckpt, models(), rules=rules, max_files=1)
+    write_snapshots(_snapshots(spark, sf_dir), src, partition_by=None)  # as many files as partitions
+    q = run_stream(spark, src, sink, ckpt, models(), rules=rules, max_files=4)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
@@ -577,6 +633,8 @@ QUERIES = {
     "ensemble_mean": q_ensemble_mean,
     "evaluate_r2": q_evaluate_r2,
     "ensemble_report": q_ensemble_report,
+    "ensemble_by_cutoff": q_ensemble_by_cutoff,
+    "point_prediction": q_point_prediction,
     "predictions_csv_roundtrip": q_predictions_csv_roundtrip,
     "mixture_from_logits": q_mixture_from_logits,
     "local_time": q_local_time,
@@ -584,6 +642,7 @@ QUERIES = {
     "snapshots_batch_scored": q_snapshots_batch_scored,
     "stream_scored": q_stream_scored,
     "stream_routed": q_stream_routed,
+    "stream_quarantined": q_stream_quarantined,
     "dataset_samples": q_dataset_samples,
     "dataset_test_samples": q_dataset_test_samples,
 }

@@ -10,13 +10,15 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at cluster scale (see README "Scale notes").
 SCALE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot event even where the split costs the partitioning that a later step would reuse.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Broadcast decided on the runtime-measured size of a finished stage (a checked bound).
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
@@ -71,10 +73,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder; create a local one only if unset.
+    """Return the cluster's shared checkpoint folder; create one only in local mode.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared file system folder. Only when
-    nothing is configured (local tests) do we fall back to a fresh folder under /tmp.
+    On a cluster ``spark.checkpoint.dir`` (or ``SparkContext.setCheckpointDir``) must name a
+    folder that driver and executors share; without it this raises, since a folder of the
+    driver's own machine would lose data. In local mode a fresh folder under /tmp serves.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -82,6 +85,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="qf-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -92,3 +97,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     stream sources, sinks and checkpoints). Never a machine-local temp folder on a cluster."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/qf-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def pinned(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once as Parquet into the shared folder and read back: later steps prune
+    columns, lineage is cut, and a lost executor costs only a new read."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

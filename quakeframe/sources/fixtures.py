@@ -14,9 +14,9 @@ TEST_YEAR = 2000
 MAX_STATIONS_FX = 4
 WIDE_CHUNK = 25
 WAVE_RATE = 2            # samples per second of the fixture waveforms
-WAVE_SAMPLES = 21        # 21 samples x 3 components from a 64-float embedding
+WAVE_SAMPLES = 22        # 22 samples x 3 components from a 64-float embedding (2 zeros at the end)
 WAVE_PICK_DIVISOR = 100  # fixture pick in waveform samples = p_pick / 100
-VEC_MOD = 500            # trace -> embedding link: (eq_id*7 + trace_idx) % 500
+NO_WAVE = 3              # trace -> vector link: (eq_id*7 + trace_idx) % (vectors + 3); the last 3 have no waveform
 
 NAN = float("nan")
 
@@ -98,22 +98,24 @@ def fx_wide_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fx_waveforms(spark: SparkSession, sf_dir: str, traces: DataFrame | None = None) -> DataFrame:
-    """A 21 x 3 waveform per trace, samples[t][c] = embedding[3t + c] of the linked vector.
+def fx_trace_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector id of every trace: all vectors are used, and a few traces have none."""
+    li = read_table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    keys = li.select(F.col("l_orderkey").alias("eq_id"), (F.row_number().over(w) - 1).cast("int").alias("trace_idx"))
+    n = read_table(spark, sf_dir, "embeddings").select(F.max("vec_id") + (1 + NO_WAVE)).scalar()
+    return keys.withColumn("vec_id", (F.col("eq_id") * 7 + F.col("trace_idx")) % n)
+
 
-    The embedding lookup side is bounded (vec_id < 500), so broadcasting it is safe.
-    """
-    if traces is None:
-        traces = fx_traces(spark, sf_dir)
-    emb = read_table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < VEC_MOD)
-    shaped = emb.select(
-        "vec_id",
-        F.transform(F.sequence(F.lit(0), F.lit(WAVE_SAMPLES - 1)),
-                    lambda t: F.array(F.col("embedding")[3 * t], F.col("embedding")[3 * t + 1],
-                                      F.col("embedding")[3 * t + 2])).alias("samples"))
-    keys = traces.select("eq_id", "trace_idx").withColumn(
-        "vec_id", ((F.col("eq_id") * 7 + F.col("trace_idx")) % VEC_MOD))
-    return keys.join(F.broadcast(shaped), "vec_id").select("eq_id", "trace_idx", "samples")
+def fx_waveforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 22 x 3 waveform per trace, samples[t][c] = embedding[3t + c] of the linked vector
+    (zero beyond its end); no row for the traces that have no vector."""
+    at = lambda i: F.coalesce(F.get("embedding", i), F.lit(0.0).cast("float"))
+    shaped = read_table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.transform(F.sequence(F.lit(0), F.lit(WAVE_SAMPLES - 1)),
+                              lambda t: F.array(at(3 * t), at(3 * t + 1), at(3 * t + 2))).alias("samples"))
+    return fx_trace_vectors(spark, sf_dir).join(shaped, "vec_id").select("eq_id", "trace_idx", "samples")
 
 
 # ---------------------------------------------------------------------------
@@ -170,11 +172,13 @@ SQL_VIEWS = {
         FROM events""",
     "fx_vectors": f"""
         SELECT vec_id, list_transform(range({WAVE_SAMPLES}),
-               lambda t: [embedding[3 * t + 1], embedding[3 * t + 2], embedding[3 * t + 3]]) AS samples
-        FROM embeddings WHERE vec_id < {VEC_MOD}""",
+               lambda t: [coalesce(embedding[3 * t + 1], 0), coalesce(embedding[3 * t + 2], 0),
+                          coalesce(embedding[3 * t + 3], 0)]) AS samples
+        FROM embeddings""",
     "fx_waveforms": f"""
         SELECT k.eq_id, k.trace_idx, v.samples
-        FROM fx_lines k JOIN fx_vectors v ON (k.eq_id * 7 + k.trace_idx) % {VEC_MOD} = v.vec_id""",
+        FROM fx_lines k JOIN fx_vectors v
+          ON (k.eq_id * 7 + k.trace_idx) % (SELECT max(vec_id) + 1 + {NO_WAVE} FROM embeddings) = v.vec_id""",
 }
 
 # Dependencies between the views, so a query only materialises what it uses.

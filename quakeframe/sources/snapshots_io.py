@@ -62,7 +62,7 @@ def validate_snapshots(snaps: DataFrame, n_stations: int | None = 25, length: in
     return snaps.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
 
 
-def write_predictions(preds: DataFrame, path: str, partition_by=("model",)) -> None:
+def write_predictions(preds: DataFrame, path: str, partition_by=("model", "mask_sec")) -> None:
     """CSV with header, one folder per model (and cut-off, when present)."""
     cols = [f.name for f in PREDICTIONS_CSV.fields if f.name in preds.columns]
     extra = [c for c in partition_by if c in preds.columns and c not in cols]
@@ -70,10 +70,13 @@ def write_predictions(preds: DataFrame, path: str, partition_by=("model",)) -> N
      .partitionBy(*[c for c in partition_by if c in preds.columns]).csv(path))
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Read prediction CSVs back with an explicit schema (no inference)."""
+def read_predictions(spark: SparkSession, path: str, with_cutoff: bool = False) -> DataFrame:
+    """Read prediction CSVs back with an explicit schema (no inference); ``with_cutoff``
+    when they were written per cut-off (the ``mask_sec`` folders)."""
     from pyspark.sql import types as T
 
     data_fields = [f for f in PREDICTIONS_CSV.fields if f.name != "model"]
     schema = T.StructType(data_fields + [T.StructField("model", T.StringType(), True)])
+    if with_cutoff:
+        schema = schema.add("mask_sec", T.IntegerType())
     return spark.read.schema(schema).option("header", True).csv(path)

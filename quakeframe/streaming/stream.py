@@ -21,12 +21,11 @@ def local_time(ts="event_time", naive: bool = False) -> Column:
     """M8: a UTC time shown as local (Asia/Taipei) text with second precision.
 
     ``naive=True`` for a ``TIMESTAMP_NTZ`` column holding UTC wall-clock time: converted
-    with ``convert_timezone``, independent of the session time zone. Instants
-    (``TIMESTAMP``) are rendered through ``from_utc_timestamp`` (session zone UTC)."""
+    with ``convert_timezone``. Instants (``TIMESTAMP``) go through the session's wall clock
+    and back out of it. Neither result depends on the session time zone."""
     c = F.col(ts) if isinstance(ts, str) else ts
-    if naive:
-        return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(LOCAL_TZ), c), "yyyy-MM-dd HH:mm:ss")
-    return F.date_format(F.from_utc_timestamp(c, LOCAL_TZ), "yyyy-MM-dd HH:mm:ss")
+    zone = F.lit("UTC") if naive else F.current_timezone()
+    return F.date_format(F.convert_timezone(zone, F.lit(LOCAL_TZ), c.cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss")
 
 
 def stream_snapshots(spark: SparkSession, source_dir: str, max_files: int = 1,
@@ -84,13 +83,18 @@ def route_targets(preds: DataFrame, rules: list[tuple[str, float, float]], defau
 
 
 def run_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str, scorers: list,
-               rules=None, max_files: int = 1, trigger: dict | None = None, archive_dir: str | None = None):
-    """ST1/ST3: start the scoring query (append mode, Parquet sink, checkpoint).
+               rules=None, max_files: int = 1, trigger: dict | None = None, archive_dir: str | None = None,
+               quarantine_dir: str | None = None):
+    """ST1/ST3: start the scoring query (append mode, Parquet sink, checkpoint). With
+    ``quarantine_dir`` the invalid snapshots are kept there with their reason (D13), with and
+    without routing rules.
 
     ``trigger`` is passed to ``DataStreamWriter.trigger`` (default ``availableNow``; use
     ``{"processingTime": "5 seconds"}`` for a live feed). Returns the ``StreamingQuery``;
     wait with ``spark.streams.awaitAnyTermination()`` so any failing query is seen (ST4)."""
     snaps = stream_snapshots(spark, source_dir, max_files, archive_dir)
+    if quarantine_dir:
+        return _batch_writer(snaps, sink_dir, checkpoint_dir, scorers, rules, trigger, quarantine_dir)
     preds = score_snapshots(snaps, scorers)
     part = []
     if rules:
@@ -131,16 +135,27 @@ def run_stream_reported(spark: SparkSession, source_dir: str, sink_dir: str, rep
     after a failure replaces its own output instead of duplicating it. The validated batch
     is persisted for the writes and released afterwards."""
     snaps = stream_snapshots(spark, source_dir, max_files)
+    return _batch_writer(snaps, sink_dir, checkpoint_dir, scorers, None, trigger, quarantine_dir, report_dir)
+
+
+def _batch_writer(snaps: DataFrame, sink_dir: str, checkpoint_dir: str, scorers: list, rules=None,
+                  trigger: dict | None = None, quarantine_dir: str | None = None, report_dir: str | None = None):
+    """The stream whose batches feed several sinks."""
 
     def write_batch(batch, batch_id):
         checked = validate_snapshots(batch, n_stations=None).persist()
         try:
             preds = score_snapshots(checked.filter(F.col("valid")).drop("valid", "reason"), scorers).persist()
+            if rules:
+                preds = route_targets(preds, rules)
             preds.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
             bad = checked.filter(~F.col("valid"))
             if quarantine_dir:
                 (bad.select("eq_id", "mask_sec", "event_time", "reason", "_corrupt_record")
                  .write.mode("overwrite").parquet(f"{quarantine_dir}/batch_id={batch_id}"))
+            if not report_dir:
+                preds.unpersist()
+                return
             kinds = (checked.select(F.when(F.col("valid"), "snapshot").otherwise("rejected").alias("k"))
                      .unionByName(preds.select(F.lit("prediction").alias("k"))))
             counts = kinds.agg(*[F.count(F.when(F.col("k") == k, 1)).alias(f"n_{k}s" if k != "rejected" else "n_rejected")

@@ -99,7 +99,11 @@ def test_score_mapinarrow(spark):
     df = spark.createDataFrame(rows, "k long, waveform array<array<array<float>>>, station array<array<double>>, "
                                      "targets array<struct<slot:int, lat:double, lon:double, elev:double, vs30:double>>")
     out = score(df, [AttenuationScorer(0.5, 0.3, "a"), AttenuationScorer(1.0, 0.5, "b")], ["k"]).collect()
-    assert len(out) == 4 and {r.k for r in out} == {1}          # no real station -> no prediction
+    # no real station: the rows stay, without a prediction and with the reason
+    assert sorted((r.k, r.model, r.predict is None, r.reason) for r in out if r.k == 2) == [
+        (2, "a", True, "no_station"), (2, "b", True, "no_station")]
+    out = [r for r in out if r.k == 1]
+    assert len(out) == 4 and all(r.reason is None for r in out)
     r = [x for x in out if x.model == "a" and x.target.slot == 1][0]
     mu0 = math.log10(1.5 + 1e-8) - 0.3 * 1.0
     assert r.predict == pytest.approx(mu0 + sum(c.weight * (c.mu - mu0) for c in r.mixture))
@@ -178,7 +182,7 @@ def test_runner_handles_sliced_batches():
                        T.StructField("elev", T.DoubleType()), T.StructField("vs30", T.DoubleType())])
     schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("target", tt),
                            T.StructField("model", T.StringType(), False), T.StructField("mixture", MIXTURE_TYPE),
-                           T.StructField("predict", T.DoubleType())])
+                           T.StructField("predict", T.DoubleType()), T.StructField("reason", T.StringType())])
     run = make_runner([AttenuationScorer(0.5, 0.3, "a")], ["k"], ["lat", "lon", "elev", "vs30"], schema)
     out = list(run(iter(t.slice(1).to_batches())))
     assert out[0].num_rows == 2 and out[0].column("k").to_pylist() == [2, 3]
