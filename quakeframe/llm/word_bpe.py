@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from quakeframe.llm.bpe_files import SPACE, BpeFile, load
-from quakeframe.llm.common import pick, read
+from quakeframe.llm.common import pick, read, ship
 
 VOCABULARY = "word_bpe_49k.json"
 REMEMBER = 250_000
@@ -241,6 +241,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 def decode_ids(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """The rows with ``decoded``: the token texts of the ids, one space apart."""
+    ship(rows.sparkSession)
     schema = rows.select("*").schema.add("decoded", "string")
 
     def run(batches):

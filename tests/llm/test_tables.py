@@ -79,7 +79,7 @@ def test_shard_documents(spark, frame, words, odd, monkeypatch, leaf):
     for s in range(4):
         slots = sorted(r.slot for r in got if r.shard == s)
         assert slots == list(range(len(slots)))
-    assert max(load) - min(load) <= 0.02 * sum(load)
+    assert max(load) - min(load) <= (0.02 if leaf > 7 else 0.1) * sum(load)  # tiny leaves hold texts of a third of a shard
     assert sharding.shard_documents(frame([])).count() == 0
 
 
