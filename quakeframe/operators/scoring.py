@@ -14,6 +14,8 @@ without per-value Python objects; all models of a run are evaluated in the same
 from __future__ import annotations
 
 import math
+import os
+import pickle
 from typing import Protocol
 
 import numpy as np
@@ -21,24 +23,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-import quakeframe
 from quakeframe.functions.waveform import stored_position, stored_waveform, zero_samples
 from quakeframe.schema import MIXTURE_TYPE, N_COMPONENTS, PEAK_EPS
+from quakeframe.session import ship
 
 
-def _ship_by_value() -> None:
-    """Pickle this package's functions and classes by value, so executor Python workers
-    need no installed copy of it (the scorer and the Arrow batch function travel with the
-    task). Deployments that install the package on every node lose nothing."""
-    from pyspark import cloudpickle
+# Scorers that a Python worker has loaded, by their pickled definition: one load per worker.
+_loaded: dict[bytes, "Scorer"] = {}
 
-    try:
-        cloudpickle.register_pickle_by_value(quakeframe)
-    except ValueError:  # already registered
-        pass
 
-
-_ship_by_value()
+def _ready(scorer: "Scorer") -> "Scorer":
+    key = pickle.dumps(scorer)
+    if key not in _loaded:
+        scorer.load()
+        _loaded[key] = scorer
+    return _loaded[key]
 
 
 class Scorer(Protocol):
@@ -102,7 +101,12 @@ class OnnxScorer:
                 import onnxruntime as ort
             except ImportError as e:  # pragma: no cover
                 raise RuntimeError("onnxruntime is required for OnnxScorer") from e
-            self._sess = ort.InferenceSession(self.path, providers=["CPUExecutionProvider"])
+            path = self.path
+            if not os.path.exists(path):  # on an executor: the file that came with the job
+                from pyspark import SparkFiles
+
+                path = SparkFiles.get(os.path.basename(path))
+            self._sess = ort.InferenceSession(path, providers=["CPUExecutionProvider"])
 
     def predict(self, waveform, station, targets):
         if not np.any(station != 0):
@@ -195,7 +199,7 @@ def _np_nested(scalar, depth: int):
             return None
         shape.append(int(lens[0]))
         arr = arr.flatten()
-    vals = arr.to_numpy(zero_copy_only=False).astype(np.float64)
+    vals = arr.to_numpy(zero_copy_only=False)  # in the stored precision
     if vals.size != int(np.prod(shape)):
         return None
     return vals.reshape(shape)
@@ -208,6 +212,11 @@ def score(rows: DataFrame, scorers: list, key_cols: list[str], target_pos=("lat"
     ``rows``: key columns, ``waveform``, ``station``, ``targets`` (array of structs). An input
     set that cannot be scored keeps its rows, with NULL mixture and prediction and a
     ``reason``: ``ragged`` (NULL or not rectangular) or ``no_station`` (none left to use)."""
+    sc = rows.sparkSession.sparkContext
+    ship(rows.sparkSession)
+    for path in {s.path for s in scorers if getattr(s, "path", None)}:
+        if os.path.exists(path):  # a model file of the driver's machine travels with the job
+            sc.addFile(path)
     target_type = rows.schema["targets"].dataType.elementType
     key_fields = [rows.schema[k] for k in key_cols]
     out_schema = T.StructType(key_fields + [
@@ -228,8 +237,7 @@ def make_runner(scorer_list: list, key_cols: list[str], pos_names: list[str], ou
         import pyarrow as pa
 
         out_arrow = _arrow_schema(out_schema)
-        for s in scorer_list:
-            s.load()
+        ready = [_ready(s) for s in scorer_list]
         mix_type = pa.list_(pa.struct([("weight", pa.float64()), ("mu", pa.float64()), ("sigma", pa.float64())]))
         for batch in batches:
             wave_c, sta_c, tg_c = batch.column("waveform"), batch.column("station"), batch.column("targets")
@@ -252,7 +260,7 @@ def make_runner(scorer_list: list, key_cols: list[str], pos_names: list[str], ou
                     failed.extend((i, a, b, s.name, "ragged") for s in scorer_list)
                     continue
                 tpos = pos_all[a:b]
-                for s in scorer_list:
+                for s in ready:
                     res = s.predict(wave, sta, tpos)
                     if res is None:
                         failed.append((i, a, b, s.name, "no_station"))

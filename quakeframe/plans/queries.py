@@ -104,9 +104,9 @@ def q_event_groups_exploded(spark, sf_dir):
 
 
 def q_valid_traces(spark, sf_dir):
-    t = selected_traces(spark, sf_dir)
-    ok = tr.events_with_traces(selected_events(spark, sf_dir).select("eq_id"), t)
-    return t.join(ok, "eq_id").groupBy("eq_id").agg(F.count(F.lit(1)).alias("n_valid"))
+    counts = (tr.valid_traces(fx.fx_traces(spark, sf_dir), "pga").groupBy("eq_id")
+              .agg(F.count(F.lit(1)).alias("n_valid")))
+    return counts.join(selected_events(spark, sf_dir).select("eq_id"), "eq_id", "left_semi")
 
 
 def q_downsample_small(spark, sf_dir):
