@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeframe.session import ensure_checkpoint_dir
+from quakeframe.session import ensure_checkpoint_dir, ship
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -26,27 +23,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_UPPER.lower()))
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Hand the package to the executors once per application, as ``--py-files`` would: Spark
-    serves the archive from the driver, so no executor needs an installed copy."""
-    sc = spark.sparkContext
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if sc.applicationId in _shipped or not os.path.isdir(root):
-        return
-    path = os.path.join(tempfile.mkdtemp(prefix="qf-py-"), f"{os.path.basename(root)}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
-
-
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under internal names, so that extra columns of the caller
     can neither clash with working columns nor be carried through a shuffle. Every operator
