@@ -45,19 +45,3 @@ def gt(c, v) -> Column:
 def lt(c, v) -> Column:
     c = _col(c)
     return is_number(c) & (c < v)
-
-
-def nan_to_null(c) -> Column:
-    c = _col(c)
-    return F.when(is_number(c), c)
-
-
-def safe_log10(c) -> Column:
-    """log10 for positive input, NULL otherwise (Spark gives NULL, other engines -inf/NaN)."""
-    c = _col(c)
-    return F.when(c > 0, F.log10(c))
-
-
-def safe_ln(c) -> Column:
-    c = _col(c)
-    return F.when(c > 0, F.log(c))

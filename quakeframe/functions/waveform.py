@@ -59,12 +59,6 @@ def crop(w, length) -> Column:
     return F.slice(_col(w), 1, _lit_int(length))
 
 
-def pad_time(w, length) -> Column:
-    """Zero-pad to ``length`` samples (no cropping)."""
-    w = _col(w)
-    return F.concat(w, zero_samples(_lit_int(length) - F.size(w)))
-
-
 def blank_if(w, cond, length) -> Column:
     """C7 on the waveform: an all-zero trace of ``length`` samples where ``cond`` holds."""
     return F.when(cond, zero_samples(length)).otherwise(_col(w))

@@ -16,6 +16,11 @@ from quakeframe.functions.waveform import blank_if, fit_waveform  # noqa: F401
 POSITION_COLS = ("lat", "lon", "elev", "vs30")
 
 
+def is_padding(position) -> Column:
+    """a station slot is padding when every coordinate is zero."""
+    return F.forall(F.col(position) if isinstance(position, str) else position, lambda x: x == 0)
+
+
 def with_pick0(rows: DataFrame, group: list[str], slot_col: str = "slot") -> DataFrame:
     """Reference pick = pick of slot 0 of the group's input side (in the chosen order)."""
     w = Window.partitionBy(*group).orderBy(slot_col)

@@ -602,6 +602,12 @@ ORACLE["stream_quarantined"] = with_views(f"""
     FROM lk WHERE kind IN (1, 2, 4, 5, 6) GROUP BY 2""", *W_VIEWS)
 
 
+ORACLE["canonical_tables"] = with_views("""
+    SELECT 'catalog' AS name, count(*) AS n_rows, CAST(sum(year) AS BIGINT) AS total FROM fx_catalog
+    UNION ALL SELECT 'traces', count(*), CAST(sum(p_pick) AS BIGINT) FROM fx_traces
+    UNION ALL SELECT 'waveforms', count(*), CAST(sum(len(samples)) AS BIGINT) FROM fx_waveforms""", *W_VIEWS)
+
+
 # --- the full data-set builder -------------------------------------------------
 
 def _dataset_sql(o) -> str:

@@ -13,7 +13,7 @@ from quakeframe.operators import traces as tr
 from quakeframe.operators.balance import class_histogram, label_weights
 from quakeframe.functions.embedding import position_embedding
 from quakeframe.functions.waveform import log_peak_scale, nonzero_samples, normalise, peak_abs
-from quakeframe.operators.masking import apply_cutoff, blind_stations, pad_slots, random_cutoff_sec, with_pick0
+from quakeframe.operators.masking import apply_cutoff, blind_stations, is_padding, pad_slots, random_cutoff_sec, with_pick0
 from quakeframe.operators.samples import (build_samples, hydrate_inputs, hydrate_targets, input_traces,
                                           rank_traces, sample_weights)
 from quakeframe.operators.snapshots import assemble_snapshots, event_traces, snapshot_ladder
@@ -23,6 +23,7 @@ from quakeframe.operators.scoring import (AttenuationScorer, masked_input_sets,
                                           scoring_rows, target_groups)
 from quakeframe.session import pinned, shared_dir
 from quakeframe.sources import fixtures as fx
+from quakeframe.sources import tables
 from quakeframe.sources.snapshots_io import (read_predictions, read_snapshots, validate_snapshots,
                                              write_predictions, write_snapshots)
 from quakeframe.streaming.stream import local_time, run_stream
@@ -336,8 +337,8 @@ def q_padding_flags(spark, sf_dir):
     st = F.col("station")
     return snaps.select(
         "eq_id", "mask_sec", F.size(st).alias("n_slots"),
-        F.size(F.filter(st, lambda s: F.exists(s, lambda x: x != 0))).alias("n_real"),
-        F.size(F.filter(st, lambda s: F.forall(s, lambda x: x == 0))).alias("n_padding"),
+        F.size(F.filter(st, lambda s: ~is_padding(s))).alias("n_real"),
+        F.size(F.filter(st, is_padding)).alias("n_padding"),
         F.size(F.filter(st, lambda s: F.forall(s, lambda x: x != 0))).alias("n_all_nonzero"))
 
 
@@ -550,6 +551,23 @@ def q_stream_routed(spark, sf_dir):
     return out.select("eq_id", "mask_sec", "model", "slot", "route", _r(F.col("predict")).alias("predict"))
 
 
+def q_canonical_tables(spark, sf_dir):
+    """S3: catalogue, traces and waveforms stored as Parquet (under other column names) and
+    read back through the canonical-schema readers."""
+    paths = {n: shared_dir(spark, n) for n in ("catalog", "traces", "waveforms")}
+    fx.fx_catalog(spark, sf_dir).withColumnRenamed("magnitude", "ml").write.parquet(paths["catalog"])
+    fx.fx_traces(spark, sf_dir).withColumnRenamed("p_pick", "p").drop("station_name").write.parquet(paths["traces"])
+    fx.fx_waveforms(spark, sf_dir).withColumnRenamed("samples", "xyz").write.parquet(paths["waveforms"])
+    c = tables.read_catalog(spark, paths["catalog"], {"magnitude": "ml"})
+    t = tables.read_traces(spark, paths["traces"], {"p_pick": "p"})
+    w = tables.read_waveforms(spark, paths["waveforms"], {"samples": "xyz"})
+    n = F.count(F.lit(1)).alias("n_rows")
+    parts = [c.agg(n, F.sum(F.col("year").cast("long")).alias("total")), t.agg(n, F.sum(F.col("p_pick").cast("long")).alias("total")),
+             w.agg(n, F.sum(F.size("samples").cast("long")).alias("total"))]
+    named = [p.select(F.lit(name).alias("name"), "n_rows", "total") for name, p in zip(paths, parts)]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
 # --- the full data-set builder -------------------------------------------------
 
 def dataset_options():
@@ -643,6 +661,7 @@ QUERIES = {
     "stream_scored": q_stream_scored,
     "stream_routed": q_stream_routed,
     "stream_quarantined": q_stream_quarantined,
+    "canonical_tables": q_canonical_tables,
     "dataset_samples": q_dataset_samples,
     "dataset_test_samples": q_dataset_test_samples,
 }

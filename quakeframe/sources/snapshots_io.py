@@ -38,6 +38,17 @@ def read_snapshots(spark: SparkSession, path: str, with_ids: bool = True) -> Dat
     return r.json(path)
 
 
+def identify_snapshots(snaps: DataFrame) -> DataFrame:
+    """Event and cut-off of lines that do not name them, from the file they were read from
+    (``{eq_id}_{mask_sec}_sec.json``, as file or folder name)."""
+    path, out = F.col("_metadata.file_path"), snaps
+    for i, (name, kind) in enumerate((("eq_id", "long"), ("mask_sec", "int")), 1):
+        found = F.regexp_extract(path, r"(\d+)_(\d+)_sec\.json[^/]*(?:/[^/]*)?$", i)
+        found = F.when(found != "", found).cast(kind)
+        out = out.withColumn(name, F.coalesce(F.col(name), found) if name in snaps.columns else found)
+    return out
+
+
 def validate_snapshots(snaps: DataFrame, n_stations: int | None = 25, length: int | None = None) -> DataFrame:
     """Add ``valid`` and ``reason``. A snapshot is valid when it parsed, has
     ``n_stations`` station rows in both arrays, every trace has the same number of samples

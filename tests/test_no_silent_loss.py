@@ -124,3 +124,15 @@ def test_checkpoint_folder_must_be_named_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_plain_snapshot_lines_are_named_by_their_file(spark, tmp_path):
+    import json
+
+    from quakeframe.sources.snapshots_io import identify_snapshots, read_snapshots
+
+    line = {"event_time": "2024-01-01 00:00:00", "waveform": [[[0.0, 1.0, 2.0]]], "station": [[24.0, 121.0, 0.0]]}
+    (tmp_path / "77_5_sec.json").write_text(json.dumps(line) + "\n")
+    (tmp_path / "other.json").write_text(json.dumps({**line, "eq_id": 9, "mask_sec": 3}) + "\n")
+    out = identify_snapshots(read_snapshots(spark, str(tmp_path))).select("eq_id", "mask_sec").collect()
+    assert sorted((r.eq_id, r.mask_sec) for r in out) == [(9, 3), (77, 5)]
