@@ -12,8 +12,9 @@
    on the full shingle sets, and take connected components.
 4. What is left: pairs of one list in different components that were not compared yet. They
    are compared likewise, so no link between two components is lost, while members of a large
-   group that already hangs together are not paired with one another, nor are copies whose own
-   shingles (those that no other candidate has) rule a link out.
+   group that already hangs together are not paired with one another, nor are copies whose
+   rare shingles rule a link out. Before that, a second star around the most typical class of
+   each list joins most of what the first centre, a copy with edits of its own, did not.
 
 Signatures carry a recall bound of 1 - 1e-6 per link; a confirmed link is exact (on 64-bit
 shingle hashes). No list is capped; nothing is broadcast or collected.
@@ -32,12 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quakeframe.llm.common import pick, pinned, read
-from quakeframe.llm.components import components
+from quakeframe.llm.components import components, merged
 from quakeframe.llm.textwords import Words, chunks, mix
 
 SHINGLE = 5
 COORDS = 32
 MATCHES = 16
+RARE = 8  # a shingle of at most so many of the open classes is rare
 _BLOCK = 1 << 14  # shingles per block of the signature matrix
 
 
@@ -137,36 +139,45 @@ def _mixed(posts: DataFrame) -> DataFrame:
     return posts.join(roots.filter("lo <> hi").select("token"), "token", "left_semi")
 
 
-def _open_pairs(posts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of different components under one token that may still be linked.
+def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` (with key) and the component of each key; a key without links is its own."""
+    return rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
 
-    A shingle that no other class of these has cannot be in an intersection. With u such
-    shingles of n, a class has at most n - u in common with any other; where that is below
-    similarity * n it can have no link at all, and a pair needs min(n - u) >= similarity *
-    (n + n' - min). So copies that differ by edits of their own are not paired with one
-    another, however many there are. Dropping classes makes more shingles single, so the bound
-    is applied twice."""
+
+def _rare_shingles(held: DataFrame) -> DataFrame:
+    """s, n, key: the shingles that at most RARE of the classes have."""
+    parts = held.select("key", F.explode("set").alias("s"))
+    few = parts.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= RARE)
+    return parts.join(few, "s")
+
+
+def _pairs(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _open_pairs(posts: DataFrame, rare: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of different components that may still be linked.
+
+    Two classes either share a rare shingle, and meet under it (at most RARE classes do), or
+    have none of their rare shingles in common: then with r rare ones of n, the intersection is
+    at most ``most`` = n - r of either, and a pair is needed only if the smaller ``most`` is at
+    least similarity * (n + n' - most). Copies that differ from a common text by edits of their
+    own are not paired with one another, however many there are."""
     percent = round(100 * similarity)
-    posts = pinned(_mixed(posts), "mixed")
-    for _ in range(2):
-        held = sets.join(posts.select("key").distinct(), "key", "left_semi")
-        single = held.select("key", F.explode("set").alias("s")).groupBy("s").agg(
-            F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).filter("n = 1")
-        single = single.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("u"))
-        facts = held.select("key", F.size("set").alias("n")).join(single, "key", "left").select(
-            "key", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("most")).filter(100 * F.col("most") >= percent * F.col("n"))
-        posts = pinned(_mixed(posts.select("token", "key", "root").join(facts, "key")), "mixed")
+    posts = _mixed(posts.join(facts.filter(100 * F.col("most") >= percent * F.col("n")), "key"))
     # Under each token all but its largest component meet the whole token: members of a large
     # component are not even compared among themselves.
     main = posts.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(
         F.max(F.struct("c", "root")).alias("m")).select("token", F.col("m.root").alias("main"))
-    posts = posts.join(main, "token")
+    posts = pinned(posts.join(main, "token"), "mixed")
     x, y = posts.filter("root <> main").alias("x"), posts.alias("y")
     both = F.least("x.most", "y.most")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root"))
+    close = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root"))
                    & ((F.col("y.root") == F.col("y.main")) | (F.col("x.key") < F.col("y.key")))
                    & (100 * both >= percent * (F.col("x.n") + F.col("y.n") - both)))
-    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+    x, y = rare.alias("x"), rare.alias("y")
+    akin = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")))
+    return close.select(*_pairs("x.key", "y.key")).unionByName(akin.select(*_pairs("x.key", "y.key"))).distinct()
 
 
 def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, matches: int, similarity: float) -> DataFrame:
@@ -199,15 +210,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = posts.groupBy("token").agg(F.min("key").alias("a"))
     star = posts.join(heads, "token").filter("a <> key").select("a", F.col("key").alias("b")).distinct()
     star = pinned(star, "star")
-    links = pinned(_confirm(star, few, sets, matches, similarity), "links")
-    roots = components(links)
-
-    left = posts.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
-        "token", "key", F.coalesce("root", "key").alias("root"))
-    rest = _open_pairs(left, sets, similarity).join(star, ["a", "b"], "left_anti")
-    more = pinned(_confirm(rest, few, sets, matches, similarity), "links")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    roots = components(_confirm(star, few, sets, matches, similarity))
+
+    # What is left: tokens that several components have.
+    left = pinned(_mixed(_with_roots(posts, roots)), "mixed")
+    held = sets.join(left.select("key").distinct(), "key", "left_semi")
+    rare = pinned(_rare_shingles(held), "rare")
+    own = rare.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("r"))
+    facts = pinned(held.select("key", F.size("set").alias("n")).join(own, "key", "left").select(
+        "key", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("most")), "facts")
+    # A second star around the class with the fewest rare shingles: the most typical copy.
+    ranked = left.join(facts, "key").withColumn("odd", F.col("n") - F.col("most"))
+    heads = ranked.groupBy("token").agg(F.min(F.struct("odd", "key", "root")).alias("c"))
+    again = left.join(heads, "token").filter(F.col("c.root") != F.col("root"))
+    again = again.select(*_pairs("c.key", "key")).distinct().join(star, ["a", "b"], "left_anti")
+    star = pinned(star.unionByName(again), "star")
+    roots = merged(roots, _confirm(again, few, sets, matches, similarity))
+
+    rest = _open_pairs(_mixed(_with_roots(left.drop("root"), roots)), _with_roots(rare.filter("n > 1"), roots), facts, similarity)
+    roots = merged(roots, _confirm(rest.join(star, ["a", "b"], "left_anti"), few, sets, matches, similarity))
 
     roots = roots.withColumnRenamed("node", "key")
     labelled = signed.select("doc_id", "th", "n_shingles", "key").join(roots, "key", "left")
