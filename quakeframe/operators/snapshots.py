@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakeframe.functions.waveform import crop, zero_samples
-from quakeframe.operators.masking import apply_cutoff, with_pick0
+from quakeframe.functions.waveform import crop, stored_position, stored_waveform, zero_samples
+from quakeframe.operators.masking import apply_cutoff, mask_members, with_pick0
 from quakeframe.schema import LADDER_SECS, MAX_STATIONS
 
 
@@ -58,6 +58,35 @@ def snapshot_ladder(traces: DataFrame, waveforms: DataFrame, event_ids: DataFram
     return apply_cutoff(ladder, F.col("mask_sec"), rate, length)
 
 
+def ladder_snapshots(traces: DataFrame, waveforms: DataFrame, event_ids: DataFrame, secs=None, rate: int = 200,
+                     length: int = 3000, max_station_num: int = MAX_STATIONS, order: str = "stored",
+                     event_time: DataFrame | None = None, station_width: int = 3) -> DataFrame:
+    """ST5 in one shuffle of the wide rows: equal to ``assemble_snapshots(snapshot_ladder(...))``,
+    but an event's stations are collected once and every horizon is cut from that row as array
+    expressions, instead of shuffling a copy of the waveforms per horizon."""
+    t = traces.join(event_ids.select("eq_id"), "eq_id", "left_semi")
+    w = waveforms.select("eq_id", "trace_idx", crop("samples", length).alias("waveform"))
+    top = top_stations(t, max_station_num, order).join(w, ["eq_id", "trace_idx"], "left")
+    cols = ["lat", "lon", "elev", "vs30"][:station_width]
+    member = F.struct("slot", "p_pick", stored_position("waveform", cols).alias("pos"),
+                      stored_waveform("waveform", length).alias("waveform"))
+    g = top.groupBy("eq_id").agg(F.sort_array(F.collect_list(member)).alias("_in"))
+    g = cutoff_ladder(g, secs)
+    g = g.withColumn("_cutoff", (F.col("_in")[0]["p_pick"] + F.col("mask_sec") * int(rate)).cast("int"))
+    g = g.withColumn("_in", mask_members("_in", F.col("_cutoff"), length, station_width))
+    n_pad = F.lit(int(max_station_num)) - F.size("_in")
+    zero = F.array_repeat(F.lit(0.0).cast("float"), station_width)
+    snap = g.select(
+        "eq_id", "mask_sec",
+        F.concat(F.transform("_in", lambda e: e["waveform"]), F.array_repeat(zero_samples(length), n_pad)).alias("waveform"),
+        F.concat(F.transform("_in", lambda e: e["pos"].cast("array<float>")), F.array_repeat(zero, n_pad)).alias("station"))
+    if event_time is None:
+        snap = snap.withColumn("event_time", F.lit(None).cast("timestamp"))
+    else:
+        snap = snap.join(event_time.select("eq_id", "event_time"), "eq_id", "left")
+    return snap.select("eq_id", "mask_sec", "event_time", "waveform", "station")
+
+
 def assemble_snapshots(ladder: DataFrame, event_time: DataFrame | Column | None = None,
                        max_station_num: int = MAX_STATIONS, length: int = 3000,
                        station_width: int = 3) -> DataFrame:

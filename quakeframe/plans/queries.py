@@ -16,7 +16,7 @@ from quakeframe.functions.waveform import log_peak_scale, nonzero_samples, norma
 from quakeframe.operators.masking import apply_cutoff, blind_stations, is_padding, pad_slots, random_cutoff_sec, with_pick0
 from quakeframe.operators.samples import (build_samples, hydrate_inputs, hydrate_targets, input_traces,
                                           rank_traces, sample_weights)
-from quakeframe.operators.snapshots import assemble_snapshots, event_traces, snapshot_ladder
+from quakeframe.operators.snapshots import event_traces, ladder_snapshots, snapshot_ladder
 from quakeframe.functions.mixture import mixture_from_logits, mixture_mean
 from quakeframe.operators.evaluate import ensemble, evaluate, point_prediction, split_ensemble, with_exceedance
 from quakeframe.operators.scoring import (AttenuationScorer, masked_input_sets, pad_predictions, score,
@@ -288,6 +288,13 @@ def _ladder(spark, sf_dir):
                            max_station_num=fx.MAX_STATIONS_FX, order="stored")
 
 
+def _ladder_snapshots(spark, sf_dir, times=None):
+    ids = cat.replay_event_ids(fx.fx_catalog(spark, sf_dir), fx.TEST_YEAR)
+    return ladder_snapshots(fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR), fx.fx_waveforms(spark, sf_dir), ids,
+                            secs=[3, 5, 7, 10], rate=fx.WAVE_RATE, length=T_CROP, max_station_num=fx.MAX_STATIONS_FX,
+                            order="stored", event_time=times)
+
+
 def q_cutoff_ladder(spark, sf_dir):
     lad = _ladder(spark, sf_dir)
     return lad.select("eq_id", "mask_sec", "slot", "trace_idx", "blanked",
@@ -333,7 +340,7 @@ def q_position_embedding(spark, sf_dir):
 
 
 def q_padding_flags(spark, sf_dir):
-    snaps = assemble_snapshots(_ladder(spark, sf_dir), max_station_num=fx.MAX_STATIONS_FX, length=T_CROP)
+    snaps = _ladder_snapshots(spark, sf_dir)
     st = F.col("station")
     return snaps.select(
         "eq_id", "mask_sec", F.size(st).alias("n_slots"),
@@ -477,7 +484,7 @@ def q_local_time(spark, sf_dir):
 def _snapshots(spark, sf_dir):
     times = fx.read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("eq_id"),
                                                           F.col("o_orderdate").alias("event_time"))
-    return assemble_snapshots(_ladder(spark, sf_dir), times, max_station_num=fx.MAX_STATIONS_FX, length=T_CROP)
+    return _ladder_snapshots(spark, sf_dir, times)
 
 
 BAD_KINDS = 8  # eq_id % 8 picks what is wrong with an event's snapshot lines; 0 and 7: nothing

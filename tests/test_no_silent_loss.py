@@ -136,3 +136,16 @@ def test_plain_snapshot_lines_are_named_by_their_file(spark, tmp_path):
     (tmp_path / "other.json").write_text(json.dumps({**line, "eq_id": 9, "mask_sec": 3}) + "\n")
     out = identify_snapshots(read_snapshots(spark, str(tmp_path))).select("eq_id", "mask_sec").collect()
     assert sorted((r.eq_id, r.mask_sec) for r in out) == [(9, 3), (77, 5)]
+
+
+@pytest.mark.parametrize("order", ["stored", "pick"])
+def test_ladder_snapshots_equal_the_assembled_ladder(spark, order):
+    from quakeframe.operators.snapshots import assemble_snapshots, ladder_snapshots, snapshot_ladder
+
+    traces = _traces(spark, 4).unionByName(_traces(spark, 2, eq=2)).withColumn("p_pick", F.expr("CASE WHEN trace_idx = 0 THEN 125 ELSE p_pick END"))
+    waves = _waves(spark, [0, 1, 3]).unionByName(_waves(spark, [1], eq=2))
+    ids = spark.createDataFrame([(1,), (2,)], "eq_id long")
+    kw = {"secs": [1, 3], "rate": 10, "length": 20, "max_station_num": 3, "order": order}
+    a = assemble_snapshots(snapshot_ladder(traces, waves, ids, **kw), max_station_num=3, length=20)
+    b = ladder_snapshots(traces, waves, ids, **kw)
+    assert sorted(a.collect()) == sorted(b.collect()) and b.count() == 4
