@@ -17,12 +17,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeframe.llm.common import read, shared_path
+from quakeframe.llm.common import read
 from quakeframe.llm.decontaminate import decontaminate
 from quakeframe.llm.minhash_dedup import near_duplicates
 from quakeframe.llm.pii import find_pii
 from quakeframe.llm.quality import judge_quality
 from quakeframe.llm.word_bpe import VOCABULARY, encode_texts
+from quakeframe.session import shared_dir
 
 
 def _kept(docs: DataFrame, verdicts: DataFrame, keep) -> DataFrame:
@@ -70,7 +71,7 @@ STAGES = [("quality", quality), ("near_duplicates", dedup), ("decontamination",
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = shared_path(spark, f"stage-{name}")
+        path = shared_dir(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -1,13 +1,11 @@
-"""Helpers shared by the text-corpus operators: input columns, row keys, shared folders."""
+"""Helpers shared by the text-corpus operators: input columns and row keys."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeframe.session import ensure_checkpoint_dir, ship
+from quakeframe.session import pinned, ship  # noqa: F401  (pinned: for the operators)
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -43,16 +41,3 @@ def with_ref(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if shared.isEmpty():
             return d.select(F.col("doc_id").cast("long").alias("ref"), "doc_id", "text")
     return d.select(F.xxhash64("doc_id", "text").alias("ref"), "doc_id", "text")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder that the session names."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def pinned(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read back: lineage is cut, and a lost
-    executor costs only a new read. Compressed and columnar, unlike a row checkpoint."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -39,7 +39,7 @@ BAND = 5.0  # interquartile ranges beyond the quartiles
 MIN_RANGE = 0.05  # least interquartile range of log perplexity
 BIN = 0.005
 BROADCAST_GRAMS = 8_000_000
-GATHER = 4_000_000  # grams that a task holds before it sums them
+GATHER = 1_500_000  # grams that a task holds before it sums them
 _U = np.uint64
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
