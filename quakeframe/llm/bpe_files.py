@@ -4,12 +4,23 @@ from a path that is a parameter; nothing of the files is kept in the repository.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from functools import lru_cache
 
 # White space as the tokenizers library splits it; Python's own \s also takes \x1c-\x1f.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+_OTHER_NUMBER = re.compile("[" + "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) in ("Nl", "No")) + "]")
+
+
+def decimal_only(text: str) -> bool:
+    """Whether all characters are in the basic plane and all numbers are decimal digits: then
+    the standard library's \\w and \\d tell letters, numbers and the rest apart, and faster."""
+    return text.isascii() or (len(text.encode("utf-16-le")) == 2 * len(text) and not _OTHER_NUMBER.search(text))
+
+
 def byte_letters() -> list[str]:
     """The printable letter that byte-level vocabularies use for each byte: printable Latin-1
     bytes stand for themselves, the rest follow from U+0100 on."""

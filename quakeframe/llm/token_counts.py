@@ -20,7 +20,6 @@ one token, as in the tokenizers library by default; repeated rows are counted al
 from __future__ import annotations
 
 import re
-import unicodedata
 from functools import lru_cache
 
 import ahocorasick
@@ -30,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeframe.llm.bpe_files import SPACE, BpeFile, byte_letters, load
+from quakeframe.llm.bpe_files import SPACE, BpeFile, byte_letters, decimal_only, load
 from quakeframe.llm.common import pick, read
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -41,13 +40,10 @@ _PATTERN = regex.compile(
 # The same for texts whose only numbers are decimal digits, where the faster engine's classes agree.
 _DECIMAL = re.compile(
     rf" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?(?:\d+|(?:[^\w{SPACE}]|_)+)|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-_OTHER_NUMBER = re.compile("[" + "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) in ("Nl", "No")) + "]")
 
 
 def _words(text: str) -> list[str]:
-    if text.isascii() or (len(text.encode("utf-16-le")) == 2 * len(text) and not _OTHER_NUMBER.search(text)):
-        return _DECIMAL.findall(text)
-    return _PATTERN.findall(text)
+    return (_DECIMAL if decimal_only(text) else _PATTERN).findall(text)
 
 
 _BLANKS = "".join(c for c in map(chr, range(0x3001)) if regex.match(f"[{SPACE}]", c))
