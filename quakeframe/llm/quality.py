@@ -13,9 +13,10 @@ Spark, from all documents:
    probabilities, and one of contexts beside their back-off weights. It is broadcast below
    ``BROADCAST_GRAMS`` counted rows; beyond that, documents ship their distinct grams and the
    scores come from a join with the gram table.
-4. A histogram of log perplexity per language (fixed bins, combined on the map side) gives its
-   quartiles and from them the lower and upper band; documents outside are rejected. Only
-   documents that pass the fixed rules enter the histogram.
+4. Histograms per language (fixed bins, combined on the map side) give the median of log
+   perplexity and the quartiles of the deviations from it, times the root of the number of
+   words; from them come the lower and upper band, and documents outside are rejected. Only
+   documents that pass the fixed rules enter the histograms.
 
 Edge cases: null, empty and wordless text has no words, fails the fixed rules and has no
 perplexity; a null language is a language of its own; repeated rows are judged alike.
@@ -35,9 +36,11 @@ ORDER = 5
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 MAX_REPEAT_PERCENT = 30
-BAND = 5.0  # interquartile ranges beyond the quartiles
-MIN_RANGE = 0.05  # least interquartile range of log perplexity
+LOW_BAND = 2.5  # interquartile ranges from the median down and up, of deviations of log
+HIGH_BAND = 2.5  # perplexity from the median times the root of the number of words
+MIN_RANGE = 0.005  # least interquartile range of these
 BIN = 0.005
+FAR = 50.0  # deviations are cut here, so that their bins are bounded
 BROADCAST_GRAMS = 8_000_000
 GATHER = 1_500_000  # grams that a task holds before it sums them
 _U = np.uint64
@@ -300,24 +303,33 @@ def perplexities(d: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> DataFr
                      "left").drop("sid", "sth", "sl")
 
 
+def quantiles(rows: DataFrame, value, **at: float) -> DataFrame:
+    """Per lang the named quantiles of ``value``, from a histogram of bins of ``BIN``: bounded
+    whatever the number of documents."""
+    bins = rows.groupBy("lang", F.floor(value / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    up = Window.partitionBy("lang").orderBy("bin")
+    bins = bins.withColumn("to", F.sum("n").over(up)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
+    return bins.groupBy("lang").agg(*[
+        (F.min(F.when(F.col("to") >= q * F.col("all"), F.col("bin"))) * BIN).alias(name) for name, q in at.items()])
+
+
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                  band: float = BAND, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+                  low: float = LOW_BAND, high: float = HIGH_BAND, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """Per document row: doc_id, th (hash of the text), the fixed counts, base_failed, log_perplexity, kept."""
     d = pick(docs, doc_id=id_col, text=text_col, lang=lang_col)
     d = d.select("doc_id", F.xxhash64("lang").alias("lang"), F.xxhash64("text").alias("th"), "text")
     scored = pinned(perplexities(d, broadcast_grams), "scored")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    bins = scored.filter(~failed & F.col("score").isNotNull()).groupBy(
-        "lang", F.floor(F.col("score") / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    # At most log(1/p) / BIN bins of a language: bounded whatever the number of documents.
-    up = Window.partitionBy("lang").orderBy("bin")
-    bins = bins.withColumn("to", F.sum("n").over(up)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
-    quart = bins.groupBy("lang").agg(*[
-        (F.min(F.when(F.col("to") >= q * F.col("all"), F.col("bin"))) * BIN).alias(name) for q, name in ((0.25, "q1"), (0.75, "q3"))])
+    scored = scored.withColumn("base_failed", failed)
+    sound = scored.filter(~failed & F.col("score").isNotNull())
+    mid = quantiles(sound, F.col("score"), m=0.5)
+    # A mean over n words scatters as 1 / sqrt(n): bands are set on deviations times that root.
+    far = F.least(F.greatest((F.col("score") - F.col("m")) * F.sqrt("n_words"), F.lit(-FAR)), F.lit(FAR))
+    quart = quantiles(sound.join(mid, "lang"), far, q1=0.25, q2=0.5, q3=0.75)
     width = F.greatest(F.col("q3") - F.col("q1"), F.lit(MIN_RANGE))
-    bands = quart.select(F.col("lang").alias("bl"), (F.col("q1") - band * width).alias("low"), (F.col("q3") + band * width).alias("high"))
-    out = scored.join(bands, F.col("lang") == F.col("bl"), "left").withColumn("base_failed", failed)
-    inside = F.coalesce(F.col("score").between(F.col("low"), F.col("high")), F.lit(False))
+    bands = mid.join(quart, "lang").select(F.col("lang").alias("bl"), "m", (F.col("q2") - low * width).alias("low"), (F.col("q2") + high * width).alias("high"))
+    out = scored.join(bands, F.col("lang") == F.col("bl"), "left")
+    inside = F.coalesce(far.between(F.col("low"), F.col("high")), F.lit(False))
     return out.select("doc_id", "th", *_COUNTS, "base_failed", F.col("score").alias("log_perplexity"),
                       (~F.col("base_failed") & inside).alias("kept"))
 

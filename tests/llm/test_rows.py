@@ -206,3 +206,12 @@ def test_band_rejects_foreign_text(frame, words):
     rows = [(i, words(60, i)) for i in range(200)] + [(500, " ".join("".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(6)) for _ in range(60)))]
     got = {x.doc_id: x.kept for x in quality.judge_quality(frame(rows)).collect()}
     assert not got.pop(500) and all(got.values())
+
+
+def test_bands_separate_labelled_junk(spark):
+    """Of the labelled documents that pass the fixed rules, bands reject junk and leave clean ones."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.judge_quality(docs).filter("not base_failed").join(labels, "doc_id").collect()
+    junk, clean = ([r for r in got if r.quality == q] for q in (0, 1))
+    assert sum(not r.kept for r in junk) >= 0.25 * len(junk) > 0
+    assert sum(not r.kept for r in clean) <= 0.03 * len(clean)
