@@ -1,6 +1,7 @@
-"""Quality rules: fixed counts per text, and perplexity bands from a modified Kneser-Ney model.
+"""Quality rules: fixed counts per text, and perplexity bands from a modified Kneser-Ney model of
+bytes and from pairs of neighbour words.
 
-The model is over bytes inside words: each word, ASCII-lowered and closed by a zero byte, is
+The byte model is over bytes inside words: each word, ASCII-lowered and closed by a zero byte, is
 predicted byte by byte from the four before it, per language. It is counted and estimated by
 Spark, from all documents:
 
@@ -18,6 +19,12 @@ Spark, from all documents:
    words; from them come the lower and upper band, and documents outside are rejected. Only
    documents that pass the fixed rules enter the histograms.
 
+5. Order of words: pairs of neighbour words are counted per language (64-bit keys), over all
+   documents, and a document's pairs are scored by how often they occur apart from the document
+   itself, with ``PAIR_MASS`` added; pairs that occur once in all need no entry. The counts are
+   broadcast or joined like the model. Documents above an upper band are rejected; there is no
+   lower one, as copies of a document lower its score, which near duplicates are judged by.
+
 Edge cases: null, empty and wordless text has no words, fails the fixed rules and has no
 perplexity; a null language is a language of its own; repeated rows are judged alike.
 """
@@ -42,6 +49,8 @@ MIN_RANGE = 0.005  # least interquartile range of these
 BIN = 0.005
 FAR = 50.0  # deviations are cut here, so that their bins are bounded
 BROADCAST_GRAMS = 8_000_000
+PAIR_MASS = 0.5  # added to the count of every word pair
+PAIR_BAND = 5.0  # ranges from median to upper quartile above the median, of log perplexity of word pairs
 GATHER = 1_500_000  # grams that a task holds before it sums them
 _U = np.uint64
 _SYMBOL = np.zeros(256, np.int64)
@@ -146,6 +155,79 @@ def count_grams(docs: DataFrame) -> DataFrame:
         "lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _pair_keys(w: Words, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key (language, word, next word) and row of every pair of neighbour words of a row."""
+    at = np.flatnonzero(w.whole(2))
+    row = w.row[at]
+    return w.windows(2)[at] ^ mix(langs.view(_U) + _U(1))[row], row
+
+
+def _row_pairs(w: Words, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, row and count of the distinct pairs of each row."""
+    key, row = _pair_keys(w, langs)
+    salt = mix(np.arange(1, len(langs) + 1, dtype=_U))
+    _, first, n = np.unique(key ^ salt[row], return_index=True, return_counts=True)
+    return key[first], row[first], n
+
+
+def _counted_pairs(batches):
+    held, size = [], 0
+
+    def summed():
+        key, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(np.add.reduceat(n, at) if len(at) else n)], ["pair", "n"])
+
+    for batch in batches:
+        langs = batch.column("lang").to_numpy(zero_copy_only=False)
+        for i, j, data, offs in chunks(batch.column("text")):
+            key, n = np.unique(_pair_keys(Words(data, offs, lower=True), langs[i:j])[0], return_counts=True)
+            held.append((key, n.astype(np.int64)))
+            size += len(key)
+            if size >= GATHER:
+                yield summed()
+                held, size = [], 0
+    if held:
+        yield summed()
+
+
+def count_pairs(docs: DataFrame) -> DataFrame:
+    """``docs``: lang (hash), text. Returns pair (key of language and two neighbour words), n, over
+    all of them, of the pairs that occur more than once: the others occur in no second text."""
+    return docs.select("lang", "text").mapInArrow(_counted_pairs, "pair long, n long").groupBy("pair").agg(
+        F.sum("n").alias("n")).filter("n > 1")
+
+
+class Pairs:
+    """Sorted keys of word pairs, and how often each occurs."""
+
+    def __init__(self, pairs: pa.Table):
+        key = pairs["pair"].to_numpy().view(_U)
+        order = np.argsort(key)
+        self.key, self.n = key[order], np.minimum(pairs["n"].to_numpy(), 2**31 - 1).astype(np.int32)[order]
+
+    def gain(self, w: Words, langs: np.ndarray) -> np.ndarray:
+        """Mean log(1 + n / PAIR_MASS) of each row's pairs, n without the row's own; NaN without pairs."""
+        key, row, own = _row_pairs(w, langs)
+        hit, n = Model._find(self.key, self.n, key)
+        value = own * np.log1p(np.maximum(np.where(hit, n, 0) - own, 0) / PAIR_MASS)
+        size = np.bincount(row, own, minlength=len(langs))
+        with np.errstate(invalid="ignore"):
+            return np.bincount(row, value, minlength=len(langs)) / size
+
+
+def _doc_pairs(batches):
+    """ref, pair, n of each document: for scores by join."""
+    for batch in batches:
+        langs = batch.column("lang").to_numpy(zero_copy_only=False)
+        for i, j, data, offs in chunks(batch.column("text")):
+            key, row, n = _row_pairs(Words(data, offs, lower=True), langs[i:j])
+            yield pa.RecordBatch.from_arrays([batch.column("ref").take(pa.array(row + i)), pa.array(key.view(np.int64)), pa.array(n, pa.int32())],
+                                             ["ref", "pair", "n"])
+
+
 def kneser_ney(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Modified Kneser-Ney of the full-order counts: lang, ord, gram, logp for every gram of every
     order, and lang, ord, ctx, bow (log weight of the lower order behind the context)."""
@@ -229,33 +311,34 @@ class Model:
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _scored(model):
-    """Rows of doc_id, lang, the fixed counts and log perplexity (null without words; all null
-    when there is no model)."""
+def _scored(model, pairs):
+    """Rows of doc_id, lang, the fixed counts, log perplexity (null without words) and pair gain
+    (null without pairs); all null where there is no model, or no pairs."""
     def run(batches):
-        m = model.value if model is not None else None
+        m, p = (x.value if x is not None else None for x in (model, pairs))
         for batch in batches:
             langs = batch.column("lang").to_numpy(zero_copy_only=False)
             cols: dict = {name: [] for name in _COUNTS}
-            scores = []
+            scores, gains = [], []
             for i, j, data, offs in chunks(batch.column("text")):
                 w = Words(data, offs)
                 for name, values in fixed_counts(w, data, offs, REPEAT_WINDOW).items():
                     cols[name].append(values)
-                scores.append(_log_perplexity(m, w, langs[i:j], j - i))
+                low = Words(LOWER[data], offs) if m is not None or p is not None else w
+                scores.append(_log_perplexity(m, low, langs[i:j], j - i))
+                gains.append(p.gain(low, langs[i:j]) if p is not None else np.full(j - i, np.nan))
             flat = [np.concatenate(cols[n]) if cols[n] else np.zeros(0, np.int64) for n in _COUNTS]
-            score = np.concatenate(scores) if scores else np.zeros(0)
+            score, gain = (np.concatenate(x) if x else np.zeros(0) for x in (scores, gains))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("lang"), batch.column("th"), *[pa.array(c, pa.int64()) for c in flat],
-                 pa.array(score, pa.float64(), mask=np.isnan(score))], ["doc_id", "lang", "th", *_COUNTS, "score"])
+                 *[pa.array(x, pa.float64(), mask=np.isnan(x)) for x in (score, gain)]], ["doc_id", "lang", "th", *_COUNTS, "score", "gain"])
     return run
 
 
-def _log_perplexity(m, raw: Words, langs: np.ndarray, rows: int) -> np.ndarray:
+def _log_perplexity(m, w: Words, langs: np.ndarray, rows: int) -> np.ndarray:
     out = np.full(rows, np.nan)
-    if m is None or not len(raw):
+    if m is None or not len(w):
         return out
-    w = Words(LOWER[raw.data], raw.offs)
     example, inverse, code, pair, begin = word_grams(w, mix(langs.view(_U)))
     lang = langs[w.row[example]]
     same, index = np.unique(lang, return_inverse=True)
@@ -285,16 +368,36 @@ def _doc_grams(batches):
                  pa.array(langs[row + i]), pa.array(gram), pa.array(n)], ["doc_id", "th", "lang", "gram", "n"])
 
 
+def _joined_pairs(base: DataFrame, d: DataFrame, pairs: DataFrame) -> DataFrame:
+    ref = F.xxhash64("doc_id", "lang", "th")
+    each = d.select(ref.alias("ref"), "lang", "text").mapInArrow(_doc_pairs, "ref long, pair long, n int")
+    others = F.greatest(F.coalesce(F.col("total"), F.lit(0)) - F.col("n"), F.lit(0))
+    # Rows equal in all share a ref; the mean stays the same.
+    gains = each.join(pairs.select("pair", F.col("n").alias("total")), "pair", "left").groupBy("ref").agg(
+        (F.sum(F.col("n") * F.log1p(others / PAIR_MASS)) / F.sum("n")).alias("gain"))
+    return base.drop("gain").withColumn("ref", ref).join(gains, "ref", "left").drop("ref")
+
+
 def perplexities(d: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """``d``: doc_id, lang (hash), th, text. Fixed counts and score (log perplexity) of each row."""
+    """``d``: doc_id, lang (hash), th, text. Fixed counts, score (log perplexity) and gain (of word
+    pairs) of each row."""
     kind = d.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, lang long, th long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", score double"
+    schema = f"doc_id {kind}, lang long, th long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", score double, gain double"
+    sc = d.sparkSession.sparkContext
     grams = pinned(count_grams(d), "grams")
     probs, weights = kneser_ney(grams)
+    pairs = pinned(count_pairs(d), "pairs")
+    model = few = None
     if 2 * grams.count() <= broadcast_grams:  # lower orders and contexts are no more than that again
-        model = d.sparkSession.sparkContext.broadcast(Model(probs.toArrow(), weights.toArrow()))
-        return d.mapInArrow(_scored(model), schema)
-    base = d.mapInArrow(_scored(None), schema).drop("score")
+        model = sc.broadcast(Model(probs.toArrow(), weights.toArrow()))
+    if pairs.count() <= broadcast_grams:
+        few = sc.broadcast(Pairs(pairs.toArrow()))
+    base = d.mapInArrow(_scored(model, few), schema)
+    if few is None:
+        base = _joined_pairs(base, d, pairs)
+    if model is not None:
+        return base
+    base = base.drop("score")
     each = d.mapInArrow(_doc_grams, f"doc_id {kind}, th long, lang long, gram long, n long").distinct()
     full = probs.filter(F.col("ord") == ORDER)
     sums = each.join(full, ["lang", "gram"]).groupBy(F.col("doc_id").alias("sid"), F.col("th").alias("sth"), F.col("lang").alias("sl")).agg(
@@ -314,13 +417,18 @@ def quantiles(rows: DataFrame, value, **at: float) -> DataFrame:
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                  low: float = LOW_BAND, high: float = HIGH_BAND, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """Per document row: doc_id, th (hash of the text), the fixed counts, base_failed, log_perplexity, kept."""
+                  low: float = LOW_BAND, high: float = HIGH_BAND, pair_band: float = PAIR_BAND,
+                  broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+    """Per document row: doc_id, th (hash of the text), the fixed counts, base_failed, log_perplexity,
+    pair_log_perplexity (of word pairs), kept."""
     d = pick(docs, doc_id=id_col, text=text_col, lang=lang_col)
     d = d.select("doc_id", F.xxhash64("lang").alias("lang"), F.xxhash64("text").alias("th"), "text")
     scored = pinned(perplexities(d, broadcast_grams), "scored")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    scored = scored.withColumn("base_failed", failed)
+    # All pairs of a language: with PAIR_MASS for each of as many possible ones, chances sum to one.
+    all_pairs = scored.groupBy(F.col("lang").alias("pl")).agg(F.sum(F.greatest(F.col("n_words") - 1, F.lit(0))).alias("all_pairs"))
+    scored = scored.join(all_pairs, F.col("lang") == F.col("pl"), "left").drop("pl").withColumn("base_failed", failed).withColumn(
+        "pairs", F.log(F.col("all_pairs") * ((1 + PAIR_MASS) / PAIR_MASS)) - F.col("gain"))
     sound = scored.filter(~failed & F.col("score").isNotNull())
     mid = quantiles(sound, F.col("score"), m=0.5)
     # A mean over n words scatters as 1 / sqrt(n): bands are set on deviations times that root.
@@ -328,9 +436,13 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     quart = quantiles(sound.join(mid, "lang"), far, q1=0.25, q2=0.5, q3=0.75)
     width = F.greatest(F.col("q3") - F.col("q1"), F.lit(MIN_RANGE))
     bands = mid.join(quart, "lang").select(F.col("lang").alias("bl"), "m", (F.col("q2") - low * width).alias("low"), (F.col("q2") + high * width).alias("high"))
+    quart = quantiles(sound.filter(F.col("pairs").isNotNull()), F.col("pairs"), p2=0.5, p3=0.75)
+    most = quart.select("lang", (F.col("p2") + pair_band * F.greatest(F.col("p3") - F.col("p2"), F.lit(MIN_RANGE))).alias("most"))
+    bands = bands.join(most.withColumnRenamed("lang", "ml"), F.col("bl") == F.col("ml"), "left").drop("ml")
     out = scored.join(bands, F.col("lang") == F.col("bl"), "left")
-    inside = F.coalesce(far.between(F.col("low"), F.col("high")), F.lit(False))
+    inside = F.coalesce(far.between(F.col("low"), F.col("high")) & (F.col("pairs").isNull() | (F.col("pairs") <= F.col("most"))), F.lit(False))
     return out.select("doc_id", "th", *_COUNTS, "base_failed", F.col("score").alias("log_perplexity"),
+                      F.col("pairs").alias("pair_log_perplexity"),
                       (~F.col("base_failed") & inside).alias("kept"))
 
 

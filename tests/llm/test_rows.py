@@ -1,5 +1,7 @@
 """Operators that judge each row: against the libraries or brute force."""
 
+import collections
+import math
 import random
 
 import numpy as np
@@ -215,3 +217,34 @@ def test_bands_separate_labelled_junk(spark):
     junk, clean = ([r for r in got if r.quality == q] for q in (0, 1))
     assert sum(not r.kept for r in junk) >= 0.25 * len(junk) > 0
     assert sum(not r.kept for r in clean) <= 0.03 * len(clean)
+
+
+@pytest.mark.parametrize("broadcast", [quality.BROADCAST_GRAMS, 0])
+def test_shuffled_words_score_worse(frame, broadcast):
+    r = random.Random(4)
+    pool = [" ".join(f"w{r.randint(0, 300)}" for _ in range(12)) for _ in range(30)]
+    texts = [" ".join(r.choice(pool) for _ in range(20)) for _ in range(80)]
+    mixed = texts[0].split()
+    r.shuffle(mixed)
+    rows = [*enumerate(texts), (900, " ".join(mixed)), (901, "one"), (902, None)]
+    got = {x.doc_id: x for x in quality.judge_quality(frame(rows), broadcast_grams=broadcast).collect()}
+    assert got[900].log_perplexity == pytest.approx(got[0].log_perplexity, abs=1e-6)
+    assert got[900].pair_log_perplexity > max(got[i].pair_log_perplexity for i in range(80)) and not got[900].kept
+    assert got[901].pair_log_perplexity is None and got[902].pair_log_perplexity is None
+    pairs = [list(zip(t.split(), t.split()[1:])) for _, t in rows[:81]]
+    every = collections.Counter(p for q in pairs for p in q)
+    size = sum(map(len, pairs))
+    for i, q in enumerate(pairs):
+        own = collections.Counter(q)
+        want = -sum(math.log((every[p] - own[p] + 0.5) / (1.5 * size)) for p in q) / len(q)
+        assert got[rows[i][0]].pair_log_perplexity == pytest.approx(want, abs=1e-6)
+
+
+def test_pair_counts_grow_with_the_input(spark, frame):
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    text = lambda: " ".join(f"w{r.randint(0, 60)}" for _ in range(20))
+    d = frame([(i, text()) for i in range(300)]).select("doc_id", F.xxhash64("lang").alias("lang"), "text")
+    few, many = (quality.count_pairs(d.filter(F.col("doc_id") < n)).count() for n in (30, 300))
+    assert many > 4 * few
