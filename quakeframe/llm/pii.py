@@ -37,7 +37,7 @@ LABELS = ("O", *KINDS)
 PER_TEMPLATE = 12
 FEATURES = 1 << 12
 _TRIGGER = np.zeros(256, np.int64)
-_TRIGGER[list(b"0123456789@")] = 1
+_TRIGGER[list(b"0123456789@=")] = 1
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")

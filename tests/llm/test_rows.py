@@ -248,3 +248,9 @@ def test_pair_counts_grow_with_the_input(spark, frame):
     d = frame([(i, text()) for i in range(300)]).select("doc_id", F.xxhash64("lang").alias("lang"), "text")
     few, many = (quality.count_pairs(d.filter(F.col("doc_id") < n)).count() for n in (30, 300))
     assert many > 4 * few
+
+
+def test_words_with_equals_sign_alone(frame):
+    text = "set password=hunterSecretWord now or later on"
+    got = {r.doc_id: r for r in pii.find_pii(frame([(0, text), (1, text + " since 1999")]), with_text=True).collect()}
+    assert got[0].spans == got[1].spans == "secret:4:29" and got[0].redacted == "set <SECRET> now or later on"
