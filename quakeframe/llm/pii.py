@@ -332,7 +332,8 @@ def _tokens(text: str):
 
 
 def field_spans(text: str, places, labels_of_runs, base) -> list[tuple[str, int, int]]:
-    """Spans of equally labelled neighbours, their outer punctuation off, clear of ``base``."""
+    """Spans of equally labelled neighbours, what ``base`` covers cut out of them, their outer
+    punctuation off. What is left of a cut run counts if it may carry data."""
     out = []
     for (a, _), labels in labels_of_runs:
         i = 0
@@ -342,12 +343,19 @@ def field_spans(text: str, places, labels_of_runs, base) -> list[tuple[str, int,
                 j += 1
             if labels[i]:
                 s, e = places[a + i][0], places[a + j - 1][1]
-                while s < e and text[s] in _EDGE:
-                    s += 1
-                while e > s and text[e - 1] in _EDGE:
-                    e -= 1
-                if s < e and all(e <= b or s >= t for _, b, t in base):
-                    out.append((LABELS[labels[i]], s, e))
+                parts, at = [], s
+                for _, x, y in sorted(base, key=lambda k: k[1]):
+                    if at < y and x < e:
+                        parts.append((at, x))
+                        at = max(at, y)
+                whole = not parts
+                for s, e in [*parts, (at, e)]:
+                    while s < e and (text[s] in _EDGE or text[s].isspace()):
+                        s += 1
+                    while e > s and (text[e - 1] in _EDGE or text[e - 1].isspace()):
+                        e -= 1
+                    if s < e and (whole or _FREE.search(text, s, e)):
+                        out.append((LABELS[labels[i]], s, e))
             i = j
     return out
 

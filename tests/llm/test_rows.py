@@ -254,3 +254,13 @@ def test_words_with_equals_sign_alone(frame):
     text = "set password=hunterSecretWord now or later on"
     got = {r.doc_id: r for r in pii.find_pii(frame([(0, text), (1, text + " since 1999")]), with_text=True).collect()}
     assert got[0].spans == got[1].spans == "secret:4:29" and got[0].redacted == "set <SECRET> now or later on"
+
+
+def test_run_beside_a_fixed_pattern(frame):
+    text = "call +14155550123, (415) 555-2671 now"
+    got = pii.find_pii(frame([(0, text)]), with_text=True).first()
+    assert got.base == "phone:5:17" and got.spans.startswith("phone:5:17,phone:") and "2671" not in got.redacted
+    phone = pii.LABELS.index("phone")
+    spans = pii.field_spans(text, pii._tokens(text)[0], [((1, 4), [phone] * 3)], [("phone", 5, 17)])
+    assert [text[s:e] for _, s, e in spans] == ["415) 555-2671"]
+    assert pii.field_spans("a@b.c.de/x", [(0, 10)], [((0, 1), [1])], [("email", 0, 8)]) == []
