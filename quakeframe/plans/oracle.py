@@ -555,6 +555,14 @@ ORACLE["validate_snapshots"] = with_views(f"""
     SELECT reason IS NULL AS valid, reason, count(*) AS n_lines,
            count(DISTINCT CASE WHEN kind <> 1 THEN eq_id END) AS n_events FROM lr GROUP BY ALL""", *W_VIEWS)
 
+ORACLE["validate_snapshot_lines"] = with_views(f"""
+    , {_LADDER}, {_KINDS}
+    SELECT CASE WHEN kind <> 1 THEN eq_id END AS eq_id, CASE WHEN kind <> 1 THEN mask_sec END AS mask_sec,
+           kind IN (0, 7) AS valid, CASE kind WHEN 1 THEN 'corrupt' WHEN 2 THEN 'ragged_time' WHEN 3 THEN 'station_count'
+                     WHEN 4 THEN 'station_count_mismatch' WHEN 5 THEN 'missing' WHEN 6 THEN 'bad_position' END AS reason,
+           CASE WHEN kind IN (1, 5) THEN NULL WHEN kind IN (3, 4) THEN {fx.MAX_STATIONS_FX - 1} ELSE {fx.MAX_STATIONS_FX} END AS n_stations
+    FROM lk""", *W_VIEWS)
+
 _F = "CAST(CAST({} AS FLOAT) AS DOUBLE)"
 _STREAM = f"""{_LADDER},
     sst AS (SELECT eq_id, mask_sec, slot, waveform, {_F.format('lat')} AS flat, {_F.format('lon')} AS flon,

@@ -505,10 +505,20 @@ def _lines(spark, sf_dir):
     return s.select(F.when(kind == 1, F.substring(line, 1, 60)).otherwise(line).alias("value"))
 
 
-def q_validate_snapshots(spark, sf_dir):
+def _validated(spark, sf_dir):
     path = shared_dir(spark, "snapshots")
     _lines(spark, sf_dir).write.text(path)
-    v = validate_snapshots(read_snapshots(spark, path), n_stations=fx.MAX_STATIONS_FX, length=T_CROP)
+    return validate_snapshots(read_snapshots(spark, path), n_stations=fx.MAX_STATIONS_FX, length=T_CROP)
+
+
+def q_validate_snapshot_lines(spark, sf_dir):
+    """Each snapshot line with its reason; a corrupt one has no ids."""
+    n = F.when(F.col("waveform").isNotNull(), F.size("waveform"))
+    return _validated(spark, sf_dir).select("eq_id", "mask_sec", "valid", "reason", n.alias("n_stations"))
+
+
+def q_validate_snapshots(spark, sf_dir):
+    v = _validated(spark, sf_dir)
     return v.groupBy("valid", "reason").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct("eq_id").alias("n_events"))
 
 
@@ -664,6 +674,7 @@ QUERIES = {
     "mixture_from_logits": q_mixture_from_logits,
     "local_time": q_local_time,
     "validate_snapshots": q_validate_snapshots,
+    "validate_snapshot_lines": q_validate_snapshot_lines,
     "snapshots_batch_scored": q_snapshots_batch_scored,
     "stream_scored": q_stream_scored,
     "stream_routed": q_stream_routed,

@@ -149,3 +149,15 @@ def test_ladder_snapshots_equal_the_assembled_ladder(spark, order):
     a = assemble_snapshots(snapshot_ladder(traces, waves, ids, **kw), max_station_num=3, length=20)
     b = ladder_snapshots(traces, waves, ids, **kw)
     assert sorted(a.collect()) == sorted(b.collect()) and b.count() == 4
+
+
+def test_every_snapshot_line_has_its_reason(spark):
+    """The reason follows the line's own event: counts alone would not show swapped reasons."""
+    from quakeframe.plans import queries as q
+
+    from .conftest import SF_SMALL
+
+    reasons = {0: None, 2: "ragged_time", 3: "station_count", 4: "station_count_mismatch", 5: "missing", 6: "bad_position", 7: None}
+    rows = q.QUERIES["validate_snapshot_lines"](spark, SF_SMALL).collect()
+    assert rows and all((r.eq_id is None) == (r.reason == "corrupt") for r in rows)
+    assert all(r.reason == reasons[r.eq_id % q.BAD_KINDS] for r in rows if r.eq_id is not None)
