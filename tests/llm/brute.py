@@ -39,9 +39,9 @@ def shingles(text, k=5):
     return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
 
-def components(docs, percent=85):
+def components(docs, percent=85, k=5):
     """[(doc_id, n_shingles, component_id)] in order, for unique ids."""
-    sets = [shingles(t) for _, t in docs]
+    sets = [shingles(t, k) for _, t in docs]
     root = list(range(len(docs)))
 
     def find(i):
