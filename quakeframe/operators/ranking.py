@@ -30,9 +30,9 @@ from quakeframe.session import pinned
 
 def group_positions(df: DataFrame, keys: list[str], order: list[Column | str],
                     pos_col: str = "pos", size_col: str | None = "group_size",
-                    num_partitions: int | None = None) -> DataFrame:
-    """Add ``pos_col`` (0-based position in the group under ``order``) and optionally
-    ``size_col`` (rows in the group)."""
+                    num_partitions: int | None = None, pos_type: str = "int") -> DataFrame:
+    """Add ``pos_col`` (0-based position in the group under ``order``, as ``pos_type``) and
+    optionally ``size_col`` (rows in the group)."""
     sort_key = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
     n = num_partitions or _shuffle_partitions(df)
     tagged = pinned(df.repartitionByRange(n, *sort_key).sortWithinPartitions(*sort_key)
@@ -49,7 +49,7 @@ def group_positions(df: DataFrame, keys: list[str], order: list[Column | str],
     for k in keys:  # rows without a key are a group of their own
         same = same & F.col(k).eqNullSafe(F.col(f"__qf_{k}"))
     out = tagged.join(pieces, same)
-    out = out.withColumn(pos_col, (F.col("__qf_rid") - F.col("__qf_first") + F.col("__qf_before")).cast("int"))
+    out = out.withColumn(pos_col, (F.col("__qf_rid") - F.col("__qf_first") + F.col("__qf_before")).cast(pos_type))
     return out.drop(*[f"__qf_{k}" for k in [*keys, "__qf_part"]], "__qf_part", "__qf_rid", "__qf_n", "__qf_first", "__qf_before")
 
 
