@@ -120,5 +120,5 @@ def test_pipeline_edges(spark, tmp_path, words, odd):
 
 def test_registered():
     names = [k.split("_")[0] for k in llm.QUERIES]
-    assert sorted(names) == sorted(f"op{n}" for n in range(1, 11)) and set(llm.ORACLE) <= set(llm.QUERIES)
+    assert sorted(names) == sorted(f"op{n}" for n in range(1, 14)) and set(llm.ORACLE) <= set(llm.QUERIES)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
