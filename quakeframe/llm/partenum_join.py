@@ -242,7 +242,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     rows = j.rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(j.classes, "key", "left")
     rows = rows.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    # Written, so that the join below reads two exchanges and a huge component can be split.
+    least = pinned(rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     out = rows.join(least, "root", "left")
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
