@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quakeframe.functions.portable import ge, hash_uniform, lt
+from quakeframe.operators.ranking import group_positions
+
+DRAW_BINS = 1 << 16
 
 
 def select_events(catalog: DataFrame, mag_threshold: float = 0.0, part_small_event: bool = False,
@@ -20,25 +23,38 @@ def select_events(catalog: DataFrame, mag_threshold: float = 0.0, part_small_eve
     With ``part_small_event``, add a deterministic ``small_fraction`` sample of the smaller
     events outside ``test_year`` (so they can never reach the test split): a Bernoulli
     draw per event, or with ``exact`` the ``round_half_even(fraction * n)`` events with the
-    smallest draws (like ``sample(frac=...)``). The exact form ranks all candidates as one
-    group through ``group_positions``, which spreads one group over all partitions. The
-    ``is_small`` column marks the sampled rows.
+    smallest draws (like ``sample(frac=...)``, see ``smallest_draws``). The ``is_small`` column
+    marks the sampled rows.
     """
     big = catalog.filter(ge("magnitude", mag_threshold)).withColumn("is_small", F.lit(False))
     if not part_small_event:
         return big
     cand = catalog.filter(lt("magnitude", mag_threshold) & (F.col("year") != test_year))
     u = hash_uniform("eq_id", salt=f"small-event|{seed}")
-    if exact:
-        from quakeframe.operators.ranking import group_positions
+    small = smallest_draws(cand, u, small_fraction) if exact else cand.filter(u < small_fraction)
+    return big.unionByName(small.withColumn("is_small", F.lit(True)))
 
-        ranked = group_positions(cand.withColumn("_u", u).withColumn("_all", F.lit(0)), ["_all"],
-                                 ["_u", "eq_id"], pos_col="_r", size_col="_n")
-        small = ranked.filter(F.col("_r") < F.bround(F.col("_n") * float(small_fraction), 0)) \
-            .drop("_u", "_all", "_r", "_n")
+
+def smallest_draws(rows: DataFrame, draw, fraction: float, id_col: str = "eq_id") -> DataFrame:
+    """The ``round_half_even(fraction * n)`` rows with the smallest draws (ties: smaller id).
+
+    The draws, uniform in [0, 1), are counted in ``DRAW_BINS`` equal bins; the counts (at most
+    that many rows) say in which bin the last row to be taken lies. Bins below it are kept by a
+    filter alone; only its own rows, a 65,536th of all, are put in order."""
+    bin_ = F.floor(draw * DRAW_BINS)
+    counts = dict(rows.groupBy(bin_.alias("b")).count().collect())
+    n = sum(counts.values())
+    left = round(n * float(fraction))  # half to even
+    if left >= n:
+        return rows
+    for border in sorted(counts):
+        if left <= counts[border]:
+            break
+        left -= counts[border]
     else:
-        small = cand.filter(u < small_fraction)
-    return big.unionByName(small.withColumn("is_small", F.lit(True)))
+        return rows.limit(0)
+    last = rows.filter(bin_ == border).orderBy(draw, id_col).limit(left)
+    return rows.filter(bin_ < border).unionByName(last)
 
 
 def split_by_year(events: DataFrame, mode: str = "train", test_year: int = 2018,
@@ -55,12 +71,17 @@ def split_by_year(events: DataFrame, mode: str = "train", test_year: int = 2018,
 def first_events(events: DataFrame, limit: int | None, order_col: str = "eq_id") -> DataFrame:
     """first ``limit`` events in ``order_col`` order (None or 0 keeps all).
 
-    The order must be explicit: file order is not defined in a distributed scan.
-    Spark plans this as TakeOrderedAndProject (a per-partition top-k, then a merge).
+    The order must be explicit: file order is not defined in a distributed scan. The limit may
+    be most of the catalogue, so no task merges the first rows of all others: events are range
+    partitioned on the order, counted per partition, and keep their position as the count of
+    the partitions before plus the place in their own (``group_positions``).
     """
     if not limit:
         return events
-    return events.orderBy(order_col).limit(int(limit))
+    columns = events.columns
+    placed = group_positions(events.withColumn("__qf_all", F.lit(0)), ["__qf_all"], [order_col], pos_col="__qf_pos",
+                             size_col=None, pos_type="long")
+    return placed.filter(F.col("__qf_pos") < int(limit)).select(*columns)
 
 
 def replay_event_ids(catalog: DataFrame, year: int) -> DataFrame:

@@ -7,9 +7,10 @@ produces one row per group (a size bound of #groups), joined back by broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quakeframe.functions.intensity import scale_table
 from quakeframe.functions.mixture import exceedance as exceedance_col
 from quakeframe.functions.portable import is_number
 
@@ -70,6 +71,40 @@ def evaluate(preds: DataFrame, group_cols: list[str] | None = None, y: str = "an
                       (F.col("_ymax") + 0.5).alias("lim_hi"), "ss_res", "ss_tot")
 
 
+def _on_scale(points: DataFrame, scale: DataFrame, value: str, prefix: str) -> DataFrame:
+    """Range join of a value with the scale's intervals [threshold, next threshold): class, label,
+    threshold and tick as ``{prefix}_...``. The last class has no upper bound, the first no lower
+    one (values below the scale are class 0, D of M1); a non-numeric value has none."""
+    s = scale.select(*[F.col(c).alias(f"{prefix}_{c}") for c in ("class", "label", "threshold", "tick")],
+                     F.col("_next").alias("_hi"))
+    x = F.col(value)
+    low = (F.col(f"{prefix}_class") == 0) | (x >= F.col(f"{prefix}_threshold"))
+    inside = is_number(value) & low & (F.col("_hi").isNull() | (x < F.col("_hi")))
+    return points.join(F.broadcast(s), inside, "left").drop("_hi")  # ten rows
+
+
+def evaluation_points(preds: DataFrame, target: str = "pga", group_cols: list[str] | None = None, y: str = "answer",
+                      p: str = "predict") -> DataFrame:
+    """Every point of the evaluation plot: the columns of ``preds``, where its answer and its
+    prediction lie on the intensity scale of ``target`` (``answer_class``, ``_label``,
+    ``_threshold`` and ``_tick``, likewise ``predict_...``), whether the classes agree
+    (``same_class``), and its group's ``n``, ``r2`` and limits. Points whose answer or prediction
+    is no number are kept, without class, and do not count in the group."""
+    group_cols = list(group_cols or [])
+    scale = scale_table(preds.sparkSession).filter(F.col("target") == target)
+    scale = scale.withColumn("_next", F.lead("threshold").over(Window.orderBy("class")))
+    points = _on_scale(_on_scale(preds, scale, y, "answer"), scale, p, "predict")
+    points = points.withColumn("same_class", F.col("answer_class") == F.col("predict_class"))
+    facts = evaluate(preds, group_cols, y, p).drop("ss_res", "ss_tot")
+    if not group_cols:
+        return points.join(F.broadcast(facts))  # one row
+    named = facts.withColumnsRenamed({c: f"_g_{c}" for c in group_cols})
+    same = F.lit(True)
+    for c in group_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    return points.join(named, same, "left").drop(*[f"_g_{c}" for c in group_cols])
+
+
 def point_prediction(preds: DataFrame, agg: str = "mean", mixture_col: str = "mixture",
                      point_col: str = "predict") -> DataFrame:
     """M6: the point used for evaluation: ``mean`` = mixture mean (A6), ``point`` = the given

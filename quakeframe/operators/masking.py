@@ -63,32 +63,50 @@ def random_cutoff_sec(key_cols: list[str], mask_sec: int, max_sec: int = 10, epo
     return (F.lit(int(mask_sec)) + F.floor(u * (int(max_sec) - int(mask_sec)))).cast("int")
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once: what a lambda names more than once would be
+    computed at each place, and for each element of an inner lambda."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def blinded_slots(stations, key: list, epoch: int = 0, seed: str = "0") -> Column:
+    """E6, the draw: of the n real stations of a sample the slots of a random k in [0, n-1],
+    without replacement (n = 0 gives k = 0; D28). ``stations`` is an array of structs (slot,
+    real); k comes from a hash of the sample's ``key``, and the k stations are those with the
+    smallest hash of key and slot (ties: smaller slot). Narrow: no waveform is touched."""
+    stations = F.col(stations) if isinstance(stations, str) else stations
+
+    def drawn(real):
+        k = F.floor(hash_uniform(*key, salt=f"blind-k|{epoch}|{seed}") * F.size(real)).cast("int")
+        by_hash = F.sort_array(F.transform(real, lambda e: F.struct(
+            hash_uniform(*key, e["slot"], salt=f"blind-pick|{epoch}|{seed}").alias("u"), e["slot"].alias("slot"))))
+        return F.slice(by_hash, 1, k).getField("slot")
+
+    return let(F.filter(stations, lambda e: e["real"]), drawn)
+
+
 def blind_stations(rows: DataFrame, sample_key: list[str], slot_col: str = "slot", epoch: int = 0,
                    seed: str = "0", wave_col: str = "waveform", length: int | None = None,
                    position_cols=POSITION_COLS) -> DataFrame:
-    """Of the n stations of a sample with a non-zero position, blank a random k in
-    [0, n-1] without replacement (n = 0 gives k = 0; D28).
-
-    k comes from a hash of the sample; the k stations are those with the smallest per-station
-    hash. Windows are per sample (at most ``max_station_num`` rows)."""
+    """E6 on member rows: blank the ``blinded_slots`` of every sample among its stations with a
+    non-zero position. The window is per sample (at most ``max_station_num`` rows) and gathers
+    slots only; the draw is made once per sample."""
     present = [c for c in position_cols if c in rows.columns]
     nonzero = F.lit(False)
     for c in present:
         nonzero = nonzero | (F.coalesce(F.col(c), F.lit(0.0)) != 0)
-    sid = [F.col(c) for c in sample_key]
-    w_all = Window.partitionBy(*sample_key)
-    w_rank = Window.partitionBy(*sample_key).orderBy(F.col("_nz").desc(), "_u2", slot_col)
-    out = (rows.withColumn("_nz", nonzero)
-           .withColumn("_n", F.sum(F.col("_nz").cast("int")).over(w_all))
-           .withColumn("_k", F.floor(hash_uniform(*sid, salt=f"blind-k|{epoch}|{seed}") * F.col("_n")).cast("int"))
-           .withColumn("_u2", hash_uniform(*sid, F.col(slot_col), salt=f"blind-pick|{epoch}|{seed}"))
-           .withColumn("_r", F.row_number().over(w_rank) - 1)
-           .withColumn("blinded", F.col("_nz") & (F.col("_r") < F.col("_k"))))
+    w = Window.partitionBy(*sample_key)
+    one = F.when(F.col(slot_col) == F.col("_lead"), blinded_slots("_st", [F.col(c) for c in sample_key], epoch, seed))
+    out = (rows.withColumn("_real", nonzero)
+           .withColumn("_st", F.collect_list(F.struct(F.col(slot_col).alias("slot"), F.col("_real").alias("real"))).over(w))
+           .withColumn("_lead", F.min(slot_col).over(w))
+           .withColumn("_gone", F.first(one, ignorenulls=True).over(w))
+           .withColumn("blinded", F.col("_real") & F.array_contains("_gone", F.col(slot_col))))
     if wave_col in rows.columns and length is not None:
         out = out.withColumn(wave_col, blank_if(wave_col, F.col("blinded"), length))
     for c in present:
         out = out.withColumn(c, F.when(F.col("blinded"), F.lit(0.0)).otherwise(F.col(c)))
-    return out.drop("_nz", "_n", "_k", "_u2", "_r")
+    return out.drop("_real", "_st", "_lead", "_gone")
 
 
 def pad_slots(rows: DataFrame, group: list[str], n_slots: int, slot_col: str = "slot",
@@ -153,73 +171,40 @@ def mask_members(members, cutoff, length: int, pos_width: int = 4) -> Column:
     return F.transform(arr, one)
 
 
-def blind_members(members: str, sample_id: Column, length: int, epoch: int = 0, seed: str = "0",
-                  pos_width: int = 4) -> list[tuple[str, Column]]:
-    """E6 on a member array, equal to ``blind_stations`` on member rows.
-
-    A narrow array of (all-zero flag, per-member hash, slot) is sorted -- non-zero members
-    first, then by hash and slot -- and the slots of its first k entries are blinded (k < n,
-    so they are all non-zero). Returns the column steps ``[(name, expr), ...]`` to apply in
-    order."""
-    from quakeframe.functions.waveform import zero_samples
-
-    tmp = f"_{members}_b"
-    zero_pos = F.array_repeat(F.lit(0.0), pos_width)
-    keyed = F.sort_array(F.transform(F.col(members), lambda e: F.struct(
-        (~F.exists(e["pos"], lambda x: x != 0)).alias("z"),
-        hash_uniform(sample_id, e["slot"], salt=f"blind-pick|{epoch}|{seed}").alias("u"),
-        e["slot"].alias("s"))))
-    n = F.size(F.filter(F.col(tmp), lambda e: ~e["z"]))
-    k = F.floor(hash_uniform(sample_id, salt=f"blind-k|{epoch}|{seed}") * n).cast("int")
-    chosen = f"_{members}_k"
-
-    def one(e):
-        hit = F.array_contains(F.col(chosen), e["slot"])
-        return (e.withField("blinded", hit)
-                .withField("waveform", F.when(hit, zero_samples(length)).otherwise(e["waveform"]))
-                .withField("pos", F.when(hit, zero_pos).otherwise(e["pos"])))
-
-    # Each step is its own column: an expression inside a lambda is re-evaluated per member.
-    return [(tmp, keyed), (chosen, F.transform(F.slice(F.col(tmp), 1, k), lambda e: e["s"])),
-            (members, F.transform(F.col(members), one))]
-
-
-def masked_blinded_arrays(members: str, cutoff: Column, sample_id: Column | None, length: int,
-                          n_slots: int, epoch: int = 0, seed: str = "0",
-                          pos_width: int = 4) -> list[tuple[str, Column]]:
-    """C6 + C7 (+ E6 when ``sample_id`` is given) + C3 fused: the final ``waveform`` and
-    ``sta`` arrays of a sample in one pass over the member waveforms.
-
-    Equal to ``mask_members`` then ``blind_members`` then padding to ``n_slots``, but the
-    blinding choice is made from picks, the cut-off and positions only (a member is non-zero
-    after masking iff it is not blanked and its position is non-zero), so the waveform arrays
-    are copied once instead of once per step. Returns column steps ``[(name, expr), ...]``."""
-    from quakeframe.functions.waveform import zero_samples
-
-    zero_pos = F.array_repeat(F.lit(0.0), pos_width)
-
-    def late(e):
-        return F.coalesce(e["p_pick"] > cutoff, F.lit(False))
-
-    steps: list[tuple[str, Column]] = []
-    chosen = f"_{members}_k"
-    if sample_id is not None:
-        keyed = f"_{members}_b"
-        steps.append((keyed, F.sort_array(F.transform(F.col(members), lambda e: F.struct(
-            (late(e) | ~F.exists(e["pos"], lambda x: x != 0)).alias("z"),
-            hash_uniform(sample_id, e["slot"], salt=f"blind-pick|{epoch}|{seed}").alias("u"),
-            e["slot"].alias("s"))))))
-        n = F.size(F.filter(F.col(keyed), lambda e: ~e["z"]))
-        k = F.floor(hash_uniform(sample_id, salt=f"blind-k|{epoch}|{seed}") * n).cast("int")
-        steps.append((chosen, F.transform(F.slice(F.col(keyed), 1, k), lambda e: e["s"])))
-        gone = lambda e: late(e) | F.array_contains(F.col(chosen), e["slot"])
-    else:
-        gone = late
-    pad = F.greatest(F.lit(int(n_slots)) - F.size(members), F.lit(0))
-    wave = F.transform(F.col(members), lambda e: F.when(gone(e), zero_samples(length))
-                       .otherwise(F.when(cutoff.isNull(), fit_waveform(e["waveform"], length))
-                                  .otherwise(fit_waveform(e["waveform"], length, cutoff))))
-    sta = F.transform(F.col(members), lambda e: F.when(gone(e), zero_pos).otherwise(e["pos"]))
-    steps.append(("waveform", F.concat(wave, F.array_repeat(zero_samples(length), pad))))
-    steps.append(("sta", F.concat(sta, F.array_repeat(zero_pos, pad))))
-    return steps
+def hidden_slots(stations, cutoff, key: list | None, epoch: int = 0, seed: str = "0") -> Column:
+    """C7 + E6 of one sample as a slot mask: per member of ``stations`` (structs slot, p_pick,
+    real, in slot order) whether it is blanked, because its pick is later than ``cutoff`` or it
+    has been blinded (with a ``key``; drawn among the real stations that are not late)."""
+    stations = F.col(stations) if isinstance(stations, str) else stations
+    late = lambda e: F.coalesce(e["p_pick"] > cutoff, F.lit(False))
+    if key is None:
+        return F.transform(stations, late)
+    left = F.transform(stations, lambda e: F.struct(e["slot"].alias("slot"), (e["real"] & ~late(e)).alias("real")))
+    return let(blinded_slots(left, key, epoch, seed), lambda gone: F.transform(
+        stations, lambda e: late(e) | F.array_contains(gone, e["slot"])))
+
+
+def hidden_waveforms(waves, hidden, cutoff, n_slots: int) -> Column:
+    """C6 + C7 + E6 + C3 in one pass over the waveforms of a sample: zero from ``cutoff`` on (NULL:
+    nothing), all zero where the slot mask hides the member, and zero up to ``n_slots``. The
+    last element of ``waves`` is a zero waveform of the same length: taking it, or slices
+    of it, copies bytes instead of building arrays."""
+    waves, hidden = (F.col(c) if isinstance(c, str) else c for c in (waves, hidden))
+    zero = F.element_at(waves, -1)
+    n = F.size(waves) - 1
+    keep = F.greatest(F.least(cutoff, F.size(zero)), F.lit(0))
+
+    def one(w, i):
+        cut = F.when(cutoff.isNull() | (cutoff >= F.size(w)), w).otherwise(
+            F.concat(F.slice(w, 1, keep), F.slice(zero, 1, F.size(w) - keep)))
+        return F.when(F.get(hidden, i), zero).otherwise(cut)
+
+    return F.concat(F.transform(F.slice(waves, 1, n), one), F.array_repeat(zero, F.greatest(F.lit(int(n_slots)) - n, F.lit(0))))
+
+
+def hidden_positions(positions, hidden, n_slots: int, pos_width: int = 4) -> Column:
+    """The positions beside ``hidden_waveforms``: zero where hidden, and zero up to ``n_slots``."""
+    positions, hidden = (F.col(c) if isinstance(c, str) else c for c in (positions, hidden))
+    zero = F.array_repeat(F.lit(0.0), pos_width)
+    return F.concat(F.transform(positions, lambda p, i: F.when(F.get(hidden, i), zero).otherwise(p)),
+                    F.array_repeat(zero, F.greatest(F.lit(int(n_slots)) - F.size(positions), F.lit(0))))

@@ -8,12 +8,13 @@ That lets targets be split across rows freely, and the input set of an event is
 once per target bucket instead of once per sample.
 
 Scoring is ``mapInArrow``: Arrow batches in, Arrow batches out, waveforms go to NumPy
-without per-value Python objects; all models of a run are evaluated in the same pass.
+without per-value Python objects; all models of a run are evaluated in the same pass. The
+input sets of a batch that have the same shape are scored by one call, up to ``CALL_BYTES`` of
+waveforms at a time.
 """
 
 from __future__ import annotations
 
-import math
 import os
 import pickle
 from typing import Protocol
@@ -28,6 +29,8 @@ from quakeframe.schema import MIXTURE_TYPE, N_COMPONENTS, PEAK_EPS
 from quakeframe.session import ship
 
 
+CALL_BYTES = 64 << 20  # waveforms of one call of a scorer
+
 # Scorers that a Python worker has loaded, by their pickled definition: one load per worker.
 _loaded: dict[bytes, "Scorer"] = {}
 
@@ -46,9 +49,10 @@ class Scorer(Protocol):
     def load(self) -> None:
         """Prepare the model once per Python worker."""
 
-    def predict(self, waveform: np.ndarray, station: np.ndarray, targets: np.ndarray):
-        """waveform [S,T,C], station [S,F], targets [N,F'] -> (weight, mu, sigma), each
-        [N,K]; or None when the input set has no real station (D26)."""
+    def predict(self, waveform: np.ndarray, station: np.ndarray, targets: np.ndarray, owner: np.ndarray):
+        """waveform [B,S,T,C], station [B,S,F], targets [N,F'] and the input set 0..B-1 of each
+        target [N] (in order) -> (weight, mu, sigma), each [N,K]. Every set has a real station;
+        sets without one never reach a scorer (D26)."""
 
 
 class AttenuationScorer:
@@ -73,23 +77,26 @@ class AttenuationScorer:
         self.load()
         return [float(x) for x in self._w]
 
-    def predict(self, waveform, station, targets):
-        real = np.any(station != 0, axis=1)
-        if not real.any():
-            return None
-        peak = float(np.max(np.abs(waveform[real]).astype(np.float64)))
-        d = np.sqrt((targets[:, 0] - station[0, 0]) ** 2 + (targets[:, 1] - station[0, 1]) ** 2)
-        mu = math.log10(peak + PEAK_EPS) - self.beta * d[:, None] + self._shift[None, :]
+    def predict(self, waveform, station, targets, owner):
+        real = np.any(station != 0, axis=2)
+        amplitude = np.abs(waveform).max(axis=(2, 3)).astype(np.float64)
+        peak = np.where(real, amplitude, -np.inf).max(axis=1)
+        first = station[owner, 0]
+        d = np.sqrt((targets[:, 0] - first[:, 0]) ** 2 + (targets[:, 1] - first[:, 1]) ** 2)
+        mu = np.log10(peak + PEAK_EPS)[owner, None] - self.beta * d[:, None] + self._shift[None, :]
         n = targets.shape[0]
         return (np.broadcast_to(self._w, (n, N_COMPONENTS)), mu,
                 np.broadcast_to(self._sigma, (n, N_COMPONENTS)))
 
 
 class OnnxScorer:
-    """A real model exported to ONNX with inputs ``waveform [1,S,T,C]``, ``sta [1,S,F]``,
-    ``target [1,N,F]`` and outputs ``weight, sigma, mu`` of shape ``[1,N,K]``.
+    """A real model exported to ONNX with inputs ``waveform [B,S,T,C]``, ``sta [B,S,F]``,
+    ``target [B,N,F]`` and outputs ``weight, sigma, mu`` of shape ``[B,N,K]``.
 
-    The session is created once per Python worker (tests use a small hand-built mixture head)."""
+    A model with a free first dimension gets all sets of a call at once, the targets of each
+    padded with zeros to the longest list; one exported for single sets (B = 1) gets them one
+    by one. The session is created once per Python worker (tests use a small hand-built
+    mixture head)."""
 
     def __init__(self, path: str, name: str):
         self.path, self.name = path, name
@@ -108,13 +115,22 @@ class OnnxScorer:
                 path = SparkFiles.get(os.path.basename(path))
             self._sess = ort.InferenceSession(path, providers=["CPUExecutionProvider"])
 
-    def predict(self, waveform, station, targets):
-        if not np.any(station != 0):
-            return None
-        feeds = {"waveform": waveform[None].astype(np.float32), "sta": station[None].astype(np.float32),
-                 "target": targets[None].astype(np.float32)}
+    def _run(self, waveform, station, targets):
+        feeds = {"waveform": waveform.astype(np.float32), "sta": station.astype(np.float32), "target": targets.astype(np.float32)}
         weight, sigma, mu = self._sess.run(["weight", "sigma", "mu"], feeds)
-        return weight[0], mu[0], sigma[0]
+        return weight, mu, sigma
+
+    def predict(self, waveform, station, targets, owner):
+        sets = len(waveform)
+        counts = np.bincount(owner, minlength=sets)
+        ends = np.cumsum(counts)
+        place = np.arange(len(owner)) - (ends - counts)[owner]
+        padded = np.zeros((sets, int(counts.max()), targets.shape[1]))
+        padded[owner, place] = targets
+        if self._sess.get_inputs()[0].shape[0] == 1:
+            one = [self._run(waveform[i:i + 1], station[i:i + 1], padded[i:i + 1, :n]) for i, n in enumerate(counts)]
+            return tuple(np.concatenate([x[k][0] for x in one]) for k in range(3))
+        return tuple(x[owner, place] for x in self._run(waveform, station, padded))
 
 
 # --------------------------------------------------------------------------
@@ -142,7 +158,8 @@ def masked_input_sets(chunk0: DataFrame, key_cols: list[str], n_slots: int, leng
                       carry: tuple[str, ...] = ("n_chunks",)) -> DataFrame:
     """C3 + C6 + C7 on collected input sets: chunk-0 rows (at most ``n_slots`` per key) are
     collected in slot order, cut at ``pick of slot 0 + sec * rate`` (late stations blanked)
-    as array expressions, and padded. No window, no extra shuffle."""
+    as array expressions, and padded. No window, no extra shuffle. Several cut-offs (a list) are
+    all cut from the one collected row, and named by ``mask_sec``."""
     from quakeframe.operators.masking import mask_members
 
     width = len(position_cols)
@@ -151,7 +168,10 @@ def masked_input_sets(chunk0: DataFrame, key_cols: list[str], n_slots: int, leng
     keep = [c for c in carry if c in chunk0.columns]
     g = chunk0.groupBy(*key_cols).agg(F.sort_array(F.collect_list(member)).alias("_in"),
                                       *[F.max(c).alias(c) for c in keep])
-    if sec:
+    if isinstance(sec, (list, tuple)):
+        g, keep = g.withColumn("mask_sec", F.explode(F.array(*[F.lit(int(x)) for x in sec]))), [*keep, "mask_sec"]
+        cutoff = F.when(F.col("mask_sec") != 0, F.col("_in")[0]["p_pick"] + F.col("mask_sec") * int(rate)).cast("int")
+    elif sec:
         cutoff = (F.col("_in")[0]["p_pick"] + F.lit(int(sec)) * int(rate)).cast("int")
     else:
         cutoff = F.lit(None).cast("int")
@@ -183,26 +203,55 @@ def scoring_rows(sets: DataFrame, groups: DataFrame, key_cols: list[str], n_chun
     return s.drop(n_chunks_col).join(groups, [*key_cols, "_tb"]).drop("_tb")
 
 
-def _np_nested(scalar, depth: int):
-    """NumPy view of one nested Arrow list value (rectangular) or None."""
-    if scalar is None or not scalar.is_valid:
-        return None
-    arr = scalar.values
-    shape = [len(arr)]
-    for _ in range(depth - 1):
-        if arr.null_count:
-            return None
-        lens = arr.value_lengths().to_numpy(zero_copy_only=False)
-        if len(lens) == 0:
-            return None
-        if lens.min() != lens.max():
-            return None
-        shape.append(int(lens[0]))
-        arr = arr.flatten()
-    vals = arr.to_numpy(zero_copy_only=False)  # in the stored precision
-    if vals.size != int(np.prod(shape)):
-        return None
-    return vals.reshape(shape)
+def _shapes(col, depth: int) -> np.ndarray:
+    """Per row of a nested list column the length at each of ``depth`` levels; -1 in a row that
+    is NULL or not rectangular."""
+    import pyarrow as pa
+
+    n = len(col)
+    out = np.full((n, depth), -1, np.int64)
+    row = np.arange(n)  # the row of each list of the level
+    ok = np.ones(n, bool)
+    for level in range(depth):
+        lens = col.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+        low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, -1, np.int64)
+        np.minimum.at(low, row, lens)
+        np.maximum.at(high, row, lens)
+        ok &= (low == high) & (high > 0)
+        out[:, level] = high
+        row = np.repeat(row, np.maximum(lens, 0))
+        col = col.flatten()
+        if level + 1 < depth and not isinstance(col, (pa.ListArray, pa.LargeListArray)):
+            raise TypeError("not nested deep enough")
+    out[~ok] = -1
+    return out
+
+
+def _values(col, depth: int) -> np.ndarray:
+    for _ in range(depth):
+        col = col.flatten()
+    return col.to_numpy(zero_copy_only=False)  # in the stored precision
+
+
+def _calls(wave_c, sta_c):
+    """(rows, waveform [B,S,T,C], station [B,S,F]) of the rows that share a shape, in pieces of
+    at most CALL_BYTES; rows of no shape come last with None."""
+    import pyarrow as pa
+
+    both = np.concatenate([_shapes(wave_c, 3), _shapes(sta_c, 2)], axis=1)
+    both[(both < 0).any(axis=1) | (both[:, 0] != both[:, 3])] = -1
+    kinds, which = np.unique(both, axis=0, return_inverse=True)
+    which = which.reshape(-1)
+    for k, shape in enumerate(kinds):
+        rows = np.flatnonzero(which == k)
+        if shape[0] < 0:
+            yield rows, None, None
+            continue
+        step = max(1, CALL_BYTES // int(shape[:3].prod() * 4))
+        for i in range(0, len(rows), step):
+            some = rows[i:i + step]
+            w, st = (c if len(some) == len(c) else c.take(pa.array(some)) for c in (wave_c, sta_c))
+            yield some, _values(w, 3).reshape(-1, *shape[:3]), _values(st, 2).reshape(-1, *shape[3:])
 
 
 def score(rows: DataFrame, scorers: list, key_cols: list[str], target_pos=("lat", "lon", "elev", "vs30"),
@@ -240,7 +289,7 @@ def make_runner(scorer_list: list, key_cols: list[str], pos_names: list[str], ou
         ready = [_ready(s) for s in scorer_list]
         mix_type = pa.list_(pa.struct([("weight", pa.float64()), ("mu", pa.float64()), ("sigma", pa.float64())]))
         for batch in batches:
-            wave_c, sta_c, tg_c = batch.column("waveform"), batch.column("station"), batch.column("targets")
+            tg_c = batch.column("targets")
             tg_flat = tg_c.flatten()
             # Offsets rebuilt from lengths: a sliced batch's raw offsets do not start at 0,
             # while flatten() does (and skips NULL lists).
@@ -248,52 +297,38 @@ def make_runner(scorer_list: list, key_cols: list[str], pos_names: list[str], ou
             offs = np.concatenate([[0], np.cumsum(lens)])
             pos_all = np.stack([tg_flat.field(p).to_numpy(zero_copy_only=False).astype(np.float64)
                                 for p in pos_names], axis=1) if len(tg_flat) else np.zeros((0, len(pos_names)))
-            row_idx, tgt_idx, models, ws, mus, sgs = [], [], [], [], [], []
-            failed = []  # (row, first target, end, model, reason)
-            for i in range(batch.num_rows):
-                a, b = int(offs[i]), int(offs[i + 1])
-                if b <= a:
-                    continue
-                wave = _np_nested(wave_c[i], 3)
-                sta = _np_nested(sta_c[i], 2)
-                if wave is None or sta is None:
-                    failed.extend((i, a, b, s.name, "ragged") for s in scorer_list)
-                    continue
-                tpos = pos_all[a:b]
-                for s in ready:
-                    res = s.predict(wave, sta, tpos)
-                    if res is None:
-                        failed.append((i, a, b, s.name, "no_station"))
+
+            def out(rows, model, mix, mean, reason):
+                """The rows' targets with what a model says of them."""
+                n = lens[rows]
+                at = np.repeat(offs[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                take = pa.array(np.repeat(rows, n))
+                cols = [batch.column(kc).take(take) for kc in key_cols]
+                cols += [tg_flat.take(pa.array(at)), pa.array([model] * len(at), pa.string()),
+                         mix if mix is not None else pa.nulls(len(at), mix_type),
+                         mean if mean is not None else pa.nulls(len(at), pa.float64()),
+                         pa.array([reason] * len(at), pa.string())]
+                return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, out_arrow)], schema=out_arrow)
+
+            for rows, wave, sta in _calls(batch.column("waveform"), batch.column("station")):
+                if wave is not None:
+                    asked, real = lens[rows] > 0, (sta != 0).any(axis=(1, 2))
+                    if (asked & ~real).any():
+                        yield from (out(rows[asked & ~real], s.name, None, None, "no_station") for s in ready)
+                    some = asked & real
+                    if not some.any():
                         continue
-                    w, mu, sg = (np.asarray(x, dtype=np.float64) for x in res)
-                    n = b - a
-                    row_idx.append(np.full(n, i))
-                    tgt_idx.append(np.arange(a, b))
-                    models.extend([s.name] * n)
-                    ws.append(w.reshape(n, -1))
-                    mus.append(mu.reshape(n, -1))
-                    sgs.append(sg.reshape(n, -1))
-            if failed:
-                size = np.array([f[2] - f[1] for f in failed])
-                n = int(size.sum())
-                ti = pa.array(np.concatenate([np.arange(f[1], f[2]) for f in failed]))
-                cols = [batch.column(kc).take(pa.array(np.repeat([f[0] for f in failed], size))) for kc in key_cols]
-                cols += [tg_flat.take(ti), pa.array(np.repeat([f[3] for f in failed], size).tolist(), pa.string()), pa.nulls(n, mix_type),
-                         pa.nulls(n, pa.float64()), pa.array(np.repeat([f[4] for f in failed], size).tolist(), pa.string())]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, out_arrow)], schema=out_arrow)
-            if not models:
-                continue
-            ri = pa.array(np.concatenate(row_idx))
-            ti = pa.array(np.concatenate(tgt_idx))
-            W, MU, SG = np.concatenate(ws), np.concatenate(mus), np.concatenate(sgs)
-            kk = W.shape[1]
-            comp = pa.StructArray.from_arrays(
-                [pa.array(W.ravel()), pa.array(MU.ravel()), pa.array(SG.ravel())], ["weight", "mu", "sigma"])
-            mix = pa.ListArray.from_arrays(pa.array(np.arange(0, W.size + 1, kk, dtype=np.int32)), comp, type=mix_type)
-            cols = [batch.column(kc).take(ri) for kc in key_cols]
-            cols += [tg_flat.take(ti), pa.array(models, pa.string()), mix, pa.array((W * MU).sum(axis=1)),
-                     pa.nulls(len(models), pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, schema=out_arrow)
+                    rows, wave, sta = rows[some], wave[some] if not some.all() else wave, sta[some]
+                    n = lens[rows]
+                    owner = np.repeat(np.arange(len(rows)), n)
+                    tpos = np.concatenate([pos_all[offs[r]:offs[r + 1]] for r in rows])
+                    for s in ready:
+                        w, mu, sg = (np.ascontiguousarray(x, dtype=np.float64).reshape(len(owner), -1) for x in s.predict(wave, sta, tpos, owner))
+                        comp = pa.StructArray.from_arrays([pa.array(x.ravel()) for x in (w, mu, sg)], ["weight", "mu", "sigma"])
+                        ends = pa.array(np.arange(0, w.size + 1, w.shape[1], dtype=np.int32))
+                        yield out(rows, s.name, pa.ListArray.from_arrays(ends, comp, type=mix_type), pa.array((w * mu).sum(axis=1)), None)
+                elif lens[rows].any():
+                    yield from (out(rows[lens[rows] > 0], s.name, None, None, "ragged") for s in ready)
 
     return run
 

@@ -14,17 +14,28 @@ from quakeframe.schema import (LOG10_DOWNSAMPLE_BELOW, LOG10_OVERSAMPLE_ABOVE, T
                                TRACE_COPY_EXP)
 
 
-def explode_event_groups(groups: DataFrame, id_col: str, array_cols: list[str],
-                         index_col: str = "trace_idx") -> DataFrame:
+def explode_event_groups(groups: DataFrame, id_col: str, array_cols: list[str], index_col: str = "trace_idx",
+                         traces_col: str | None = None, label_key: str | None = None) -> DataFrame:
     """One row per trace from per-event parallel arrays (an HDF5-style event group).
 
-    ``arrays_zip`` keeps positions aligned (shorter arrays are NULL-filled) and
-    ``posexplode`` numbers the traces from 0 in stored order.
-    """
-    zipped = F.arrays_zip(*[F.col(c) for c in array_cols])
+    ``arrays_zip`` keeps positions aligned and ``posexplode`` numbers the traces from 0 in
+    stored order. ``traces_col`` names the array that has one element per trace: the others are
+    cut to its length, or NULL-filled where shorter or absent, and an event without it
+    contributes nothing (D18). Without ``traces_col`` the longest array counts. ``label_key``
+    adds the arrays ``{label_key}`` and ``{label_key}_time`` as ``label`` and ``label_time``."""
+    names = {c: c for c in array_cols}
+    if label_key:
+        names |= {"label": label_key, "label_time": f"{label_key}_time"}
+    arrays = [F.coalesce(F.col(src), F.array().cast(groups.schema[src].dataType)) for src in names.values()]
+    if traces_col:
+        n = F.size(traces_col)
+        groups = groups.filter(F.col(traces_col).isNotNull())
+        # Whatever the others' lengths, the zipped array is as long as the traces.
+        arrays = [F.slice(a, 1, n) for a in arrays] + [F.transform(F.col(traces_col), lambda x: F.lit(True))]
+        names = {**names, "_has": None}
+    zipped = F.arrays_zip(*[a.alias(name) for a, name in zip(arrays, names)])
     out = groups.select(F.col(id_col).alias("eq_id"), F.posexplode(zipped).alias(index_col, "_t"))
-    return out.select("eq_id", F.col(index_col).cast("int").alias(index_col),
-                      *[F.col("_t")[c].alias(c) for c in array_cols])
+    return out.select("eq_id", F.col(index_col).cast("int").alias(index_col), *[F.col("_t")[c].alias(c) for c in names if c != "_has"])
 
 
 def decimate_picks(traces: DataFrame, decimate: int = 1, pick_col: str = "p_pick") -> DataFrame:

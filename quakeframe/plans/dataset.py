@@ -19,12 +19,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quakeframe.functions.waveform import stored_position, stored_waveform
+from quakeframe.functions.waveform import stored_position, stored_waveform, zero_samples
 from quakeframe.operators import catalog as cat
 from quakeframe.operators import traces as tr
 from quakeframe.operators.balance import label_weights
-from quakeframe.operators.masking import masked_blinded_arrays, random_cutoff_sec
-from quakeframe.operators.samples import hydrate_inputs, rank_traces, sample_id_col
+from quakeframe.operators.masking import hidden_positions, hidden_slots, hidden_waveforms, random_cutoff_sec
+from quakeframe.operators.samples import hydrate_inputs, rank_traces
 
 
 @dataclass
@@ -105,8 +105,9 @@ def build_dataset(catalog: DataFrame, traces: DataFrame, waveforms: DataFrame, o
     ``max_station_num`` members; its waveforms fetched and cropped once per event); each chunk
     is collected into a *target-group* row. Every sample is one target group joined with its
     event's input set -- a join salted by chunk bucket, so a hot event's thousands of chunks
-    spread over many tasks -- and the per-sample masks (random horizon, blanking, blinding)
-    are array expressions inside that row: no per-sample shuffle.
+    spread over many tasks. What differs between its copies (horizon, cut-off and slot mask) is
+    drawn from narrow arrays before the copies are made; each copy then takes one pass over
+    the waveforms. No per-sample shuffle.
     """
     ranked = sample_plan(catalog, traces, o)
     length = o.length
@@ -122,12 +123,18 @@ def build_dataset(catalog: DataFrame, traces: DataFrame, waveforms: DataFrame, o
     c0 = hydrate_inputs(ranked.filter(F.col("chunk_no") == 0), waveforms, o.waveform_col)
     c0_pos = stored_position("waveform", ("lat", "lon", "elev", "vs30")).alias("pos")
     # As a target (of a bias sample) the station keeps its position.
-    c0_member = [c0_pos if c is pos else c for c in member] + [pos.alias("target_pos")]
+    c0_member = [*member, c0_pos.alias("input_pos"), stored_waveform("waveform", length).alias("waveform")]
     b = int(chunks_per_bucket)
-    sets = (c0.groupBy("eq_id")
-            .agg(F.sort_array(F.collect_list(F.struct(*c0_member, stored_waveform("waveform", length).alias("waveform"))))
-                 .alias("_in"), F.max("n_chunks").alias("_k"), *[a.alias("_w0") for a in weight_aggs])
-            .withColumn("_bucket", F.explode(F.sequence(F.lit(0), ((F.col("_k") - 1) / b).cast("int")))))
+    sets = c0.groupBy("eq_id").agg(F.sort_array(F.collect_list(F.struct(*c0_member))).alias("_m"),
+                                   F.max("n_chunks").alias("_k"), *[a.alias("_w0") for a in weight_aggs])
+    sets = sets.select(
+        "eq_id", *(["_w0"] if weight_aggs else []),
+        F.transform("_m", lambda e: e.dropFields("input_pos", "waveform")).alias("_t0"),
+        F.col("_m.input_pos").alias("_pos"),
+        F.transform("_m", lambda e: F.struct(e["slot"].alias("slot"), e["p_pick"].alias("p_pick"),
+                                             F.exists(e["input_pos"], lambda x: x != 0).alias("real"))).alias("_st"),
+        F.concat(F.col("_m.waveform"), F.array(zero_samples(length))).alias("_waves"), "_k")
+    sets = sets.withColumn("_bucket", F.explode(F.sequence(F.lit(0), ((F.col("_k") - 1) / b).cast("int")))).drop("_k")
 
     # Target groups, one per chunk (at most max_station_num members each).
     groups = ranked.groupBy("eq_id", "chunk_no").agg(
@@ -138,41 +145,42 @@ def build_dataset(catalog: DataFrame, traces: DataFrame, waveforms: DataFrame, o
     if o.bias_to_closer_station:
         samples = samples.unionByName(groups.filter(F.col("n_chunks") > 1).withColumn("is_bias", F.lit(True)))
     samples = samples.withColumn("_bucket", (F.col("chunk_no") / b).cast("int"))
-    s = samples.join(sets, ["eq_id", "_bucket"]).drop("_bucket", "_k")
+    s = samples.join(sets, ["eq_id", "_bucket"])
+
+    # Per event copy: horizon, cut-off and slot mask, from the narrow arrays alone.
+    def copy_of(c):
+        sid = F.concat_ws("/", F.col("eq_id"), c, F.col("chunk_no"), F.col("is_bias").cast("int"))
+        if o.mask_waveform_random:
+            sec = random_cutoff_sec([sid], o.mask_waveform_sec or 0, o.max_random_sec, o.epoch, o.seed)
+        else:
+            sec = F.lit(o.mask_waveform_sec).cast("int")
+        return F.struct(c.alias("event_copy"), sid.alias("sample_id"), sec.alias("mask_sec"))
+
+    masked = bool(o.mask_waveform_random or o.mask_waveform_sec)
+    pick0 = F.col("_st")[0]["p_pick"]
+
+    def with_mask(c):
+        cutoff = (pick0 + c["mask_sec"] * int(o.sampling_rate)).cast("int") if masked else F.lit(None).cast("int")
+        key = [c["sample_id"]] if o.station_blind else None
+        return c.withField("cutoff", cutoff).withField("hidden", hidden_slots("_st", cutoff, key, o.epoch, o.seed))
+
+    s = s.withColumn("_c", F.transform(F.sequence(F.lit(0), F.col("n_copies")), copy_of))
+    s = s.withColumn("_c", F.explode(F.transform("_c", with_mask)))
     # A bias sample's targets are chunk 0 itself (and its weight chunk 0's mean; D8).
-    s = s.withColumn("_t", F.when(F.col("is_bias"), F.transform(
-        "_in", lambda e: e.withField("pos", e["target_pos"]).dropFields("waveform", "target_pos")))
-                     .otherwise(F.col("_t")))
+    s = s.withColumn("_t", F.when(F.col("is_bias"), F.col("_t0")).otherwise(F.col("_t")))
     if o.weight_label:
-        s = s.withColumn("weight", F.when(F.col("is_bias"), F.col("_w0")).otherwise(F.col("weight"))).drop("_w0")
-    s = s.withColumn("event_copy", F.explode(F.sequence(F.lit(0), F.col("n_copies"))))
-    s = s.withColumn("sample_id", sample_id_col())
-
-    # Horizon and cut-off masks (C6/C7, E5) on the members.
-    if o.mask_waveform_random:
-        s = s.withColumn("mask_sec", random_cutoff_sec(["sample_id"], o.mask_waveform_sec or 0,
-                                                       o.max_random_sec, o.epoch, o.seed))
-    else:
-        s = s.withColumn("mask_sec", F.lit(o.mask_waveform_sec).cast("int"))
-    pick0 = F.col("_in")[0]["p_pick"]
-    masked = bool(o.mask_waveform_random or o.mask_waveform_sec)
-    cutoff = (pick0 + F.col("mask_sec") * int(o.sampling_rate)).cast("int") if masked else F.lit(None).cast("int")
-    # Masks, blinding and padding in one pass over the member waveforms.
-    s = s.withColumn("_cutoff", cutoff)
-    blind_id = F.col("sample_id") if o.station_blind else None
-    for name, expr in masked_blinded_arrays("_in", F.col("_cutoff"), blind_id, length, o.max_station_num,
-                                            o.epoch, o.seed):
-        s = s.withColumn(name, expr)
+        s = s.withColumn("weight", F.when(F.col("is_bias"), F.col("_w0")).otherwise(F.col("weight")))
 
     pad_t = F.greatest(F.lit(int(o.label_target)) - F.size("_t"), F.lit(0))
-    cols = ["sample_id", "eq_id", "event_copy", "chunk_no", "is_bias", "mask_sec", "waveform", "sta",
-            F.concat(F.transform("_t", lambda e: e["pos"]), F.array_repeat(zero_pos, pad_t)).alias("target"),
-            F.concat(F.transform("_t", lambda e: e["label"]), F.array_repeat(F.lit(0.0), pad_t)).alias("label")]
+    cols = ["_c.sample_id", "eq_id", "_c.event_copy", "chunk_no", "is_bias", "_c.mask_sec",
+            hidden_waveforms("_waves", "_c.hidden", F.col("_c.cutoff"), o.max_station_num).alias("waveform"),
+            hidden_positions("_pos", "_c.hidden", o.max_station_num).alias("sta"),
+            F.concat(F.col("_t.pos"), F.array_repeat(zero_pos, pad_t)).alias("target"),
+            F.concat(F.col("_t.label"), F.array_repeat(F.lit(0.0), pad_t)).alias("label")]
     if o.weight_label:
         cols.append("weight")
     if o.mode != "train":
-        cols += [F.transform("_t", lambda e: e["p_pick"]).alias("p_picks"),
-                 F.transform("_t", lambda e: e["label_time"]).alias("label_time")]
+        cols += [F.col("_t.p_pick").alias("p_picks"), F.col("_t.label_time").alias("label_time")]
     return s.select(*cols)
 
 

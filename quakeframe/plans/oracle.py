@@ -1,17 +1,28 @@
 """DuckDB SQL oracles for the registered queries (same names, same output columns).
 
-The fixture views come from ``sources.fixtures.SQL_VIEWS``; thresholds are the same Python
-constants the Spark side uses, printed as literals.
+The fixture views come from ``sources.fixtures.SQL_VIEWS``; fixed values are written out here
+anew, not taken from the engine, so that a wrong constant there does not pass.
 """
 
 from __future__ import annotations
 
-from quakeframe.functions.intensity import LOG_PGA8, LOG_PGA10, LOG_PGV10
+import math
+
 from quakeframe.plans import queries as q
-from quakeframe.schema import INTENSITY10_LABELS, LOG10_DOWNSAMPLE_BELOW, LOG10_OVERSAMPLE_ABOVE
 from quakeframe.sources import fixtures as fx
 from quakeframe.sources.fixtures import with_views
 
+# Fixed values of the intensity scales, the balancing cut-offs, the error function, the position
+# embedding and the test scorers.
+INTENSITY10_LABELS = ["0", "1", "2", "3", "4", "5-", "5+", "6-", "6+", "7"]
+LOG_PGA10 = [math.log10(x) for x in (1e-5, 0.008, 0.025, 0.080, 0.250, 0.80, 1.4, 2.5, 4.4, 8.0)]
+LOG_PGV10 = [math.log10(x) for x in (1e-5, 0.002, 0.007, 0.019, 0.057, 0.15, 0.3, 0.5, 0.8, 1.4)]
+LOG_PGA8 = [math.log10(x) for x in (0.008, 0.025, 0.08, 0.25, 0.8, 2.5, 8.0)]
+LOG_PGV8 = [math.log10(x) for x in (0.002, 0.007, 0.019, 0.057, 0.15, 0.5, 1.4)]
+LOG10_DOWNSAMPLE_BELOW, LOG10_OVERSAMPLE_ABOVE = math.log10(0.019), math.log10(0.057)
+ERF_P, ERF_A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+EMB_DIM, EMB_WAVELENGTHS = 150, ((5.0, 30.0), (110.0, 123.0), (0.01, 5000.0))
+
 TY = fx.TEST_YEAR
 M = fx.MAX_STATIONS_FX
 
@@ -128,6 +139,9 @@ ORACLE["events_year_split"] = with_views(f"""
     SELECT 'train' AS mode, eq_id, year FROM ({events_sql('train', q.MAG_T)})
     UNION ALL SELECT 'test' AS mode, eq_id, year FROM ({events_sql('test', q.MAG_T)})""", "fx_catalog")
 
+ORACLE["events_first_half"] = with_views(
+    "SELECT eq_id, year, magnitude FROM fx_catalog ORDER BY eq_id LIMIT (SELECT count(*) // 2 FROM fx_catalog)", "fx_catalog")
+
 ORACLE["events_first_n"] = with_views(
     f"SELECT eq_id, year, magnitude FROM ({events_sql('train', q.MAG_T)}) ORDER BY eq_id LIMIT {q.FIRST_N}",
     "fx_catalog")
@@ -143,6 +157,17 @@ ORACLE["event_groups_exploded"] = """
       SELECT vec_id AS eq_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS trace_idx, unnest(embedding) AS v
       FROM embeddings)"""
 
+ORACLE["event_groups_parallel"] = """
+    WITH g AS (SELECT vec_id AS eq_id, 20 + vec_id % 30 AS n, vec_id % 3 AS cut, vec_id % 7 = 0 AS no_pgv,
+                      list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id % 11 <> 0),
+    t AS (SELECT *, CAST(unnest(range(0, n)) AS INTEGER) AS trace_idx FROM g)
+    SELECT 'pga' AS label_key, eq_id, trace_idx, CASE WHEN trace_idx < n - cut THEN CAST(floor(abs(e[trace_idx + 1]) * 1000) AS INTEGER) END AS p_pick,
+           round(e[trace_idx + 1], 6) AS label, CAST(floor(abs(e[trace_idx + 3]) * 1000) AS INTEGER) AS label_time FROM t
+    UNION ALL
+    SELECT 'pgv', eq_id, trace_idx, CASE WHEN trace_idx < n - cut THEN CAST(floor(abs(e[trace_idx + 1]) * 1000) AS INTEGER) END,
+           CASE WHEN NOT no_pgv THEN round(e[trace_idx + 5], 6) END,
+           CASE WHEN NOT no_pgv THEN CAST(floor(abs(e[trace_idx + 2]) * 1000) AS INTEGER) END FROM t"""
+
 ORACLE["valid_traces"] = with_views(
     f"SELECT eq_id, count(*) AS n_valid FROM ({traces_sql()}) GROUP BY eq_id", "fx_catalog", "fx_traces")
 
@@ -295,6 +320,12 @@ ORACLE["hydrate_inputs"] = with_views(f"""
     FROM ({samples_sql('rk')}) s LEFT JOIN fx_waveforms w USING (eq_id, trace_idx) WHERE s.side = 'input'""",
     *W_VIEWS)
 
+ORACLE["hydrate_from_store"] = with_views(f"""
+    , {_RANKED}
+    SELECT r.eq_id, r.slot, r.trace_idx, CAST(coalesce(len(w.samples), 0) AS INTEGER) AS n_samples,
+           CASE WHEN w.samples IS NOT NULL THEN round({peak_sql('w.samples')}, 6) END AS peak
+    FROM rk r LEFT JOIN fx_waveforms w USING (eq_id, trace_idx) WHERE r.chunk_no = 0""", *W_VIEWS)
+
 ORACLE["hydrate_targets"] = with_views(f"""
     , {_RANKED}
     SELECT sample_id, slot, trace_idx, lat, lon, elev, vs30, round(pga, 6) AS label, p_pick, pga_time AS label_time
@@ -376,9 +407,6 @@ ORACLE["normalised_waveform"] = with_views(f"""
 
 
 def _emb_sql() -> str:
-    import math
-
-    from quakeframe.schema import EMB_DIM, EMB_WAVELENGTHS
     (la0, la1), (lo0, lo1), (de0, de1) = EMB_WAVELENGTHS
     d5, d10 = EMB_DIM // 5, EMB_DIM // 10
 
@@ -412,9 +440,6 @@ ORACLE["padding_flags"] = with_views(f"""
 # --- scoring, ensemble, evaluation, IO, streaming -----------------------------
 
 def _phi_sql(z: str) -> str:
-    import math
-
-    from quakeframe.functions.mixture import ERF_A, ERF_P
     x = f"(({z}) / {lit(math.sqrt(2.0))})"
     t = f"(1.0 / (1.0 + {lit(ERF_P)} * abs({x})))"
     a1, a2, a3, a4, a5 = (lit(a) for a in ERF_A)
@@ -423,22 +448,20 @@ def _phi_sql(z: str) -> str:
     return f"(0.5 * (1.0 + CASE WHEN {x} < 0 THEN -{y} ELSE {y} END))"
 
 
-def _model_terms(alpha: float, beta: float):
-    from quakeframe.operators.scoring import AttenuationScorer
-
-    sc = AttenuationScorer(alpha, beta, "x")
-    sc.load()
-    return [(float(w), float(s), float(g)) for w, s, g in zip(sc._w, sc._shift, sc._sigma)]
+def _model_terms(alpha: float):
+    """(weight, shift of mu, sigma) of the five components."""
+    e = [math.exp(-alpha * k) for k in range(5)]
+    return [(x / sum(e), 0.05 * (k - 2), math.exp(0.1 * k - 1)) for k, x in enumerate(e)]
 
 
 def _predict_sql(alpha: float, beta: float) -> str:
-    terms = [f"{lit(w)} * ((L - {lit(beta)} * d) + {lit(s)})" for w, s, _ in _model_terms(alpha, beta)]
+    terms = [f"{lit(w)} * ((L - {lit(beta)} * d) + {lit(s)})" for w, s, _ in _model_terms(alpha)]
     return " + ".join(terms)
 
 
 def _exceed_sql(alpha: float, beta: float) -> str:
     terms = [f"{lit(w)} * (1.0 - {_phi_sql(f'(answer - ((L - {lit(beta)} * d) + {lit(s)})) / {lit(g)}')})"
-             for w, s, g in _model_terms(alpha, beta)]
+             for w, s, g in _model_terms(alpha)]
     return " + ".join(terms)
 
 
@@ -503,6 +526,35 @@ ORACLE["ensemble_report"] = with_views(
     f", {_PRED}, {_ENS}\n{_r2_sql(chr(39) + 'ensemble' + chr(39) + ' AS model, * FROM ens', 'model')}".replace(
         "FROM ('ensemble' AS model, * FROM ens)", "FROM (SELECT 'ensemble' AS model, * FROM ens)"), *W_VIEWS)
 
+# Model b has no prediction for some events, and another answer for others.
+ORACLE["ensemble_rejected"] = with_views(f"""
+    , {_PRED},
+    part AS (SELECT sample_id, slot, eq_id, model, CASE WHEN model = 'b' AND eq_id % 7 = 0 THEN answer + 1 ELSE answer END AS answer
+             FROM pr WHERE NOT (model = 'b' AND eq_id % 5 = 0))
+    SELECT sample_id, slot, eq_id, count(DISTINCT model) AS n_models, max(answer) <> min(answer) AS answer_mismatch
+    FROM part GROUP BY sample_id, slot, eq_id HAVING count(DISTINCT model) <> 2 OR max(answer) <> min(answer)""", *W_VIEWS)
+
+
+def _scale_lists(bounds) -> tuple[str, str]:
+    ticks = [(a + b) / 2 for a, b in zip(bounds, bounds[1:])]
+    ticks.append(2 * ticks[-1] - ticks[-2])
+    return tuple("[" + ", ".join(lit(x) for x in xs) + "]" for xs in (bounds, ticks))
+
+
+def _points_sql(prefix: str, x: str) -> str:
+    bounds, ticks = _scale_lists(LOG_PGA10)
+    c = intensity10_sql(x)
+    return (f"{c} AS {prefix}_class, {label_sql(c)} AS {prefix}_label, round({bounds}[{c} + 1], 6) AS {prefix}_threshold, "
+            f"round({ticks}[{c} + 1], 6) AS {prefix}_tick")
+
+
+ORACLE["evaluation_points"] = with_views(f"""
+    , {_PRED}, facts AS ({_r2_sql('SELECT * FROM pr', 'model')})
+    SELECT p.model, p.sample_id, p.slot, round(p.answer, 6) AS answer, round(p.predict, 6) AS predict,
+           {_points_sql('answer', 'p.answer')}, {_points_sql('predict', 'p.predict')},
+           {intensity10_sql('p.answer')} = {intensity10_sql('p.predict')} AS same_class, f.n, f.r2, f.lim_lo, f.lim_hi
+    FROM pr p JOIN facts f ON f.model = p.model""", *W_VIEWS)
+
 # Every cut-off at once: the rows of an input set once per cut-off.
 _SECS = "[" + ", ".join(map(str, q.CUTOFFS)) + "]"
 _PRED_ALL = f"""{_TEST_RKW},
@@ -600,14 +652,33 @@ ORACLE["stream_routed"] = with_views(f"""
 _STREAM_LINES = f"""{_LADDER}, {_KINDS},
     lcut AS (SELECT l.* FROM lmsk l JOIN lk USING (eq_id, mask_sec)
              WHERE kind IN (0, 7) OR (kind = 3 AND slot < {M} - 1)),"""
-ORACLE["stream_quarantined"] = with_views(f"""
+_STREAM_KINDS = f"""
     , {_STREAM_LINES}
     {_STREAM.split("sst AS", 1)[0].replace(_LADDER, '').lstrip(', ')} sst AS{_STREAM.split("sst AS", 1)[1].replace('FROM lmsk', 'FROM lcut')}
     SELECT 'scored' AS kind, {_route_sql()} AS name, count(*) AS n FROM spr GROUP BY 2
     UNION ALL
     SELECT 'rejected' AS kind, CASE kind WHEN 1 THEN 'corrupt' WHEN 2 THEN 'ragged_time' WHEN 4 THEN 'station_count_mismatch'
            WHEN 5 THEN 'missing' ELSE 'bad_position' END AS name, count(*) AS n
-    FROM lk WHERE kind IN (1, 2, 4, 5, 6) GROUP BY 2""", *W_VIEWS)
+    FROM lk WHERE kind IN (1, 2, 4, 5, 6) GROUP BY 2"""
+ORACLE["stream_quarantined"] = with_views(_STREAM_KINDS, *W_VIEWS)
+ORACLE["stream_restarted"] = with_views(f"""{_STREAM_KINDS}
+    UNION ALL SELECT 'reported', 'snapshots', count(*) FROM lk WHERE kind IN (0, 3, 7)
+    UNION ALL SELECT 'reported', 'rejected', count(*) FROM lk WHERE kind IN (1, 2, 4, 5, 6)
+    UNION ALL SELECT 'reported', 'predictions', count(*) FROM spr""", *W_VIEWS)
+
+ORACLE["stream_live_status"] = with_views(f"""
+    , {_STREAM}
+    SELECT 'sound' AS name, 'idle' AS state, NULL::BOOLEAN AS told, count(*) AS n_predictions FROM spr
+    UNION ALL SELECT 'broken', 'failed', TRUE, 0""", *W_VIEWS)
+
+ORACLE["stream_routed_by_table"] = with_views(f"""
+    , {_STREAM},
+    rules AS (SELECT n_nationkey % 7 AS priority, n_name AS name, {lit(21.0)} + n_nationkey * {lit(0.2)} AS lo,
+                     CASE WHEN n_nationkey % 10 <> 9 THEN {lit(21.0)} + n_nationkey * {lit(0.2)} + {lit(0.9)} END AS hi FROM nation),
+    won AS (SELECT latitude, arg_min(name, (priority, name)) AS route
+            FROM (SELECT DISTINCT latitude FROM spr) JOIN rules ON latitude >= lo AND (hi IS NULL OR latitude < hi) GROUP BY latitude)
+    SELECT eq_id, mask_sec, model, slot, coalesce(route, 'other') AS route, round(predict, 6) AS predict
+    FROM spr LEFT JOIN won USING (latitude)""", *W_VIEWS)
 
 
 ORACLE["canonical_tables"] = with_views("""
@@ -620,8 +691,6 @@ ORACLE["canonical_tables"] = with_views("""
 
 def _dataset_sql(o) -> str:
     """SQL twin of ``build_dataset`` + ``dataset_summary`` for the options ``o``."""
-    from quakeframe.functions.intensity import LOG_PGA8, LOG_PGV8
-
     T_ = o.length
     m = o.max_station_num
     lab = o.label_key

@@ -4,6 +4,8 @@ one or more library operators. Names and parameters match ``plans/oracle.py``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +20,16 @@ from quakeframe.operators.samples import (build_samples, hydrate_inputs, hydrate
                                           rank_traces, sample_weights)
 from quakeframe.operators.snapshots import event_traces, ladder_snapshots, snapshot_ladder
 from quakeframe.functions.mixture import mixture_from_logits, mixture_mean
-from quakeframe.operators.evaluate import ensemble, evaluate, point_prediction, split_ensemble, with_exceedance
+from quakeframe.operators.evaluate import (ensemble, evaluate, evaluation_points, point_prediction, split_ensemble,
+                                           with_exceedance)
 from quakeframe.operators.scoring import (AttenuationScorer, masked_input_sets, pad_predictions, score,
                                           scoring_rows, target_groups)
-from quakeframe.session import pinned, shared_dir
+from quakeframe.session import shared_dir
 from quakeframe.sources import fixtures as fx
 from quakeframe.sources import tables
 from quakeframe.sources.snapshots_io import (read_predictions, read_snapshots, validate_snapshots,
                                              write_predictions, write_snapshots)
-from quakeframe.streaming.stream import local_time, run_stream
+from quakeframe.streaming.stream import Sinks, local_time, read_sinks, run_stream, supervise
 
 # Query parameters (shared with the oracle SQL).
 MAG_T = 3.0
@@ -87,6 +90,12 @@ def q_events_first_n(spark, sf_dir):
     return cat.first_events(ev, FIRST_N, "eq_id").select("eq_id", "year", "magnitude")
 
 
+def q_events_first_half(spark, sf_dir):
+    """F4 with a limit that grows with the catalogue."""
+    ev = fx.fx_catalog(spark, sf_dir)
+    return cat.first_events(ev, ev.count() // 2, "eq_id").select("eq_id", "year", "magnitude")
+
+
 def q_replay_year_ids(spark, sf_dir):
     return cat.replay_event_ids(fx.fx_catalog(spark, sf_dir), fx.TEST_YEAR)
 
@@ -104,6 +113,22 @@ def q_event_groups_exploded(spark, sf_dir):
     return out.select("eq_id", "trace_idx", _r(F.col("pga").cast("double")).alias("pga"))
 
 
+def q_event_groups_parallel(spark, sf_dir):
+    """Parallel arrays of unequal length, the label's chosen by key; some events lack an array."""
+    e, n, i = F.col("embedding").cast("array<double>"), (20 + F.col("vec_id") % 30).cast("int"), F.col("vec_id")
+    whole = F.transform(e, lambda x: F.floor(F.abs(x) * 1000).cast("int"))
+    groups = fx.read_table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(i % 11 != 0, F.slice(e, 1, n)).alias("traces"), F.slice(whole, 1, n - (i % 3).cast("int")).alias("p_pick"),
+        F.slice(e, 1, n + 4).alias("pga"), F.slice(whole, 3, n + 9).alias("pga_time"),
+        F.when(i % 7 != 0, F.slice(e, 5, n)).alias("pgv"), F.when(i % 7 != 0, F.slice(whole, 2, n)).alias("pgv_time"))
+    out = None
+    for key in ("pga", "pgv"):
+        t = tr.explode_event_groups(groups, "vec_id", ["p_pick"], traces_col="traces", label_key=key)
+        t = t.select(F.lit(key).alias("label_key"), "eq_id", "trace_idx", "p_pick", _r(F.col("label")).alias("label"), "label_time")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
 def q_valid_traces(spark, sf_dir):
     counts = (tr.valid_traces(fx.fx_traces(spark, sf_dir), "pga").groupBy("eq_id")
               .agg(F.count(F.lit(1)).alias("n_valid")))
@@ -241,6 +266,18 @@ def q_hydrate_inputs(spark, sf_dir):
                     F.coalesce(F.size("waveform"), F.lit(0)).alias("n_samples"), _r(peak_abs("waveform")).alias("peak"))
 
 
+def q_hydrate_from_store(spark, sf_dir):
+    """J5 against the bucketed store, which half of the events were added to later."""
+    table, w = f"waveforms_{uuid.uuid4().hex}", fx.fx_waveforms(spark, sf_dir)
+    late = F.col("eq_id") % 2 == 1
+    tables.write_waveform_store(w.filter(~late), table, shared_dir(spark, "waveforms"), buckets=16)
+    tables.append_waveforms(w.filter(late), table)
+    r = rank_traces(selected_traces(spark, sf_dir), max_station_num=fx.MAX_STATIONS_FX)
+    h = tables.hydrate_from_store(r.filter(F.col("chunk_no") == 0), table)
+    return h.select("eq_id", "slot", "trace_idx", F.coalesce(F.size("waveform"), F.lit(0)).alias("n_samples"),
+                    _r(peak_abs("waveform")).alias("peak"))
+
+
 def q_hydrate_targets(spark, sf_dir):
     h = hydrate_targets(_samples(spark, sf_dir))
     return h.select("sample_id", "slot", "trace_idx",
@@ -354,6 +391,7 @@ def q_padding_flags(spark, sf_dir):
 # Fixed test models (FIXTURES.md B8): (alpha, beta, name).
 MODEL_PARAMS = [(0.5, 0.3, "a"), (1.0, 0.5, "b")]
 ROUTES = [("south", 0.0, 23.5), ("north", 23.5, 90.0)]
+STREAM_TIMEOUT = 1800  # seconds; a stream that does not end by then is reported as running
 
 
 def models():
@@ -365,12 +403,7 @@ def _predictions(spark, sf_dir, secs=(MASK_SEC,)):
     t = selected_traces(spark, sf_dir, mode="test", traces=fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR))
     r = rank_traces(t, max_station_num=fx.MAX_STATIONS_FX)
     c0 = hydrate_inputs(r.filter(F.col("chunk_no") == 0), fx.fx_waveforms(spark, sf_dir))
-    if len(secs) > 1:
-        c0 = pinned(c0, "inputs")
-    sets = None
-    for sec in secs:
-        one = masked_input_sets(c0, ["eq_id"], fx.MAX_STATIONS_FX, T_PAD, sec, fx.WAVE_RATE).withColumn("mask_sec", F.lit(sec))
-        sets = one if sets is None else sets.unionByName(one)
+    sets = masked_input_sets(c0, ["eq_id"], fx.MAX_STATIONS_FX, T_PAD, list(secs), fx.WAVE_RATE)
     fields = ["chunk_no", "slot", "trace_idx", "p_pick", "label_time", "answer", "lat", "lon", "elev", "vs30",
               "chunk_size"]
     tg = r.select("eq_id", *fields[:4], F.col("pga_time").alias("label_time"), F.col("pga").alias("answer"),
@@ -434,6 +467,23 @@ def q_ensemble_report(spark, sf_dir):
     return _eval_out(evaluate(e.withColumn("model", F.lit("ensemble")), ["model"]))
 
 
+def q_ensemble_rejected(spark, sf_dir):
+    """The keys that an ensemble cannot take, where model b lacks some events and has
+    another answer for others."""
+    p, b = _predictions(spark, sf_dir), F.col("model") == "b"
+    p = p.filter(~(b & (F.col("eq_id") % 5 == 0)))
+    p = p.withColumn("answer", F.when(b & (F.col("eq_id") % 7 == 0), F.col("answer") + 1).otherwise(F.col("answer")))
+    _, bad = split_ensemble(ensemble(p, ["sample_id", "slot"]), len(MODEL_PARAMS))
+    return bad.select("sample_id", "slot", "eq_id", "n_models", "answer_mismatch")
+
+
+def q_evaluation_points(spark, sf_dir):
+    """Each point of the evaluation plot with its place on the intensity scale."""
+    p = evaluation_points(_predictions(spark, sf_dir).select("model", "sample_id", "slot", "answer", "predict"), "pga", ["model"])
+    whole = {"answer", "predict", "answer_threshold", "answer_tick", "predict_threshold", "predict_tick", "r2", "lim_lo", "lim_hi"}
+    return p.select(*[_r(F.col(c)).alias(c) if c in whole else c for c in p.columns])
+
+
 CUTOFFS = (3, 5, 7, 10)
 
 
@@ -522,29 +572,76 @@ def q_validate_snapshots(spark, sf_dir):
     return v.groupBy("valid", "reason").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct("eq_id").alias("n_events"))
 
 
-def q_stream_quarantined(spark, sf_dir):
-    """ST1/ST2 + D13: broken lines in the stream land in the quarantine, the others are scored and routed."""
-    src, sink, ckpt, bad = (shared_dir(spark, n) for n in ("stream-src", "stream-sink", "stream-ckpt", "stream-bad"))
-    _lines(spark, sf_dir).write.text(src)
-    q = run_stream(spark, src, sink, ckpt, models(), rules=ROUTES, max_files=4, quarantine_dir=bad)
+def _ended(q):
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+
+
+def _counted(spark, sink):
+    """Targets per route and rejected lines per reason that a stream has written."""
+    got = read_sinks(spark, Sinks.at(sink))
+    n = F.count(F.lit(1)).alias("n")
+    good = got["predictions"].groupBy("route").agg(n).select(F.lit("scored").alias("kind"), F.col("route").alias("name"), "n")
+    bad = got["quarantine"].groupBy("reason").agg(n).select(F.lit("rejected").alias("kind"), F.col("reason").alias("name"), "n")
+    return good.unionByName(bad)
+
+
+def q_stream_quarantined(spark, sf_dir):
+    """ST1/ST2 + D13: broken lines in the stream land in the quarantine, the others are scored and routed."""
+    src, sink, ckpt = (shared_dir(spark, n) for n in ("stream-src", "stream-sink", "stream-ckpt"))
+    _lines(spark, sf_dir).write.text(src)
+    _ended(run_stream(spark, src, sink, ckpt, models(), rules=ROUTES, max_files=4))
     # The stream accepts any number of stations and samples: only broken lines are rejected.
-    good = spark.read.parquet(sink).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
-    rejected = spark.read.parquet(bad).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-    return good.select(F.lit("scored").alias("kind"), F.col("route").alias("name"), "n").unionByName(
-        rejected.select(F.lit("rejected").alias("kind"), F.col("reason").alias("name"), "n"))
+    return _counted(spark, sink)
+
+
+def q_stream_restarted(spark, sf_dir):
+    """ST1/S10/P3: the first batch dies after its predictions are written, before quarantine and
+    report; the restarted stream replaces them, and all three sinks agree."""
+    src, sink, ckpt = (shared_dir(spark, n) for n in ("stream-src", "stream-sink", "stream-ckpt"))
+    _lines(spark, sf_dir).write.text(src)
+
+    def die(kind, batch_id):
+        raise RuntimeError(f"lost after {kind} of batch {batch_id}")
+
+    q = run_stream(spark, src, sink, ckpt, models(), rules=ROUTES, max_files=4, on_written=die)
+    status = supervise(spark, {"first": q}, timeout=STREAM_TIMEOUT).first()
+    if status["state"] != "failed":
+        raise RuntimeError(f"the stream should have died: {status}")
+    _ended(run_stream(spark, src, sink, ckpt, models(), rules=ROUTES, max_files=4))
+    r = read_sinks(spark, Sinks.at(sink))["report"]
+    kinds = ("snapshots", "rejected", "predictions")
+    r = r.agg(*[F.sum(f"n_{k}").alias(k) for k in kinds]).select(F.explode(F.create_map(*[x for k in kinds for x in (F.lit(k), F.col(k))])))
+    return _counted(spark, sink).unionByName(r.select(F.lit("reported").alias("kind"), F.col("key").alias("name"), F.col("value").alias("n")))
+
+
+def q_stream_live_status(spark, sf_dir):
+    """ST3/ST4: two live queries on a processing-time trigger; one dies in its first batch, the
+    other goes on until its source is used up."""
+    src = shared_dir(spark, "stream-src")
+    write_snapshots(_snapshots(spark, sf_dir), src, partition_by=None)
+
+    def die(kind, batch_id):
+        raise RuntimeError("sink is gone")
+
+    sinks = {n: shared_dir(spark, "stream-sink") for n in ("sound", "broken")}
+    live = {n: run_stream(spark, src, sink, shared_dir(spark, "stream-ckpt"), models(), max_files=4, trigger={"processingTime": "1 second"},
+                          on_written=die if n == "broken" else None) for n, sink in sinks.items()}
+    status = supervise(spark, live, timeout=STREAM_TIMEOUT)
+    told = None
+    for n, sink in sinks.items():
+        r = spark.createDataFrame([], "n_predictions long") if n == "broken" else read_sinks(spark, Sinks.at(sink))["report"]
+        one = r.agg(F.coalesce(F.sum("n_predictions"), F.lit(0)).alias("n_predictions")).withColumn("name", F.lit(n))
+        told = one if told is None else told.unionByName(one)
+    return status.join(told, "name").select("name", "state", F.col("error").contains("sink is gone").alias("told"), "n_predictions")
 
 
 def _run_stream(spark, sf_dir, rules=None):
     src, sink, ckpt = (shared_dir(spark, n) for n in ("stream-src", "stream-sink", "stream-ckpt"))
     write_snapshots(_snapshots(spark, sf_dir), src, partition_by=None)  # as many files as partitions
-    q = run_stream(spark, src, sink, ckpt, models(), rules=rules, max_files=4)
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(sink)
+    _ended(run_stream(spark, src, sink, ckpt, models(), rules=rules, max_files=4))
+    return read_sinks(spark, Sinks.at(sink))["predictions"]
 
 
 def q_snapshots_batch_scored(spark, sf_dir):
@@ -568,6 +665,18 @@ def q_stream_routed(spark, sf_dir):
     return out.select("eq_id", "mask_sec", "model", "slot", "route", _r(F.col("predict")).alias("predict"))
 
 
+def q_stream_routed_by_table(spark, sf_dir):
+    """ST2: overlapping latitude rules kept as a table; the first match by priority wins."""
+    path, key = shared_dir(spark, "rules"), F.col("n_nationkey")
+    low = F.lit(21.0) + key * F.lit(0.2)
+    rules = fx.read_table(spark, sf_dir, "nation").select(
+        (key % 7).alias("priority"), F.col("n_name").alias("name"), low.alias("lat_min"),
+        F.when(key % 10 != 9, low + F.lit(0.9)).alias("lat_max"))
+    rules.write.parquet(path)
+    out = _run_stream(spark, sf_dir, rules=path)
+    return out.select("eq_id", "mask_sec", "model", "slot", "route", _r(F.col("predict")).alias("predict"))
+
+
 def q_canonical_tables(spark, sf_dir):
     """S3: catalogue, traces and waveforms stored as Parquet (under other column names) and
     read back through the canonical-schema readers."""
@@ -631,9 +740,11 @@ QUERIES = {
     "events_small_sampled_exact": q_events_small_sampled_exact,
     "events_year_split": q_events_year_split,
     "events_first_n": q_events_first_n,
+    "events_first_half": q_events_first_half,
     "replay_year_ids": q_replay_year_ids,
     "matched_and_skipped": q_matched_and_skipped,
     "event_groups_exploded": q_event_groups_exploded,
+    "event_groups_parallel": q_event_groups_parallel,
     "valid_traces": q_valid_traces,
     "downsample_small": q_downsample_small,
     "oversample_events": q_oversample_events,
@@ -649,6 +760,7 @@ QUERIES = {
     "sample_weights": q_sample_weights,
     "test_year_sample_summary": q_test_year_sample_summary,
     "hydrate_inputs": q_hydrate_inputs,
+    "hydrate_from_store": q_hydrate_from_store,
     "hydrate_targets": q_hydrate_targets,
     "event_traces_cropped": q_event_traces_cropped,
     "snapshot_slots": q_snapshot_slots,
@@ -669,6 +781,8 @@ QUERIES = {
     "evaluate_r2": q_evaluate_r2,
     "ensemble_report": q_ensemble_report,
     "ensemble_by_cutoff": q_ensemble_by_cutoff,
+    "ensemble_rejected": q_ensemble_rejected,
+    "evaluation_points": q_evaluation_points,
     "point_prediction": q_point_prediction,
     "predictions_csv_roundtrip": q_predictions_csv_roundtrip,
     "mixture_from_logits": q_mixture_from_logits,
@@ -679,6 +793,9 @@ QUERIES = {
     "stream_scored": q_stream_scored,
     "stream_routed": q_stream_routed,
     "stream_quarantined": q_stream_quarantined,
+    "stream_restarted": q_stream_restarted,
+    "stream_live_status": q_stream_live_status,
+    "stream_routed_by_table": q_stream_routed_by_table,
     "canonical_tables": q_canonical_tables,
     "dataset_samples": q_dataset_samples,
     "dataset_test_samples": q_dataset_test_samples,

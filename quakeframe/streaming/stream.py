@@ -1,21 +1,30 @@
 """Structured Streaming scoring of JSON snapshots (S2, S7, S10, F11, J8, P3, M8, ST1-ST4).
 
-One source, one query: snapshots are read with the fixed schema, validated, scored with
-self-targeting (the input stations are the targets) in an Arrow ``mapInArrow`` step, each
-real target becomes a row (kept by row, per snapshot; D5), and a route column replaces
-the reference's second, duplicate query (ST2). The sink is a Parquet folder with a
-checkpoint, so a restarted query neither loses nor repeats a micro-batch.
+One source, one query, one writer. Snapshots are read with the fixed schema and validated;
+valid ones are scored with self-targeting (the input stations are the targets) in an Arrow
+``mapInArrow`` step, each real target becomes a row (kept by row, per snapshot; D5) with a
+route instead of the reference's second, duplicate query (ST2). Every micro-batch feeds three
+sinks under its batch id: predictions, the quarantine of invalid lines (D13), and a report
+row, written last. A batch replayed after a failure replaces what it wrote before, so a
+restarted query neither loses nor repeats anything, wherever it failed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import time
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from quakeframe.operators.scoring import score
 from quakeframe.schema import LOCAL_TZ, SNAPSHOT_READ
 from quakeframe.sources.snapshots_io import validate_snapshots
 
+DEFAULT_ROUTE = "other"
+
 
 def local_time(ts="event_time", naive: bool = False) -> Column:
     """M8: a UTC time shown as local (Asia/Taipei) text with second precision.
@@ -56,10 +65,10 @@ def score_snapshots(snaps: DataFrame, scorers: list, key_cols=("eq_id", "mask_se
     """One row per (snapshot, real target, model) with the mixture mean.
 
     Works on batch and streaming DataFrames alike. Invalid snapshots are dropped here; use
-    ``quarantine`` to keep them."""
+    ``quarantine`` to keep them. A frame that was validated already is not validated again."""
     keys = [k for k in key_cols if k in snaps.columns]
-    valid = validate_snapshots(snaps, n_stations=None).filter(F.col("valid"))
-    rows = valid.select(*keys, "waveform", "station", self_targets().alias("targets"))
+    checked = snaps if {"valid", "reason"} <= set(snaps.columns) else validate_snapshots(snaps, n_stations=None)
+    rows = checked.filter(F.col("valid")).select(*keys, "waveform", "station", self_targets().alias("targets"))
     scored = score(rows, scorers, keys, target_pos=("lat", "lon", "elev"), mixture=False)
     return scored.select(*keys, "model", F.col("target.slot").alias("slot"),
                          F.col("target.lat").alias("latitude"), F.col("target.lon").alias("longitude"),
@@ -71,7 +80,7 @@ def quarantine(snaps: DataFrame, n_stations: int | None = None) -> DataFrame:
     return validate_snapshots(snaps, n_stations=n_stations).filter(~F.col("valid"))
 
 
-def route_targets(preds: DataFrame, rules: list[tuple[str, float, float]], default: str = "other") -> DataFrame:
+def route_targets(preds: DataFrame, rules: list[tuple[str, float, float]], default: str = DEFAULT_ROUTE) -> DataFrame:
     """ST2: a ``route`` per target from a static rule list ``(name, lat_min, lat_max)``
     (first match wins), compiled to one CASE expression instead of a second query."""
     expr = None
@@ -82,31 +91,115 @@ def route_targets(preds: DataFrame, rules: list[tuple[str, float, float]], defau
     return preds.withColumn("route", expr)
 
 
+def rule_segments(rules: DataFrame) -> DataFrame:
+    """Disjoint latitude segments (lo, hi, route) of a rule table ``priority, name, lat_min,
+    lat_max`` (NULL or infinite: unbounded): between two neighbouring bounds of any rules, the matching
+    rule with the smallest priority (then name) wins. All steps are on the rule table alone."""
+    inf = F.lit(float("inf"))
+    r = rules.select("priority", "name", F.coalesce("lat_min", -inf).alias("a"), F.coalesce("lat_max", inf).alias("b")).filter("a < b")
+    bounds = r.select(F.explode(F.array("a", "b")).alias("lo")).distinct()
+    bounds = bounds.withColumn("hi", F.lead("lo").over(Window.orderBy("lo"))).filter("hi is not null")
+    first = F.min(F.struct("priority", "name")).alias("w")
+    return bounds.join(r, (F.col("a") <= F.col("lo")) & (F.col("lo") < F.col("b"))).groupBy("lo", "hi").agg(first).select(
+        "lo", "hi", F.col("w.name").alias("route"))
+
+
+def route_by_table(preds: DataFrame, rules: DataFrame, default: str = DEFAULT_ROUTE) -> DataFrame:
+    """ST2: a ``route`` per target from a rule table with overlapping rules; the first match (by
+    priority) wins. The rules become disjoint segments, so a target meets one at most and no
+    second step has to choose. Segments are dealt to cells of one degree: the join is an equi
+    join on the cell with the bounds as a filter, which Spark broadcasts while the segments are
+    small, and shuffles otherwise. Targets without a latitude or a match get ``default``."""
+    cell = lambda c: F.greatest(F.least(F.floor(c), F.lit(91)), F.lit(-91)).cast("int")
+    low = F.greatest(F.col("lo"), F.lit(-91.0))  # floor of an infinite bound is none
+    high = F.least(F.col("hi"), F.lit(91.0))
+    parts = rule_segments(rules).withColumn("cell", F.explode(F.sequence(cell(F.least(low, F.lit(91.0))), cell(F.greatest(high, F.lit(-91.0))))))
+    parts = parts.select(F.col("cell").alias("_cell"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("route").alias("_route"))
+    lat = F.col("latitude")
+    p = preds.withColumn("_c", F.when(~F.isnan(lat), cell(F.greatest(F.least(lat, F.lit(91.0)), F.lit(-91.0)))))
+    out = p.join(parts, (F.col("_c") == F.col("_cell")) & (lat >= F.col("_lo")) & ((lat < F.col("_hi")) | (F.col("_hi") == float("inf"))), "left")
+    return out.withColumn("route", F.coalesce("_route", F.lit(default))).drop("_c", "_cell", "_lo", "_hi", "_route")
+
+
+@dataclass(frozen=True)
+class Sinks:
+    """The folders of a stream: ``.../batch_id=<id>`` below each."""
+
+    predictions: str
+    quarantine: str
+    report: str
+
+    @staticmethod
+    def at(sink_dir: str, quarantine_dir: str | None = None, report_dir: str | None = None) -> "Sinks":
+        base = sink_dir.rstrip("/")
+        return Sinks(base, quarantine_dir or f"{base}-quarantine", report_dir or f"{base}-report")
+
+
+PREDICTIONS_SINK = ("eq_id long, mask_sec int, event_time timestamp, model string, slot int, latitude double, longitude double, "
+                    "elevation double, predict double, output_time string, batch_id long, route string")
+QUARANTINE_SINK = "eq_id long, mask_sec int, event_time timestamp, reason string, _corrupt_record string, batch_id long"
+REPORT_SINK = "n_snapshots long, n_rejected long, n_predictions long, output_time string, batch_id long"
+
+
+def read_sinks(spark: SparkSession, sinks: Sinks) -> dict[str, DataFrame]:
+    """What a stream has written, by sink; empty frames where no batch wrote a row."""
+    kinds = {"predictions": PREDICTIONS_SINK, "quarantine": QUARANTINE_SINK, "report": REPORT_SINK}
+    return {k: spark.read.schema(schema).parquet(getattr(sinks, k)) for k, schema in kinds.items()}
+
+
 def run_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str, scorers: list,
                rules=None, max_files: int = 1, trigger: dict | None = None, archive_dir: str | None = None,
-               quarantine_dir: str | None = None):
-    """ST1/ST3: start the scoring query (append mode, Parquet sink, checkpoint). With
-    ``quarantine_dir`` the invalid snapshots are kept there with their reason (D13), with and
-    without routing rules.
-
-    ``trigger`` is passed to ``DataStreamWriter.trigger`` (default ``availableNow``; use
-    ``{"processingTime": "5 seconds"}`` for a live feed). Returns the ``StreamingQuery``;
-    wait with ``spark.streams.awaitAnyTermination()`` so any failing query is seen (ST4)."""
+               quarantine_dir: str | None = None, report_dir: str | None = None, name: str | None = None,
+               on_written: Callable[[str, int], None] | None = None) -> StreamingQuery:
+    """ST1/ST3/S10: start the scoring query. Whatever the options, predictions (with route and
+    output time), quarantine and report have the same schemas and folders per batch; the
+    quarantine and the report lie beside the sink unless named.
+
+    ``rules``: a list for ``route_targets``, or the path of a rule table for ``route_by_table``,
+    read again for every batch. ``trigger`` is passed to ``DataStreamWriter.trigger`` (default
+    ``availableNow``; ``{"processingTime": "5 seconds"}`` for a live feed). ``on_written(sink,
+    batch_id)`` is told of each sink a batch has written; an error in it fails the batch. Wait
+    with ``await_all`` or ``supervise``, so any failing query is seen (ST4)."""
     snaps = stream_snapshots(spark, source_dir, max_files, archive_dir)
-    if quarantine_dir:
-        return _batch_writer(snaps, sink_dir, checkpoint_dir, scorers, rules, trigger, quarantine_dir)
-    preds = score_snapshots(snaps, scorers)
-    part = []
-    if rules:
-        preds = route_targets(preds, rules)
-        part = ["route"]
-    preds = preds.withColumn("output_time", local_time(F.current_timestamp()))
-    w = (preds.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint_dir).option("path", sink_dir))
-    if part:
-        w = w.partitionBy(*part)
-    w = w.trigger(**(trigger or {"availableNow": True}))
-    return w.start()
+    sinks = Sinks.at(sink_dir, quarantine_dir, report_dir)
+
+    def routed(preds):
+        if isinstance(rules, str):
+            return route_by_table(preds, preds.sparkSession.read.parquet(rules))
+        return route_targets(preds, rules or [])
+
+    def write_batch(batch, batch_id):
+        def put(kind, rows, by=()):
+            path = f"{getattr(sinks, kind)}/batch_id={batch_id}"
+            rows.write.mode("overwrite").partitionBy(*by).parquet(path)
+            if on_written:
+                on_written(kind, batch_id)
+            return path
+
+        checked = validate_snapshots(batch, n_stations=None).persist()
+        now = local_time(F.current_timestamp())
+        try:
+            preds = routed(score_snapshots(checked, scorers)).withColumn("output_time", now)
+            path = put("predictions", preds, ["route"])
+            put("quarantine", checked.filter(~F.col("valid")).select("eq_id", "mask_sec", "event_time", "reason", "_corrupt_record"))
+            n = batch.sparkSession.read.schema(preds.schema).parquet(path).count()
+            put("report", checked.agg(F.count(F.when(F.col("valid"), 1)).alias("n_snapshots"),
+                                      F.count(F.when(~F.col("valid"), 1)).alias("n_rejected"))
+                .withColumn("n_predictions", F.lit(n).cast("long")).withColumn("output_time", now))
+        finally:
+            checked.unpersist()
+
+    w = snaps.writeStream.option("checkpointLocation", checkpoint_dir).foreachBatch(write_batch)
+    w = w.queryName(name) if name else w
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def run_stream_reported(spark: SparkSession, source_dir: str, sink_dir: str, report_dir: str,
+                        checkpoint_dir: str, scorers: list, max_files: int = 1, trigger: dict | None = None,
+                        quarantine_dir: str | None = None) -> StreamingQuery:
+    """``run_stream`` with the report in a folder of its own."""
+    return run_stream(spark, source_dir, sink_dir, checkpoint_dir, scorers, max_files=max_files, trigger=trigger,
+                      quarantine_dir=quarantine_dir, report_dir=report_dir)
 
 
 def await_all(spark: SparkSession, timeout: float | None = None) -> None:
@@ -123,49 +216,28 @@ def await_all(spark: SparkSession, timeout: float | None = None) -> None:
         spark.streams.resetTerminated()
 
 
-def run_stream_reported(spark: SparkSession, source_dir: str, sink_dir: str, report_dir: str,
-                        checkpoint_dir: str, scorers: list, max_files: int = 1, trigger: dict | None = None,
-                        quarantine_dir: str | None = None):
-    """S10 + ST1 + D13: like ``run_stream`` but each micro-batch is validated once and feeds
-    up to three sinks: predictions of the valid snapshots, the invalid ones with their reason
-    (quarantine), and a report row (batch id, snapshots, rejected, predictions, local output
-    time) -- several sinks fed by one batch, the one case where ``foreachBatch`` is the tool.
-
-    Each batch is written to ``.../batch_id=<id>`` in overwrite mode, so a batch replayed
-    after a failure replaces its own output instead of duplicating it. The validated batch
-    is persisted for the writes and released afterwards."""
-    snaps = stream_snapshots(spark, source_dir, max_files)
-    return _batch_writer(snaps, sink_dir, checkpoint_dir, scorers, None, trigger, quarantine_dir, report_dir)
-
-
-def _batch_writer(snaps: DataFrame, sink_dir: str, checkpoint_dir: str, scorers: list, rules=None,
-                  trigger: dict | None = None, quarantine_dir: str | None = None, report_dir: str | None = None):
-    """The stream whose batches feed several sinks."""
-
-    def write_batch(batch, batch_id):
-        checked = validate_snapshots(batch, n_stations=None).persist()
-        try:
-            preds = score_snapshots(checked.filter(F.col("valid")).drop("valid", "reason"), scorers).persist()
-            if rules:
-                preds = route_targets(preds, rules)
-            preds.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
-            bad = checked.filter(~F.col("valid"))
-            if quarantine_dir:
-                (bad.select("eq_id", "mask_sec", "event_time", "reason", "_corrupt_record")
-                 .write.mode("overwrite").parquet(f"{quarantine_dir}/batch_id={batch_id}"))
-            if not report_dir:
-                preds.unpersist()
-                return
-            kinds = (checked.select(F.when(F.col("valid"), "snapshot").otherwise("rejected").alias("k"))
-                     .unionByName(preds.select(F.lit("prediction").alias("k"))))
-            counts = kinds.agg(*[F.count(F.when(F.col("k") == k, 1)).alias(f"n_{k}s" if k != "rejected" else "n_rejected")
-                                 for k in ("snapshot", "rejected", "prediction")])
-            (counts.withColumn("batch_id", F.lit(batch_id).cast("long"))
-             .withColumn("output_time", local_time(F.current_timestamp()))
-             .write.mode("overwrite").parquet(f"{report_dir}/batch_id={batch_id}"))
-            preds.unpersist()
-        finally:
-            checked.unpersist()
-
-    w = snaps.writeStream.option("checkpointLocation", checkpoint_dir).foreachBatch(write_batch)
-    return w.trigger(**(trigger or {"availableNow": True})).start()
+def _idle(q: StreamingQuery) -> bool:
+    """Whether a live query has looked for files and found no more."""
+    s = q.status
+    return s["message"].startswith("Waiting for") and not s["isDataAvailable"] and not s["isTriggerActive"]
+
+
+def supervise(spark: SparkSession, queries: dict[str, StreamingQuery], timeout: float, poll: float = 0.1) -> DataFrame:
+    """ST3/ST4: watch several running queries until each has died, ended or used up its source
+    (or ``timeout`` seconds have passed), then stop those that still run. Returns the status
+    table: name, state (``failed``, ``ended``, ``idle`` or, at the timeout, ``running``),
+    last_batch (NULL before the first) and error. One that dies neither hides behind the
+    others nor ends them."""
+    end = time.monotonic() + timeout
+    while time.monotonic() < end and any(q.isActive and not _idle(q) for q in queries.values()):
+        time.sleep(poll)
+    rows = []
+    for name, q in queries.items():
+        error, active = q.exception(), q.isActive
+        state = "failed" if error is not None else "ended" if not active else "idle" if _idle(q) else "running"
+        progress = q.lastProgress
+        rows.append((name, state, progress["batchId"] if progress else None, str(error) if error is not None else None))
+        if active:
+            q.stop()
+    spark.streams.resetTerminated()  # told here: a later wait on other queries is not to raise it again
+    return spark.createDataFrame(rows, "name string, state string, last_batch long, error string")

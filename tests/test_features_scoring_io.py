@@ -81,14 +81,57 @@ def test_ensemble_of_equal_models_is_identity(spark):
 def test_scorer_contract_targets_independent(spark):
     sc = AttenuationScorer(0.5, 0.3, "a")
     sc.load()
-    wave = np.zeros((3, 10, 3))
-    wave[0, 2, 1] = -2.0
-    sta = np.array([[24.0, 121.0, 0.1, 300.0], [24.1, 121.1, 0.0, 300.0], [0, 0, 0, 0]])
-    t_all = np.array([[24.0, 121.0, 0, 0], [25.0, 120.0, 0, 0]])
-    w1, mu1, _ = sc.predict(wave, sta, t_all)
-    w2, mu2, _ = sc.predict(wave, sta, t_all[1:])
+    wave = np.zeros((2, 3, 10, 3))
+    wave[:, 0, 2, 1] = -2.0, -7.0
+    wave[:, 2] = 99.0  # no real station
+    sta = np.array([[[24.0, 121.0, 0.1, 300.0], [24.1, 121.1, 0.0, 300.0], [0, 0, 0, 0]]] * 2)
+    t_all = np.array([[24.0, 121.0, 0, 0], [25.0, 120.0, 0, 0], [25.0, 120.0, 0, 0]])
+    w1, mu1, _ = sc.predict(wave, sta, t_all, np.array([0, 0, 1]))
+    w2, mu2, _ = sc.predict(wave[:1], sta[:1], t_all[1:2], np.array([0]))
     assert np.allclose(mu1[1], mu2[0]) and np.isclose(w1.sum(axis=1), 1).all()
-    assert sc.predict(wave, np.zeros_like(sta), t_all) is None
+    assert np.allclose(mu1[2] - mu1[1], math.log10(7) - math.log10(2))  # another set, the same target
+
+
+class Counted(AttenuationScorer):
+    calls: list = []
+
+    def predict(self, waveform, station, targets, owner):
+        self.calls.append(len(waveform))
+        return super().predict(waveform, station, targets, owner)
+
+
+def test_one_call_per_shape(spark, monkeypatch):
+    """A batch of several shapes, broken sets and empty target lists: each set as if alone."""
+    from quakeframe.operators import scoring
+
+    rng = np.random.default_rng(3)
+
+    def row(k, s, t, n, zero=False):
+        st = np.zeros((s, 4)) if zero else rng.normal(size=(s, 4))
+        return (k, rng.normal(size=(s, t, 3)).astype(np.float32).tolist(), st.tolist(),
+                [(i, *rng.normal(size=4).tolist()) for i in range(n)])
+
+    rows = [row(i, 2 + i % 2, 4 + 3 * (i % 3), i % 4, zero=i % 7 == 3) for i in range(40)]
+    rows += [(100, None, rows[0][2], rows[1][3]), (101, [], [], rows[1][3]), (102, rows[0][1], rows[1][2], rows[1][3]),
+             (103, [[[1.0, 2.0, 3.0]], [[1.0, 2.0, 3.0]] * 2], rows[0][2], rows[1][3]), (104, rows[0][1], rows[0][2], None)]
+    kind = "k long, waveform array<array<array<float>>>, station array<array<double>>, targets array<struct<slot:int, lat:double, lon:double, elev:double, vs30:double>>"
+    df = spark.createDataFrame(rows, kind).coalesce(1)
+    calls = Counted.calls
+    calls.clear()
+    schema = score(df, [AttenuationScorer(0.5, 0.3, "a")], ["k"]).schema
+    run = make_runner([Counted(0.5, 0.3, "a")], ["k"], ["lat", "lon", "elev", "vs30"], schema)
+    batches = df.toArrow().combine_chunks().to_batches()
+
+    def got(some):
+        return sorted(((r["k"], r["target"]["slot"], r["predict"], r["reason"]) for b in run(iter(some)) for r in b.to_pylist()), key=str)
+
+    whole = got(batches)
+    assert sum(calls) == sum(1 for r in rows[:40] if r[3] and r[0] % 7 != 3) and len(calls) == 6  # six shapes
+    assert whole == got([b.slice(i, 1) for b in batches for i in range(b.num_rows)])
+    reasons = {r[0]: r[3] for r in whole}
+    assert all(reasons[k] == "ragged" for k in (100, 101, 102, 103)) and 104 not in reasons and reasons[3] == "no_station"
+    monkeypatch.setattr(scoring, "CALL_BYTES", 200)
+    assert whole == got(batches)
 
 
 def test_score_mapinarrow(spark):

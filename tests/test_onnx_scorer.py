@@ -56,36 +56,38 @@ def _node(op, inputs, outputs, name):
     return b"".join(_str(1, i) for i in inputs) + b"".join(_str(2, o) for o in outputs) + _str(3, name) + _str(4, op)
 
 
-def build_model(w_w, w_mu, w_s):
+def build_model(w_w, w_mu, w_s, sets=1):
     nodes = [_node("MatMul", ["target", "Ww"], ["zw"], "n1"), _node("Softmax", ["zw"], ["weight"], "n2"),
              _node("MatMul", ["target", "Wm"], ["mu"], "n3"),
              _node("MatMul", ["target", "Ws"], ["zs"], "n4"), _node("Exp", ["zs"], ["sigma"], "n5")]
     graph = b"".join(_bytes(1, n) for n in nodes) + _str(2, "mixture_head")
     graph += b"".join(_bytes(5, _tensor(n, w)) for n, w in (("Ww", w_w), ("Wm", w_mu), ("Ws", w_s)))
-    graph += _bytes(11, _value_info("waveform", [1, "S", "T", 3])) + _bytes(11, _value_info("sta", [1, "S", 4]))
-    graph += _bytes(11, _value_info("target", [1, "N", 4]))
+    graph += _bytes(11, _value_info("waveform", [sets, "S", "T", 3])) + _bytes(11, _value_info("sta", [sets, "S", 4]))
+    graph += _bytes(11, _value_info("target", [sets, "N", 4]))
     for o in ("weight", "sigma", "mu"):
-        graph += _bytes(12, _value_info(o, [1, "N", 5]))
+        graph += _bytes(12, _value_info(o, [sets, "N", 5]))
     opset = _str(1, "") + _int(2, 17)
     return _int(1, 8) + _str(2, "quakeframe-test") + _bytes(7, graph) + _bytes(8, opset)
 
 
-def test_onnx_scorer_through_map_in_arrow(spark):
+@pytest.mark.parametrize("sets", [1, "B"])  # a model for single sets, and one for batches
+def test_onnx_scorer_through_map_in_arrow(spark, sets):
     from quakeframe.operators.scoring import OnnxScorer, score
 
     rng = np.random.default_rng(0)
     w_w, w_mu, w_s = (rng.normal(size=(4, 5)) * 0.01 for _ in range(3))
-    path = os.path.join(tempfile.mkdtemp(prefix="qf-onnx-"), "head.onnx")
+    path = os.path.join(tempfile.mkdtemp(prefix="qf-onnx-"), f"head-{sets}.onnx")
     with open(path, "wb") as f:
-        f.write(build_model(w_w, w_mu, w_s))
+        f.write(build_model(w_w, w_mu, w_s, sets))
     wave = [[[0.0, 1.0, 0.0]] * 4] * 2
     rows = [(1, wave, [[24.0, 121.0, 0.1, 300.0], [0.0, 0.0, 0.0, 0.0]],
-             [(0, 24.0, 121.0, 0.1, 300.0), (1, 25.0, 120.5, 0.2, 250.0)])]
+             [(0, 24.0, 121.0, 0.1, 300.0), (1, 25.0, 120.5, 0.2, 250.0)]),
+            (2, wave, [[23.0, 121.0, 0.1, 300.0], [0.0, 0.0, 0.0, 0.0]], [(2, 23.0, 120.0, 0.3, 200.0)])]
     df = spark.createDataFrame(rows, "k long, waveform array<array<array<float>>>, station array<array<double>>, "
                                      "targets array<struct<slot:int, lat:double, lon:double, elev:double, vs30:double>>")
-    out = sorted(score(df, [OnnxScorer(path, "onnx")], ["k"]).collect(), key=lambda r: r.target.slot)
-    assert len(out) == 2
-    t = np.array([[24.0, 121.0, 0.1, 300.0], [25.0, 120.5, 0.2, 250.0]])
+    out = sorted(score(df.coalesce(1), [OnnxScorer(path, "onnx")], ["k"]).collect(), key=lambda r: r.target.slot)
+    assert [(r.k, r.target.slot) for r in out] == [(1, 0), (1, 1), (2, 2)]
+    t = np.array([[24.0, 121.0, 0.1, 300.0], [25.0, 120.5, 0.2, 250.0], [23.0, 120.0, 0.3, 200.0]])
     z = t @ w_w
     w = np.exp(z - z.max(axis=1, keepdims=True))
     w /= w.sum(axis=1, keepdims=True)

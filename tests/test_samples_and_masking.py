@@ -133,33 +133,61 @@ def test_pad_slots_no_truncation(spark):
     assert p.filter("is_padding").select("slot").first().slot == 3
 
 
-def test_member_masks_equal_row_masks(spark):
-    """mask_members/blind_members on collected arrays == apply_cutoff/blind_stations on rows."""
-    from quakeframe.operators.masking import blind_members, mask_members
-
+def _member_rows(spark, n=80):
+    """Samples of 1 to 4 members; some late, some without position, some without a pick."""
     rows = []
-    for s in range(60):
-        for slot in range(4):
+    for s in range(n):
+        for slot in range(1 + s % 4):
             w = [[float(slot + 1), -0.5, float(t)] for t in range(6)]
-            rows.append((f"s{s}", slot, 10 + slot * (s % 5), [21.0 + slot, 120.0, 0.0, 300.0], w))
-    df = spark.createDataFrame(rows, "sid string, slot int, p_pick int, pos array<double>, waveform array<array<float>>")
-    # row version
-    r = df.select("sid", "slot", "p_pick", "waveform", *[F.col("pos")[i].alias(c) for i, c in
-                                                         enumerate(["lat", "lon", "elev", "vs30"])])
-    r = blind_stations(apply_cutoff(with_pick0(r, ["sid"]), 1, 3, 8), ["sid"], length=8)
-    want = {(x.sid, x.slot): (x.blanked, x.blinded, [list(v) for v in x.waveform], x.lat) for x in r.collect()}
-    # array version
+            pos = [21.0 + slot, 120.0, 0.0, 300.0] if (s + slot) % 7 else [0.0, 0.0, 0.0, 0.0]
+            rows.append((f"s{s}", slot, None if slot and s % 9 == 0 else 10 + slot * (s % 5), pos, w))
+    return spark.createDataFrame(rows, "sid string, slot int, p_pick int, pos array<double>, waveform array<array<float>>")
+
+
+def test_late_members_equal_late_rows(spark):
+    """mask_members on collected arrays == apply_cutoff on rows."""
+    from quakeframe.operators.masking import mask_members
+
+    df = _member_rows(spark)
+    r = df.select("sid", "slot", "p_pick", "waveform", *[F.col("pos")[i].alias(c) for i, c in enumerate(["lat", "lon", "elev", "vs30"])])
+    r = apply_cutoff(with_pick0(r, ["sid"]), 1, 3, 8)
+    want = {(x.sid, x.slot): (x.blanked, [list(v) for v in x.waveform], x.lat) for x in r.collect()}
     g = df.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("slot", "p_pick", "pos", "waveform"))).alias("m"))
-    cutoff = (F.col("m")[0]["p_pick"] + 3).cast("int")
-    g = g.withColumn("m", mask_members("m", cutoff, 8))
-    for name, expr in blind_members("m", F.col("sid"), 8):
-        g = g.withColumn(name, expr)
-    got = {}
-    for x in g.collect():
-        for e in x.m:
-            got[(x.sid, e.slot)] = (e.blanked, e.blinded, [list(v) for v in e.waveform], e.pos[0])
-    assert got == want
-    assert any(v[0] for v in got.values()) and any(v[1] for v in got.values())
+    g = g.withColumn("m", mask_members("m", (F.col("m")[0]["p_pick"] + 3).cast("int"), 8))
+    got = {(x.sid, e.slot): (e.blanked, [list(v) for v in e.waveform], e.pos[0]) for x in g.collect() for e in x.m}
+    assert got == want and any(v[0] for v in got.values())
+
+
+@pytest.mark.parametrize("sec", [None, 1])
+@pytest.mark.parametrize("blind", [False, True])
+def test_slot_masks_equal_row_masks(spark, sec, blind):
+    """The slot mask of a sample and its one pass over the waveforms == cut-off, blanking, blinding
+    and padding on rows."""
+    from quakeframe.functions.waveform import fit_waveform, zero_samples
+    from quakeframe.operators.masking import hidden_positions, hidden_slots, hidden_waveforms
+
+    df = _member_rows(spark)
+    r = df.select("sid", "slot", "p_pick", "waveform", *[F.col("pos")[i].alias(c) for i, c in enumerate(["lat", "lon", "elev", "vs30"])])
+    r = apply_cutoff(with_pick0(r, ["sid"]), sec, 3, 8)
+    if blind:
+        r = blind_stations(r, ["sid"], length=8)
+    want = {}
+    for x in sorted(r.collect(), key=lambda x: (x.sid, x.slot)):
+        waves, sta = want.setdefault(x.sid, ([], []))
+        waves.append([list(v) for v in x.waveform])
+        sta.append([x.lat, x.lon, x.elev, x.vs30])
+    for waves, sta in want.values():
+        waves += [[[0.0] * 3] * 8] * (4 - len(waves))
+        sta += [[0.0] * 4] * (4 - len(sta))
+    member = F.struct("slot", "p_pick", "pos", fit_waveform("waveform", 8).alias("w"))
+    g = df.groupBy("sid").agg(F.sort_array(F.collect_list(member)).alias("m")).select(
+        "sid", F.concat(F.col("m.w"), F.array(zero_samples(8))).alias("waves"), F.col("m.pos").alias("pos"),
+        F.transform("m", lambda e: F.struct(e["slot"].alias("slot"), e["p_pick"].alias("p_pick"),
+                                            F.exists(e["pos"], lambda x: x != 0).alias("real"))).alias("st"))
+    cutoff = (F.col("st")[0]["p_pick"] + 3 * sec).cast("int") if sec else F.lit(None).cast("int")
+    g = g.withColumn("hidden", hidden_slots("st", cutoff, [F.col("sid")] if blind else None))
+    got = g.select("sid", hidden_waveforms("waves", "hidden", cutoff, 4).alias("w"), hidden_positions("pos", "hidden", 4).alias("p"))
+    assert {x.sid: ([[list(t) for t in w] for w in x.w], [list(p) for p in x.p]) for x in got.collect()} == want
 
 
 def test_scoring_rows_salt_hot_event(spark):
@@ -200,35 +228,6 @@ def test_null_pick_is_not_blanked(spark):
     assert [r.blanked for r in out] == [False, False] and out[1].lat == 22.0
 
 
-def test_fused_arrays_equal_stepwise(spark):
-    from quakeframe.functions.waveform import zero_samples
-    from quakeframe.operators.masking import blind_members, mask_members, masked_blinded_arrays
-
-    rows = []
-    for s in range(80):
-        for slot in range(3):
-            w = [[float(slot + 1), -0.5, float(t)] for t in range(6)]
-            pos = [21.0 + slot, 120.0, 0.0, 300.0] if (s + slot) % 7 else [0.0, 0.0, 0.0, 0.0]
-            rows.append((f"s{s}", slot, 10 + slot * (s % 5), pos, w))
-    df = spark.createDataFrame(rows, "sid string, slot int, p_pick int, pos array<double>, waveform array<array<float>>")
-    g = df.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("slot", "p_pick", "pos", "waveform"))).alias("m"))
-    g = g.withColumn("_c", (F.col("m")[0]["p_pick"] + 3).cast("int"))
-    step = g.withColumn("m", mask_members("m", F.col("_c"), 8))
-    for name, expr in blind_members("m", F.col("sid"), 8):
-        step = step.withColumn(name, expr)
-    pad = F.greatest(F.lit(4) - F.size("m"), F.lit(0))
-    step = step.select("sid", F.concat(F.transform("m", lambda e: e["waveform"]),
-                                       F.array_repeat(zero_samples(8), pad)).alias("waveform"),
-                       F.concat(F.transform("m", lambda e: e["pos"]),
-                                F.array_repeat(F.array_repeat(F.lit(0.0), 4), pad)).alias("sta"))
-    fused = g
-    for name, expr in masked_blinded_arrays("m", F.col("_c"), F.col("sid"), 8, 4):
-        fused = fused.withColumn(name, expr)
-    a = {r.sid: (r.waveform, r.sta) for r in step.collect()}
-    b = {r.sid: (r.waveform, r.sta) for r in fused.select("sid", "waveform", "sta").collect()}
-    assert a == b
-
-
 def test_sample_weight_worked_value(spark):
     import math
 
@@ -252,3 +251,30 @@ def test_exact_small_sample(spark):
     kb = sorted(r.eq_id for r in b.filter("is_small").collect())
     n_cand = sum(1 for i, y, m in rows if m < 2.5 and y != 2002)
     assert ka == kb and len(ka) == round(n_cand * 0.25)
+
+
+def test_smallest_draws_take_exactly_the_smallest(spark, monkeypatch):
+    """Few bins: many rows share the border bin; ties go to the smaller id."""
+    from quakeframe.operators import catalog
+
+    draws = {i: ((i * 37) % 64) / 64 for i in range(300)}
+    df = spark.createDataFrame(list(draws.items()), "eq_id long, u double").repartition(5)
+    for bins in (1, 8, 64, 1 << 16):
+        monkeypatch.setattr(catalog, "DRAW_BINS", bins)
+        for fraction in (0.0, 0.001, 0.25, 0.5, 0.999, 1.0):
+            got = sorted(r.eq_id for r in catalog.smallest_draws(df, F.col("u"), fraction).collect())
+            want = sorted(draws, key=lambda i: (draws[i], i))[:round(300 * fraction)]
+            assert got == sorted(want), (bins, fraction)
+    assert catalog.smallest_draws(df.limit(0), F.col("u"), 0.25).count() == 0
+
+
+def test_first_events_have_no_single_task_merge(spark):
+    from quakeframe.operators.catalog import first_events
+
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("eq_id"), F.lit(2000).alias("year"))
+    out = first_events(df, 400)
+    assert sorted(r.eq_id for r in out.collect()) == list(range(400)) and out.columns == ["eq_id", "year"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "TakeOrdered" not in plan and "GlobalLimit" not in plan
+    assert first_events(df, None).count() == 1000 and first_events(df, 5000).count() == 1000
+    assert first_events(df.limit(0), 3).count() == 0
