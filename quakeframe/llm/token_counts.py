@@ -238,7 +238,7 @@ def q_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     out = count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
-    return out.withColumn("over_limit", F.col("n_tokens") > LIMIT)
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), "fit_chars")
 
 
 QUERIES = {"op2_token_counts": q_token_counts}
