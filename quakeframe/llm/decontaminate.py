@@ -107,9 +107,10 @@ def _hits_k(toks: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame
     if prefix.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         found = spots.join(F.broadcast(prefix), "h")
     else:
-        where = spots.select("doc_id", "th", "pos", "h").join(prefix, "h").drop("h")
+        # Rows equal in id and text share their hits: each side has them once, however often they repeat.
+        where = spots.select("doc_id", "th", "pos", "h").distinct().join(prefix, "h").drop("h")
         found = where.alias("c").join(
-            toks.alias("t"), F.col("c.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("c.th") == F.col("t.th"))
+            toks.dropDuplicates(["doc_id", "th"]).alias("t"), F.col("c.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("c.th") == F.col("t.th"))
         ).select("c.*", "t.ws")
     left = F.least(F.col("pos"), F.col("ip"))
     right = F.least(F.size("ws") - 1 - F.col("pos"), F.size("near") - 1 - F.col("ip"))

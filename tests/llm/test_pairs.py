@@ -109,3 +109,14 @@ def test_decontaminate(spark, frame, words, odd, monkeypatch, broadcast):
     want = {(d, *v, v[1] > 0 and 20 * v[1] >= v[0]): True for (d, t), v in brute.decontaminated(rows, items).items()}
     assert got == want
     assert D.decontaminate(frame(rows), bench.limit(0)).filter("n_hit > 0 or contaminated").count() == 0
+
+
+@pytest.mark.parametrize("n", [20, 80])
+def test_repeated_rows_make_hits_in_proportion(spark, frame, words, monkeypatch, n):
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+    bench = spark.createDataFrame([(1, words(40, 1))], "item_id long, text string")
+    rows = [(7, words(40, 1))] * n + [(8, words(40, 1))]
+    d = frame(rows).select("doc_id", "text")
+    assert D.hits(d, bench).count() <= 2 * 28  # of the two distinct rows, however often they repeat
+    out = D.decontaminate(frame(rows), bench).collect()
+    assert len(out) == n + 1 and all(r.contaminated and r.n_hit == 40 for r in out)
