@@ -95,7 +95,7 @@ def _ordered(spans):
 
 def shape(word: str) -> str:
     out = []
-    for c in word[:64]:
+    for c in word:
         x = "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
         if not out or out[-1] != x:
             out.append(x)
@@ -106,6 +106,12 @@ def _length(n: int) -> int:
     return n if n < 6 else 6 + (n > 8) + (n > 12) + (n > 15) + (n > 19) + (n > 31)
 
 
+def _octets(core: str) -> bool:
+    """Four numbers of one to three ASCII digits below 256 (other scripts' digits are none)."""
+    parts = core.split(".") if core.count(".") == 3 else []
+    return len(parts) == 4 and all(1 <= len(p) <= 3 and p.isascii() and p.isdecimal() and int(p) < 256 for p in parts)
+
+
 def features(word: str, before: str, after: str) -> list[int]:
     """Hashed features of a word between its neighbours."""
     core = word.strip(_EDGE)
@@ -117,7 +123,7 @@ def features(word: str, before: str, after: str) -> list[int]:
     number = "".join(c for c in core if "0" <= c <= "9")
     names = [
         "bias", f"luhn:{12 <= len(number) <= 19 and luhn(number)}:{len(number) > 11}",
-        f"octets:{len(number) < 13 and core.count('.') == 3 and all(p.isdecimal() and int(p) < 256 for p in core.split('.'))}", f"shape:{sh[:8]}", f"digits:{_length(digits)}", f"letters:{_length(letters)}", f"len:{_length(len(core))}",
+        f"octets:{_octets(core)}", f"shape:{sh[:8]}", f"digits:{_length(digits)}", f"letters:{_length(letters)}", f"len:{_length(len(core))}",
         f"mixed:{min(turns, 8)}:{digits > 0}:{letters > 0}", f"dots:{min(core.count('.'), 4)}:{letters > 0}",
         f"at:{'@' in core}", f"equals:{'=' in core}:{_length(len(value))}", f"head:{core[:1] if not core[:1].isalnum() else shape(core[:1])}",
         f"first:{core[:4].lower() if core[:1].isalpha() else shape(core[:4])}", f"hex:{bool(value) and all(c in '0123456789abcdef' for c in value)}:{_length(len(value))}",
