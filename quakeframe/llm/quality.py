@@ -1,32 +1,35 @@
 """Quality rules: fixed counts per text, and perplexity bands from a modified Kneser-Ney model of
-bytes and from pairs of neighbour words.
-
-The byte model is over bytes inside words: each word, ASCII-lowered and closed by a zero byte, is
-predicted byte by byte from the four before it, per language. It is counted and estimated by
-Spark, from all documents:
-
-1. Tasks count the 5-byte grams of their words (distinct words once, weighted) in numpy; the
-   sums combine over all tasks by (language, gram).
-2. Lower orders count distinct left neighbours; three discounts per language and order come
-   from the counts of counts; probabilities interpolate upward order by order - all joins and
-   aggregations on the gram tables.
+bytes over the running text, per language.
+
+The words of a text, ASCII-lowered, each followed by one space, make its running text; each of
+these bytes is predicted from those before it, across word borders. The model is counted and
+estimated by Spark, from all documents:
+
+1. Tasks gather the distinct ``GATHER_ORDER``-byte grams of their texts, per language, and ship
+   them as sorted, delta-packed blocks, dealt to buckets by what is behind their first byte. A bucket
+   is united block by block: what is held is the distinct grams of a bucket, however many tasks
+   saw them. The grams so gathered grow with the input.
+2. Every order of the model, from ``ORDER`` = ``GATHER_ORDER`` - 1 down, counts distinct left
+   neighbours (the continuation counts that Kneser-Ney has below its top): a text copied a
+   thousand times adds nothing to the chances of its grams, so copies do not look better than
+   other texts. Three discounts per language and order come from the counts of counts;
+   probabilities interpolate upward order by order - joins and aggregations on the gram tables.
 3. The model is a sorted array of 64-bit hashes of (language, order, gram) beside their log
    probabilities, and one of contexts beside their back-off weights. It is broadcast below
    ``BROADCAST_GRAMS`` counted rows; beyond that, documents ship their distinct grams and the
    scores come from a join with the gram table.
-4. Histograms per language (fixed bins, combined on the map side) give the median of log
-   perplexity and the quartiles of the deviations from it, times the root of the number of
-   words; from them come the lower and upper band, and documents outside are rejected. Only
-   documents that pass the fixed rules enter the histograms.
+4. A document's score is its log perplexity per word. Histograms per language (fixed bins,
+   combined on the map side) give the median of the scores and the quartiles of the deviations
+   from it, times the root of the number of words; from them come the lower and upper band, and
+   documents outside are rejected. Only documents that pass the fixed rules enter the histograms.
 
-5. Order of words: pairs of neighbour words are counted per language (64-bit keys), over all
-   documents, and a document's pairs are scored by how often they occur apart from the document
-   itself, with ``PAIR_MASS`` added; pairs that occur once in all need no entry. The counts are
-   broadcast or joined like the model. Documents above an upper band are rejected; there is no
-   lower one, as copies of a document lower its score, which near duplicates are judged by.
+``LOW_BAND`` and ``HIGH_BAND`` are parameters, chosen on the labels with an even doc_id of one
+documented table (README) and measured on the others.
 
 Edge cases: null, empty and wordless text has no words, fails the fixed rules and has no
-perplexity; a null language is a language of its own; repeated rows are judged alike.
+perplexity; a null language is a language of its own; repeated rows are judged alike; very long
+texts are read whole (a chunk of work grows to the text); an empty table gives an empty result;
+other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +42,8 @@ from pyspark.sql import functions as F
 from quakeframe.llm.common import pick, pinned, read
 from quakeframe.llm.textwords import _BYTE, LOWER, Words, _runs, chunks, mix
 
-ORDER = 5
+GATHER_ORDER = 7  # bytes of the grams that are gathered; they must fit a long beside the order
+ORDER = GATHER_ORDER - 1  # bytes of the longest grams that the model scores
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 MAX_REPEAT_PERCENT = 30
@@ -47,11 +51,11 @@ LOW_BAND = 2.5  # interquartile ranges from the median down and up, of deviation
 HIGH_BAND = 2.5  # perplexity from the median times the root of the number of words
 MIN_RANGE = 0.005  # least interquartile range of these
 BIN = 0.005
-FAR = 50.0  # deviations are cut here, so that their bins are bounded
+FAR = 500.0  # deviations are cut here, so that their bins are bounded
 BROADCAST_GRAMS = 8_000_000
-PAIR_MASS = 0.5  # added to the count of every word pair
-PAIR_BAND = 5.0  # ranges from median to upper quartile above the median, of log perplexity of word pairs
-GATHER = 1_500_000  # grams that a task holds before it sums them
+LANGUAGES = 10_000  # per-language tables of at most so many rows are broadcast
+GATHER = 2_000_000  # distinct grams that a task holds before it ships them
+BUCKETS = 512
 _U = np.uint64
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -93,139 +97,110 @@ def fixed_counts(w: Words, data: np.ndarray, offs: np.ndarray, window: int) -> d
     return out
 
 
-def word_grams(w: Words, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct (row salt, word) pairs of a chunk: an example word of each, number of the
-    pair for every word, and of all pairs the packed grams, laid end to end, with the pair of
-    each gram and where each pair begins."""
-    _, example, inverse = np.unique(w.hash ^ salt[w.row], return_index=True, return_inverse=True)
-    size = (w.ends - w.starts)[example]
-    begin = np.zeros(len(size) + 1, np.int64)
-    np.cumsum(size + ORDER, out=begin[1:])  # ORDER - 1 zeros before, one behind
-    text = np.zeros(begin[-1] if len(size) else 0, np.uint8)
-    pair = np.repeat(np.arange(len(size)), size)
-    inside = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
-    text[begin[pair] + ORDER - 1 + inside] = w.data[w.starts[example][pair] + inside]
-    code = np.zeros(max(0, len(text) - ORDER + 1), _U)
-    for j in range(ORDER):
-        code = code << _U(8) | text[j: len(text) - ORDER + 1 + j].astype(_U)
-    pair = np.repeat(np.arange(len(size)), size + 1)
-    at = begin[:-1][pair] + np.arange(len(pair)) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1)
-    return example, inverse, code[at], pair, np.cumsum(size + 1) - size - 1
-
-
-def _summed(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lang, gram, n = (np.concatenate(x) for x in zip(*held))
-    order = np.lexsort((gram, lang))
-    lang, gram, n = lang[order], gram[order], n[order]
-    new = np.ones(len(gram), bool)
-    new[1:] = (gram[1:] != gram[:-1]) | (lang[1:] != lang[:-1])
-    at = np.flatnonzero(new)
-    return lang[at], gram[at], np.add.reduceat(n, at) if len(at) else n
-
-
-def _counted(batches):
-    held, size = [], 0
+def running_grams(w: Words, order: int = GATHER_ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Of every byte of the running text of each row (its words, one space behind each): the gram
+    of ``order`` bytes that ends there, zeros before the row, and the byte's word."""
+    size = w.ends - w.starts
+    lead = np.zeros(len(w), np.int64)
+    lead[w.first[:-1][np.diff(w.first) > 0]] = order - 1
+    begin = np.cumsum(size + 1 + lead) - size - 1
+    text = np.zeros(int(begin[-1] + size[-1] + 1) if len(w) else 0, np.uint8)
+    word = np.repeat(np.arange(len(w)), size)
+    inside = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+    text[begin[word] + inside] = w.data[w.starts[word] + inside]
+    text[begin + size] = 32
+    code = np.zeros(max(0, len(text) - order + 1), _U)
+    for j in range(order):
+        code = code << _U(8) | text[j: len(text) - order + 1 + j].astype(_U)
+    word = np.repeat(np.arange(len(w)), size + 1)
+    at = np.arange(len(word)) - np.repeat(np.cumsum(size + 1) - size - 1, size + 1) + begin[word]
+    return code[at - order + 1], word
+
+
+_BELOW = _U((1 << 8 * ORDER) - 1)
+
+
+def pack(grams: np.ndarray) -> bytes:
+    """Sorted grams as differences, byte by byte of all of them: mostly zeros, for the shuffle's
+    compression."""
+    return np.diff(grams, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(block: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(8, -1).T).view(_U).ravel(), dtype=_U)
+
+
+def _blocks(held: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
+    lang, bucket, block = [], [], []
+    for key, parts in held.items():
+        grams = np.unique(np.concatenate(parts))
+        to = (mix(grams & _BELOW) % _U(BUCKETS)).astype(np.int16)
+        order = np.argsort(to, kind="stable")
+        grams, to = grams[order], to[order]
+        cuts = np.flatnonzero(np.diff(to)) + 1
+        for i, j in zip([0, *cuts], [*cuts, len(to)]):
+            lang.append(key)
+            bucket.append(int(to[i]))
+            block.append(pack(grams[i:j]))
+    return pa.RecordBatch.from_arrays([pa.array(lang, pa.int64()), pa.array(bucket, pa.int32()), pa.array(block, pa.binary())],
+                                      ["lang", "bucket", "block"])
+
+
+def _gathered(batches):
+    """Blocks of the distinct grams of a task's texts, per language and bucket."""
+    held: dict[int, list[np.ndarray]] = {}
+    size = 0
     for batch in batches:
         langs = batch.column("lang").to_numpy(zero_copy_only=False)
         for i, j, data, offs in chunks(batch.column("text")):
             w = Words(data, offs, lower=True)
-            if not len(w):
-                continue
-            example, inverse, code, pair, _ = word_grams(w, mix(langs[i:j].view(_U)))
-            weight = np.bincount(inverse)[pair]
-            held.append(_summed([(langs[i:j][w.row[example]][pair], code.view(np.int64), weight)]))
-            size += len(held[-1][0])
+            code, word = running_grams(w)
+            of = langs[i:j][w.row[word]]
+            for key in np.unique(of):
+                some = np.unique(code[of == key])
+                held.setdefault(int(key), []).append(some)
+                size += len(some)
             if size >= GATHER:
-                held = [_summed(held)]
-                if len(held[0][0]) >= GATHER // 2:
-                    yield _gram_rows(held[0])
-                    held = []
-                size = sum(len(h[0]) for h in held)
+                held = {k: [np.unique(np.concatenate(v))] for k, v in held.items()}
+                size = sum(len(v[0]) for v in held.values())
+                if size >= GATHER // 2:
+                    yield _blocks(held)
+                    held, size = {}, 0
     if held:
-        yield _gram_rows(_summed(held))
+        yield _blocks(held)
 
 
-def _gram_rows(h) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in h], ["lang", "gram", "n"])
-
-
-def count_grams(docs: DataFrame) -> DataFrame:
-    """``docs``: lang (hash), text. Returns lang, gram, n over all of them."""
-    return docs.select("lang", "text").mapInArrow(_counted, "lang long, gram long, n long").groupBy(
-        "lang", "gram").agg(F.sum("n").alias("n"))
-
+def _united(batches):
+    """Of blocks side by side by (lang, bucket): each gram behind the first byte, with the number of
+    distinct first bytes."""
+    key, held = None, []
 
-def _pair_keys(w: Words, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key (language, word, next word) and row of every pair of neighbour words of a row."""
-    at = np.flatnonzero(w.whole(2))
-    row = w.row[at]
-    return w.windows(2)[at] ^ mix(langs.view(_U) + _U(1))[row], row
-
-
-def _row_pairs(w: Words, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, row and count of the distinct pairs of each row."""
-    key, row = _pair_keys(w, langs)
-    salt = mix(np.arange(1, len(langs) + 1, dtype=_U))
-    _, first, n = np.unique(key ^ salt[row], return_index=True, return_counts=True)
-    return key[first], row[first], n
-
-
-def _counted_pairs(batches):
-    held, size = [], 0
-
-    def summed():
-        key, n = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(key)
-        key, n = key[order], n[order]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(np.add.reduceat(n, at) if len(at) else n)], ["pair", "n"])
+    def counted():
+        grams, n = np.unique(held[0] & _BELOW, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), key[0])), pa.array(grams.view(np.int64)), pa.array(n)],
+                                          ["lang", "gram", "n"])
 
     for batch in batches:
-        langs = batch.column("lang").to_numpy(zero_copy_only=False)
-        for i, j, data, offs in chunks(batch.column("text")):
-            key, n = np.unique(_pair_keys(Words(data, offs, lower=True), langs[i:j])[0], return_counts=True)
-            held.append((key, n.astype(np.int64)))
-            size += len(key)
-            if size >= GATHER:
-                yield summed()
-                held, size = [], 0
+        for lang, bucket, block in zip(*(batch.column(c).to_pylist() for c in ("lang", "bucket", "block"))):
+            if key is not None and (lang, bucket) != key:
+                held = [np.unique(np.concatenate(held))]
+                yield counted()
+                held = []
+            key = (lang, bucket)
+            held.append(unpack(block))
+            if sum(len(h) for h in held[1:]) > max(GATHER, len(held[0])):
+                held = [np.unique(np.concatenate(held))]
     if held:
-        yield summed()
-
-
-def count_pairs(docs: DataFrame) -> DataFrame:
-    """``docs``: lang (hash), text. Returns pair (key of language and two neighbour words), n, over
-    all of them, of the pairs that occur more than once: the others occur in no second text."""
-    return docs.select("lang", "text").mapInArrow(_counted_pairs, "pair long, n long").groupBy("pair").agg(
-        F.sum("n").alias("n")).filter("n > 1")
-
-
-class Pairs:
-    """Sorted keys of word pairs, and how often each occurs."""
-
-    def __init__(self, pairs: pa.Table):
-        key = pairs["pair"].to_numpy().view(_U)
-        order = np.argsort(key)
-        self.key, self.n = key[order], np.minimum(pairs["n"].to_numpy(), 2**31 - 1).astype(np.int32)[order]
+        held = [np.unique(np.concatenate(held))]
+        yield counted()
 
-    def gain(self, w: Words, langs: np.ndarray) -> np.ndarray:
-        """Mean log(1 + n / PAIR_MASS) of each row's pairs, n without the row's own; NaN without pairs."""
-        key, row, own = _row_pairs(w, langs)
-        hit, n = Model._find(self.key, self.n, key)
-        value = own * np.log1p(np.maximum(np.where(hit, n, 0) - own, 0) / PAIR_MASS)
-        size = np.bincount(row, own, minlength=len(langs))
-        with np.errstate(invalid="ignore"):
-            return np.bincount(row, value, minlength=len(langs)) / size
 
-
-def _doc_pairs(batches):
-    """ref, pair, n of each document: for scores by join."""
-    for batch in batches:
-        langs = batch.column("lang").to_numpy(zero_copy_only=False)
-        for i, j, data, offs in chunks(batch.column("text")):
-            key, row, n = _row_pairs(Words(data, offs, lower=True), langs[i:j])
-            yield pa.RecordBatch.from_arrays([batch.column("ref").take(pa.array(row + i)), pa.array(key.view(np.int64)), pa.array(n, pa.int32())],
-                                             ["ref", "pair", "n"])
+def count_grams(docs: DataFrame) -> DataFrame:
+    """``docs``: lang (hash), text. Returns lang, gram (ORDER bytes), n: its distinct left
+    neighbours over all texts."""
+    blocks = docs.select("lang", "text").mapInArrow(_gathered, "lang long, bucket int, block binary")
+    blocks = blocks.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
+    return blocks.mapInArrow(_united, "lang long, gram long, n long")
 
 
 def kneser_ney(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -234,8 +209,9 @@ def kneser_ney(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = {ORDER: grams}
     for k in range(ORDER - 1, 0, -1):
         mask = (1 << 8 * k) - 1
-        counts[k] = counts[k + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(
-            F.count(F.lit(1)).alias("n"))
+        counts[k] = pinned(counts[k + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(
+            F.count(F.lit(1)).alias("n")), f"count{k}")
+    few = counts[1].select("lang").distinct().count() <= LANGUAGES
     probs, weights, lower = None, None, None
     for k in range(1, ORDER + 1):
         c = counts[k]
@@ -244,7 +220,8 @@ def kneser_ney(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
         y = F.coalesce(F.try_divide(F.col("t1"), F.col("t1") + 2 * F.col("t2")), F.lit(0.0))
         d = [F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), i - (i + 1) * y * F.coalesce(
             F.try_divide(F.col(f"t{i + 1}"), F.col(f"t{i}")), F.lit(0.0)))).alias(f"d{i}") for i in (1, 2, 3)]
-        c = c.join(t.select("lang", *d), "lang").withColumn("ctx", F.shiftright("gram", 8))
+        t = t.select("lang", *d)
+        c = c.join(F.broadcast(t) if few else t, "lang").withColumn("ctx", F.shiftright("gram", 8))
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         ctx = c.groupBy("lang", "ctx").agg(
             F.sum("n").alias("total"), F.sum((F.col("n") == 1).cast("int")).alias("n1"),
@@ -272,7 +249,8 @@ def _key(lang: np.ndarray, order, gram: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Sorted hash arrays: keys and log probabilities of grams, keys and weights of contexts."""
+    """Sorted hash arrays: keys and log probabilities of grams, keys and weights of contexts (grams
+    that no counted text has back off to these)."""
 
     def __init__(self, probs: pa.Table, weights: pa.Table):
         self.key, self.logp = self._sorted(probs, "gram", "logp")
@@ -311,45 +289,46 @@ class Model:
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _scored(model, pairs):
-    """Rows of doc_id, lang, the fixed counts, log perplexity (null without words) and pair gain
-    (null without pairs); all null where there is no model, or no pairs."""
+def _scored(model):
+    """Rows of doc_id, lang, the fixed counts and log perplexity (null without words, or model)."""
     def run(batches):
-        m, p = (x.value if x is not None else None for x in (model, pairs))
+        m = model.value if model is not None else None
         for batch in batches:
             langs = batch.column("lang").to_numpy(zero_copy_only=False)
             cols: dict = {name: [] for name in _COUNTS}
-            scores, gains = [], []
+            scores = []
             for i, j, data, offs in chunks(batch.column("text")):
                 w = Words(data, offs)
                 for name, values in fixed_counts(w, data, offs, REPEAT_WINDOW).items():
                     cols[name].append(values)
-                low = Words(LOWER[data], offs) if m is not None or p is not None else w
-                scores.append(_log_perplexity(m, low, langs[i:j], j - i))
-                gains.append(p.gain(low, langs[i:j]) if p is not None else np.full(j - i, np.nan))
+                w.data = LOWER[data]
+                scores.append(_log_perplexity(m, w, langs[i:j], j - i))
             flat = [np.concatenate(cols[n]) if cols[n] else np.zeros(0, np.int64) for n in _COUNTS]
-            score, gain = (np.concatenate(x) if x else np.zeros(0) for x in (scores, gains))
+            score = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("lang"), batch.column("th"), *[pa.array(c, pa.int64()) for c in flat],
-                 *[pa.array(x, pa.float64(), mask=np.isnan(x)) for x in (score, gain)]], ["doc_id", "lang", "th", *_COUNTS, "score", "gain"])
+                 pa.array(score, pa.float64(), mask=np.isnan(score))], ["doc_id", "lang", "th", *_COUNTS, "score"])
     return run
 
 
 def _log_perplexity(m, w: Words, langs: np.ndarray, rows: int) -> np.ndarray:
+    """Per row: minus the log probability of its running text, per word."""
     out = np.full(rows, np.nan)
     if m is None or not len(w):
         return out
-    example, inverse, code, pair, begin = word_grams(w, mix(langs.view(_U)))
-    lang = langs[w.row[example]]
-    same, index = np.unique(lang, return_inverse=True)
-    # Each distinct (language, gram) of the chunk is looked up once.
-    packed, back = np.unique(code | (index.astype(_U) << _U(40))[pair], return_inverse=True)
-    logp = m.score(same[(packed >> _U(40)).astype(np.int64)], (packed & _U((1 << 40) - 1)).view(np.int64))
-    word = np.add.reduceat(logp[back], begin)[inverse]
-    size = w.ends - w.starts + 1
-    some = np.flatnonzero(np.diff(w.first))
-    at = w.first[some]
-    out[some] = -np.add.reduceat(word, at) / np.add.reduceat(size, at)
+    code, word = running_grams(w, ORDER)
+    row = w.row[word]
+    same, index = np.unique(langs, return_inverse=True)
+    logp = np.zeros(len(code))
+    for i in range(0, len(same), 1 << 16):  # a language's number fits beside a gram
+        some = (index >= i) & (index < i + (1 << 16))
+        some = slice(None) if some.all() else some[row]
+        # Each distinct (language, gram) of the chunk is looked up once.
+        packed, back = np.unique(code[some] | ((index - i).astype(_U) << _U(8 * ORDER))[row[some]], return_inverse=True)
+        logp[some] = m.score(same[i + (packed >> _U(8 * ORDER)).astype(np.int64)], (packed & _BELOW).view(np.int64))[back]
+    size = np.diff(w.first)
+    some = size > 0
+    out[some] = -(np.bincount(row, logp, minlength=rows)[some] / size[some])
     return out
 
 
@@ -361,49 +340,35 @@ def _doc_grams(batches):
             w = Words(data, offs, lower=True)
             if not len(w):
                 continue
-            example, inverse, code, pair, _ = word_grams(w, mix(np.arange(1, j - i + 1, dtype=_U)))
-            row, gram, n = _summed([(w.row[example][pair], code.view(np.int64), np.bincount(inverse)[pair])])
+            code, word = running_grams(w, ORDER)
+            row = w.row[word]
+            _, first, n = np.unique(code ^ mix(np.arange(1, j - i + 1, dtype=_U))[row], return_index=True, return_counts=True)
+            row = row[first] + i
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row + i)), batch.column("th").take(pa.array(row + i)),
-                 pa.array(langs[row + i]), pa.array(gram), pa.array(n)], ["doc_id", "th", "lang", "gram", "n"])
-
-
-def _joined_pairs(base: DataFrame, d: DataFrame, pairs: DataFrame) -> DataFrame:
-    ref = F.xxhash64("doc_id", "lang", "th")
-    each = d.select(ref.alias("ref"), "lang", "text").mapInArrow(_doc_pairs, "ref long, pair long, n int")
-    others = F.greatest(F.coalesce(F.col("total"), F.lit(0)) - F.col("n"), F.lit(0))
-    # Rows equal in all share a ref; the mean stays the same.
-    gains = each.join(pairs.select("pair", F.col("n").alias("total")), "pair", "left").groupBy("ref").agg(
-        (F.sum(F.col("n") * F.log1p(others / PAIR_MASS)) / F.sum("n")).alias("gain"))
-    return base.drop("gain").withColumn("ref", ref).join(gains, "ref", "left").drop("ref")
+                [batch.column("doc_id").take(pa.array(row)), batch.column("th").take(pa.array(row)),
+                 pa.array(langs[row]), pa.array(code[first].view(np.int64)), pa.array(n)], ["doc_id", "th", "lang", "gram", "n"])
 
 
 def perplexities(d: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """``d``: doc_id, lang (hash), th, text. Fixed counts, score (log perplexity) and gain (of word
-    pairs) of each row."""
+    """``d``: doc_id, lang (hash), th, text. Fixed counts and score (log perplexity per word) of each row."""
     kind = d.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, lang long, th long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", score double, gain double"
-    sc = d.sparkSession.sparkContext
+    schema = f"doc_id {kind}, lang long, th long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", score double"
     grams = pinned(count_grams(d), "grams")
     probs, weights = kneser_ney(grams)
-    pairs = pinned(count_pairs(d), "pairs")
-    model = few = None
+    model = None
     if 2 * grams.count() <= broadcast_grams:  # lower orders and contexts are no more than that again
-        model = sc.broadcast(Model(probs.toArrow(), weights.toArrow()))
-    if pairs.count() <= broadcast_grams:
-        few = sc.broadcast(Pairs(pairs.toArrow()))
-    base = d.mapInArrow(_scored(model, few), schema)
-    if few is None:
-        base = _joined_pairs(base, d, pairs)
+        model = d.sparkSession.sparkContext.broadcast(Model(probs.toArrow(), weights.toArrow()))
+    base = d.mapInArrow(_scored(model), schema)
     if model is not None:
         return base
     base = base.drop("score")
+    # Every gram of a document is in the table, which was counted from it: an inner join is whole.
     each = d.mapInArrow(_doc_grams, f"doc_id {kind}, th long, lang long, gram long, n long").distinct()
     full = probs.filter(F.col("ord") == ORDER)
     sums = each.join(full, ["lang", "gram"]).groupBy(F.col("doc_id").alias("sid"), F.col("th").alias("sth"), F.col("lang").alias("sl")).agg(
-        (-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("score"))
-    return base.join(sums, F.col("doc_id").eqNullSafe(F.col("sid")) & (F.col("th") == F.col("sth")) & (F.col("lang") == F.col("sl")),
-                     "left").drop("sid", "sth", "sl")
+        (-F.sum(F.col("n") * F.col("logp"))).alias("nll"))
+    base = base.join(sums, F.col("doc_id").eqNullSafe(F.col("sid")) & (F.col("th") == F.col("sth")) & (F.col("lang") == F.col("sl")), "left")
+    return base.withColumn("score", F.when(F.col("n_words") > 0, F.col("nll") / F.col("n_words"))).drop("sid", "sth", "sl", "nll")
 
 
 def quantiles(rows: DataFrame, value, **at: float) -> DataFrame:
@@ -417,33 +382,27 @@ def quantiles(rows: DataFrame, value, **at: float) -> DataFrame:
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                  low: float = LOW_BAND, high: float = HIGH_BAND, pair_band: float = PAIR_BAND,
-                  broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """Per document row: doc_id, th (hash of the text), the fixed counts, base_failed, log_perplexity,
-    pair_log_perplexity (of word pairs), kept."""
+                  low: float = LOW_BAND, high: float = HIGH_BAND, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+    """Per document row: doc_id, th (hash of the text), the fixed counts, base_failed, kept,
+    log_perplexity (per word)."""
     d = pick(docs, doc_id=id_col, text=text_col, lang=lang_col)
     d = d.select("doc_id", F.xxhash64("lang").alias("lang"), F.xxhash64("text").alias("th"), "text")
     scored = pinned(perplexities(d, broadcast_grams), "scored")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    # All pairs of a language: with PAIR_MASS for each of as many possible ones, chances sum to one.
-    all_pairs = scored.groupBy(F.col("lang").alias("pl")).agg(F.sum(F.greatest(F.col("n_words") - 1, F.lit(0))).alias("all_pairs"))
-    scored = scored.join(all_pairs, F.col("lang") == F.col("pl"), "left").drop("pl").withColumn("base_failed", failed).withColumn(
-        "pairs", F.log(F.col("all_pairs") * ((1 + PAIR_MASS) / PAIR_MASS)) - F.col("gain"))
+    scored = scored.withColumn("base_failed", failed)
     sound = scored.filter(~failed & F.col("score").isNotNull())
-    mid = quantiles(sound, F.col("score"), m=0.5)
+    mid = pinned(quantiles(sound, F.col("score"), m=0.5), "medians")
+    # One row a language, counted: documents need no exchange by language, of which one may hold most.
+    small = F.broadcast if mid.count() <= LANGUAGES else (lambda t: t)
     # A mean over n words scatters as 1 / sqrt(n): bands are set on deviations times that root.
     far = F.least(F.greatest((F.col("score") - F.col("m")) * F.sqrt("n_words"), F.lit(-FAR)), F.lit(FAR))
-    quart = quantiles(sound.join(mid, "lang"), far, q1=0.25, q2=0.5, q3=0.75)
+    quart = quantiles(sound.join(small(mid), "lang"), far, q1=0.25, q2=0.5, q3=0.75)
     width = F.greatest(F.col("q3") - F.col("q1"), F.lit(MIN_RANGE))
     bands = mid.join(quart, "lang").select(F.col("lang").alias("bl"), "m", (F.col("q2") - low * width).alias("low"), (F.col("q2") + high * width).alias("high"))
-    quart = quantiles(sound.filter(F.col("pairs").isNotNull()), F.col("pairs"), p2=0.5, p3=0.75)
-    most = quart.select("lang", (F.col("p2") + pair_band * F.greatest(F.col("p3") - F.col("p2"), F.lit(MIN_RANGE))).alias("most"))
-    bands = bands.join(most.withColumnRenamed("lang", "ml"), F.col("bl") == F.col("ml"), "left").drop("ml")
-    out = scored.join(bands, F.col("lang") == F.col("bl"), "left")
-    inside = F.coalesce(far.between(F.col("low"), F.col("high")) & (F.col("pairs").isNull() | (F.col("pairs") <= F.col("most"))), F.lit(False))
-    return out.select("doc_id", "th", *_COUNTS, "base_failed", F.col("score").alias("log_perplexity"),
-                      F.col("pairs").alias("pair_log_perplexity"),
-                      (~F.col("base_failed") & inside).alias("kept"))
+    out = scored.join(small(pinned(bands, "bands")), F.col("lang") == F.col("bl"), "left")
+    inside = F.coalesce(far.between(F.col("low"), F.col("high")), F.lit(False))
+    return out.select("doc_id", "th", *_COUNTS, "base_failed", (~F.col("base_failed") & inside).alias("kept"),
+                      F.col("score").alias("log_perplexity"))
 
 
 def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,21 +149,22 @@ def test_quality_counts(frame, odd, words):
     assert quality.judge_quality(frame([])).count() == 0
 
 
-def _brute_model(texts):
-    """Modified Kneser-Ney over bytes in words, in dictionaries: log p(gram) of observed grams."""
-    import collections
-    import math
+def _running(text):
+    return b"\0" * 6 + b"".join(w + b" " for w in brute.SPACE_WORD.sub(lambda m: m[0], text).encode().lower().split())
+
 
-    grams = collections.Counter()
+def _brute_model(texts):
+    """Modified Kneser-Ney over bytes of the running text, all orders by distinct left neighbours, in
+    dictionaries: log p of the observed six-byte grams."""
+    seen = set()
     for t in texts:
-        for w in t.encode().lower().split():
-            s = b"\0\0\0\0" + w + b"\0"
-            grams.update(s[i:i + 5] for i in range(len(w) + 1))
-    counts = {5: grams}
-    for k in (4, 3, 2, 1):
+        s = _running(t)
+        seen.update(s[i:i + 7] for i in range(len(s) - 6))
+    counts = {6: collections.Counter(g[1:] for g in seen)}
+    for k in (5, 4, 3, 2, 1):
         counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
     prob = {b"": 1 / 257}
-    for k in (1, 2, 3, 4, 5):
+    for k in (1, 2, 3, 4, 5, 6):
         c = counts[k]
         t = collections.Counter(min(n, 5) for n in c.values())
         y = t[1] / (t[1] + 2 * t[2]) if t[1] + 2 * t[2] else 0.0
@@ -174,20 +175,50 @@ def _brute_model(texts):
             w[g[:-1]] += d[min(n, 3) - 1]
         for g, n in c.items():
             prob[g] = (n - d[min(n, 3) - 1]) / total[g[:-1]] + w[g[:-1]] / total[g[:-1]] * prob[g[1:]]
-    return {g: math.log(p) for g, p in prob.items() if len(g) == 5}
+    return {g: math.log(p) for g, p in prob.items() if len(g) == 6}
+
+
+def _brute_score(model, text):
+    s = _running(text)
+    return -sum(model[s[i:i + 6]] for i in range(1, len(s) - 5)) / len(text.split())
 
 
 @pytest.mark.parametrize("broadcast", [quality.BROADCAST_GRAMS, 0])
 def test_perplexity(frame, words, broadcast):
-    texts = [words(40, i) for i in range(30)]
+    texts = [words(40, i) for i in range(30)] + [words(25, 3) + "\n  \t" + words(3, 7), "lone"]
     model = _brute_model(texts)
-    got = quality.judge_quality(frame(list(enumerate(texts))), broadcast_grams=broadcast).collect()
+    rows = [*enumerate(texts), (900, None), (901, " \n"), (902, texts[0]), (0, texts[0])]
+    got = quality.judge_quality(frame(rows), broadcast_grams=broadcast).collect()
+    assert len(got) == len(rows)
     for r in got:
-        logs = []
-        for w in texts[r.doc_id].encode().lower().split():
-            s = b"\0\0\0\0" + w + b"\0"
-            logs += [model[s[i:i + 5]] for i in range(len(w) + 1)]
-        assert r.log_perplexity == pytest.approx(-sum(logs) / len(logs), abs=1e-4)
+        t = dict(rows)[r.doc_id]
+        if t is None or not t.split():
+            assert r.log_perplexity is None and not r.kept
+        else:
+            assert r.log_perplexity == pytest.approx(_brute_score(model, t), abs=1e-3)
+
+
+def test_languages_have_models_of_their_own(spark, words):
+    texts = {"a": [words(40, i) for i in range(12)], "b": [words(40, i + 50, 9) for i in range(12)], None: [words(40, 99)] * 3}
+    rows = [(i, t, lang) for lang, ts in texts.items() for i, t in enumerate(ts)]
+    got = quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)).collect()
+    want = sorted(round(_brute_score(_brute_model(ts), t), 3) for ts in texts.values() for t in ts)
+    assert [round(x, 3) for x in sorted(r.log_perplexity for r in got)] == pytest.approx(want, abs=2e-3)
+
+
+def test_blocks_are_whole(monkeypatch):
+    r = np.random.default_rng(1)
+    for n in (0, 1, 2, 1000):
+        g = np.unique(r.integers(0, 1 << 56, n, dtype=np.uint64))
+        assert (quality.unpack(quality.pack(g)) == g).all()
+
+
+def test_small_flushes_count_the_same(spark, frame, words, monkeypatch):
+    d = frame([(i, words(50, i % 20)) for i in range(60)]).selectExpr("xxhash64(lang) AS lang", "text").repartition(3)
+    want = sorted(map(tuple, quality.count_grams(d).collect()))
+    monkeypatch.setattr(quality, "GATHER", 50)
+    monkeypatch.setattr(quality, "BUCKETS", 7)
+    assert sorted(map(tuple, quality.count_grams(d).collect())) == want and len(want) > 500
 
 
 def test_unseen_grams_back_off(spark, frame, words):
@@ -197,7 +228,7 @@ def test_unseen_grams_back_off(spark, frame, words):
     probs, weights = quality.kneser_ney(quality.count_grams(d))
     m = quality.Model(probs.toArrow(), weights.toArrow())
     lang = np.array([d.first().lang], np.int64)
-    for ctx in (b"\0\0\0t", b"\0the", b"zzzz"):  # over all next bytes the chances sum to at most one
+    for ctx in (b"\0\0\0\0t", b" the ", b"zzzzz"):  # over all next bytes the chances sum to at most one
         base = int.from_bytes(ctx, "big") << 8
         p = np.exp(m.score(np.repeat(lang, 256), base + np.arange(256)))
         assert 0.95 < p.sum() <= 1.0001, ctx
@@ -207,47 +238,54 @@ def test_band_rejects_foreign_text(frame, words):
     r = random.Random(2)
     rows = [(i, words(60, i)) for i in range(200)] + [(500, " ".join("".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(6)) for _ in range(60)))]
     got = {x.doc_id: x.kept for x in quality.judge_quality(frame(rows)).collect()}
-    assert not got.pop(500) and all(got.values())
+    assert not got.pop(500) and sum(got.values()) >= 0.97 * len(got)
 
 
 def test_bands_separate_labelled_junk(spark):
-    """Of the labelled documents that pass the fixed rules, bands reject junk and leave clean ones."""
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    got = quality.judge_quality(docs).filter("not base_failed").join(labels, "doc_id").collect()
+    """Of the labelled documents with an odd id (the bands were chosen on the even ones) that pass the
+    fixed rules, bands reject most of the junk and leave clean ones."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.judge_quality(docs).filter("not base_failed and doc_id % 2 = 1").join(labels, "doc_id").collect()
     junk, clean = ([r for r in got if r.quality == q] for q in (0, 1))
-    assert sum(not r.kept for r in junk) >= 0.25 * len(junk) > 0
-    assert sum(not r.kept for r in clean) <= 0.03 * len(clean)
+    assert sum(not r.kept for r in junk) >= 0.65 * len(junk) > 0
+    assert sum(not r.kept for r in clean) <= 0.01 * len(clean)
 
 
-@pytest.mark.parametrize("broadcast", [quality.BROADCAST_GRAMS, 0])
-def test_shuffled_words_score_worse(frame, broadcast):
+def test_shuffled_words_score_worse(frame):
+    """The model crosses word borders: the same words in another order are less likely, and go."""
     r = random.Random(4)
-    pool = [" ".join(f"w{r.randint(0, 300)}" for _ in range(12)) for _ in range(30)]
-    texts = [" ".join(r.choice(pool) for _ in range(20)) for _ in range(80)]
-    mixed = texts[0].split()
-    r.shuffle(mixed)
-    rows = [*enumerate(texts), (900, " ".join(mixed)), (901, "one"), (902, None)]
-    got = {x.doc_id: x for x in quality.judge_quality(frame(rows), broadcast_grams=broadcast).collect()}
-    assert got[900].log_perplexity == pytest.approx(got[0].log_perplexity, abs=1e-6)
-    assert got[900].pair_log_perplexity > max(got[i].pair_log_perplexity for i in range(80)) and not got[900].kept
-    assert got[901].pair_log_perplexity is None and got[902].pair_log_perplexity is None
-    pairs = [list(zip(t.split(), t.split()[1:])) for _, t in rows[:81]]
-    every = collections.Counter(p for q in pairs for p in q)
-    size = sum(map(len, pairs))
-    for i, q in enumerate(pairs):
-        own = collections.Counter(q)
-        want = -sum(math.log((every[p] - own[p] + 0.5) / (1.5 * size)) for p in q) / len(q)
-        assert got[rows[i][0]].pair_log_perplexity == pytest.approx(want, abs=1e-6)
-
-
-def test_pair_counts_grow_with_the_input(spark, frame):
+    vocabulary = [a + b for a in "abcdefgh" for b in "ijklmnop"]
+    follow = {w: r.sample(vocabulary, 3) for w in vocabulary}
+
+    def walk(n):
+        out = [r.choice(vocabulary)]
+        while len(out) < n:
+            out.append(r.choice(follow[out[-1]]))
+        return out
+
+    texts = [walk(120) for _ in range(80)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(900 + i, " ".join(r.sample(t, len(t)))) for i, t in enumerate(texts[:5])]
+    got = {x.doc_id: x for x in quality.judge_quality(frame(rows)).collect()}
+    assert min(got[900 + i].log_perplexity for i in range(5)) > max(got[i].log_perplexity for i in range(80)) + 0.2
+    assert not any(got[900 + i].kept for i in range(5)) and sum(got[i].kept for i in range(80)) >= 78
+
+
+def test_copies_do_not_look_better(frame, words):
+    """A thousand copies of a text leave its score, and all others, where they were."""
+    rows = [(i, words(60, i, 400)) for i in range(60)]
+    one = {r.doc_id: r.log_perplexity for r in quality.judge_quality(frame(rows)).collect()}
+    many = {r.doc_id: r.log_perplexity for r in quality.judge_quality(frame(rows + [(100 + i, rows[7][1]) for i in range(300)])).collect()}
+    assert all(many[i] == pytest.approx(one[i], abs=1e-6) for i in one)
+
+
+def test_grams_grow_with_the_input(spark, frame):
     from pyspark.sql import functions as F
 
     r = random.Random(6)
-    text = lambda: " ".join(f"w{r.randint(0, 60)}" for _ in range(20))
+    text = lambda: " ".join(f"w{r.randint(0, 600)}" for _ in range(20))
     d = frame([(i, text()) for i in range(300)]).select("doc_id", F.xxhash64("lang").alias("lang"), "text")
-    few, many = (quality.count_pairs(d.filter(F.col("doc_id") < n)).count() for n in (30, 300))
-    assert many > 4 * few
+    few, many = (quality.count_grams(d.filter(F.col("doc_id") < n)).agg(F.sum("n")).first()[0] for n in (30, 300))
+    assert many > 3 * few
 
 
 def test_words_with_equals_sign_alone(frame):
@@ -264,3 +302,23 @@ def test_run_beside_a_fixed_pattern(frame):
     spans = pii.field_spans(text, pii._tokens(text)[0], [((1, 4), [phone] * 3)], [("phone", 5, 17)])
     assert [text[s:e] for _, s, e in spans] == ["415) 555-2671"]
     assert pii.field_spans("a@b.c.de/x", [(0, 10)], [((0, 1), [1])], [("email", 0, 8)]) == []
+
+
+DIGITS = st.sampled_from(["1", "25", ".", "\u0661", "\u096a", "\uff19", "\u00b2", "\u2460", "0", "a", "\U0001d7d9", "\u0661" * 40])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(DIGITS, max_size=16))
+def test_features_of_digits_of_any_script(parts):
+    core = "".join(parts)
+    got = pii._octets(core)
+    assert len(pii.features(core, "a", "b")) == len(pii.features("x", "a", "b"))
+    want = core.count(".") == 3 and all(p and len(p) < 4 and all(c in "0123456789" for c in p) and int(p) < 256 for p in core.split("."))
+    assert got == want
+
+
+def test_long_runs_of_other_digits(frame):
+    text = "\u0661" * 5000 + ".1.1.1 and 10.0.0.1"
+    r = pii.find_pii(frame([(0, text)]), with_text=True).first()
+    assert r.base == f"ip:{5000 + 7 + 4}:{len(text)}" and "10.0.0.1" not in r.redacted
+    assert pii.shape("a" * 70 + "1") == "a0"  # the whole word
