@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quakeframe.functions.portable import hash_uniform
 from quakeframe.functions.waveform import blank_if, fit_waveform  # noqa: F401
+from quakeframe.schema import MAX_STATIONS
 
 POSITION_COLS = ("lat", "lon", "elev", "vs30")
 
@@ -63,44 +64,41 @@ def random_cutoff_sec(key_cols: list[str], mask_sec: int, max_sec: int = 10, epo
     return (F.lit(int(mask_sec)) + F.floor(u * (int(max_sec) - int(mask_sec)))).cast("int")
 
 
-def let(value: Column, then) -> Column:
-    """``then(value)`` with the value computed once: what a lambda names more than once would be
-    computed at each place, and for each element of an inner lambda."""
-    return F.get(F.transform(F.array(value), then), 0)
-
-
-def blinded_slots(stations, key: list, epoch: int = 0, seed: str = "0") -> Column:
+def blinded_slots(stations, key: list, n_slots: int, epoch: int = 0, seed: str = "0") -> Column:
     """E6, the draw: of the n real stations of a sample the slots of a random k in [0, n-1],
-    without replacement (n = 0 gives k = 0; D28). ``stations`` is an array of structs (slot,
-    real); k comes from a hash of the sample's ``key``, and the k stations are those with the
-    smallest hash of key and slot (ties: smaller slot). Narrow: no waveform is touched."""
+    without replacement (n = 0 gives k = 0; D28). ``stations`` is an array of at most ``n_slots``
+    structs (slot, real); k comes from a hash of the sample's ``key``, and the k stations are
+    those with the smallest hash of key and slot (ties: smaller slot). Narrow (no waveform is
+    touched), and written out per slot instead of as a lambda, so that it runs in generated code."""
     stations = F.col(stations) if isinstance(stations, str) else stations
-
-    def drawn(real):
-        k = F.floor(hash_uniform(*key, salt=f"blind-k|{epoch}|{seed}") * F.size(real)).cast("int")
-        by_hash = F.sort_array(F.transform(real, lambda e: F.struct(
-            hash_uniform(*key, e["slot"], salt=f"blind-pick|{epoch}|{seed}").alias("u"), e["slot"].alias("slot"))))
-        return F.slice(by_hash, 1, k).getField("slot")
-
-    return let(F.filter(stations, lambda e: e["real"]), drawn)
+    at = [F.get(stations, i) for i in range(int(n_slots))]
+    real = [F.coalesce(e["real"], F.lit(False)) for e in at]
+    n = sum((r.cast("int") for r in real), F.lit(0))
+    k = F.floor(hash_uniform(*key, salt=f"blind-k|{epoch}|{seed}") * n).cast("int")
+    last = F.lit(2.0)  # behind every draw
+    drawn = F.sort_array(F.array(*[F.struct(
+        F.when(r, hash_uniform(*key, e["slot"], salt=f"blind-pick|{epoch}|{seed}")).otherwise(last).alias("u"),
+        F.coalesce(e["slot"], F.lit(-1)).alias("slot")) for e, r in zip(at, real)]))
+    return F.slice(drawn, 1, k).getField("slot")
 
 
 def blind_stations(rows: DataFrame, sample_key: list[str], slot_col: str = "slot", epoch: int = 0,
                    seed: str = "0", wave_col: str = "waveform", length: int | None = None,
-                   position_cols=POSITION_COLS) -> DataFrame:
+                   position_cols=POSITION_COLS, n_slots: int = MAX_STATIONS) -> DataFrame:
     """E6 on member rows: blank the ``blinded_slots`` of every sample among its stations with a
-    non-zero position. The window is per sample (at most ``max_station_num`` rows) and gathers
-    slots only; the draw is made once per sample."""
+    non-zero position. The window is per sample (at most ``n_slots`` rows; more are an error) and
+    gathers slots only; the draw is made once per sample."""
     present = [c for c in position_cols if c in rows.columns]
     nonzero = F.lit(False)
     for c in present:
         nonzero = nonzero | (F.coalesce(F.col(c), F.lit(0.0)) != 0)
     w = Window.partitionBy(*sample_key)
-    one = F.when(F.col(slot_col) == F.col("_lead"), blinded_slots("_st", [F.col(c) for c in sample_key], epoch, seed))
+    drawn = F.when(F.size("_st") > int(n_slots), F.raise_error(F.lit(f"a sample has more than {int(n_slots)} stations")).cast("array<int>")) \
+        .otherwise(blinded_slots("_st", [F.col(c) for c in sample_key], n_slots, epoch, seed))
     out = (rows.withColumn("_real", nonzero)
            .withColumn("_st", F.collect_list(F.struct(F.col(slot_col).alias("slot"), F.col("_real").alias("real"))).over(w))
            .withColumn("_lead", F.min(slot_col).over(w))
-           .withColumn("_gone", F.first(one, ignorenulls=True).over(w))
+           .withColumn("_gone", F.first(F.when(F.col(slot_col) == F.col("_lead"), drawn), ignorenulls=True).over(w))
            .withColumn("blinded", F.col("_real") & F.array_contains("_gone", F.col(slot_col))))
     if wave_col in rows.columns and length is not None:
         out = out.withColumn(wave_col, blank_if(wave_col, F.col("blinded"), length))
@@ -171,40 +169,43 @@ def mask_members(members, cutoff, length: int, pos_width: int = 4) -> Column:
     return F.transform(arr, one)
 
 
-def hidden_slots(stations, cutoff, key: list | None, epoch: int = 0, seed: str = "0") -> Column:
-    """C7 + E6 of one sample as a slot mask: per member of ``stations`` (structs slot, p_pick,
-    real, in slot order) whether it is blanked, because its pick is later than ``cutoff`` or it
-    has been blinded (with a ``key``; drawn among the real stations that are not late)."""
-    stations = F.col(stations) if isinstance(stations, str) else stations
-    late = lambda e: F.coalesce(e["p_pick"] > cutoff, F.lit(False))
+def with_slot_mask(samples: DataFrame, stations: str, cutoff: Column, key: list | None, n_slots: int,
+                   epoch: int = 0, seed: str = "0", mask_col: str = "hidden") -> DataFrame:
+    """C7 + E6 of each sample as a slot mask: ``mask_col``, one boolean per slot, whether its member
+    is blanked, because its pick is later than ``cutoff`` or it has been blinded (with a ``key``;
+    drawn among the real stations that are not late). ``stations``: array of structs (slot, p_pick,
+    real) in slot order. Each step is a column of its own, computed once and in generated code."""
+    at = [F.get(F.col(stations), i) for i in range(int(n_slots))]
+    late = [F.coalesce(e["p_pick"] > cutoff, F.lit(False)) for e in at]
     if key is None:
-        return F.transform(stations, late)
-    left = F.transform(stations, lambda e: F.struct(e["slot"].alias("slot"), (e["real"] & ~late(e)).alias("real")))
-    return let(blinded_slots(left, key, epoch, seed), lambda gone: F.transform(
-        stations, lambda e: late(e) | F.array_contains(gone, e["slot"])))
+        return samples.withColumn(mask_col, F.array(*late))
+    samples = samples.withColumn("_late", F.array(*late))
+    left = F.array(*[F.struct(e["slot"].alias("slot"), (e["real"] & ~F.get("_late", F.lit(i))).alias("real")) for i, e in enumerate(at)])
+    samples = samples.withColumn("_left", left).withColumn("_gone", blinded_slots("_left", key, n_slots, epoch, seed))
+    hidden = F.array(*[F.get("_late", F.lit(i)) | F.coalesce(F.array_contains("_gone", e["slot"]), F.lit(False)) for i, e in enumerate(at)])
+    return samples.withColumn(mask_col, hidden).drop("_late", "_left", "_gone")
 
 
-def hidden_waveforms(waves, hidden, cutoff, n_slots: int) -> Column:
+def hidden_waveforms(waves: str, hidden: str, cutoff: Column, n_slots: int) -> Column:
     """C6 + C7 + E6 + C3 in one pass over the waveforms of a sample: zero from ``cutoff`` on (NULL:
     nothing), all zero where the slot mask hides the member, and zero up to ``n_slots``. The
     last element of ``waves`` is a zero waveform of the same length: taking it, or slices
     of it, copies bytes instead of building arrays."""
-    waves, hidden = (F.col(c) if isinstance(c, str) else c for c in (waves, hidden))
     zero = F.element_at(waves, -1)
     n = F.size(waves) - 1
-    keep = F.greatest(F.least(cutoff, F.size(zero)), F.lit(0))
+    keep = F.greatest(cutoff, F.lit(0))
+    whole = cutoff.isNull() | (cutoff >= F.size(zero))
 
-    def one(w, i):
-        cut = F.when(cutoff.isNull() | (cutoff >= F.size(w)), w).otherwise(
-            F.concat(F.slice(w, 1, keep), F.slice(zero, 1, F.size(w) - keep)))
-        return F.when(F.get(hidden, i), zero).otherwise(cut)
+    def one(i):
+        w = F.get(F.col(waves), i)
+        cut = F.when(whole, w).otherwise(F.concat(F.slice(w, 1, keep), F.slice(zero, 1, F.size(zero) - keep)))
+        return F.when((F.lit(i) >= n) | F.get(F.col(hidden), i), zero).otherwise(cut)
 
-    return F.concat(F.transform(F.slice(waves, 1, n), one), F.array_repeat(zero, F.greatest(F.lit(int(n_slots)) - n, F.lit(0))))
+    return F.array(*[one(i) for i in range(int(n_slots))])
 
 
-def hidden_positions(positions, hidden, n_slots: int, pos_width: int = 4) -> Column:
+def hidden_positions(positions: str, hidden: str, n_slots: int, pos_width: int = 4) -> Column:
     """The positions beside ``hidden_waveforms``: zero where hidden, and zero up to ``n_slots``."""
-    positions, hidden = (F.col(c) if isinstance(c, str) else c for c in (positions, hidden))
-    zero = F.array_repeat(F.lit(0.0), pos_width)
-    return F.concat(F.transform(positions, lambda p, i: F.when(F.get(hidden, i), zero).otherwise(p)),
-                    F.array_repeat(zero, F.greatest(F.lit(int(n_slots)) - F.size(positions), F.lit(0))))
+    zero = F.array(*[F.lit(0.0)] * pos_width)
+    return F.array(*[F.when((F.lit(i) >= F.size(positions)) | F.get(F.col(hidden), i), zero).otherwise(F.get(F.col(positions), i))
+                     for i in range(int(n_slots))])

@@ -23,8 +23,8 @@ from quakeframe.functions.waveform import stored_position, stored_waveform, zero
 from quakeframe.operators import catalog as cat
 from quakeframe.operators import traces as tr
 from quakeframe.operators.balance import label_weights
-from quakeframe.operators.masking import hidden_positions, hidden_slots, hidden_waveforms, random_cutoff_sec
-from quakeframe.operators.samples import hydrate_inputs, rank_traces
+from quakeframe.operators.masking import hidden_positions, hidden_waveforms, random_cutoff_sec, with_slot_mask
+from quakeframe.operators.samples import hydrate_inputs, rank_traces, sample_id_col
 
 
 @dataclass
@@ -106,8 +106,8 @@ def build_dataset(catalog: DataFrame, traces: DataFrame, waveforms: DataFrame, o
     is collected into a *target-group* row. Every sample is one target group joined with its
     event's input set -- a join salted by chunk bucket, so a hot event's thousands of chunks
     spread over many tasks. What differs between its copies (horizon, cut-off and slot mask) is
-    drawn from narrow arrays before the copies are made; each copy then takes one pass over
-    the waveforms. No per-sample shuffle.
+    drawn from narrow columns; each copy then takes one pass over the waveforms, all in generated
+    code. No per-sample shuffle.
     """
     ranked = sample_plan(catalog, traces, o)
     length = o.length
@@ -147,34 +147,27 @@ def build_dataset(catalog: DataFrame, traces: DataFrame, waveforms: DataFrame, o
     samples = samples.withColumn("_bucket", (F.col("chunk_no") / b).cast("int"))
     s = samples.join(sets, ["eq_id", "_bucket"])
 
-    # Per event copy: horizon, cut-off and slot mask, from the narrow arrays alone.
-    def copy_of(c):
-        sid = F.concat_ws("/", F.col("eq_id"), c, F.col("chunk_no"), F.col("is_bias").cast("int"))
-        if o.mask_waveform_random:
-            sec = random_cutoff_sec([sid], o.mask_waveform_sec or 0, o.max_random_sec, o.epoch, o.seed)
-        else:
-            sec = F.lit(o.mask_waveform_sec).cast("int")
-        return F.struct(c.alias("event_copy"), sid.alias("sample_id"), sec.alias("mask_sec"))
-
+    # Per event copy: horizon, cut-off and slot mask, from narrow columns, in generated code.
+    s = s.withColumn("event_copy", F.explode(F.sequence(F.lit(0), F.col("n_copies")))).withColumn("sample_id", sample_id_col())
+    if o.mask_waveform_random:
+        sec = random_cutoff_sec(["sample_id"], o.mask_waveform_sec or 0, o.max_random_sec, o.epoch, o.seed)
+    else:
+        sec = F.lit(o.mask_waveform_sec).cast("int")
     masked = bool(o.mask_waveform_random or o.mask_waveform_sec)
-    pick0 = F.col("_st")[0]["p_pick"]
-
-    def with_mask(c):
-        cutoff = (pick0 + c["mask_sec"] * int(o.sampling_rate)).cast("int") if masked else F.lit(None).cast("int")
-        key = [c["sample_id"]] if o.station_blind else None
-        return c.withField("cutoff", cutoff).withField("hidden", hidden_slots("_st", cutoff, key, o.epoch, o.seed))
-
-    s = s.withColumn("_c", F.transform(F.sequence(F.lit(0), F.col("n_copies")), copy_of))
-    s = s.withColumn("_c", F.explode(F.transform("_c", with_mask)))
+    pick0 = F.get("_st", F.lit(0))["p_pick"]
+    s = s.withColumn("mask_sec", sec).withColumn(
+        "_cutoff", (pick0 + F.col("mask_sec") * int(o.sampling_rate)).cast("int") if masked else F.lit(None).cast("int"))
+    s = with_slot_mask(s, "_st", F.col("_cutoff"), [F.col("sample_id")] if o.station_blind else None, o.max_station_num,
+                       o.epoch, o.seed, "_hidden")
     # A bias sample's targets are chunk 0 itself (and its weight chunk 0's mean; D8).
     s = s.withColumn("_t", F.when(F.col("is_bias"), F.col("_t0")).otherwise(F.col("_t")))
     if o.weight_label:
         s = s.withColumn("weight", F.when(F.col("is_bias"), F.col("_w0")).otherwise(F.col("weight")))
 
     pad_t = F.greatest(F.lit(int(o.label_target)) - F.size("_t"), F.lit(0))
-    cols = ["_c.sample_id", "eq_id", "_c.event_copy", "chunk_no", "is_bias", "_c.mask_sec",
-            hidden_waveforms("_waves", "_c.hidden", F.col("_c.cutoff"), o.max_station_num).alias("waveform"),
-            hidden_positions("_pos", "_c.hidden", o.max_station_num).alias("sta"),
+    cols = ["sample_id", "eq_id", "event_copy", "chunk_no", "is_bias", "mask_sec",
+            hidden_waveforms("_waves", "_hidden", F.col("_cutoff"), o.max_station_num).alias("waveform"),
+            hidden_positions("_pos", "_hidden", o.max_station_num).alias("sta"),
             F.concat(F.col("_t.pos"), F.array_repeat(zero_pos, pad_t)).alias("target"),
             F.concat(F.col("_t.label"), F.array_repeat(F.lit(0.0), pad_t)).alias("label")]
     if o.weight_label:

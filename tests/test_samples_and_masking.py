@@ -120,6 +120,13 @@ def test_blinding_bounds(spark):
     assert b.filter(F.col("blinded") & (F.col("slot") >= 5)).count() == 0
 
 
+def test_blinding_more_stations_than_slots_is_an_error(spark):
+    df = spark.createDataFrame([(1, i, 21.0) for i in range(6)], "sid long, slot int, lat double")
+    assert blind_stations(df, ["sid"], position_cols=("lat",), n_slots=6).count() == 6
+    with pytest.raises(Exception, match="more than 5 stations"):
+        blind_stations(df, ["sid"], position_cols=("lat",), n_slots=5).collect()
+
+
 def test_blinding_all_zero_gives_nothing(spark):
     df = spark.createDataFrame([(1, i, 0.0) for i in range(3)], "sid long, slot int, lat double")
     assert blind_stations(df, ["sid"], position_cols=("lat",)).filter("blinded").count() == 0
@@ -164,7 +171,7 @@ def test_slot_masks_equal_row_masks(spark, sec, blind):
     """The slot mask of a sample and its one pass over the waveforms == cut-off, blanking, blinding
     and padding on rows."""
     from quakeframe.functions.waveform import fit_waveform, zero_samples
-    from quakeframe.operators.masking import hidden_positions, hidden_slots, hidden_waveforms
+    from quakeframe.operators.masking import hidden_positions, hidden_waveforms, with_slot_mask
 
     df = _member_rows(spark)
     r = df.select("sid", "slot", "p_pick", "waveform", *[F.col("pos")[i].alias(c) for i, c in enumerate(["lat", "lon", "elev", "vs30"])])
@@ -185,7 +192,7 @@ def test_slot_masks_equal_row_masks(spark, sec, blind):
         F.transform("m", lambda e: F.struct(e["slot"].alias("slot"), e["p_pick"].alias("p_pick"),
                                             F.exists(e["pos"], lambda x: x != 0).alias("real"))).alias("st"))
     cutoff = (F.col("st")[0]["p_pick"] + 3 * sec).cast("int") if sec else F.lit(None).cast("int")
-    g = g.withColumn("hidden", hidden_slots("st", cutoff, [F.col("sid")] if blind else None))
+    g = with_slot_mask(g, "st", cutoff, [F.col("sid")] if blind else None, 4)
     got = g.select("sid", hidden_waveforms("waves", "hidden", cutoff, 4).alias("w"), hidden_positions("pos", "hidden", 4).alias("p"))
     assert {x.sid: ([[list(t) for t in w] for w in x.w], [list(p) for p in x.p]) for x in got.collect()} == want
 
