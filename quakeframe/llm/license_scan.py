@@ -10,8 +10,10 @@ that are aligned. Every place at or above the threshold is returned, for every t
 Templates are notices and full texts (``licenses/``; read on the driver, shipped with the function).
 Words that tell licenses apart can be required, or barred from a place.
 
-Rows are independent: no shuffle. Null and empty texts match nothing; repeated rows are judged
-alike; ties of coverage go to the first template.
+Rows are independent: no shuffle. Null and empty texts match nothing; repeated rows and null ids
+are judged each by its text; very long texts are searched whole, window by window; ties of
+coverage go to the first template; an empty table gives an empty result; other columns of the
+input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,6 @@ from quakeframe.llm.common import pick, read
 MIN_COVERAGE = 0.8
 REACH = 4  # a place may hold 1 / REACH more words than its template, and SLACK
 SLACK = 8  # at each end
-ANCHORS = 24  # template words tried as anchors of a place, rarest first
 _FULL = os.path.join(os.path.dirname(os.path.abspath(__file__)), "licenses")
 
 
@@ -54,6 +55,19 @@ TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy", "", ""),
     ("mit", "Released under the MIT License.", "mit", ""),
     ("mit", "Licensed under the MIT License.", "mit", ""),
+    ("apache-2.0", "Released under the Apache 2.0 license", "apache 2.0", ""),
+    ("bsd-2-clause", "BSD 2-Clause License", "bsd 2 clause", ""),
+    ("bsd-3-clause", "BSD 3-Clause License", "bsd 3 clause", ""),
+    *((x, f"Licensed under the GNU {y} v{v}", f"{y.lower()} v{v}", "") for y, x, v in (
+        ("GPL", "gpl-2.0", 2), ("GPL", "gpl-3.0", 3), ("LGPL", "lgpl-3.0", 3), ("AGPL", "agpl-3.0", 3))),
+    ("unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered", ""),
+    ("unlicense", "Released under the Unlicense", "unlicense", ""),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0.", "boost 1.0", ""),
+    ("bsl-1.0", "Boost Software License - Version 1.0", "boost 1.0", ""),
+    ("bsl-1.1", "Business Source License 1.1", "business 1.1", ""),
+    ("epl-2.0", "Eclipse Public License v2.0", "eclipse", "1.0"),
+    ("epl-2.0", "Eclipse Public License 2.0", "eclipse 2.0", ""),
+    ("epl-1.0", "Eclipse Public License 1.0", "eclipse 1.0", ""),
     ("apache-2.0", "SPDX-License-Identifier: Apache-2.0", "apache 2.0", ""),
     ("mit", "SPDX-License-Identifier: MIT", "mit", ""),
     ("bsd-2-clause", "SPDX-License-Identifier: BSD-2-Clause", "bsd 2", ""),
@@ -61,7 +75,7 @@ TEMPLATES = (
     ("isc", "SPDX-License-Identifier: ISC", "isc", ""),
     ("mpl-2.0", "SPDX-License-Identifier: MPL-2.0", "mpl 2.0", ""),
     *((x.lower(), f"SPDX-License-Identifier: {x}", x.lower().replace("-", " "), "") for x in (
-        "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC0-1.0")),
+        "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC0-1.0", "EPL-2.0", "BSL-1.0", "Unlicense")),
     ("gpl-2.0", "GNU General Public License, version 2.", "2", _OTHER_GNU),
     ("gpl-2.0", "GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "2", _OTHER_GNU),
     ("gpl-3.0", "GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "3", _OTHER_GNU),
@@ -199,7 +213,7 @@ def regions(a: list[str], t: Template, threshold: float) -> list[tuple[int, int,
                 if a[p] in t.count:
                     place.setdefault(a[p], []).append(p)
             spots = sorted((len(place[x]), q) for q, x in enumerate(b) if x in place)
-            tries = min(len(spots), len(b) - math.ceil(least) + 1, ANCHORS)
+            tries = len(b) - math.ceil(least) + 1  # of so many words, one is aligned in any place
             best = None
             for _, q in spots[:tries]:
                 for p in place[b[q]]:
