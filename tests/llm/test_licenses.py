@@ -125,5 +125,5 @@ def test_full_texts_with_scattered_losses_against_brute_force():
 def test_repeated_rows_and_null_ids(frame):
     line = "Released under the MIT License."
     out = L.scan_licenses(frame([(1, line), (1, line), (None, line), (None, None), (2, "no license here")])).collect()
-    assert sorted((str(r.doc_id), str(r.license), len(r.licenses)) for r in out) == sorted(
+    assert sorted((str(r.doc_id), str(r.license), len({x.license for x in r.licenses})) for r in out) == sorted(
         [("1", "mit", 1), ("1", "mit", 1), ("None", "mit", 1), ("None", "None", 0), ("2", "None", 0)])
