@@ -671,6 +671,12 @@ ORACLE["stream_live_status"] = with_views(f"""
     SELECT 'sound' AS name, 'idle' AS state, NULL::BOOLEAN AS told, count(*) AS n_predictions FROM spr
     UNION ALL SELECT 'broken', 'failed', TRUE, 0""", *W_VIEWS)
 
+ORACLE["stream_archived"] = with_views(f"""
+    , {_STREAM}
+    SELECT 'predictions' AS name, count(*) AS n FROM spr
+    UNION ALL SELECT 'archived lines', count(*) FROM (SELECT DISTINCT eq_id, mask_sec FROM lmsk)
+    UNION ALL SELECT 'lines left', 0""", *W_VIEWS)
+
 ORACLE["stream_routed_by_table"] = with_views(f"""
     , {_STREAM},
     rules AS (SELECT n_nationkey % 7 AS priority, n_name AS name, {lit(21.0)} + n_nationkey * {lit(0.2)} AS lo,

@@ -24,12 +24,13 @@ from quakeframe.operators.evaluate import (ensemble, evaluate, evaluation_points
                                            with_exceedance)
 from quakeframe.operators.scoring import (AttenuationScorer, masked_input_sets, pad_predictions, score,
                                           scoring_rows, target_groups)
+from quakeframe.schema import SNAPSHOT_READ
 from quakeframe.session import shared_dir
 from quakeframe.sources import fixtures as fx
 from quakeframe.sources import tables
 from quakeframe.sources.snapshots_io import (read_predictions, read_snapshots, validate_snapshots,
                                              write_predictions, write_snapshots)
-from quakeframe.streaming.stream import Sinks, local_time, read_sinks, run_stream, supervise
+from quakeframe.streaming.stream import Sinks, archive_consumed, local_time, read_sinks, run_stream, supervise
 
 # Query parameters (shared with the oracle SQL).
 MAG_T = 3.0
@@ -665,6 +666,22 @@ def q_stream_routed(spark, sf_dir):
     return out.select("eq_id", "mask_sec", "model", "slot", "route", _r(F.col("predict")).alias("predict"))
 
 
+def q_stream_archived(spark, sf_dir):
+    """Consumed files are moved, whole; a second stream over the source finds nothing to read."""
+    src, sink, archive = (shared_dir(spark, n) for n in ("stream-src", "stream-sink", "stream-archive"))
+    write_snapshots(_snapshots(spark, sf_dir), src, partition_by=None)
+    _ended(run_stream(spark, src, sink, shared_dir(spark, "stream-ckpt"), models(), max_files=4, archive_dir=archive))
+    archive_consumed(spark, Sinks.at(sink), archive)
+    again = shared_dir(spark, "stream-sink")
+    _ended(run_stream(spark, src, again, shared_dir(spark, "stream-ckpt"), models(), max_files=4))
+    kept = spark.read.schema(SNAPSHOT_READ).option("recursiveFileLookup", True).json(archive)
+    first = read_sinks(spark, Sinks.at(sink))["predictions"].agg(F.count(F.lit(1)).alias("n"))
+    second = spark.read.schema(SNAPSHOT_READ).json(src).agg(F.count(F.lit(1)).alias("n"))
+    return (first.select(F.lit("predictions").alias("name"), "n")
+            .unionByName(kept.agg(F.count(F.lit(1)).alias("n")).select(F.lit("archived lines").alias("name"), "n"))
+            .unionByName(second.select(F.lit("lines left").alias("name"), "n")))
+
+
 def q_stream_routed_by_table(spark, sf_dir):
     """ST2: overlapping latitude rules kept as a table; the first match by priority wins."""
     path, key = shared_dir(spark, "rules"), F.col("n_nationkey")
@@ -796,6 +813,7 @@ QUERIES = {
     "stream_restarted": q_stream_restarted,
     "stream_live_status": q_stream_live_status,
     "stream_routed_by_table": q_stream_routed_by_table,
+    "stream_archived": q_stream_archived,
     "canonical_tables": q_canonical_tables,
     "dataset_samples": q_dataset_samples,
     "dataset_test_samples": q_dataset_test_samples,

@@ -41,14 +41,16 @@ def stream_snapshots(spark: SparkSession, source_dir: str, max_files: int = 1,
                      archive_dir: str | None = None) -> DataFrame:
     """A streaming read of a folder of snapshot JSON files, ``max_files`` per trigger.
 
-    With ``archive_dir``, consumed files are moved there (S7) instead of deleting folders."""
+    Each line names its ``source_file``. With ``archive_dir``, the source moves consumed files there
+    (S7) instead of deleting folders: those of a batch when the next one starts, so the last
+    batch's stay until ``archive_consumed``."""
     r = (spark.readStream.format("json").schema(SNAPSHOT_READ)
          .option("maxFilesPerTrigger", int(max_files))
          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
          .option("timestampFormat", "yyyy-MM-dd HH:mm:ss"))
     if archive_dir:
         r = r.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
-    return r.load(source_dir)
+    return r.load(source_dir).withColumn("source_file", F.col("_metadata.file_path"))
 
 
 def self_targets(station: str = "station") -> Column:
@@ -138,7 +140,8 @@ class Sinks:
 PREDICTIONS_SINK = ("eq_id long, mask_sec int, event_time timestamp, model string, slot int, latitude double, longitude double, "
                     "elevation double, predict double, output_time string, batch_id long, route string")
 QUARANTINE_SINK = "eq_id long, mask_sec int, event_time timestamp, reason string, _corrupt_record string, batch_id long"
-REPORT_SINK = "n_snapshots long, n_rejected long, n_predictions long, output_time string, batch_id long"
+REPORT_SINK = ("n_snapshots long, n_rejected long, files array<string>, n_predictions long, output_time string, "
+               "batch_id long")
 
 
 def read_sinks(spark: SparkSession, sinks: Sinks) -> dict[str, DataFrame]:
@@ -184,7 +187,8 @@ def run_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_d
             put("quarantine", checked.filter(~F.col("valid")).select("eq_id", "mask_sec", "event_time", "reason", "_corrupt_record"))
             n = batch.sparkSession.read.schema(preds.schema).parquet(path).count()
             put("report", checked.agg(F.count(F.when(F.col("valid"), 1)).alias("n_snapshots"),
-                                      F.count(F.when(~F.col("valid"), 1)).alias("n_rejected"))
+                                      F.count(F.when(~F.col("valid"), 1)).alias("n_rejected"),
+                                      F.collect_set("source_file").alias("files"))  # at most max_files
                 .withColumn("n_predictions", F.lit(n).cast("long")).withColumn("output_time", now))
         finally:
             checked.unpersist()
@@ -194,6 +198,24 @@ def run_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_d
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def archive_consumed(spark: SparkSession, sinks: Sinks, archive_dir: str) -> int:
+    """Move the input files of all reported batches below ``archive_dir`` (by their whole path)
+    and return how many were moved. A batch is reported last, so a file whose batch has to be
+    run again is still in place; files moved before are skipped."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path_of = jvm.org.apache.hadoop.fs.Path
+    moved = 0
+    files = read_sinks(spark, sinks)["report"].select(F.explode("files").alias("f")).distinct()
+    for row in files.toLocalIterator():
+        src = path_of(jvm.java.net.URI(row["f"]))
+        fs = src.getFileSystem(conf)
+        if fs.exists(src):
+            to = path_of(archive_dir.rstrip("/") + src.toUri().getPath())
+            fs.mkdirs(to.getParent())
+            moved += bool(fs.rename(src, to))
+    return moved
+
+
 def run_stream_reported(spark: SparkSession, source_dir: str, sink_dir: str, report_dir: str,
                         checkpoint_dir: str, scorers: list, max_files: int = 1, trigger: dict | None = None,
                         quarantine_dir: str | None = None) -> StreamingQuery:

@@ -12,7 +12,7 @@ from quakeframe.operators.traces import explode_event_groups
 from quakeframe.session import shared_dir
 from quakeframe.sources import tables
 from quakeframe.sources.snapshots_io import write_snapshots
-from quakeframe.streaming.stream import Sinks, read_sinks, route_by_table, route_targets, rule_segments, run_stream, supervise
+from quakeframe.streaming.stream import Sinks, archive_consumed, read_sinks, route_by_table, route_targets, rule_segments, run_stream, supervise
 
 
 def _waves(spark, events, per):
@@ -190,3 +190,21 @@ def test_evaluation_points(spark):
     assert got[2].answer_class == 9 and got[2].predict_class is None and got[2].n == 2
     assert got[3].answer_class is None and got[4].n == 1 and got[4].r2 is None and got[4].answer_threshold < -0.6 < got[4].answer_tick + 0.3
     assert evaluation_points(p, "pga").first().n == 3
+
+
+def test_archive_holds_what_was_reported_only(spark):
+    src, sink, ckpt, archive = (shared_dir(spark, n) for n in ("s-src", "s-sink", "s-ckpt", "s-arch"))
+    write_snapshots(_snaps(spark, 9), src, partition_by=None, files_per_partition=3)
+
+    def die(kind, batch_id):
+        if (kind, batch_id) == ("quarantine", 1):
+            raise RuntimeError("gone")
+
+    lines = lambda d: spark.read.option("recursiveFileLookup", True).text(d).count()
+    supervise(spark, {"s": run_stream(spark, src, sink, ckpt, MODELS, on_written=die)}, 120)
+    assert archive_consumed(spark, Sinks.at(sink), archive) == 1
+    left = lines(src)
+    assert 0 < left < 9 and left + lines(archive) == 9
+    run_stream(spark, src, sink, ckpt, MODELS).awaitTermination()
+    assert archive_consumed(spark, Sinks.at(sink), archive) == 2 and archive_consumed(spark, Sinks.at(sink), archive) == 0
+    assert lines(archive) == 9 and read_sinks(spark, Sinks.at(sink))["predictions"].count() == 9
