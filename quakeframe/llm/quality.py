@@ -15,9 +15,10 @@ estimated by Spark, from all documents:
    other texts. Three discounts per language and order come from the counts of counts;
    probabilities interpolate upward order by order - joins and aggregations on the gram tables.
 3. The model is a sorted array of 64-bit hashes of (language, order, gram) beside their log
-   probabilities, and one of contexts beside their back-off weights. It is broadcast below
-   ``BROADCAST_GRAMS`` counted rows; beyond that, documents ship their distinct grams and the
-   scores come from a join with the gram table.
+   probabilities, and one of contexts beside their back-off weights (``Model``). The texts that were
+   counted hold no other grams than the table's longest, so for their scores only these are
+   broadcast, up to ``BROADCAST_GRAMS`` counted ones (12 bytes each); beyond that, documents ship
+   their distinct grams and the scores come from a join with the gram table.
 4. A document's score is its log perplexity per word. Histograms per language (fixed bins,
    combined on the map side) give the median of the scores and the quartiles of the deviations
    from it, times the root of the number of words; from them come the lower and upper band, and
@@ -263,6 +264,15 @@ class Model:
         self.key, self.logp = self._sorted(probs, "gram", "logp")
         self.ctx, self.bow = self._sorted(weights, "ctx", "bow")
 
+    @classmethod
+    def of(cls, key: np.ndarray, logp: np.ndarray) -> "Model":
+        """The longest grams alone: enough for the texts that were counted."""
+        m = cls.__new__(cls)
+        order = np.argsort(key)
+        m.key, m.logp = key[order], logp[order]
+        m.ctx, m.bow = np.zeros(0, _U), np.zeros(0, np.float32)
+        return m
+
     @staticmethod
     def _sorted(t: pa.Table, gram: str, value: str):
         key = _key(t["lang"].to_numpy(), t["ord"].to_numpy(), t[gram].to_numpy())
@@ -356,22 +366,38 @@ def _doc_grams(batches):
                  pa.array(langs[row]), pa.array(code[first].view(np.int64)), pa.array(n)], ["doc_id", "th", "lang", "gram", "n"])
 
 
+def _hashed(batches):
+    """The rows of a task (lang, gram, logp) as two arrays of bytes: the keys and the values."""
+    keys, values = [np.zeros(0, _U)], [np.zeros(0, np.float32)]
+    for batch in batches:
+        lang, gram, logp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "gram", "logp"))
+        keys.append(_key(lang, ORDER, gram))
+        values.append(logp)
+    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in (keys, values)], ["k", "v"])
+
+
+def _top_model(full: DataFrame) -> Model:
+    """The model of the longest grams, hashed by the tasks: the driver joins 12 bytes a gram."""
+    rows = full.select("lang", "gram", "logp").mapInArrow(_hashed, "k binary, v binary").collect()
+    return Model.of(np.concatenate([np.zeros(0, _U), *[np.frombuffer(r["k"], _U) for r in rows]]),
+                    np.concatenate([np.zeros(0, np.float32), *[np.frombuffer(r["v"], np.float32) for r in rows]]))
+
+
 def perplexities(d: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """``d``: doc_id, lang (hash), th, text. Fixed counts and score (log perplexity per word) of each row."""
     kind = d.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, lang long, th long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", score double"
     grams = pinned(count_grams(d), "grams")
-    probs, weights = kneser_ney(grams)
+    probs, _ = kneser_ney(grams)
+    full = probs.filter(F.col("ord") == ORDER)  # every gram of the texts is in it, as it was counted from them
     model = None
-    if 2 * grams.count() <= broadcast_grams:  # lower orders and contexts are no more than that again
-        model = d.sparkSession.sparkContext.broadcast(Model(probs.toArrow(), weights.toArrow()))
+    if grams.count() <= broadcast_grams:
+        model = d.sparkSession.sparkContext.broadcast(_top_model(full))
     base = d.mapInArrow(_scored(model), schema)
     if model is not None:
         return base
     base = base.drop("score")
-    # Every gram of a document is in the table, which was counted from it: an inner join is whole.
     each = d.mapInArrow(_doc_grams, f"doc_id {kind}, th long, lang long, gram long, n long").distinct()
-    full = probs.filter(F.col("ord") == ORDER)
     sums = each.join(full, ["lang", "gram"]).groupBy(F.col("doc_id").alias("sid"), F.col("th").alias("sth"), F.col("lang").alias("sl")).agg(
         (-F.sum(F.col("n") * F.col("logp"))).alias("nll"))
     base = base.join(sums, F.col("doc_id").eqNullSafe(F.col("sid")) & (F.col("th") == F.col("sth")) & (F.col("lang") == F.col("sl")), "left")
