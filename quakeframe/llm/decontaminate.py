@@ -20,7 +20,9 @@ and candidates meet their text again by row key. Nothing else is broadcast.
 
 Edge cases: null or wordless text has no words and no hits; null or wordless items have no
 windows; an item without id counts for hits but is not listed; rows that repeat a doc_id are
-judged each on its own text; repeated items with one id count once in ``n_items``.
+judged each on its own text; repeated items with one id count once in ``n_items``; very long
+texts are read whole (their words are one array of a row); without items nothing is hit, without
+documents the result is empty; other columns of both tables are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ shingle hashes). No list is capped; nothing is broadcast or collected.
 
 Edge cases: null, empty or wordless text has no shingles, is linked with nothing and is its
 own component; fewer than five words are one shingle; rows with equal sets, repeated rows
-included, are linked; a null doc_id is never the smallest, unless a component has no other.
+included, are linked; a null doc_id is never the smallest, unless a component has no other; very
+long texts are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

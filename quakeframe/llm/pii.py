@@ -15,7 +15,9 @@ Rows are independent: no shuffle, memory bounded by one Arrow batch and the long
 pattern runs in time linear in the text, also on endless runs of digits or letters.
 
 Edge cases: null and empty text have no spans and stay as they are when redacted; repeated
-rows are judged alike.
+rows are judged alike; null ids are carried along; very long texts and words are read whole; digits
+of other scripts are letters to the fixed patterns and no octets; an empty table gives an empty
+result; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ and pieces (hash leaves of doc_id) get offsets from a small table of counts.
 
 Edge cases: a null text has no bytes, crc 0 and size 1, apart from the empty text's group; an
 empty table gives an empty result; repeated rows share a group and get slots of their own; a
-null doc_id is placed like any other row.
+null doc_id is placed like any other row; a very long text is one weight, its bytes plus 1; other
+columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations

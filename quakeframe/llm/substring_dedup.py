@@ -22,7 +22,8 @@ stays a fixed share of a partition. The texts are shuffled once (the exchange is
 Edge cases: null, empty and wordless texts have no words and lose none; texts shorter than the
 window lose none; repeated rows and equal texts lose all words if they have a window, since
 each window starts elsewhere too; rows that share a doc_id are different places; rows equal in
-id and text are different places as well.
+id and text are different places as well; very long texts are cut whole; an empty table gives an
+empty result; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations

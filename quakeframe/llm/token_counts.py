@@ -14,7 +14,9 @@ Each worker remembers the counts of words it has seen, at most ``REMEMBER`` of t
 Rows are independent: no shuffle, memory bounded by one Arrow batch and the longest text.
 
 Edge cases: null and empty text have no bytes and no tokens; special strings in a text count as
-one token, as in the tokenizers library by default; repeated rows are counted alike.
+one token, as in the tokenizers library by default; repeated rows are counted alike; null ids are
+carried along; very long texts are counted whole, word by word; an empty table gives an empty result; other columns of the
+input are ignored, whatever their names.
 """
 
 from __future__ import annotations

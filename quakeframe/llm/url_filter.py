@@ -16,7 +16,8 @@ split, and urls are reduced to distinct (host, path) pairs first.
 
 Edge cases: null url, or one without ``://``, has empty host and path, matches no rule that
 needs a literal and gets the default verdict; repeated rows are judged alike; page_id is only
-carried along, so it may be null or repeated.
+carried along, so it may be null or repeated; very long urls are read whole, each distinct token
+once; no pages give an empty result, no rules the default verdict; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ joins the tokens' texts with one space. Rows are independent: no shuffle, memory
 Arrow batch and the longest text.
 
 Edge cases: null and empty text have no tokens and decode to the empty string; repeated rows
-are encoded alike.
+are encoded alike; null ids are carried along; very long texts are encoded whole, word by word, and
+a very long word by a tree of its own; an empty table gives an empty result; other columns of the
+input are ignored, whatever their names.
 """
 
 from __future__ import annotations
