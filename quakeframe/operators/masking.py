@@ -37,7 +37,10 @@ def apply_cutoff(rows: DataFrame, sec, rate: int, length: int, wave_col: str = "
     ``length`` and zeroed from ``cutoff`` on; a station whose pick is strictly later than the
     cut-off is blanked (waveform and position set to zero). ``sec`` None or 0 means no mask.
     """
-    none = F.col(wave_col).isNull() if wave_col in rows.columns else F.lit(False)
+    if "has_waveform" in rows.columns:  # said beside the waveform: ``blanked`` alone reads no samples
+        none = ~F.col("has_waveform")
+    else:
+        none = F.col(wave_col).isNull() if wave_col in rows.columns else F.lit(False)
     if sec is None or (not isinstance(sec, Column) and sec == 0):
         cutoff, late = F.lit(None).cast("int"), none
     else:
@@ -69,11 +72,12 @@ def blinded_slots(stations, key: list, n_slots: int, epoch: int = 0, seed: str =
     without replacement (n = 0 gives k = 0; D28). ``stations`` is an array of at most ``n_slots``
     structs (slot, real); k comes from a hash of the sample's ``key``, and the k stations are
     those with the smallest hash of key and slot (ties: smaller slot). Narrow (no waveform is
-    touched), and written out per slot instead of as a lambda, so that it runs in generated code."""
+    touched), and written out per slot, so that it runs in generated code; the count is a lambda,
+    which keeps the step out of the one method of its stage (see ``hidden_positions``)."""
     stations = F.col(stations) if isinstance(stations, str) else stations
     at = [F.get(stations, i) for i in range(int(n_slots))]
     real = [F.coalesce(e["real"], F.lit(False)) for e in at]
-    n = sum((r.cast("int") for r in real), F.lit(0))
+    n = F.size(F.filter(F.array(*real), lambda r: r))
     k = F.floor(hash_uniform(*key, salt=f"blind-k|{epoch}|{seed}") * n).cast("int")
     last = F.lit(2.0)  # behind every draw
     drawn = F.sort_array(F.array(*[F.struct(
@@ -205,7 +209,11 @@ def hidden_waveforms(waves: str, hidden: str, cutoff: Column, n_slots: int) -> C
 
 
 def hidden_positions(positions: str, hidden: str, n_slots: int, pos_width: int = 4) -> Column:
-    """The positions beside ``hidden_waveforms``: zero where hidden, and zero up to ``n_slots``."""
+    """The positions beside ``hidden_waveforms``: zero where hidden, and zero up to ``n_slots``.
+
+    A lambda over the slots: Spark then compiles the projection that holds both by itself, in small
+    methods, instead of into the one method of its stage with all steps before, which is too
+    large to run fast."""
     zero = F.array(*[F.lit(0.0)] * pos_width)
-    return F.array(*[F.when((F.lit(i) >= F.size(positions)) | F.get(F.col(hidden), i), zero).otherwise(F.get(F.col(positions), i))
-                     for i in range(int(n_slots))])
+    slots = F.sequence(F.lit(0), F.lit(int(n_slots) - 1))
+    return F.transform(slots, lambda i: F.when((i >= F.size(positions)) | F.get(F.col(hidden), i), zero).otherwise(F.get(F.col(positions), i)))
