@@ -14,12 +14,19 @@ from quakeframe.operators.masking import apply_cutoff, mask_members, with_pick0
 from quakeframe.schema import LADDER_SECS, MAX_STATIONS
 
 
+def event_waveforms(waveforms: DataFrame, event_ids: DataFrame, length: int) -> DataFrame:
+    """The cropped waveforms of the given events. Spark moves the semi join below the joins that
+    build the waveforms, so that those of other events are neither built nor shuffled."""
+    w = waveforms.join(event_ids.select("eq_id"), "eq_id", "left_semi")
+    return w.select("eq_id", "trace_idx", crop("samples", length).alias("waveform"))
+
+
 def event_traces(event_ids: DataFrame, traces: DataFrame, waveforms: DataFrame, length: int) -> DataFrame:
     """S5 + C1: the traces of the given events with waveforms cropped to ``length`` samples.
 
     The crop runs right after the waveform scan, before the join shuffle."""
     t = traces.join(event_ids.select("eq_id"), "eq_id", "left_semi")
-    w = waveforms.select("eq_id", "trace_idx", crop("samples", length).alias("waveform"))
+    w = event_waveforms(waveforms, event_ids, length)
     return t.join(w, ["eq_id", "trace_idx"], "left")  # without a stored waveform: NULL
 
 
@@ -52,7 +59,7 @@ def snapshot_ladder(traces: DataFrame, waveforms: DataFrame, event_ids: DataFram
     The top-k runs on the narrow trace rows; only the kept stations fetch their waveforms."""
     t = traces.join(event_ids.select("eq_id"), "eq_id", "left_semi")
     top = with_pick0(top_stations(t, max_station_num, order), ["eq_id"])  # on narrow rows
-    w = waveforms.select("eq_id", "trace_idx", crop("samples", length).alias("waveform"))
+    w = event_waveforms(waveforms, event_ids, length)
     top = top.join(w, ["eq_id", "trace_idx"], "left")  # none stored: the slot stays, blanked
     ladder = cutoff_ladder(top, secs)
     return apply_cutoff(ladder, F.col("mask_sec"), rate, length)
@@ -65,7 +72,7 @@ def ladder_snapshots(traces: DataFrame, waveforms: DataFrame, event_ids: DataFra
     but an event's stations are collected once and every horizon is cut from that row as array
     expressions, instead of shuffling a copy of the waveforms per horizon."""
     t = traces.join(event_ids.select("eq_id"), "eq_id", "left_semi")
-    w = waveforms.select("eq_id", "trace_idx", crop("samples", length).alias("waveform"))
+    w = event_waveforms(waveforms, event_ids, length)
     top = top_stations(t, max_station_num, order).join(w, ["eq_id", "trace_idx"], "left")
     cols = ["lat", "lon", "elev", "vs30"][:station_width]
     member = F.struct("slot", "p_pick", stored_position("waveform", cols).alias("pos"),
