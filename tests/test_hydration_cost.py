@@ -35,7 +35,7 @@ def _depths(df, *words):
 
 def test_hydrate_inputs_cuts_the_waveforms_before_they_are_built(spark, tmp_path):
     rows = [(e, t, s, 1, 1, 1.0, 1.0, 1.0, 1.0) for e, t, s in [(1, 0, 0), (1, 1, 1), (1, 1, 2), (2, 0, 0), (2, 1, 1), (None, 0, 0)]]
-    h = hydrate_inputs(spark.createDataFrame(rows, TRACE), _waveforms(spark, tmp_path))
+    h = hydrate_inputs(spark.createDataFrame(rows, TRACE), _waveforms(spark, tmp_path), flag=True)
     got = sorted((r["eq_id"] or -1, r["slot"], r["waveform"][0][0] if r["waveform"] else 0, r["has_waveform"]) for r in h.collect())
     assert got == [(-1, 0, 0, False), (1, 0, 1.0, True), (1, 1, 4.0, True), (1, 1, 7.0, True), (1, 2, 4.0, True), (1, 2, 7.0, True),
                    (2, 0, 9.0, True), (2, 1, 0, False)]
@@ -48,7 +48,7 @@ def test_blanked_alone_reads_no_samples(spark):
     inputs = spark.createDataFrame(rows, TRACE)
     stored = spark.createDataFrame([(1, 0, [1.0]), (1, 1, [2.0])], "eq_id long, trace_idx int, x array<float>")
     waveforms = stored.select("eq_id", "trace_idx", F.array("x").alias("samples"))
-    m = apply_cutoff(hydrate_inputs(inputs, waveforms), 3, 2, 4).select("eq_id", "slot", "blanked", "lat")
+    m = apply_cutoff(hydrate_inputs(inputs, waveforms, flag=True), 3, 2, 4).select("eq_id", "slot", "blanked", "lat")
     assert sorted(tuple(r) for r in m.collect()) == [(1, 0, False, 1.0), (1, 1, True, 0.0), (2, 0, True, 0.0)]
     assert "array(x#" not in m._jdf.queryExecution().optimizedPlan().toString()
 
