@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quakeframe.functions.waveform import crop
 from quakeframe.operators.ranking import group_positions
 from quakeframe.session import pinned
 
@@ -127,20 +128,29 @@ def input_traces(ranked: DataFrame) -> DataFrame:
     return inputs.withColumn("pick0", F.first("p_pick").over(w))
 
 
-def hydrate_inputs(inputs: DataFrame, waveforms: DataFrame, wave_col: str = "samples", flag: bool = False) -> DataFrame:
+def hydrate_inputs(inputs: DataFrame, waveforms: DataFrame, wave_col: str = "samples", flag: bool = False,
+                   length: int | None = None) -> DataFrame:
     """Attach the waveform to input traces. The key (eq_id, trace_idx) is unique per
     trace, so this join has no hot key. A trace without a stored waveform keeps its slot with
     a NULL waveform, which every later step treats as a blanked station; ``missing_waveforms``
     lists these traces.
 
     The waveforms are first cut to the inputs' keys (a semi join, which Spark moves below the
-    joins that build them), so that those of other traces are neither built nor shuffled. With
+    joins that build them), so that those of other traces are neither built nor shuffled. What is
+    left is at most a chunk per event, so the join's only equality is the event's, with the trace as a
+    filter: a step that collects an event's inputs after it needs no second shuffle of the samples. With
     ``flag``, ``has_waveform`` says beside the waveform whether one is stored: a consumer that
-    only asks this reads and shuffles no samples."""
+    only asks this reads and shuffles no samples. With ``length`` the wanted waveforms are cropped
+    to it (C1) before they are shuffled."""
     key = ["eq_id", "trace_idx"]
     has = [F.col(wave_col).isNotNull().alias("has_waveform")] if flag else []
     w = waveforms.select(*key, F.col(wave_col).alias("waveform"), *has).join(inputs.select(*key), key, "left_semi")
-    out = inputs.join(w, key, "left")
+    if length is not None:
+        w = w.withColumn("waveform", crop("waveform", length))
+    w = w.withColumnsRenamed({k: f"_{k}" for k in key})
+    same = (F.col("trace_idx") <= F.col("_trace_idx")) & (F.col("trace_idx") >= F.col("_trace_idx"))
+    out = inputs.join(w, (F.col("eq_id") == F.col("_eq_id")) & same, "left").drop("_eq_id", "_trace_idx")
+    out = out.select(*key, *[c for c in out.columns if c not in key])
     return out.withColumn("has_waveform", F.coalesce("has_waveform", F.lit(False))) if flag else out
 
 

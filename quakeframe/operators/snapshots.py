@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from quakeframe.functions.waveform import crop, stored_position, stored_waveform, zero_samples
 from quakeframe.operators.masking import apply_cutoff, mask_members, with_pick0
+from quakeframe.operators.samples import hydrate_inputs
 from quakeframe.schema import LADDER_SECS, MAX_STATIONS
+from quakeframe.session import pinned
 
 
 def event_waveforms(waveforms: DataFrame, event_ids: DataFrame, length: int) -> DataFrame:
@@ -70,10 +72,11 @@ def ladder_snapshots(traces: DataFrame, waveforms: DataFrame, event_ids: DataFra
                      event_time: DataFrame | None = None, station_width: int = 3) -> DataFrame:
     """ST5 in one shuffle of the wide rows: equal to ``assemble_snapshots(snapshot_ladder(...))``,
     but an event's stations are collected once and every horizon is cut from that row as array
-    expressions, instead of shuffling a copy of the waveforms per horizon."""
+    expressions, instead of shuffling a copy of the waveforms per horizon. The kept stations (narrow)
+    are written once: they name the waveforms wanted and then take them, dealt by event."""
     t = traces.join(event_ids.select("eq_id"), "eq_id", "left_semi")
-    w = event_waveforms(waveforms, event_ids, length)
-    top = top_stations(t, max_station_num, order).join(w, ["eq_id", "trace_idx"], "left")
+    top = pinned(top_stations(t, max_station_num, order), "stations")
+    top = hydrate_inputs(top, waveforms, length=length)
     cols = ["lat", "lon", "elev", "vs30"][:station_width]
     member = F.struct("slot", "p_pick", stored_position("waveform", cols).alias("pos"),
                       stored_waveform("waveform", length).alias("waveform"))

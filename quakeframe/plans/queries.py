@@ -288,7 +288,7 @@ def q_hydrate_targets(spark, sf_dir):
 
 def q_event_traces_cropped(spark, sf_dir):
     ids = cat.replay_event_ids(fx.fx_catalog(spark, sf_dir), fx.TEST_YEAR)
-    et = event_traces(ids, fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR), fx.fx_waveforms(spark, sf_dir), T_CROP)
+    et = event_traces(ids, fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR, ids), fx.fx_waveforms(spark, sf_dir, ids), T_CROP)
     return et.select("eq_id", "trace_idx", F.coalesce(F.size("waveform"), F.lit(0)).alias("n_samples"),
                      _r(peak_abs("waveform")).alias("peak"), "lat", "lon", "elev", "p_pick")
 
@@ -321,14 +321,14 @@ def q_blank_late_stations(spark, sf_dir):
 
 def _ladder(spark, sf_dir):
     ids = cat.replay_event_ids(fx.fx_catalog(spark, sf_dir), fx.TEST_YEAR)
-    return snapshot_ladder(fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR), fx.fx_waveforms(spark, sf_dir), ids,
+    return snapshot_ladder(fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR, ids), fx.fx_waveforms(spark, sf_dir, ids), ids,
                            secs=[3, 5, 7, 10], rate=fx.WAVE_RATE, length=T_CROP,
                            max_station_num=fx.MAX_STATIONS_FX, order="stored")
 
 
 def _ladder_snapshots(spark, sf_dir, times=None):
     ids = cat.replay_event_ids(fx.fx_catalog(spark, sf_dir), fx.TEST_YEAR)
-    return ladder_snapshots(fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR), fx.fx_waveforms(spark, sf_dir), ids,
+    return ladder_snapshots(fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR, ids), fx.fx_waveforms(spark, sf_dir, ids), ids,
                             secs=[3, 5, 7, 10], rate=fx.WAVE_RATE, length=T_CROP, max_station_num=fx.MAX_STATIONS_FX,
                             order="stored", event_time=times)
 
@@ -401,9 +401,10 @@ def models():
 
 def _predictions(spark, sf_dir, secs=(MASK_SEC,)):
     """P2 + E7: the test-year samples scored by both models in one pass, at every cut-off."""
-    t = selected_traces(spark, sf_dir, mode="test", traces=fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR))
+    ids = selected_events(spark, sf_dir, "test").select("eq_id")
+    t = selected_traces(spark, sf_dir, mode="test", traces=fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR, ids))
     r = rank_traces(t, max_station_num=fx.MAX_STATIONS_FX)
-    c0 = hydrate_inputs(r.filter(F.col("chunk_no") == 0), fx.fx_waveforms(spark, sf_dir))
+    c0 = hydrate_inputs(r.filter(F.col("chunk_no") == 0), fx.fx_waveforms(spark, sf_dir, ids))
     sets = masked_input_sets(c0, ["eq_id"], fx.MAX_STATIONS_FX, T_PAD, list(secs), fx.WAVE_RATE)
     fields = ["chunk_no", "slot", "trace_idx", "p_pick", "label_time", "answer", "lat", "lon", "elev", "vs30",
               "chunk_size"]
