@@ -13,9 +13,11 @@ from quakeframe.schema import PREDICTIONS_CSV, SNAPSHOT, SNAPSHOT_READ
 
 
 def write_snapshots(snaps: DataFrame, path: str, partition_by: str | None = "mask_sec",
-                    files_per_partition: int | None = None) -> None:
+                    files_per_partition: int | None = None, compression: str | None = None) -> None:
     """One JSON line per snapshot ``{event_time, waveform, station, eq_id}``.
 
+    ``compression``: a codec of Spark's text files (``gzip``, ``bzip2``), which every reader here
+    knows by the file's name; the horizons of an event, beside each other, mostly repeat the same samples.
     Timestamps are written as ``yyyy-MM-dd HH:mm:ss`` (the reference text format)."""
     extra = [c for c in ("eq_id", "mask_sec") if c in snaps.columns]
     out = snaps.select(F.col("event_time").cast("timestamp").alias("event_time"), "waveform", "station", *extra)
@@ -23,6 +25,8 @@ def write_snapshots(snaps: DataFrame, path: str, partition_by: str | None = "mas
         out = out.repartition(files_per_partition)
     w = (out.write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
          .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss"))
+    if compression:
+        w = w.option("compression", compression)
     if partition_by and partition_by in out.columns:
         w = w.partitionBy(partition_by)
     w.json(path)
@@ -73,11 +77,12 @@ def validate_snapshots(snaps: DataFrame, n_stations: int | None = 25, length: in
     return snaps.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
 
 
-def write_predictions(preds: DataFrame, path: str, partition_by=("model", "mask_sec")) -> None:
-    """CSV with header, one folder per model (and cut-off, when present)."""
+def write_predictions(preds: DataFrame, path: str, partition_by=("model", "mask_sec"), compression: str | None = None) -> None:
+    """CSV with header, one folder per model (and cut-off, when present); ``compression`` as in
+    ``write_snapshots``."""
     cols = [f.name for f in PREDICTIONS_CSV.fields if f.name in preds.columns]
     extra = [c for c in partition_by if c in preds.columns and c not in cols]
-    (preds.select(*cols, *extra).write.mode("overwrite").option("header", True)
+    (preds.select(*cols, *extra).write.mode("overwrite").option("header", True).option("compression", compression or "none")
      .partitionBy(*[c for c in partition_by if c in preds.columns]).csv(path))
 
 
