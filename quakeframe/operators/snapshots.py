@@ -72,29 +72,32 @@ def ladder_snapshots(traces: DataFrame, waveforms: DataFrame, event_ids: DataFra
                      event_time: DataFrame | None = None, station_width: int = 3) -> DataFrame:
     """ST5 in one shuffle of the wide rows: equal to ``assemble_snapshots(snapshot_ladder(...))``,
     but an event's stations are collected once and every horizon is cut from that row as array
-    expressions, instead of shuffling a copy of the waveforms per horizon. The kept stations (narrow)
-    are written once: they name the waveforms wanted and then take them, dealt by event."""
-    t = traces.join(event_ids.select("eq_id"), "eq_id", "left_semi")
-    top = pinned(top_stations(t, max_station_num, order), "stations")
-    top = hydrate_inputs(top, waveforms, length=length)
+    expressions, instead of shuffling a copy of the waveforms per horizon. The kept stations (narrow:
+    the columns of a snapshot, with the times of their event) are written once: they name the
+    waveforms wanted and then take them, dealt by event. No snapshot is sorted for a join with its time."""
     cols = ["lat", "lon", "elev", "vs30"][:station_width]
+    t = traces.join(event_ids.select("eq_id"), "eq_id", "left_semi").select("eq_id", "trace_idx", "p_pick", *cols)
+    top = top_stations(t, max_station_num, order)
+    if event_time is None:
+        top = top.withColumn("_times", F.lit(None).cast("array<struct<event_time:timestamp>>"))
+    else:
+        times = event_time.groupBy("eq_id").agg(F.collect_list(F.struct("event_time")).alias("_times"))
+        top = top.join(times, "eq_id", "left")
+    top = pinned(top, "stations")
+    top = hydrate_inputs(top, waveforms, length=length)
     member = F.struct("slot", "p_pick", stored_position("waveform", cols).alias("pos"),
                       stored_waveform("waveform", length).alias("waveform"))
-    g = top.groupBy("eq_id").agg(F.sort_array(F.collect_list(member)).alias("_in"))
+    g = top.groupBy("eq_id").agg(F.sort_array(F.collect_list(member)).alias("_in"), F.first("_times").alias("_times"))
+    g = g.select("eq_id", "_in", F.inline_outer("_times"))  # event_time: a snapshot per time, NULL without one
     g = cutoff_ladder(g, secs)
     g = g.withColumn("_cutoff", (F.col("_in")[0]["p_pick"] + F.col("mask_sec") * int(rate)).cast("int"))
     g = g.withColumn("_in", mask_members("_in", F.col("_cutoff"), length, station_width))
     n_pad = F.lit(int(max_station_num)) - F.size("_in")
     zero = F.array_repeat(F.lit(0.0).cast("float"), station_width)
-    snap = g.select(
-        "eq_id", "mask_sec",
+    return g.select(
+        "eq_id", "mask_sec", "event_time",
         F.concat(F.transform("_in", lambda e: e["waveform"]), F.array_repeat(zero_samples(length), n_pad)).alias("waveform"),
         F.concat(F.transform("_in", lambda e: e["pos"].cast("array<float>")), F.array_repeat(zero, n_pad)).alias("station"))
-    if event_time is None:
-        snap = snap.withColumn("event_time", F.lit(None).cast("timestamp"))
-    else:
-        snap = snap.join(event_time.select("eq_id", "event_time"), "eq_id", "left")
-    return snap.select("eq_id", "mask_sec", "event_time", "waveform", "station")
 
 
 def assemble_snapshots(ladder: DataFrame, event_time: DataFrame | Column | None = None,

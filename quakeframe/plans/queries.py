@@ -25,7 +25,7 @@ from quakeframe.operators.evaluate import (ensemble, evaluate, evaluation_points
 from quakeframe.operators.scoring import (AttenuationScorer, masked_input_sets, pad_predictions, score,
                                           scoring_rows, target_groups)
 from quakeframe.schema import SNAPSHOT_READ
-from quakeframe.session import shared_dir
+from quakeframe.session import pinned, shared_dir
 from quakeframe.sources import fixtures as fx
 from quakeframe.sources import tables
 from quakeframe.sources.snapshots_io import (read_predictions, read_snapshots, validate_snapshots,
@@ -328,7 +328,8 @@ def _ladder(spark, sf_dir):
 
 def _ladder_snapshots(spark, sf_dir, times=None):
     ids = cat.replay_event_ids(fx.fx_catalog(spark, sf_dir), fx.TEST_YEAR)
-    return ladder_snapshots(fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR, ids), fx.fx_waveforms(spark, sf_dir, ids), ids,
+    lines = pinned(fx.numbered_lines(spark, sf_dir, ids).select(*fx.LINE_COLUMNS), "lines")  # numbered once for both
+    return ladder_snapshots(fx.fx_traces(spark, sf_dir, fx.WAVE_PICK_DIVISOR, lines=lines), fx.fx_waveforms(spark, sf_dir, lines=lines), ids,
                             secs=[3, 5, 7, 10], rate=fx.WAVE_RATE, length=T_CROP, max_station_num=fx.MAX_STATIONS_FX,
                             order="stored", event_time=times)
 
