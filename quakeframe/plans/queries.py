@@ -28,7 +28,7 @@ from quakeframe.schema import SNAPSHOT_READ
 from quakeframe.session import pinned, shared_dir
 from quakeframe.sources import fixtures as fx
 from quakeframe.sources import tables
-from quakeframe.sources.snapshots_io import (read_predictions, read_snapshots, validate_snapshots,
+from quakeframe.sources.snapshots_io import (FAST, read_predictions, read_snapshots, validate_snapshots,
                                              write_predictions, write_snapshots)
 from quakeframe.streaming.stream import Sinks, archive_consumed, local_time, read_sinks, run_stream, supervise
 
@@ -562,7 +562,7 @@ def _lines(spark, sf_dir):
 
 def _validated(spark, sf_dir):
     path = shared_dir(spark, "snapshots")
-    _lines(spark, sf_dir).write.text(path, compression=PACKED)
+    _lines(spark, sf_dir).write.options(**FAST).text(path, compression=PACKED)
     return validate_snapshots(read_snapshots(spark, path), n_stations=fx.MAX_STATIONS_FX, length=T_CROP)
 
 
@@ -595,7 +595,7 @@ def _counted(spark, sink):
 def q_stream_quarantined(spark, sf_dir):
     """ST1/ST2 + D13: broken lines in the stream land in the quarantine, the others are scored and routed."""
     src, sink, ckpt = (shared_dir(spark, n) for n in ("stream-src", "stream-sink", "stream-ckpt"))
-    _lines(spark, sf_dir).write.text(src, compression=PACKED)
+    _lines(spark, sf_dir).write.options(**FAST).text(src, compression=PACKED)
     _ended(run_stream(spark, src, sink, ckpt, models(), rules=ROUTES, max_files=4))
     # The stream accepts any number of stations and samples: only broken lines are rejected.
     return _counted(spark, sink)
@@ -605,7 +605,7 @@ def q_stream_restarted(spark, sf_dir):
     """ST1/S10/P3: the first batch dies after its predictions are written, before quarantine and
     report; the restarted stream replaces them, and all three sinks agree."""
     src, sink, ckpt = (shared_dir(spark, n) for n in ("stream-src", "stream-sink", "stream-ckpt"))
-    _lines(spark, sf_dir).write.text(src, compression=PACKED)
+    _lines(spark, sf_dir).write.options(**FAST).text(src, compression=PACKED)
 
     def die(kind, batch_id):
         raise RuntimeError(f"lost after {kind} of batch {batch_id}")

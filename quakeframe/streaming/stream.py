@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from quakeframe.operators.scoring import score
@@ -24,6 +25,7 @@ from quakeframe.schema import LOCAL_TZ, SNAPSHOT_READ
 from quakeframe.sources.snapshots_io import validate_snapshots
 
 DEFAULT_ROUTE = "other"
+LINE_HEAD = 256  # characters of a line that decide which task parses it
 
 
 def local_time(ts="event_time", naive: bool = False) -> Column:
@@ -38,19 +40,39 @@ def local_time(ts="event_time", naive: bool = False) -> Column:
 
 
 def stream_snapshots(spark: SparkSession, source_dir: str, max_files: int = 1,
-                     archive_dir: str | None = None) -> DataFrame:
+                     archive_dir: str | None = None, spread: int | None = None) -> DataFrame:
     """A streaming read of a folder of snapshot JSON files, ``max_files`` per trigger.
 
     Each line names its ``source_file``. With ``archive_dir``, the source moves consumed files there
     (S7) instead of deleting folders: those of a batch when the next one starts, so the last
-    batch's stay until ``archive_consumed``."""
-    r = (spark.readStream.format("json").schema(SNAPSHOT_READ)
-         .option("maxFilesPerTrigger", int(max_files))
-         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-         .option("timestampFormat", "yyyy-MM-dd HH:mm:ss"))
+    batch's stay until ``archive_consumed``.
+
+    Lines are read as text and parsed as the JSON source does. A packed file is read by one task; with
+    ``spread`` its lines are dealt to so many tasks before they are parsed. Lines that begin
+    alike (the horizons of an event) stay together, so that the dealing packs them well."""
+    r = spark.readStream.format("text").option("maxFilesPerTrigger", int(max_files))
     if archive_dir:
         r = r.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
-    return r.load(source_dir).withColumn("source_file", F.col("_metadata.file_path"))
+    lines = r.load(source_dir).withColumn("source_file", F.col("_metadata.file_path"))
+    if spread:
+        lines = lines.repartition(int(spread), F.substring("value", 1, LINE_HEAD))
+    return parse_lines(lines)
+
+
+def parse_lines(lines: DataFrame, schema: T.StructType = SNAPSHOT_READ) -> DataFrame:
+    """The snapshots of text lines (``value``), as the JSON source reads them: no row for an empty line, one
+    per element of an array, the text of a line that does not parse in ``_corrupt_record``. The other
+    columns stay; one named like a field (a folder's ``mask_sec=3``) replaces it."""
+    text, kept = F.col("value"), [c for c in lines.columns if c != "value"]
+    many = F.when(F.ltrim(text).startswith("["), F.from_json(text, "array<string>"))
+    # Empty lines go by their text: a filter on what was parsed would parse each line twice.
+    rows = lines.filter(text.rlike(r"[^ \t\r\n]")).select(*kept, F.explode(F.coalesce(many, F.array(text))).alias("value"))
+    rows = rows.select(*kept, "value", F.from_json("value", schema, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "timestampFormat": "yyyy-MM-dd HH:mm:ss"}).alias("_s"))
+    fields = {f.name: F.col("_s")[f.name] for f in schema.fields}
+    fields["_corrupt_record"] = F.when(F.col("_s").isNull(), text).otherwise(fields["_corrupt_record"])
+    fields |= {f.name: F.col(f.name).cast(f.dataType) for f in schema.fields if f.name in kept}
+    return rows.select(*[c.alias(n) for n, c in fields.items()], *[c for c in kept if c not in fields])
 
 
 def self_targets(station: str = "station") -> Column:
@@ -161,9 +183,10 @@ def run_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_d
     ``rules``: a list for ``route_targets``, or the path of a rule table for ``route_by_table``,
     read again for every batch. ``trigger`` is passed to ``DataStreamWriter.trigger`` (default
     ``availableNow``; ``{"processingTime": "5 seconds"}`` for a live feed). ``on_written(sink,
-    batch_id)`` is told of each sink a batch has written; an error in it fails the batch. Wait
-    with ``await_all`` or ``supervise``, so any failing query is seen (ST4)."""
-    snaps = stream_snapshots(spark, source_dir, max_files, archive_dir)
+    batch_id)`` is told of each sink a batch has written; an error in it fails the batch. A batch of
+    fewer files than cores is dealt to all of them. Wait with ``await_all`` or ``supervise``, so any failing query is seen (ST4)."""
+    cores = spark.sparkContext.defaultParallelism
+    snaps = stream_snapshots(spark, source_dir, max_files, archive_dir, spread=cores if max_files < cores else None)
     sinks = Sinks.at(sink_dir, quarantine_dir, report_dir)
 
     def routed(preds):
