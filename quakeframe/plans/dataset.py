@@ -8,15 +8,15 @@ E6 -> output.
 Shuffle boundaries: (1) traces joined to the selected events (broadcast when the
 catalogue is small, otherwise a skew-split sort-merge join), (2) the range partition of
 ``group_positions`` (a hot event is spread), (3) chunk 0 joined to its waveforms (unique
-trace keys) and collected per event, (4) traces collected per chunk, (5) the salted join of
-target groups with input sets. All groups are bounded by ``max_station_num``.
+trace keys) and collected per event, (4) traces collected per chunk, (5) those of large
+events are dealt by chunk bucket to meet their input set. All groups are bounded by ``max_station_num``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakeframe.functions.waveform import stored_position, stored_waveform, zero_samples
@@ -25,6 +25,7 @@ from quakeframe.operators import traces as tr
 from quakeframe.operators.balance import label_weights
 from quakeframe.operators.masking import hidden_positions, hidden_waveforms, random_cutoff_sec, with_slot_mask
 from quakeframe.operators.samples import hydrate_inputs, rank_traces, sample_id_col
+from quakeframe.session import pinned
 
 
 @dataclass
@@ -70,8 +71,8 @@ def select_catalog(catalog: DataFrame, o: DatasetOptions) -> DataFrame:
     return cat.first_events(ev, o.limit, "eq_id")
 
 
-def sample_plan(catalog: DataFrame, traces: DataFrame, o: DatasetOptions) -> DataFrame:
-    """Everything up to the ranked, chunked trace table (no waveforms yet)."""
+def sample_plan(catalog: DataFrame, traces: DataFrame, o: DatasetOptions, columns: list[str] | None = None) -> DataFrame:
+    """Everything up to the ranked, chunked trace table (no waveforms yet); of the traces only ``columns``, if given."""
     if o.check_catalog:
         cat.assert_unique_events(catalog)
     ev = select_catalog(catalog, o).select("eq_id", "magnitude")
@@ -86,11 +87,25 @@ def sample_plan(catalog: DataFrame, traces: DataFrame, o: DatasetOptions) -> Dat
         t = t.withColumn("n_copies", F.coalesce(n, F.lit(0)))
     else:
         t = t.withColumn("n_copies", F.lit(0))
+    if columns:
+        t = t.select(*columns, "n_copies")
     if o.weight_label:
+        t = pinned(t, "labelled")               # counted, then weighted
         t = label_weights(t, o.label_key)       # before copies: copies inherit the weight (D8)
     if o.oversample_by_labels:
         t = tr.oversample_traces(t, o.label_key)
-    return rank_traces(t, o.max_station_num, o.sort_by_picks)
+    if columns:
+        t = t.drop("class")
+    return rank_traces(t, o.max_station_num, o.sort_by_picks, pin=columns is None)
+
+
+def collected(rows: DataFrame, by: list[str], **aggs) -> DataFrame:
+    """``groupBy(*by).agg`` of bounded groups as a window: rows that a join has left in the order of ``by`` are not
+    sorted again, nor is the result for a join on it; an aggregation sorts both once it has many groups."""
+    w = Window.partitionBy(*by)
+    out = rows.withColumn("_row", F.monotonically_increasing_id())
+    out = out.select(*by, "_row", F.min("_row").over(w).alias("_lead"), *[a.over(w).alias(n) for n, a in aggs.items()])
+    return out.filter(F.col("_row") == F.col("_lead")).drop("_row", "_lead")
 
 
 def build_dataset(catalog: DataFrame, traces: DataFrame, waveforms: DataFrame, o: DatasetOptions,
@@ -104,19 +119,21 @@ def build_dataset(catalog: DataFrame, traces: DataFrame, waveforms: DataFrame, o
     Layout: chunk 0 of an event is collected once into an *input-set* row (at most
     ``max_station_num`` members; its waveforms fetched and cropped once per event); each chunk
     is collected into a *target-group* row. Every sample is one target group joined with its
-    event's input set -- a join salted by chunk bucket, so a hot event's thousands of chunks
-    spread over many tasks. What differs between its copies (horizon, cut-off and slot mask) is
+    event's input set -- by event, and for an event of more chunks than a bucket holds by chunk bucket, so
+    that a hot event's thousands of chunks spread over many tasks. Target rows are shuffled once, dealt as
+    the join wants them; the input sets of normal events stay where they were collected. What differs between its copies (horizon, cut-off and slot mask) is
     drawn from narrow columns; each copy then takes one pass over the waveforms, all in generated
     code. No per-sample shuffle.
     """
-    ranked = sample_plan(catalog, traces, o)
     length = o.length
     lab = o.label_key
+    ranked = sample_plan(catalog, traces, o, ["eq_id", "trace_idx", "p_pick", "lat", "lon", "elev", "vs30", lab, f"{lab}_time"])
     zero_pos = F.array_repeat(F.lit(0.0), 4)
     pos = F.array(*[F.col(c).cast("double") for c in ("lat", "lon", "elev", "vs30")]).alias("pos")
     member = [F.col("slot"), F.col("p_pick"), pos, F.col(lab).alias("label"),
               F.col(f"{lab}_time").alias("label_time"), F.col("trace_idx")]
-    weight_aggs = [F.avg("weight").alias("weight")] if o.weight_label else []
+    weight = ["weight"] if o.weight_label else []
+    weight_aggs = {c: F.avg(c) for c in weight}
 
     # Input sets: chunk 0 with its waveforms (unique trace keys: no hot key in this join).
     # A trace without a stored waveform keeps its slot (and the reference pick) and is blanked.
@@ -125,30 +142,35 @@ def build_dataset(catalog: DataFrame, traces: DataFrame, waveforms: DataFrame, o
     # As a target (of a bias sample) the station keeps its position.
     c0_member = [*member, c0_pos.alias("input_pos"), stored_waveform("waveform", length).alias("waveform")]
     b = int(chunks_per_bucket)
-    sets = c0.groupBy("eq_id").agg(F.sort_array(F.collect_list(F.struct(*c0_member))).alias("_m"),
-                                   F.max("n_chunks").alias("_k"), *[a.alias("_w0") for a in weight_aggs])
+    sets = collected(c0.select("eq_id", "n_chunks", F.struct(*c0_member).alias("_e"), *weight), ["eq_id"],
+                     _m=F.collect_list("_e"), _k=F.max("n_chunks"), **{"_w0": a for a in weight_aggs.values()})
+    sets = sets.withColumn("_m", F.sort_array("_m"))
     sets = sets.select(
-        "eq_id", *(["_w0"] if weight_aggs else []),
+        "eq_id", *(["_w0"] if weight else []),
         F.transform("_m", lambda e: e.dropFields("input_pos", "waveform")).alias("_t0"),
         F.col("_m.input_pos").alias("_pos"),
         F.transform("_m", lambda e: F.struct(e["slot"].alias("slot"), e["p_pick"].alias("p_pick"),
                                              F.exists(e["input_pos"], lambda x: x != 0).alias("real"))).alias("_st"),
         F.concat(F.col("_m.waveform"), F.array(zero_samples(length))).alias("_waves"), "_k")
-    sets = sets.withColumn("_bucket", F.explode(F.sequence(F.lit(0), ((F.col("_k") - 1) / b).cast("int")))).drop("_k")
-
-    # Target groups, one per chunk (at most max_station_num members each).
-    groups = ranked.groupBy("eq_id", "chunk_no").agg(
-        F.sort_array(F.collect_list(F.struct(*member))).alias("_t"), F.max("n_chunks").alias("n_chunks"),
-        F.max("n_copies").alias("n_copies"), *weight_aggs)
-    normal = groups.withColumn("is_bias", F.lit(False))
-    samples = normal
-    if o.bias_to_closer_station:
-        samples = samples.unionByName(groups.filter(F.col("n_chunks") > 1).withColumn("is_bias", F.lit(True)))
-    samples = samples.withColumn("_bucket", (F.col("chunk_no") / b).cast("int"))
-    s = samples.join(sets, ["eq_id", "_bucket"])
 
+    # Target groups, one per chunk (at most max_station_num members each), beside their event's input set.
+    bucket = (F.col("chunk_no") / b).cast("int")
+
+    def paired(rows, some_sets, by):
+        rows = rows.withColumn("_bucket", bucket).repartition(*by)
+        groups = collected(rows.select(*by, "chunk_no", "n_chunks", "n_copies", F.struct(*member).alias("_e"), *weight), [*by, "chunk_no"],
+                           _t=F.collect_list("_e"), n_chunks=F.max("n_chunks"), n_copies=F.max("n_copies"), **weight_aggs)
+        groups = groups.withColumn("_t", F.sort_array("_t"))
+        return groups.join(some_sets.drop("_k"), by).drop("_bucket")
+
+    salted = sets.filter(F.col("_k") > b).withColumn("_bucket", F.explode(F.sequence(F.lit(0), ((F.col("_k") - 1) / b).cast("int"))))
+    s = (paired(ranked.filter(F.col("n_chunks") <= b), sets.filter(F.col("_k") <= b), ["eq_id"])
+         .unionByName(paired(ranked.filter(F.col("n_chunks") > b), salted, ["eq_id", "_bucket"])))
     # Per event copy: horizon, cut-off and slot mask, from narrow columns, in generated code.
-    s = s.withColumn("event_copy", F.explode(F.sequence(F.lit(0), F.col("n_copies")))).withColumn("sample_id", sample_id_col())
+    n = F.col("n_copies") + 1
+    kinds = F.when(F.col("n_chunks") > 1, 2).otherwise(1) if o.bias_to_closer_station else F.lit(1)
+    s = s.withColumn("_copy", F.explode(F.sequence(F.lit(0), n * kinds - 1)))  # every copy, then every copy of the bias sample
+    s = s.withColumn("event_copy", (F.col("_copy") % n).cast("int")).withColumn("is_bias", F.col("_copy") >= n).withColumn("sample_id", sample_id_col())
     if o.mask_waveform_random:
         sec = random_cutoff_sec(["sample_id"], o.mask_waveform_sec or 0, o.max_random_sec, o.epoch, o.seed)
     else:
