@@ -3,11 +3,15 @@
 import gzip
 import json
 import os
+import threading
+import time
+import uuid
 
 from pyspark.sql import functions as F
 
 from quakeframe.operators.scoring import AttenuationScorer
 from quakeframe.schema import SNAPSHOT_READ
+from quakeframe.session import ship
 from quakeframe.sources.snapshots_io import read_snapshots
 from quakeframe.streaming.stream import Sinks, parse_lines, read_sinks, run_stream, stream_snapshots
 
@@ -56,3 +60,24 @@ def test_one_packed_file_is_scored_by_several_tasks(spark, tmp_path):
     assert [r["reason"] for r in got["quarantine"].collect()] == ["corrupt"]
     report = got["report"].collect()
     assert [(r["n_snapshots"], r["n_rejected"], r["n_predictions"], len(r["files"])) for r in report] == [(40, 1, 40, 1)]
+
+
+def test_streams_that_start_together_ship_the_package_once():
+    sent = []
+
+    class Context:
+        applicationId = f"app-{uuid.uuid4().hex}"
+
+        def addPyFile(self, path):
+            time.sleep(0.5)
+            sent.append(path)
+
+    class Session:
+        sparkContext = Context()
+
+    threads = [threading.Thread(target=ship, args=(Session(),)) for _ in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(sent) == 1
